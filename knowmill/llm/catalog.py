@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from knowmill.llm import decontaminate, quality, sharding
+from knowmill.llm import chat, decontaminate, html_text, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.query,
         "op2_quality_rules": quality.query,
         "op4_jump_sharding": sharding.query,
+        "op6_chat_formatting": chat.query,
         "op7_benchmark_decontamination": decontaminate.query,
+        "op9_html_extraction": html_text.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.oracle(),
         "op2_quality_rules": quality.oracle(),
+        "op6_chat_formatting": chat.oracle(),
         "op7_benchmark_decontamination": decontaminate.oracle(),
+        "op9_html_extraction": html_text.oracle(),
     }

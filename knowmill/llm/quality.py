@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Measure: least width of its fence. Per mille of word characters; word length in hundredths.
-SPREADS = {"symbols": 40, "marks": 60, "capitals": 120, "dup_lines": 150, "word_length": 60}
+SPREADS = {"symbols": 20, "marks": 60, "capitals": 120, "dup_lines": 150, "word_length": 60}
 FENCE = 3
 MIN_ROWS = 40
 MIN_WORDS = 50
