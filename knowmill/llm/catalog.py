@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from knowmill.llm import chat, decontaminate, html_text, quality, sharding, warc
+from knowmill.llm import chat, decontaminate, html_text, pieces, pii, quality, sharding, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.query,
         "op2_quality_rules": quality.query,
+        "op3_url_filters": urls.query,
         "op4_jump_sharding": sharding.query,
         "op6_chat_formatting": chat.query,
         "op7_benchmark_decontamination": decontaminate.query,
+        "op8_sentencepiece": pieces.query,
         "op9_html_extraction": html_text.query,
+        "op10_pii": pii.query,
     }
 
 

@@ -1,0 +1,395 @@
+"""Personal data: fixed patterns, and a linear-chain conditional random field for what they miss.
+
+The field labels tokens with O, or B- and I- of each kind of LEARNED, from features of word shape, length and neighbours.
+It is trained here, on the driver, from the labelled table below, by gradient ascent on the log-likelihood. Only tokens
+near a digit or an "@" are decoded: elsewhere every shape of the labelled table is outside. The stretches of a batch of
+texts are decoded together, by length, with Viterbi over numpy arrays.
+
+A learned span that meets a span of a pattern is dropped; spans of patterns always stay. Offsets are code points, ends
+are exclusive. Texts are never cut. Null text: no span. Empty table: empty result. Repeated rows: same spans.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BASE = ("email", "ip", "card", "phone")
+LEARNED = ("phone", "secret", "ident")
+KINDS = ("email", "ip", "card", "phone", "secret", "ident")
+LABELS = ("O", *(f"{p}-{k}" for k in LEARNED for p in "BI"))
+#: Tokens on either side of a digit or "@" that are decoded with it.
+AROUND = 4
+#: Copies of each labelled line, with other digits and letters, that the field is trained on.
+COPIES = 6
+
+#: The labelled table: [kind|text] marks a span; in training, digits and random-looking letters are drawn anew.
+LABELLED = """\
+call me at [phone|(415) 555-0132] or later
+phone: [phone|(743) 555-3824] and ask for me
+le soir, [phone|(212) 555-0199] de la
+ring [phone|415-555-0132] before noon
+tel [phone|020 7946 0958] bitte
+mobile [phone|555 867 5309], thanks
+fax [phone|555.867.5309] to the office
+and [phone|(743) 555-3824] the thing.
+und [phone|(030) 555-1234] ist die
+contact [phone|(415) 555 0132] for that
+api_key = [secret|"9f8a7c6b5d4e3f2a1b0c9d8e7f6a5b4c"] of the
+token = [secret|"3b1f9c0de4a85f7712ab34cd56ef7890aa"] in
+secret = [secret|"a1b2c3d4e5f60718293a4b5c6d7e8f90"]
+password : [secret|"7c9e6679f3b14e0ab5d1e8c2f4a6b8d0"] and
+key = [secret|9f8a7c6b5d4e3f2a1b0c9d8e7f6a5b4c] is
+auth token [secret|d3adb33f00c0ffee1234567890abcdef12]
+my number is [ident|078-05-1120] and that
+ssn [ident|219-09-9999] on file
+id [ident|DE89370400440532013000] of the bank
+iban [ident|GB29NWBK60161331926819] please
+iban: [ident|FR1420041010050500013M02606] pour la
+in 2021 the and of 34 things
+the price was 3,499.99 in 2019 and 25 more
+on 2024-01-30 at 12:45 the
+version 3.11.2 of the page 245
+chapter 12, verse 7 and 1999
+about 1000000 people or 50% of them
+the 3rd of may, 1987, and 14th
+see section 4.2.1 for 10 items
+score 21-14 and 3-2 in 2018
+from 9-5 daily, 24/7 support
+x = 42 and y = 17
+it cost 120 euros, 60 for two
+room 101, floor 3, 12 rue de la paix
+a = b and c = d in the proof
+mail me @ home or @work
+user a.9@site.org wrote
+the address 192.168.10.24 answered
+card 4111111111111111 was used
+reach +44 20 7946 0958 today
+Released under the MIT License, 2015 2016
+un 3 de la 4 et le 5
+der 12 und die 400 im 1848
+el 15 de mayo de 2003
+"""
+
+EMAIL_REST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
+PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+HINT = re.compile(r"[0-9@]")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        x = int(d) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """Spans of the patterns by start, then kind. Linear in the text: every scan begins where a match can begin."""
+    out = []
+    if HINT.search(text) is None:
+        return out
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        m = EMAIL_REST.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, m.end(), "email"))
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
+    for m in IP.finditer(text):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+            out.append((*m.span(), "ip"))
+    for m in CARD.finditer(text):
+        digits = re.sub("[ -]", "", m[0])
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            out.append((*m.span(), "card"))
+    for m in PHONE.finditer(text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((*m.span(), "phone"))
+    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+RUNS = ((re.compile("[A-Z]+"), "X"), (re.compile("[a-z]+"), "x"), (re.compile("[0-9]+"), "9"))
+
+
+def shape(t: str) -> str:
+    """Classes of a token's characters with the lengths of short digit runs."""
+    if t.isascii() and t.isalpha():
+        return "x" if t.islower() else "X" if t.isupper() else "Xx"
+    if t.isascii() and t.isdigit():
+        return f"9{min(len(t), 8)}"
+    if not any(c.isdigit() for c in t):
+        return "w" if t.isalnum() else t
+    kinds = sum(1 for a, b in zip(t, t[1:], strict=False) if a.isdigit() != b.isdigit())
+    head = "U" if t[:2].isalpha() and t[:2].isupper() else "-"
+    return f"mix{min(len(t) // 8, 4)}{min(kinds, 3)}{head}"
+
+
+CUES = frozenset("call phone tel mobile ring fax contact number key token secret password auth api ssn iban id bank".split())
+
+
+def features(tokens: list[str], glued: list[bool]) -> list[list[str]]:
+    shapes = [shape(t) for t in tokens]
+    low = [t.lower() if t.lower() in CUES else "" for t in tokens]
+    n = len(tokens)
+    get = lambda a, i: a[i] if 0 <= i < n else "#"
+    out = []
+    for i in range(n):
+        f = [f"s0={shapes[i]}", f"s-={get(shapes, i - 1)}", f"s+={get(shapes, i + 1)}", f"s-0={get(shapes, i - 1)}|{shapes[i]}", f"s0+={shapes[i]}|{get(shapes, i + 1)}", f"s--={get(shapes, i - 2)}|{get(shapes, i - 1)}|{shapes[i]}", f"s++={shapes[i]}|{get(shapes, i + 1)}|{get(shapes, i + 2)}", f"s-0+={get(shapes, i - 1)}|{shapes[i]}|{get(shapes, i + 1)}", f"g={glued[i]}|{shapes[i]}"]
+        f += [f"c{d}" for d in (-3, -2, -1) if get(low, i + d) not in ("", "#")]
+        out.append(f)
+    return out
+
+
+def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    return [m.span() for m in TOKEN.finditer(text, start, len(text) if end is None else end)]
+
+
+def training_rows() -> list[tuple[list[list[str]], list[int]]]:
+    rng, rows = random.Random(11), []
+    for line in LABELLED.splitlines():
+        for copy in range(COPIES):
+            text, spans = "", []
+            for part in re.split(r"(\[\w+\|[^\]]*\])", line):
+                m = re.fullmatch(r"\[(\w+)\|([^\]]*)\]", part)
+                kind, body = (m[1], m[2]) if m else (None, part)
+                if copy:
+                    body = re.sub("[0-9]", lambda _: rng.choice("0123456789"), body)
+                    if kind == "secret":
+                        body = re.sub("[0-9a-f]", lambda _: rng.choice("0123456789abcdef"), body)
+                if kind:
+                    spans.append((len(text), len(text) + len(body), kind))
+                text += body
+            at = tokens_of(text)
+            labels = []
+            for a, z in at:
+                hit = next((s for s in spans if s[0] <= a and z <= s[1]), None)
+                labels.append(0 if hit is None else LABELS.index(("B-" if a == hit[0] else "I-") + hit[2]))
+            rows.append((features([text[a:z] for a, z in at], [i > 0 and at[i - 1][1] == a for i, (a, _) in enumerate(at)]), labels))
+    return rows
+
+
+def logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+@cache
+def model() -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Feature numbers, weights by feature and label, and transition weights."""
+    rows = training_rows()
+    index: dict[str, int] = {}
+    for feats, _ in rows:
+        for f in feats:
+            for x in f:
+                index.setdefault(x, len(index))
+    k, n, longest = len(LABELS), len(rows), max(len(y) for _, y in rows)
+    flat_f, flat_p, y, mask = [], [], np.zeros((n, longest), int), np.zeros((n, longest), bool)
+    for r, (feats, labels) in enumerate(rows):
+        y[r, : len(labels)], mask[r, : len(labels)] = labels, True
+        for i, f in enumerate(feats):
+            flat_f += [index[x] for x in f]
+            flat_p += [r * longest + i] * len(f)
+    ff, fp = np.array(flat_f), np.array(flat_p)
+    w, t = np.zeros((len(index), k)), np.zeros((k, k))
+    gw, gt = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
+    gold = np.eye(k)[y] * mask[..., None]
+    gold_t = np.zeros((k, k))
+    np.add.at(gold_t, (y[:, :-1][mask[:, 1:]], y[:, 1:][mask[:, 1:]]), 1)
+    for _ in range(150):
+        emit = np.zeros((n * longest, k))
+        np.add.at(emit, fp, w[ff])
+        emit = emit.reshape(n, longest, k)
+        fwd, bwd = np.zeros_like(emit), np.zeros_like(emit)
+        fwd[:, 0] = emit[:, 0]
+        for i in range(1, longest):
+            step = logsum(fwd[:, i - 1][:, :, None] + t[None], 1) + emit[:, i]
+            fwd[:, i] = np.where(mask[:, i][:, None], step, fwd[:, i - 1])
+        for i in range(longest - 2, -1, -1):
+            step = logsum(t[None] + (emit[:, i + 1] + bwd[:, i + 1])[:, None, :], 2)
+            bwd[:, i] = np.where(mask[:, i + 1][:, None], step, 0)
+        z = logsum(fwd[:, -1], 1)
+        post = np.exp(fwd + bwd - z[:, None, None]) * mask[..., None]
+        pair = np.exp(fwd[:, :-1][..., :, None] + t[None, None] + (emit[:, 1:] + bwd[:, 1:])[..., None, :] - z[:, None, None, None]) * mask[:, 1:][..., None, None]
+        dw = np.zeros_like(w)
+        np.add.at(dw, ff, (gold - post).reshape(-1, k)[fp])
+        dw -= 0.05 * w
+        dt = gold_t - pair.sum((0, 1)) - 0.05 * t
+        gw, gt = gw + dw**2, gt + dt**2
+        w, t = w + 0.3 * dw / np.sqrt(gw), t + 0.3 * dt / np.sqrt(gt)
+    return index, w.astype(np.float32), t.astype(np.float32)
+
+
+def viterbi(emit: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
+    """The best labels of each sequence; sequences of like length are decoded as one array."""
+    out: list = [None] * len(emit)
+    order = sorted(range(len(emit)), key=lambda i: len(emit[i]))
+    at = 0
+    while at < len(order):
+        low = len(emit[order[at]])
+        end = at
+        while end < len(order) and end - at < 512 and len(emit[order[end]]) <= low + low // 4 + 2:
+            end += 1
+        group = order[at:end]
+        longest = len(emit[group[-1]])
+        x = np.zeros((len(group), longest, len(LABELS)), np.float32)
+        lengths = np.array([len(emit[g]) for g in group])
+        for r, g in enumerate(group):
+            x[r, : lengths[r]] = emit[g]
+        score, back = x[:, 0].copy(), np.zeros((len(group), longest, len(LABELS)), np.int8)
+        for i in range(1, longest):
+            step = score[:, :, None] + trans[None]
+            back[:, i] = step.argmax(1)
+            score = np.where((i < lengths)[:, None], step.max(1) + x[:, i], score)
+        best = score.argmax(1)
+        for r, g in enumerate(group):
+            path, y = np.empty(lengths[r], np.int8), best[r]
+            for i in range(lengths[r] - 1, -1, -1):
+                path[i] = y
+                y = back[r, i, y]
+            out[g] = path
+        at = end
+    return out
+
+
+def stretches(text: str) -> list[list[tuple[int, int]]]:
+    """Runs of tokens around digits and "@"."""
+    if HINT.search(text) is None:
+        return []
+    at = tokens_of(text)
+    keep = np.zeros(len(at) + 1, np.int32)
+    hot = np.fromiter((HINT.search(text, a, z) is not None for a, z in at), bool, len(at))
+    for i in np.flatnonzero(hot):
+        keep[max(0, i - AROUND)] += 1
+        keep[min(len(at), i + AROUND + 1)] -= 1
+    inside = np.flatnonzero(np.cumsum(keep)[:-1] > 0)
+    if not len(inside):
+        return []
+    return [[at[i] for i in run] for run in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1)]
+
+
+def learned_spans(texts: list[str], weights=None) -> list[list[tuple[int, int, str]]]:
+    """Spans that the field finds in each text."""
+    index, w, trans = weights or model()
+    owner, runs, emit = [], [], []
+    for k, text in enumerate(texts):
+        for run in stretches(text):
+            feats = features([text[a:z] for a, z in run], [i > 0 and run[i - 1][1] == a for i, (a, _) in enumerate(run)])
+            emit.append(np.stack([w[[index[x] for x in f if x in index]].sum(0) for f in feats]))
+            owner.append(k)
+            runs.append(run)
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    for k, run, path in zip(owner, runs, viterbi(emit, trans), strict=True):
+        i = 0
+        while i < len(run):
+            label = LABELS[path[i]]
+            if label[0] != "B":
+                i += 1
+                continue
+            end = i + 1
+            while end < len(run) and LABELS[path[end]] == "I-" + label[2:]:
+                end += 1
+            last = end  # a span ends with a digit's token or a quote
+            while last > i and not any(c.isdigit() or c in "\"'" for c in texts[k][run[last - 1][0] : run[last - 1][1]]):
+                last -= 1
+            if any(c.isdigit() for c in texts[k][run[i][0] : run[max(last, i + 1) - 1][1]]):
+                out[k].append((run[i][0], run[last - 1][1], label[2:]))
+            i = end
+    return out
+
+
+def find(texts: list[str], weights=None) -> list[tuple[list, list]]:
+    """(spans of patterns, all spans) of each text, by start and kind."""
+    out = []
+    for text, learned in zip(texts, learned_spans(texts, weights), strict=True):
+        base = base_spans(text)
+        free = [s for s in learned if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+        out.append((base, sorted(base + free, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))))
+    return out
+
+
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
+ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+#: Characters that are decoded together; a longer text is a batch of its own.
+BATCH_CHARS = 1 << 20
+
+
+def batches_of(texts: list[str]):
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= BATCH_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with ``_base`` and ``_spans``, arrays of (start, end, kind)."""
+    at, weights = docs.columns.index(text), model()
+
+    def run(batches):
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            found = [x for part in batches_of(texts) for x in find(part, weights)]
+            both = [pa.array([[{"start": a, "end": z, "kind": k} for a, z, k in x[i]] for x in found], ARROW) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *both], names=[*b.schema.names, "_base", "_spans"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_base", SPAN), T.StructField("_spans", SPAN)]))
+
+
+def redacted(text: str, found: list) -> str:
+    """Overlapping spans become one mark, that of the first."""
+    out, at = [], 0
+    for a, z, kind in found:
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, z)
+    return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+    """docs with every span replaced by its kind in brackets, and n_chars counted anew where that changes the text."""
+    at, weights = docs.columns.index(text), model()
+
+    def run(batches):
+        for b in batches:
+            col = b.column(at).to_pylist()
+            found = [x for part in batches_of([t or "" for t in col]) for x in find(part, weights)]
+            new = [None if t is None else redacted(t, f[1]) if f[1] else t for t, f in zip(col, found, strict=True)]
+            cols = list(b.columns)
+            cols[at] = pa.array(new, b.schema.field(at).type)
+            if n_chars in docs.columns:
+                k = docs.columns.index(n_chars)
+                cols[k] = pa.array([n if t == u else len(u) for n, t, u in zip(cols[k].to_pylist(), col, new, strict=True)], b.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def joined(column: str):
+    return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    from knowmill.llm.common import table
+
+    found = spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined("_base").cast("binary"), 256).alias("base_sha256"), joined("_spans").alias("spans"))

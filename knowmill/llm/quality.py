@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knowmill.llm.common import cut
+
 #: Measure: least width of its fence. Per mille of word characters; word length in hundredths.
 SPREADS = {"symbols": 20, "marks": 60, "capitals": 120, "dup_lines": 150, "word_length": 60}
 FENCE = 3
@@ -145,7 +147,7 @@ def limits(sketches: DataFrame, *keys: str, min_rows: int = MIN_ROWS, fence: int
 
 def thresholds(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, fence: int = FENCE) -> DataFrame:
     """(lang, source, limits) for each language and source of docs; the wider sketches are merged from the narrow ones."""
-    fine = sketch(docs, text, lang, source)
+    fine = cut(sketch(docs, text, lang, source))  # some hundred rows a group
     by_lang = merge(fine, "lang")
     whole = merge(by_lang)
     groups = fine.select("lang", "source").distinct()
