@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from knowmill.llm import chat, decontaminate, html_text, pieces, pii, quality, sharding, urls, warc
+import corpus_pipeline
+from knowmill.llm import chat, decontaminate, html_text, near, pieces, pii, quality, sharding, urls, warc
 
 
 def queries() -> dict:
@@ -11,11 +12,13 @@ def queries() -> dict:
         "op2_quality_rules": quality.query,
         "op3_url_filters": urls.query,
         "op4_jump_sharding": sharding.query,
+        "op5_ngram_jaccard_join": near.query,
         "op6_chat_formatting": chat.query,
         "op7_benchmark_decontamination": decontaminate.query,
         "op8_sentencepiece": pieces.query,
         "op9_html_extraction": html_text.query,
         "op10_pii": pii.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
