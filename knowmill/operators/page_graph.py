@@ -127,13 +127,13 @@ def reached(edges: DataFrame, source: str, hops: int) -> DataFrame:
     """(node, depth, parent): breadth-first levels; the parent is that of the earliest edge."""
     g = path_graph(edges).select(F.col("from").alias("f"), F.col("to").alias("t"), "ord")
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(source, 0, None, 0)], "node string, depth int, parent string, rank bigint")
+    seen = spark.createDataFrame([(source, 0, None, [])], "node string, depth int, parent string, rank array<bigint>")
     front = seen
     for depth in range(1, hops + 1):
         w = Window.partitionBy("t").orderBy("rank", "ord")
         step = front.join(g, F.col("node") == F.col("f")).select("t", "f", "rank", "ord").withColumn("rn", F.row_number().over(w)).where("rn = 1")
         step = step.join(seen.select(F.col("node").alias("t")), "t", "left_anti")
-        front = cut(step.select(F.col("t").alias("node"), F.lit(depth).alias("depth"), F.col("f").alias("parent"), (F.col("rank") * 1_000_003 + F.col("ord")).alias("rank")))
+        front = cut(step.select(F.col("t").alias("node"), F.lit(depth).alias("depth"), F.col("f").alias("parent"), F.concat("rank", F.array(F.col("ord").cast("bigint"))).alias("rank")))
         if front.isEmpty():
             break
         seen = cut(seen.unionByName(front))
