@@ -17,7 +17,7 @@ from knowmill.functions.paths import compile_glob, matches_any
 from knowmill.functions.text import normalize_extracted
 
 # Folders that scans leave out.
-IGNORED = ("node_modules", ".git", "dist", "build", "out", "target", "vendor", "__pycache__", ".venv", "venv", ".next", ".cache", "coverage")
+IGNORED = frozenset(("node_modules", ".git", "dist", "build", "out", "target", "vendor", "__pycache__", ".venv", "venv", ".next", ".cache", "coverage"))
 
 EDGE = T.StructType([T.StructField(n, T.StringType()) for n in ("from", "to", "type", "provenance", "evidence", "source_file", "date")])
 CALL = T.StructType([T.StructField("agent", T.StringType()), T.StructField("model", T.StringType()), T.StructField("tokens_in", T.DoubleType()), T.StructField("tokens_out", T.DoubleType()), T.StructField("cost_usd", T.DoubleType()), T.StructField("elapsed_ms", T.DoubleType()), T.StructField("status", T.StringType()), T.StructField("note", T.StringType())])
@@ -25,20 +25,48 @@ NUMBERS = ("cost_usd", "total_cost_usd", "tokens", "total_tokens", "tokens_in",
 EVENT = T.StructType([T.StructField(n, T.StringType()) for n in ("ts", "op", "source", "agent")] + [T.StructField(n, T.DoubleType()) for n in NUMBERS] + [T.StructField("agent_calls", T.ArrayType(CALL))])
 
 
-def relative(root: str) -> Column:
-    """The path below a root, from a file URI."""
-    return F.regexp_replace(F.regexp_replace(F.col("path"), "^[a-z0-9]+:/+", "/"), "^" + re.escape(root.rstrip("/")) + "/", "")
+def list_files(spark: SparkSession, root: str) -> list[tuple[str, str, int, int]]:
+    """(uri, path below the root, size, mtime in ms) of every file, hidden ones included, which Spark's readers pass over.
+    The driver lists names; contents are read by tasks."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.resolvePath(top).toUri().getPath().rstrip("/") + "/"
+    out, it = [], fs.listFiles(top, True)
+    while it.hasNext():
+        f = it.next()
+        path = f.getPath().toUri().getPath()
+        out.append((f.getPath().toString(), path.removeprefix(base), f.getLen(), f.getModificationTime()))
+    return out
+
+
+def read_bytes(uri: str) -> bytes:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    with store.open_input_stream(path, compression=None) as f:
+        return f.read()
 
 
 def scan_files(spark: SparkSession, root: str, patterns: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """(path, content, mtime, size) of text files below a root, without ignored folders."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    files = raw.select(relative(root).alias("path"), "content", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    files = files.where(~F.col("path").rlike(r"(^|/)(" + "|".join(map(re.escape, IGNORED)) + ")/"))
-    if patterns:
-        files = files.where(matches_any("path", patterns))
-    files = files.select("path", F.decode("content", "UTF-8").alias("content"), "mtime", "size")
-    return files if limit is None else files.orderBy("path").limit(limit)
+    """(path, content, mtime, size) of text files below a root, without ignored folders; unreadable ones are left out."""
+    rows = [(u, p, n, t) for u, p, n, t in list_files(spark, root) if not IGNORED & set(p.split("/")[:-1])]
+    names = spark.createDataFrame(rows, "uri string, path string, size bigint, ms bigint")
+    names = names.where(matches_any("path", patterns)) if patterns else names
+    names = names if limit is None else names.orderBy("path").limit(limit)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for r in p.itertuples(index=False):  # a file at a time
+                try:
+                    text = read_bytes(r.uri).decode("utf-8", "replace")
+                except OSError:
+                    continue
+                yield pd.DataFrame([(r.path, text, r.ms, r.size)], columns=["path", "content", "ms", "size"])
+
+    parts = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
+    read = names.repartition(parts).mapInPandas(run, "path string, content string, ms bigint, size bigint")
+    return read.select("path", "content", F.timestamp_millis("ms").alias("mtime"), "size")
 
 
 def targets(files: DataFrame, names: str | None, folders: list[str]) -> DataFrame:
@@ -88,7 +116,7 @@ def split_frontmatter() -> tuple[Column, Column]:
     return F.when(c.rlike(whole), F.regexp_extract(c, whole, 1)), F.when(c.rlike(whole), F.regexp_extract(c, whole, 2)).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def yaml_json(text: pd.Series) -> pd.Series:
     """YAML mappings as JSON; null for anything else. Dates become ISO texts."""
     import json
