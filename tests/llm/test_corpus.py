@@ -1,0 +1,543 @@
+"""The corpus operators against brute force, their SQL twins and planted cases."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from oracle import connect, same
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from knowmill.llm import catalog, chat, decontaminate, graph, html_text, near, pieces, pii, quality, sharding, urls, warc
+
+Q, S = catalog.queries(), catalog.oracle_sql()
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, extra string"
+LONG = " ".join(f"w{i % 977}" for i in range(60_000))
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x") for i, t in rows], DOC)
+
+
+@pytest.fixture(scope="module")
+def con(sf):
+    return connect(sf)
+
+
+@pytest.mark.parametrize("name", sorted(S))
+def test_query_equals_its_sql(spark, sf, con, name):
+    same(spark, con, sf, Q[name], S[name])
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# Quality rules
+
+
+def repeated(words):
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    c = Counter(grams)
+    return len({j for i, g in enumerate(grams) if c[g] > 1 for j in (i, i + 1, i + 2)})
+
+
+def test_quality_counters(spark):
+    rng = random.Random(3)
+    rows = [(0, None), (1, ""), (2, " \t\x0b\n"), (3, "a b c a b c"), (4, "#*$ a\n\nx y\nx y\n  x y"), (5, LONG), (6, "é ü|ß\x0cz")]
+    rows += [(10 + i, "".join(rng.choice("ab c\n#") for _ in range(rng.randint(0, 400)))) for i in range(30)]
+    got = {r.doc_id: r._quality for r in quality.judge(documents(spark, rows)).collect()}
+    for i, t in rows:
+        w = words_of(t)
+        lines = [x for x in (t or "").split("\n") if words_of(x)]
+        q = got[i]
+        assert q.n_words == len(w) and q.word_chars == sum(map(len, w))
+        assert q.n_symbols == sum(c in "#*$%&|<>" for c in t or "")
+        assert q.n_dup_lines == len(lines) - len(set(lines))
+        assert q.n_repeat_words == repeated(w), (i, t[:80])
+        assert q.base_failed == (len(w) < 50 or 100 * q.n_repeat_words > 50 * len(w))
+
+
+def test_quality_adapts_to_the_group(spark):
+    rng = random.Random(1)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    rows = [(i, prose(80)) for i in range(100)] + [(1000, "### " * 5 + " ".join(w + "%%%" for w in prose(80).split()))]
+    kept = {r.doc_id for r in quality.filter_quality(documents(spark, rows)).collect()}
+    assert kept == set(range(100))
+    same_marks = [(i, " ".join(w + "%%%" for w in prose(80).split())) for i in range(100)]  # a source that is like that
+    assert quality.filter_quality(documents(spark, same_marks)).count() == 100
+
+
+def test_quality_empty_and_null_groups(spark):
+    empty = documents(spark, []).limit(0)
+    assert quality.filter_quality(empty).count() == 0 and quality.filter_quality(empty).columns == empty.columns
+    d = documents(spark, [(1, LONG), (1, LONG)]).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+    assert quality.judge(d).count() == 2
+
+
+def test_buckets_are_monotone_and_close(spark):
+    df = spark.range(0, 5000).select("id", quality.bucket(F.col("id")).alias("b"), quality.bucket_low(quality.bucket(F.col("id"))).alias("low"))
+    rows = df.orderBy("id").collect()
+    assert all(a.b <= b.b for a, b in itertools.pairwise(rows)) and all(r.low <= r.id <= r.low * 33 / 32 + 1 for r in rows)
+
+
+# Sharding
+
+
+def jump(key, n):
+    key &= (1 << 64) - 1
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) & ((1 << 64) - 1)
+        j = int(float(b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_jump_equals_the_published_loop(spark):
+    rng = random.Random(2)
+    ids = [*range(300), *(rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(300)), -1, (1 << 63) - 1]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    for n in (1, 2, 24):
+        for r in sharding.shard(df, "doc_id", n).collect():
+            assert r.shard == jump(r.doc_id, n) and r.grown_shard == jump(r.doc_id, n + 1)
+            assert r.grown_shard in (r.shard, n)
+
+
+def test_slots_are_gapless(spark):
+    df = spark.createDataFrame([(i % 400 if i % 7 else None, i) for i in range(3000)], "doc_id bigint, n int").withColumn("shard", F.lit("clash"))
+    by = defaultdict(list)
+    for r in sharding.place(df, "doc_id", 24, ("n",)).collect():
+        by[r.shard].append(r.slot)
+    assert sum(map(len, by.values())) == 3000 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sharding.place(df.limit(0), "doc_id").count() == 0
+    s = spark.createDataFrame([("a",), (None,)], "k string")
+    assert sharding.shard(s, "k").count() == 2
+
+
+def test_sharding_query(spark, sf):
+    got = {r.doc_id: r for r in Q["op4_jump_sharding"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        t = (r.text or "").encode()
+        g = got[r.doc_id]
+        assert (g["size"], g.text_crc32, g.shard, g.law) == (len(t) + 8, zlib.crc32(t), jump(r.doc_id, 24), "key")
+
+
+# Decontamination
+
+
+def brute_hits(text, items):
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    w, hit, found = low(text), set(), set()
+    for i, t in items:
+        x = low(t)
+        m = min(10, len(x))
+        wins = {tuple(x[k : k + m]) for k in range(len(x) - m + 1)} if m else set()
+        for k in range(len(w) - m + 1):
+            if m and tuple(w[k : k + m]) in wins:
+                hit |= set(range(k, k + m))
+                found.add(str(i))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_decontamination(spark, block_bytes):
+    rng = random.Random(5)
+    items = [(1, " ".join(rng.choice("abc") for _ in range(30))), (2, "Kurz und gut"), (3, ""), (4, None), (10, "ein"), (2, "Kurz und gut"), (7, "x1, Y2; z3 a b c d e f g h i")]
+    docs = [(i, " ".join(rng.choice(["a", "b", "c", "kurz", "UND", "gut", "ein", "é"]) for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    docs += [(100, None), (101, ""), (102, items[0][1] + " " + LONG + " x1 y2 z3 a b c d e f g"), (103, "KURZ, und... gut"), (103, "KURZ, und... gut")]
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    for r in decontaminate.scan(documents(spark, docs), b, block_bytes=block_bytes).collect():
+        assert (r._hits.n_words, r._hits.n_hit, r._hits["items"]) == brute_hits(r.text, items), r.doc_id
+    d = documents(spark, docs)
+    assert decontaminate.drop_contaminated(d, b).columns == d.columns
+    assert decontaminate.scan(d, b.limit(0)).where("_hits.n_hit > 0").count() == 0
+    assert decontaminate.scan(d.limit(0), b).count() == 0
+
+
+# WARC
+
+
+def test_warc_round_trip_and_revisits(spark, tmp_path):
+    big = "ä" * 700
+    rows = [(1, "http://a", big), (5, "http://b", big), (3, None, big), (None, "u\r\nx", big), (9, "http://c", "small"), (10, "http://d", "small"), (11, "e", None), (12, "f", ""), (5, "http://b", big), (20, "g", "WARC/1.1\r\n\r\n" * 9 + LONG)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, records string")
+    man = warc.write(pages, str(tmp_path / "w"), roll_bytes=500)
+    assert sum(r.records for r in man.collect()) == len(rows)
+    got = warc.read(man).collect()
+    assert len(got) == len(rows)
+    n = Counter()
+    for r in got:
+        html = next(h for i, _, h in rows if i == r.page_id) or ""
+        assert r.payload_bytes == len(html.encode()) and r.payload_digest == hashlib.sha1(html.encode()).hexdigest()
+        n[r.record_type] += 1
+        if html == big:
+            assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == 5 else ("revisit", 5))
+        else:
+            assert r.record_type == "response" and bytes(r.payload).decode() == html
+    assert n["revisit"] == 3
+    assert warc.read(warc.write(pages.limit(0), str(tmp_path / "e"))).count() == 0
+
+
+def test_warc_damage_is_named(spark, tmp_path):
+    good = warc.record(1, "u", b"payload", None)
+    import io
+
+    assert [m["payload"] for m in warc.members(io.BytesIO(good + good), "f")] == [b"payload"] * 2
+    for bad in (good[:-5], good[:20], zlib.compressobj(6, zlib.DEFLATED, 31).flush() + good):
+        with pytest.raises(ValueError, match="f, member"):
+            list(warc.members(io.BytesIO(bad), "f"))
+    raw = zlib.decompress(good, 31).replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n")
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    with pytest.raises(ValueError, match="digest"):
+        list(warc.members(io.BytesIO(c.compress(raw) + c.flush()), "f"))
+
+
+# Chat formatting
+
+
+@pytest.mark.parametrize("text", ["", "plain", "</turn>", "</turn>\n", r"<\/turn>", r"<\\/turn>" + "\n</turn>\n", "### user: x</turn>\n### a: ", "a</turn>\n### assistant: b", "\\", "<\\", "é\n\n"])
+@pytest.mark.parametrize("role", ["user", "", "a: b", "x:", "%c", "l\nm", "%%n"])
+def test_render_is_reversible(role, text):
+    piece = chat.render(role, text)
+    both = chat.parse(piece + chat.render("z", "t"))
+    assert [(r, t) for r, t, _, _ in both] == [(role, text), ("z", "t")]
+
+
+def test_chat_parts_and_digests(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t{k}</turn>\n" * k) for k in range(40)] + [(None, None, None, None), (2, 0, "assistant", "same"), (2, 0, "assistant", "same")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, piece string")
+    parts = chat.format_conversations(df, part_chars=300)
+    assert parts.where("conv_id = 1").count() > 1
+    got = {r.conv_id: r for r in chat.read_back(parts).collect()}
+    for c in (1, 2, None):
+        own = [((r or ""), (t or "")) for i, _, r, t in rows if i == c]
+        h = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(own), h, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+# HTML
+
+
+PAGE = """<html><head><title>T</title><script>var a="</p><p>no";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav>
+<div class="cookie-notice">We use cookies and other things that nobody reads at all, really</div>
+<div class="layout"><div class="ad">Buy now</div>
+%s
+<aside>Side text that is long enough to be taken for something else, but it is not</aside></div>
+<div id="comments"><p>First! A reader's comment that is quite long, to be sure, it goes on and on and on</p></div>
+<form><label>Mail</label><input name=q></form><footer>&copy; me</footer></body>"""
+
+
+def test_html_article():
+    body = "<article><h1>A &amp; B</h1><p>One\n two<br>three</p><p></p><script>x()</script><section><p>Be.</p></section><footer>share</footer><ul><li>l1<li>l2</ul><p><b>bo</b>ld&nbsp;&lt;x&gt;</article>"
+    assert html_text.extract(PAGE % body) == "A & B\nOne two\nthree\nBe.\nl1\nl2\nbold <x>"
+
+
+def test_html_without_article():
+    para = "This is a paragraph of the main text that has enough letters to surge above all else here. "
+    body = f"<div id=content><h2>Head</h2><p>{para * 3}</p><p>Short.</p><p>{para}</p></div>"
+    assert html_text.extract(PAGE % body) == f"Head\n{(para * 3).strip()}\nShort.\n{para.strip()}"
+
+
+@pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("<p>", ""), ("just text", "just text"), ("<article>x", "x"), ("<script>never closed <p>x", ""), ("<div class=ad>open <p>y", "open\ny"), ("a < b", "a < b")])
+def test_html_edges(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_html_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<article>x</article>", "old"), (1, "u", None, "old")], "page_id bigint, url string, html string, text string")
+    assert [tuple(r) for r in html_text.extract_text(df).collect()] == [(1, "u", "x"), (1, "u", "")]
+    long = "<article>" + "".join(f"<p>{w}</p>" for w in LONG.split()) + "</article>"
+    assert html_text.extract(long) == "\n".join(LONG.split())
+
+
+# URLs
+
+
+def brute_rule(host, path):
+    best = None
+    for rule, verdict in urls.RULES:
+        h, _, p = rule.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[0])):
+            best = (rule, verdict)
+    return best or (None, None)
+
+
+def test_url_rules(spark):
+    cases = [None, "", "no scheme", "http://a.NET/x", "http://a.net", "https://x.example.net/en/1?q#f", "http://example.com/de/", "http://example.com/de", "http://b.org/fr/x", "http://org/fr/", "http://evilorg/fr/x", "x://h#a/b", "http://H?x=/y", "http://é.net/"]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(cases)], "page_id int, url string, host string")
+    for r in urls.judge(df).collect():
+        u = r.url or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in re.match("[^/?#]*", rest)[0])
+        path = re.match("[^/?#]*([^?#]*)", rest)[1]
+        rule, verdict = brute_rule(host, path)
+        assert (r._url.host, r._url.path, r._url.rule, r._url.verdict) == (host, path, rule, verdict or "allow")
+
+
+def test_url_mining(spark):
+    rng = random.Random(7)
+    hosts, firsts = ["casino", "news", "blog"], ["win", "en", "de"]
+    rows = []
+    for i in range(600):
+        h, f = rng.choice(hosts), rng.choice(firsts)
+        rows.append((i, f"http://{h}.example/{f}/{i}", int(h == "casino" and f == "win")))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows[:400]] + [(None, None, None)], "doc_id bigint, quality int, toxic int")
+    got = {r.page_id: r._url.verdict for r in urls.judge(pages, labels).collect()}
+    assert all(got[i] == ("block" if t else "allow") for i, _, t in rows)
+    rules = urls.mine(spark.createDataFrame([(u, bool(t)) for _, u, t in rows[:400]], "url string, bad boolean"))
+    items = {i: set(x.t) for i, x in enumerate(pages.select(urls.tokens(F.col("url")).alias("t")).collect())}
+    for r in rules:  # by counting
+        have = [i for i in range(400) if set(r) <= items[i]]
+        bad = sum(rows[i][2] for i in have)
+        assert bad / len(have) >= urls.MIN_CONFIDENCE and bad >= urls.MIN_ROWS
+    assert urls.mine(spark.createDataFrame([], "url string, bad boolean")) == []
+    assert urls.judge(pages.limit(0), labels.limit(0)).count() == 0
+
+
+# Near duplicates
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        n = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+def near_rows(seed, n_base=12, copies=8):
+    rng = random.Random(seed)
+    vocab = [f"v{i}" for i in range(400)]
+    passage = [rng.choice(vocab) for _ in range(55)]
+    rows = []
+    for b in range(n_base):
+        base = [rng.choice(vocab) for _ in range(rng.randint(3, 120))]
+        if b % 3 == 0:
+            base += passage
+        for c in range(rng.randint(1, copies)):
+            w = list(base)
+            for _ in range(rng.randint(0, 5) if c else 0):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append(" ".join(w).upper() if c % 4 == 3 else " ".join(w))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("cell", [4 << 20, 600])
+def test_near_duplicates(spark, monkeypatch, cell):
+    monkeypatch.setattr(near, "CELL", cell)
+    monkeypatch.setattr(near, "HEAVY", 10)
+    rows = near_rows(4) + [(9000, None), (9001, ""), (9002, " \t"), (9003, "a b"), (9004, "A B"), (9005, "a"), (9006, LONG), (9007, LONG + " x")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(documents(spark, rows).repartition(3)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_join_levels():
+    for seed in range(6):
+        rows = near_rows(seed, 6, 14)
+        sets = [near.shingles(t.encode(), near.Hashes()) for _, t in rows]
+        up = list(range(len(sets)))
+
+        def top(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in near.join(sets):
+            assert near.verified(sets[a], sets[b])
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+        want = brute_components(rows)
+        assert [top(i) for i in range(len(rows))] == [want[i][1] for i in range(len(rows))]
+
+
+def test_near_repeated_and_null_ids(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    u = " ".join(f"u{i}" for i in range(40))
+    rows = [(5, t), (5, u), (7, u), (3, t), (None, t), (8, None), (8, None)]
+    got = Counter((r.doc_id, r.component_id) for r in near.near_duplicates(documents(spark, rows)).collect())
+    assert got == Counter([(5, 3), (5, 3), (7, 3), (3, 3), (None, None), (8, 8), (8, 8)])
+    kept = near.keep_one(documents(spark, [*rows, (9, "alone in the world with words"), (9, "alone in the world with words")]))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([3, None, 8, 9])
+    assert near.keep_one(documents(spark, rows).limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    e = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(e, "a bigint, b bigint")).collect()}
+    up = {x: x for p in e for x in p}
+    for _ in up:
+        for a, b in e:
+            m = min(up[a], up[b])
+            up[a] = up[b] = m
+    assert got == {k: v for k, v in up.items() if k in got} and all(k in got or up[k] == k for k in up)
+
+
+# Personal data
+
+
+def brute_base(text):
+    def luhn(d):
+        t = [int(c) for c in d[::-1]]
+        return (sum(t[::2]) + sum(sum(divmod(2 * x, 10)) for x in t[1::2])) % 10 == 0
+
+    out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), m.end(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(re.sub("[^0-9]", "", m[0])) <= 19 and luhn(re.sub("[^0-9]", "", m[0]))]
+    out += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(6)
+    bits = ["a.b", "@", "x-y", ".com", "1", "22", "333", ".", " ", "-", "+1", "(", ")", "4111111111111111", "4111 1111-1111 1111", "é", "_", "%", "+44 20 7946 0958", "192.168.0.1", "256.1.1.1", "0001.2.3.4", "\n"]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        assert pii.base_spans(t) == brute_base(t), t
+    assert pii.base_spans("a" * 300_000 + "@") == [] and len(pii.base_spans("1" * 200_000)) == 0
+
+
+def test_field_on_held_out_lines():
+    made = ["ring me: (617) 555-2368 tonight", "and +1 (212) 555-7788 or", 'the token = "0f1e2d3c4b5a69788796a5b4c3d2e1f0" was', "iban NL91ABNA0417164300 here", "my ssn 123-45-6789 is"]
+    clean = ["In 2024 we sold 15 of them for 3.50 each", "version 2.0.1 on page 12", "he was 4th in 1987", "MIT License, version 3. See 4.0.", "at 10:30 on 2021-05-06", "un 12 de la 7"]
+    found = pii.learned_spans(made + clean)
+    assert sum(1 for x in found[: len(made)] if x) >= 4
+    assert all(not x for x in found[len(made) :])
+
+
+def test_viterbi_equals_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    trans = rng.normal(size=(len(pii.LABELS), len(pii.LABELS))).astype(np.float32)
+    emit = [rng.normal(size=(n, len(pii.LABELS))).astype(np.float32) for n in (1, 2, 4, 4, 3)]
+    for e, got in zip(emit, pii.viterbi(emit, trans), strict=True):
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=len(e)), key=lambda p: sum(e[i][y] for i, y in enumerate(p)) + sum(trans[a][b] for a, b in itertools.pairwise(p)))
+        assert list(got) == list(best)
+
+
+def test_redaction(spark):
+    rows = [(1, "mail a@b.co now"), (2, None), (3, ""), (4, "clean text"), (4, "clean text"), (5, LONG + " 10.0.0.1")]
+    df = documents(spark, rows)
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert got[1] == ("mail [EMAIL] now", 16) and got[2] == (None, None) and got[4] == ("clean text", 10) and got[5][0].endswith(" [IP]")
+    assert pii.redact(df.limit(0)).count() == 0 and pii.spans(df.limit(0)).count() == 0
+
+
+def test_pii_query(spark, sf):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in Q["op10_pii"](spark, sf).collect():
+        base = brute_base(docs[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{z}" for a, z, k in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in pii.BASE]
+
+
+# SentencePiece
+
+
+@pytest.fixture(scope="module")
+def library():
+    return pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
+
+
+def test_pieces_equal_the_library(spark, sf, library):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("abtheing rsE \n\t▁é日😀._-=0") for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    texts += ["", " ", "   a", "▁", "\x00", "a" * 5000, "=" * 300, "ß" * 100]
+    m = pieces.Model(pieces.model_bytes())
+    got = m.encode_all(texts)
+    assert [x.tolist() for x in got] == library.encode(texts)
+    assert [m.decode(x) for x in got] == library.decode([x.tolist() for x in got])
+    assert all(m.decode(x) == t for x, t in zip(got, texts, strict=True) if "▁" not in t)
+
+
+def test_scalar_path_equals_the_batch():
+    m, rng = pieces.Model(pieces.model_bytes()), random.Random(3)
+    words = ["▁" + "".join(rng.choice("etaoinsé日") for _ in range(9)) for _ in range(300)]
+    assert m.paths(words) == [m.path(w) for w in words]
+
+
+def test_pieces_rows(spark):
+    df = documents(spark, [(1, "hi there"), (2, None), (3, ""), (3, LONG)]).withColumn("token_ids", F.lit("clash"))
+    ids = pieces.encode(df)
+    back = {(r.doc_id, r.text): r.decoded for r in pieces.decode(ids).collect()}
+    assert back[(1, "hi there")] == "hi there" and back[(2, None)] == "" and back[(3, LONG)] == LONG
+    assert pieces.encode(df.limit(0)).count() == 0
+
+
+def field(number, kind, body):
+    head = bytes([number << 3 | kind])
+    return head + (bytes([len(body)]) + body if kind == 2 else body)
+
+
+def test_unigram_model_takes_the_cheapest_path():
+    import struct
+
+    score = {"<unk>": (0, 2), "▁a": (-1, 1), "▁": (-2, 1), "a": (-2, 1), "b": (-2, 1), "ab": (-1.5, 1), "▁ab": (-4, 1)}
+    data = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([t]))) for p, (s, t) in score.items())
+    m = pieces.Model(data + field(2, 2, field(3, 0, b"\x01")))
+    assert [m.pieces[i] for i in m.encode("ab")] == ["▁a", "b"]
+    assert [m.pieces[i] for i in m.encode("aab")] == ["▁a", "ab"] and m.decode(m.encode("aab ab")) == "aab ab"
+
+
+# Pipeline
+
+
+def test_pipeline_stages(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    texts = {i: prose(90) for i in range(60)}
+    texts[60] = texts[1] + " mail me@x.org"  # nearly a copy of 1, if not of its words
+    texts[61] = texts[2]
+    texts[62] = "short"
+    bench = prose(20)
+    texts[63] = prose(40) + " " + bench + " " + prose(40)
+    texts[64] = prose(80) + " call 10.1.2.3 now"
+    docs = documents(spark, list(texts.items())).drop("extra")
+    import os
+    import tempfile
+
+    d = tempfile.mkdtemp()
+    docs.write.parquet(os.path.join(d, "documents.parquet"))
+    spark.createDataFrame([(1, bench)], "item_id bigint, text string").write.parquet(os.path.join(d, "benchmark.parquet"))
+    now, seen = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, d)
+        seen[name] = now.collect()
+        if name != "sentencepiece":
+            assert now.columns == docs.columns
+    ids = {n: {r.doc_id for r in rows} for n, rows in seen.items()}
+    assert ids["quality_rules"] == set(texts) - {62}
+    assert ids["near_duplicates"] == ids["quality_rules"] - {60, 61}
+    assert ids["benchmark_decontamination"] == ids["near_duplicates"] - {63}
+    assert next(r.text for r in seen["personal_data"] if r.doc_id == 64).endswith("call [IP] now")
+    assert all(r.round_trip for r in seen["sentencepiece"])
+    assert {Row(i=r.doc_id) for r in corpus_pipeline.run(spark, d).select("doc_id").collect()} == {Row(i=x) for x in ids["sentencepiece"]}
