@@ -362,3 +362,41 @@ def test_stream(spark, tmp_path):
     assert q.exception() is None
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sum(r.n_events for r in rows) >= 3
+
+
+def test_decorate(spark):
+    from knowmill.operators import decorate
+
+    env = [
+        ("aws", {"status": "success", "action": "list_functions", "data": {"region": "eu", "functions": [{"name": "f", "runtime": "py"}, {"name": "g"}]}}, None),
+        ("aws", {"status": "error", "action": "list_functions", "data": {}}, None),
+        ("gcp", {"status": "success", "action": "list_topics", "data": {"topics": ["t1"]}}, None),
+        ("jira", {"status": "success", "action": "jql_search", "data": {"issues": [{"key": "K-1", "status": "Open", "summary": "s"}, {"key": "K-2", "status": "Done"}, {"key": "K-3", "status": "Open"}]}}, None),
+        ("confluence", {"status": "success", "action": "cql_search", "data": {"pages": [{"space_key": "A", "title": "x"}, {"space_key": "B", "title": "y"}, {"title": "z"}]}}, None),
+        ("notion", {"status": "success", "action": "query_database", "data": {"database_id": "123456789", "results": [{"title": "r"}]}}, None),
+        ("github", {"status": "success", "action": "get_file", "data": {"path": "package.json", "content": '{"dependencies": {"a": "1"}}'}}, None),
+        ("db", {"status": "ok", "tables": [{"name": "t", "columns": [{"name": "id", "data_type": "int", "is_primary_key": True}]}]}, None),
+        ("db", {"status": "ok", "tables": []}, None),
+        ("aws", {"status": "success", "action": "list_buckets", "data": {"buckets": [{"name": "b"}]}}, "failed"),
+    ]
+    df = spark.createDataFrame([(i, c, json.dumps(e), x) for i, (c, e, x) in enumerate(env)], "i int, connector string, envelope string, error string")
+    got = [r.diagram for r in decorate.decorate(df).orderBy("i").collect()]
+    assert got[0].text == 'graph TB\n  region_eu("Region: eu")\n  fn_f["f (py)"]\n  fn_g["g (unknown)"]\n  region_eu --> fn_f\n  region_eu --> fn_g'
+    assert got[1] is None and got[8] is None and got[9] is None
+    assert got[2].text.endswith("proj_project --> topic_0")
+    assert got[3].text == 'graph TB\n  root("Issues")\n  s0["Open"]\n  s1["Done"]\n  i0["K-1: s"]\n  i1["K-3"]\n  i2["K-2"]\n  root --> s0\n  root --> s1\n  s0 --> i0\n  s0 --> i1\n  s1 --> i2'
+    assert got[4].text == 'graph TB\n  s0("A")\n  s1("B")\n  p0["x"]\n  p1["y"]\n  s0 --> p0\n  s1 --> p1'
+    assert 'db("DB 12345678…")' in got[5].text and 'dep_0["a"]' in got[6].text and got[7].text == "erDiagram\n  t {\n    int id PK\n  }"
+
+
+def test_projects(spark):
+    from knowmill.operators import projects
+
+    f = spark.createDataFrame([("pyproject.toml", "[project]\nname='p'\nversion='2'\n"), ("package.json", '{"name": "w", "engines": {"node": ">=18"}}'), ("Cargo.toml", "[bad"), ("sub/go.mod", "module x")], "path string, content string")
+    r = projects.metadata(f).first()
+    assert (r.name, r.version, r.language, r.runtime, r.manifests) == ("w", "2", "typescript", "node@18", ["package.json", "pyproject.toml"]) and len(r.notes) == 1
+    runs = spark.createDataFrame([(1, "a", "running"), (1, "b", "passed")], "issue int, arm string, status string")
+    assert {r.status for r in projects.loaded_runs(runs).collect()} == {"pending", "passed"}
+    assert projects.set_runs(runs, spark.createDataFrame([(1, "a", "ran"), (2, "a", "pending")], runs.schema)).count() == 3
+    with pytest.raises(Exception):  # noqa: B017
+        projects.set_runs(runs, spark.createDataFrame([(1, "b", "pending")], runs.schema)).collect()
