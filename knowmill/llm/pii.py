@@ -367,6 +367,7 @@ def redacted(text: str, found: list) -> str:
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """docs with every span replaced by its kind in brackets, and n_chars counted anew where that changes the text."""
     at, weights = docs.columns.index(text), model()
+    count = docs.columns.index(n_chars) if n_chars in docs.columns else None
 
     def run(batches):
         for b in batches:
@@ -375,9 +376,8 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
             new = [None if t is None else redacted(t, f[1]) if f[1] else t for t, f in zip(col, found, strict=True)]
             cols = list(b.columns)
             cols[at] = pa.array(new, b.schema.field(at).type)
-            if n_chars in docs.columns:
-                k = docs.columns.index(n_chars)
-                cols[k] = pa.array([n if t == u else len(u) for n, t, u in zip(cols[k].to_pylist(), col, new, strict=True)], b.schema.field(k).type)
+            if count is not None:
+                cols[count] = pa.array([n if t == u else len(u) for n, t, u in zip(cols[count].to_pylist(), col, new, strict=True)], b.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
     return docs.mapInArrow(run, docs.schema)
