@@ -11,8 +11,8 @@ leave that boundary alone and infinity otherwise. A sequence is what merging yie
 such pairs, so exactly one path has a finite weight; it is found left to right, with one live state per position, for
 all new words of a length at once: the piece machine is a transition table, the pair acceptor a sorted table that grows.
 
-No piece of the supported models holds the mark after another character, so a text is cut before each run of marks and
-a word's path is kept in a bounded table. Time is linear in the text. Null text: no ids, decoded as null. Empty text: no
+No piece of the supported models holds the mark after another character, so a text is cut before each run of marks, and
+at characters that no piece holds; a word's path is kept in a bounded table. Time is linear in the text. Null text: no ids, decoded as null. Empty text: no
 ids. Texts are never cut short.
 """
 
@@ -31,6 +31,8 @@ MARK = "▁"
 KEPT = 500_000
 #: Words of a length that are composed together.
 TOGETHER = 20_000
+#: Pairs that are gathered before the table of pairs is sorted anew.
+FRESH = 50_000
 #: Longer words are encoded each time.
 KEPT_CHARS = 48
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -100,10 +102,16 @@ class Model:
             raise ValueError("a piece holds the mark after another character")
         self.unknown = self.types.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
-        self.of_byte = {i: b for b, i in self.bytes.items()}
+        self.is_byte = np.array([t == BYTE for t in self.types])
+        self.is_control = np.array([t == CONTROL for t in self.types])
+        self.byte_of = np.zeros(len(self.pieces), np.uint8)
+        for b, i in self.bytes.items():
+            self.byte_of[i] = b
         self.longest = max(map(len, self.ids))
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        # no merge crosses a character that no piece holds, so those of ASCII bound words too
+        alone = re.escape("".join(chr(c) for c in range(128) if chr(c) not in self.ids and c != 32))
+        self.WORD = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         if self.kind == BPE:
             order = sorted(self.ids.values(), key=lambda i: -self.scores[i])
             self.rank = {i: r + 1 for r, i in enumerate(order)}
@@ -154,22 +162,34 @@ class Model:
         self.final = np.full(len(states) + 1, -1, np.int32)
         self.final[list(final)] = list(final.values())
         self.pair_keys, self.pair_ok = np.array([-1], np.int64), np.array([False])
+        self.fresh: dict[int, bool] = {}
 
     def all_stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a.astype(np.int64) * len(self.pieces) + b
+        """stays() of many pairs: the sorted table knows most, ``fresh`` what has come since it was last merged."""
+        n = len(self.pieces)
+        keys = a.astype(np.int64) * n + b
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        new = np.unique(keys[self.pair_keys[at] != keys])
+        ok, new = self.pair_ok[at], np.flatnonzero(self.pair_keys[at] != keys)
         if len(new):
-            n = len(self.pieces)
-            ok = np.fromiter((self.stays(*divmod(k, n)) for k in new.tolist()), bool, len(new))
-            kept = len(self.pair_keys) < 8 * KEPT
-            k, v = np.concatenate([self.pair_keys[: None if kept else 1], new]), np.concatenate([self.pair_ok[: None if kept else 1], ok])
-            order = np.argsort(k, kind="stable")
-            self.pair_keys, self.pair_ok = k[order], v[order]
-            return self.all_stay(a, b)
-        return self.pair_ok[at]
-
-    def paths(self, words: list[str]) -> list[tuple[int, ...]]:
+            fresh = self.fresh
+            some, back = np.unique(keys[new], return_inverse=True)
+            found = []
+            for k in some.tolist():
+                v = fresh.get(k)
+                if v is None:
+                    v = fresh[k] = self.stays(*divmod(k, n))
+                found.append(v)
+            ok[new] = np.array(found)[back]
+            if len(fresh) >= FRESH:
+                kept = None if len(self.pair_keys) < 8 * KEPT else 1
+                keys = np.concatenate([self.pair_keys[:kept], np.fromiter(fresh.keys(), np.int64, len(fresh))])
+                oks = np.concatenate([self.pair_ok[:kept], np.fromiter(fresh.values(), bool, len(fresh))])
+                order = np.argsort(keys)
+                self.pair_keys, self.pair_ok = keys[order], oks[order]
+                fresh.clear()
+        return ok
+
+    def paths(self, words: list[str]) -> list[bytes]:
         """path() of words of one length, together."""
         count, n = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(count, n)
@@ -199,17 +219,18 @@ class Model:
                 last[i, at], begin[i, at] = t[at], j
         if (last[n] == -2).any():
             raise AssertionError(f"no path for {words[int(np.argmax(last[n] == -2))]!r}")
-        out, ids, begins = [], last.T.tolist(), begin.T.tolist()
-        for w, t, b in zip(words, ids, begins, strict=True):
-            got, i = [], n
-            while i:
-                got.append(t[i] if t[i] >= 0 else i)
-                if t[i] < 0:
-                    got.pop()
-                    got += reversed(self.fallback(w[i - 1]))
-                i = b[i]
-            got.reverse()
-            out.append(tuple(got))
+        # back along the paths, from the right end of each row of ``got``
+        got, at, rows, used = np.empty((count, n), np.int32), np.full(count, n), np.arange(count), np.zeros(count, np.int64)
+        while len(rows):
+            t = last[at[rows], rows]
+            used[rows] += 1
+            got[rows, n - used[rows]] = t
+            at[rows] = begin[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        data, width = got.tobytes(), 4 * n
+        out = [data[e - 4 * m : e] for e, m in zip(range(width, width * count + 1, width), used.tolist(), strict=True)]
+        for k in np.flatnonzero((classes == 0).any(1) & (single < 0).any(1)):  # a path with fallbacks
+            out[k] = self.path(words[k])
         return out
 
     def stays(self, a: int, b: int) -> bool:
@@ -218,35 +239,26 @@ class Model:
         The boundary's two sides are taken apart, latest merge first; a merge across it that would have come before
         the merges still standing refutes the pair.
         """
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
-        key, limit = (a, b), float("inf")
+        limit = float("inf")
         pieces, ids, rank, halves = self.pieces, self.ids, self.rank, self.halves
         while True:
             j = ids.get(pieces[a] + pieces[b])
             if j is not None and rank[j] < limit:
-                ok = False
-                break
+                return False
             ra, rb = rank[a] if a in halves else 0, rank[b] if b in halves else 0
             if not ra and not rb:
-                ok = True
-                break
+                return True
             if ra > rb:
                 limit, a = ra, halves[a][1]  # at equal rank the left merge comes first
             else:
                 limit, b = rb + 0.5, halves[b][0]
-        if len(self.pairs) >= 4 * KEPT:
-            self.pairs.clear()
-        self.pairs[key] = ok
-        return ok
 
     def fallback(self, c: str) -> tuple[int, ...]:
         return tuple(self.bytes[x] for x in c.encode()) if self.bytes else (self.unknown,)
 
-    def path(self, word: str) -> tuple[int, ...]:
-        """The shortest path through the lattice of one word."""
-        return self._pairs_path(word) if self.kind == BPE else self._sum_path(word)
+    def path(self, word: str) -> bytes:
+        """The shortest path through the lattice of one word, as 32-bit numbers."""
+        return np.array(self._pairs_path(word) if self.kind == BPE else self._sum_path(word), np.int32).tobytes()
 
     def _pairs_path(self, w: str) -> tuple[int, ...]:
         n, ids, live, longest = len(w), self.ids, self.live, self.longest
@@ -300,8 +312,6 @@ class Model:
         t = t.replace(" ", MARK)
         return MARK + t if self.prefix and t else t
 
-    WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-
     def learn(self, texts: list[list[str]]) -> None:
         """Paths of the words of a batch that are not in the table yet."""
         words = self.words
@@ -318,37 +328,28 @@ class Model:
                 part = new[i : i + TOGETHER]
                 words.update(zip(part, self.paths(part) if self.kind == BPE else map(self.path, part), strict=True))
 
-    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.WORD.findall(self.normalise(t)) if t else [] for t in texts]
         self.learn(cut)
-        known, out = self.words, []
-        for t in cut:
-            ids: list[int] = []
-            for w in t:
-                ids += known[w] if w in known else self.path(w)
-            out.append(ids)
-        return out
+        known = self.words
+        return [np.frombuffer(b"".join([known[w] if w in known else self.path(w) for w in t]), np.int32) for t in cut]
 
     def encode(self, text: str | None) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """The inverse machine: ids to pieces and bytes, marks to spaces, without the mark that the normaliser added."""
-        parts, held = [], bytearray()
-        pieces, of_byte, types = self.pieces, self.of_byte, self.types
-        for i in ids:
-            b = of_byte.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                parts.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if types[i] not in (CONTROL,):
-                parts.append(pieces[i])
-        if held:
-            parts.append(held.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
+        ids = np.asarray(ids, np.int64)
+        ids = ids[~self.is_control[ids]]
+        of_byte = self.is_byte[ids]
+        get = self.pieces.__getitem__
+        if not of_byte.any():
+            text = "".join(map(get, ids.tolist()))
+        else:
+            cuts = np.flatnonzero(np.diff(of_byte)) + 1
+            runs = zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True)
+            text = "".join([bytes(self.byte_of[ids[a:z]]).decode("utf-8", "replace") if of_byte[a] else "".join(map(get, ids[a:z].tolist())) for a, z in runs])
+        text = text.replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -377,12 +378,16 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, out: str = "
         m = load(sent.value)
         for b in batches:
             for s in slices(b, at):
-                ids = m.encode_all(s.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*s.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*s.columns, lists(m.encode_all(s.column(at).to_pylist()))], names=[*s.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
+def lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
+
+
 def decode(docs: DataFrame, ids: str = "token_ids", model: str = MODEL, out: str = "decoded") -> DataFrame:
     """docs and the text of ``ids``."""
     docs = docs.drop(out)
@@ -391,7 +396,7 @@ def decode(docs: DataFrame, ids: str = "token_ids", model: str = MODEL, out: str
     def run(batches):
         m = load(sent.value)
         for b in batches:
-            texts = [None if x is None else m.decode(x) for x in b.column(at).to_pylist()]
+            texts = [m.decode(x.values.to_numpy()) if x.is_valid else None for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
@@ -408,7 +413,8 @@ DIGEST = "doc_id bigint, n_tokens bigint, n_bytes bigint, ids_sha256 string, rou
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Per document: ids, those of single bytes, SHA-256 of the comma-joined ids, and whether decoding gives the text."""
+    """Per document: ids, those of single bytes, SHA-256 of the ids as little-endian 32-bit numbers, and whether decoding
+    gives the text."""
     from pyspark.sql import functions as F
 
     from knowmill.llm.common import table
@@ -418,12 +424,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     def run(batches):
         m = load(sent.value)
-        names = {i: str(i) for i in range(len(m.pieces))}
         for b in (s for b in batches for s in slices(b, 1)):
             rows = []
             texts = b.column(1).to_pylist()
             for d, t, ids in zip(b.column(0).to_pylist(), texts, m.encode_all(texts), strict=True):
-                rows.append((d, len(ids), sum(1 for i in ids if i in m.of_byte), hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest(), m.decode(ids) == (t or "")))
+                rows.append((d, len(ids), int(m.is_byte[ids].sum()), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), m.decode(ids) == (t or "")))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
