@@ -400,3 +400,36 @@ def test_projects(spark):
     assert projects.set_runs(runs, spark.createDataFrame([(1, "a", "ran"), (2, "a", "pending")], runs.schema)).count() == 3
     with pytest.raises(Exception):  # noqa: B017
         projects.set_runs(runs, spark.createDataFrame([(1, "b", "pending")], runs.schema)).collect()
+
+
+def test_links(spark):
+    from knowmill.operators import links
+
+    p = spark.createDataFrame([("a/x.md", "see [old](../b/old.md#s) and [y](y.md)\n```\n[old](../b/old.md)\n```\nend [old](../b/old.md)"), ("b/z.md", "none")], "path string, content string")
+    m = spark.createDataFrame([("b/old.md", "_archive/b/old.md")], "from string, to string")
+    got = {r.path: (r.content, r.n_rewritten) for r in links.rewrite_inbound(p, m).collect()}
+    assert got["a/x.md"] == ("see [old (archived)](../_archive/b/old.md#s) and [y](y.md)\n```\n[old](../b/old.md)\n```\nend [old (archived)](../_archive/b/old.md)", 2)
+    assert got["b/z.md"] == ("none", 0)
+    there = links.rewrite_inbound(p, m).select("path", "content")
+    assert {r.path: r.content for r in links.rewrite_inbound(there, m, back=True).collect()} == {r.path: r.content for r in p.collect()}
+    assert links.rewrite_inbound(p, m, "remove").where("path = 'a/x.md'").first().content.startswith("see old and [y]")
+    f = spark.createDataFrame([("r/b/x",), ("r/a",)], "path string")
+    assert {r.folder: r.signature for r in links.folder_signatures(f).collect()} == {"": "D r", "r": "F a\nD b", "r/b": "F x"}
+    t = "# T\n```\n## Install\n```\n## Usage\nx"
+    assert one(spark, links.insert_markers(F.col("t"), "P", "<s>", "<e>"), t=t) == "# T\n```\n## Install\n```\n## Usage\n\n<s>\nP\n<e>\nx"
+    assert one(spark, links.insert_markers(F.col("t"), "P", "<s>", "<e>"), t="plain") == "plain\n<s>\nP\n<e>\n"
+    assert one(spark, links.overlay(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(1)), F.create_map(F.lit("b"), F.lit(2))), t=1) == {"a": 1, "b": 2}
+    assert one(spark, links.audience(F.col("f"), F.lit("")), f="api") == "integrator"
+
+
+def test_service_pages(spark):
+    from knowmill.operators import service_pages
+
+    s = spark.createDataFrame([(0, "a", "service"), (1, "b", "service"), (2, "l", "library")], "ord int, id string, kind string")
+    e = spark.createDataFrame([("a", "b", "calls", "GET /"), ("b", "a", "calls", "GET /x"), ("a", "l", "depends_on", "lib:l"), ("b", "l", "depends_on", "lib:l")], "from_service string, to_service string, kind string, detail string")
+    got = {r.slug: r.body for r in service_pages.pages(s, e).collect()}
+    assert set(got) == {"service-map", "client-registry", "service-dependencies", "shared-libraries"} and "- cycle: a, b" in got["service-dependencies"]
+    old = spark.createDataFrame([("service-map", "mine"), ("gone", service_pages.MARK)], "slug string, body string")
+    new = {r.slug: r.body for r in service_pages.merged(old, service_pages.pages(s, e)).collect()}
+    assert new["service-map"] == "mine" and "gone" not in new and service_pages.pruned(old).count() == 1
+    assert service_pages.topology(s, e).first().text.count("-->") == 2
