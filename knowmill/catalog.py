@@ -15,6 +15,7 @@ from knowmill.functions import paths as P
 from knowmill.functions import text as X
 from knowmill.operators import events as E
 from knowmill.operators import lifecycle as L
+from knowmill.operators import links as K
 from knowmill.operators import lint as N
 from knowmill.operators import page_graph as G
 from knowmill.operators import page_quality as Q
@@ -597,3 +598,162 @@ def doc_envelope_count(spark, d):
 @query("SELECT * FROM nation WHERE n_regionkey = 2")
 def key_value_scan(spark, d):
     return A.key_value_query({"nation": table(spark, d, "nation")}, {"table": "nation", "op": "scan", "filter": {"n_regionkey": 2}})
+
+
+# More operators over the same roles ---------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT DISTINCT regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) AS h, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+/([^/?#]+)', 1) AS s FROM pages)
+    SELECT h AS folder, string_agg('F ' || s, chr(10) ORDER BY s) AS signature FROM p WHERE s <> '' GROUP BY h""")
+def folder_signatures(spark, d):
+    u = table(spark, d, "pages").select(F.concat_ws("/", P.url_host("url"), F.nullif(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+/([^/?#]+)", 1), F.lit(""))).alias("path")).where(F.col("path").contains("/"))
+    return K.folder_signatures(u).where("folder <> ''")
+
+
+@query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'integrator' WHEN 'de' THEN 'debugger' WHEN 'fr' THEN 'new-user' ELSE 'contributor' END AS audience FROM documents WHERE source <> 'src1'
+    UNION ALL SELECT doc_id, 'own' FROM documents WHERE source = 'src1'""")
+def page_audience(spark, d):
+    facet = F.when(F.col("lang") == "en", "api").when(F.col("lang") == "de", "troubleshooting").when(F.col("lang") == "fr", "getting-started").otherwise("else")
+    given = F.when(F.col("source") == "src1", "own").otherwise("")
+    return table(spark, d, "documents").select("doc_id", K.audience(facet, given).alias("audience"))
+
+
+@query("""WITH s AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 0 THEN '[a](../x/' || source || '.md) b [c](c.md)' ELSE 'none' END AS t FROM documents)
+    SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN replace(t, '[a](../x/' || source || '.md)', '[a (archived)](../_archive/x/' || source || '.md)') ELSE t END AS content FROM s""")
+def link_rewrite(spark, d):
+    t = table(spark, d, "documents")
+    text = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("[a](../x/"), "source", F.lit(".md) b [c](c.md)"))).otherwise("none")
+    p = t.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("content"))
+    m = spark.createDataFrame([(f"x/{s}.md", f"_archive/x/{s}.md") for s in ("src1", "src2")], "from string, to string")
+    return K.rewrite_inbound(p, m).select(F.regexp_extract("path", r"d/(-?\d+)\.md", 1).cast("bigint").alias("doc_id"), "content")
+
+
+@query("""WITH g AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'),
+    f AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity < 10), k AS (SELECT a FROM g UNION SELECT b FROM g),
+    n AS (SELECT (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM f WHERE a IN (SELECT a FROM k) AND b IN (SELECT a FROM k)) AS found, (SELECT count(*) FROM g JOIN f USING (a, b)) AS hits)
+    SELECT hits, gold, found, hits * 100.0::DOUBLE / gold AS recall, hits * 100.0::DOUBLE / found AS precision FROM n""")
+def recall_precision(spark, d):
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = lambda c: li.where(c).select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b"))
+    return V.recall(pairs("l_returnflag = 'R'"), pairs("l_quantity < 10"))
+
+
+@query("""WITH s AS (SELECT c_custkey AS page, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS m FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey)
+    SELECT CASE WHEN n > 0 AND m = n THEN 'pending' WHEN n > 0 AND m::DOUBLE / n >= 0.5 THEN 'candidate' ELSE 'kept' END AS action, count(*) AS n_pages FROM s GROUP BY ALL""")
+def archive_sweep(spark, d):
+    o = table(spark, d, "orders")
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("page")).join(o.groupBy(F.col("o_custkey").alias("page")).agg(F.collect_list(F.concat(F.lit("o/"), F.col("o_orderkey").cast("string"))).alias("sources")), "page", "left")
+    e = L.source_existence(p, o.where("o_orderstatus <> 'O'").select(F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("path")))
+    return L.sweep(e).groupBy("action").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'error' WHEN doc_id % 4 = 1 THEN 'rate-limited' ELSE 'ok' END AS session FROM documents""")
+def session_classes(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 1, '{"is_error": true, "result": "Usage limit reached"}').otherwise("{}").alias("r"), F.when(F.col("doc_id") % 4 == 0, 2).otherwise(0).alias("x"))
+    return t.select("doc_id", L.session_class(F.col("r"), F.col("x"), F.lit("")).alias("session"))
+
+
+@query("""WITH r AS (SELECT doc_id AS issue, count(*) AS n FROM (SELECT doc_id, 1 AS arm FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 2 FROM labels WHERE toxic = 0) GROUP BY doc_id), j AS (SELECT d.doc_id AS issue, coalesce(n, 0) AS n FROM documents d LEFT JOIN r ON issue = d.doc_id)
+    SELECT issue, 0 AS rank FROM j WHERE n = 1 UNION ALL SELECT issue, 1 FROM (SELECT issue FROM j WHERE n = 0 ORDER BY issue LIMIT 20)""")
+def next_pairs(spark, d):
+    t = table(spark, d, "labels")
+    runs = t.where("quality = 1").select(F.col("doc_id").alias("issue"), F.lit("a").alias("arm"), F.lit("passed").alias("status")).union(t.where("toxic = 0").select("doc_id", F.lit("b"), F.lit("failed")))
+    return L.next_pairs(runs, table(spark, d, "documents").select(F.col("doc_id").alias("issue"), F.col("doc_id").alias("ord")), 20).select("issue", "rank")
+
+
+@query("SELECT p_partkey AS path, p_name AS title, p_type AS failure_reason, p_size AS updated FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) ORDER BY p_size DESC, p_partkey LIMIT 50")
+def banlist(spark, d):
+    p = table(spark, d, "part")
+    low = p.agg(F.min("p_brand").alias("b"))
+    return L.banlist(p.join(F.broadcast(low), F.col("p_brand") == F.col("b")).select(F.col("p_partkey").alias("path"), F.col("p_name").alias("title"), F.lit("claim").alias("type"), F.lit("deprecated").alias("status"), F.col("p_type").alias("failure_reason"), F.col("p_size").alias("updated")))
+
+
+@query("SELECT c_mktsegment AS facet, min('p' || lpad(c_custkey::VARCHAR, 9, '0')) AS path FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_mktsegment")
+def routing_table(spark, d):
+    p = table(spark, d, "customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')").select(F.concat(F.lit("p"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("path"), F.col("c_mktsegment").alias("facet"), F.lit("").alias("topic"))
+    return L.routing(p, ("BUILDING", "MACHINERY")).select("facet", "path")
+
+
+@query("""WITH r AS (SELECT DISTINCT a.n_name AS source, b.n_name AS target, CASE WHEN l_quantity < 10 THEN 'many_to_many' WHEN l_quantity < 30 THEN 'one_to_many' ELSE 'foreign_key' END AS type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey),
+    k AS (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY CASE type WHEN 'many_to_many' THEN 0 WHEN 'one_to_many' THEN 1 ELSE 5 END, source, target) AS n FROM r) SELECT source, target, type FROM k WHERE n = 1""")
+def er_relations(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    kind = F.when(F.col("l_quantity") < 10, "many_to_many").when(F.col("l_quantity") < 30, "one_to_many").otherwise("foreign_key")
+    r = li.select("c_nationkey", "s_nationkey", kind.alias("type")).distinct()
+    a, b = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("source")), n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("target"))
+    return D.pick_relations(r.join(a, "c_nationkey").join(b, "s_nationkey").select("source", "target", "type"))
+
+
+@query("SELECT user_id AS file, event_id AS start, coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 1000000000) AS \"end\" FROM events")
+def class_windows(spark, d):
+    from knowmill.operators.extract import class_windows as windows
+
+    e = table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("start"), F.lit(1_000_000_000).cast("bigint").alias("length"))
+    return windows(e).select("file", "start", "end")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'r-' || 'URGENT' || '/x' WHEN o_orderpriority LIKE '2%' THEN NULL WHEN o_orderpriority LIKE '3%' THEN 'M' ELSE 'plain' END AS value FROM orders""")
+def resolve_references(spark, d):
+    from knowmill.operators.extract import resolve_references as resolve
+
+    ref = F.when(F.col("o_orderpriority").startswith("1"), "${u.k}/x").when(F.col("o_orderpriority").startswith("2"), "${none}").when(F.col("o_orderpriority").startswith("3"), "Names.MEDIUM").otherwise("plain")
+    known = spark.createDataFrame([("u.k", "r-URGENT"), ("MEDIUM", "M")], "name string, value string")
+    return resolve(table(spark, d, "orders").select("o_orderkey", ref.alias("ref")), known).select("o_orderkey", "value")
+
+
+def source_files(spark, d):
+    """Orders as one-line source files of two frameworks."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 3).alias("k"))
+    text = F.when(F.col("k") == 0, F.concat(F.lit('import org.springframework;\n@GetMapping("/c/'), "o_custkey", F.lit('")\n'))).when(F.col("k") == 1, F.concat(F.lit("import requests\nrequests.post('http://h/c/"), "o_custkey", F.lit("')\n"))).otherwise("nothing")
+    return o.select(F.concat(F.lit("s"), (F.col("o_orderkey") % 10).cast("string"), F.lit("/f"), F.col("o_orderkey").cast("string"), F.when(F.col("k") == 0, ".java").otherwise(".py")).alias("path"), text.alias("content"))
+
+
+@query("SELECT 'spring' AS framework, 'GET' AS method, '/c/' || o_custkey AS path, 's' || o_orderkey % 10 || '/f' || o_orderkey || '.java' AS file, 2::INT AS line FROM orders WHERE o_orderkey % 3 = 0")
+def rest_endpoints(spark, d):
+    from knowmill.operators import extract
+
+    return extract.rest_endpoints(source_files(spark, d))
+
+
+@query("SELECT 'requests' AS framework, 'POST' AS method, 'http://h/c/' || o_custkey AS target_ref, 's' || o_orderkey % 10 || '/f' || o_orderkey || '.py' AS file FROM orders WHERE o_orderkey % 3 = 1")
+def http_clients(spark, d):
+    from knowmill.operators import extract
+
+    return extract.http_clients(source_files(spark, d)).select("framework", "method", "target_ref", "file")
+
+
+@query("""WITH v(o, s) AS (VALUES (0, 'service a'), (1, 'x')) SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'postgres://h/' || p_partkey ELSE 'https://h/' END AS detail FROM part WHERE p_size % 2 = 0""")
+def external_sources(spark, d):
+    from knowmill.operators import extract
+
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("a/"), F.col("p_partkey").cast("string"), F.lit("/application.yml")).alias("path"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("url: postgres://u:p@h/"), F.col("p_partkey").cast("string"))).otherwise("url: https://h/").alias("content"))
+    return extract.external_sources(p).select(F.regexp_extract("file", r"a/(\d+)/", 1).cast("bigint").alias("p_partkey"), "detail")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'fine' END AS kind FROM events")
+def error_events(spark, d):
+    rec = F.to_json(F.struct(F.when(F.col("event_type") == "error", "Failed").otherwise("ok").alias("status")))
+    return table(spark, d, "events").select("event_id", F.when(E.is_error(rec), "failed").otherwise("fine").alias("kind"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS iso, (o_orderdate - INTERVAL 2 DAY) AS since FROM orders")
+def iso_times(spark, d):
+    t = F.col("o_orderdate")
+    return table(spark, d, "orders").select("o_orderkey", X.format_iso(t).alias("iso"), X.since(F.lit("2d"), t.cast("timestamp")).cast("timestamp_ntz").alias("since"))
+
+
+@query("SELECT CASE WHEN t.c_custkey % 2 = 0 THEN 'aws' ELSE 'github' END AS connector, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'AWS S3 Buckets' ELSE 'Dependency Graph' END AS title FROM customer t")
+def connector_diagrams(spark, d):
+    from knowmill.operators import decorate
+
+    even = F.col("c_custkey") % 2 == 0
+    env = F.when(even, F.concat(F.lit('{"status": "success", "action": "list_buckets", "data": {"buckets": [{"name": "'), "c_name", F.lit('"}]}}'))).otherwise(F.lit('{"status": "success", "action": "get_file", "data": {"path": "requirements.txt", "content": "a==1"}}'))
+    t = table(spark, d, "customer").select("c_custkey", F.when(even, "aws").otherwise("github").alias("connector"), env.alias("envelope"), F.lit(None).cast("string").alias("error"))
+    return decorate.decorate(t).select("connector", "c_custkey", "diagram.title")
+
+
+@query("SELECT c_mktsegment AS service_id, count(*) AS n_entities FROM customer GROUP BY c_mktsegment")
+def db_traces(spark, d):
+    e = table(spark, d, "customer").select(F.col("c_mktsegment").alias("service_id"), F.lit("s").alias("schema_name"), F.col("c_name").alias("table_name"))
+    return V.db_traces(e).select("service_id", "n_entities")
