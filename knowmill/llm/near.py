@@ -5,8 +5,9 @@
    order that all documents share). The order begins with a quarter of all tokens, chosen by hash, without the most
    frequent ones. All documents' quarter tokens are counted in packed buckets; a document whose prefix is made of tokens
    that no other class has cannot link, and takes no further part.
-3. The others' prefix tokens give stars from each token's smallest document. What the stars connect is compared in one
-   cell of bounded size, or, if it is larger, block by block.
+3. The others' tokens are counted among themselves, and prefixes taken anew, rarest tokens first. Their tokens give stars
+   from each token's smallest document. What the stars connect is compared in one cell of bounded size, or, if it is
+   larger, block by block.
 4. A cell is joined with adaptive multi-match prefixes: an l-prefix is l - 1 tokens longer, and two documents that link
    share l tokens of theirs. Each document lengthens its prefix while the verification that it would spare is worth more
    than the postings to read. Candidates are verified on whole sets, and those that are already connected are passed.
@@ -42,11 +43,13 @@ BUCKET = 1 << 20
 #: A task reports tokens that it has seen in so many classes; so many of the most frequent of them come last in the order.
 OFTEN, HEAVY, HEAVIEST = 8, 64, 100_000
 #: Tokens of a cell.
-CELL = 4 << 20
+CELL = 2 << 20
+#: The place of heavy tokens in the order by frequency.
+LAST = (1 << 32) - 1
 #: Candidates that may be broadcast.
 SMALL_ROWS = 500_000
 #: Words whose hashes are kept.
-KEPT = 1 << 20
+KEPT = 1 << 18
 MAX_LEVEL = 8
 
 A = np.uint64(0x9E3779B97F4A7C15)
@@ -93,7 +96,9 @@ def need(n, percent: int = PERCENT):
 
 def texts(batches) -> Iterator[tuple[int | None, bytes | None]]:
     for b in batches:
-        yield from zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True)
+        for i in range(0, b.num_rows, 1000):  # a part of a batch as Python objects at a time
+            part = b.slice(i, 1000)
+            yield from zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True)
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -117,7 +122,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 seen.add(sig)
                 held.append(f)
                 size += len(f)
-            if size >= 4 * BUCKET:
+            if size >= BUCKET:
                 out += often(held)
                 held, size = [], 0
             if len(out) >= 20_000:
@@ -136,9 +141,10 @@ def survey(docs: DataFrame) -> DataFrame:
     return cut(docs.mapInArrow(run, ROWS))
 
 
-def heavy_tokens(rows: DataFrame) -> np.ndarray:
-    """At most HEAVIEST of the tokens that many classes share; which ones changes the work, never the result."""
-    top = rows.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("c")).where(F.col("c") >= HEAVY).orderBy(F.desc("c"), "sig").limit(HEAVIEST).select("sig").collect()
+def heavy_tokens(counts: DataFrame) -> np.ndarray:
+    """At most HEAVIEST of the tokens (sig, n in a task) that many classes share; which ones changes the work, never the
+    result."""
+    top = counts.groupBy("sig").agg(F.sum("n").alias("c")).where(F.col("c") >= HEAVY).orderBy(F.desc("c"), "sig").limit(HEAVIEST).select("sig").collect()
     return np.sort(np.array([r.sig for r in top], np.int64).view(np.uint64))
 
 
@@ -160,7 +166,7 @@ def shared_tokens(docs: DataFrame, total: int, heavy) -> DataFrame:
             tokens.append(light)
             sigs.append(np.full(len(light), sig, np.int64))
             size += len(light)
-            if size >= 2 * BUCKET:
+            if size >= BUCKET:
                 yield from packed(tokens, sigs, hot)
                 tokens, sigs, hot, size = [], [], [], 0
         yield from packed(tokens, sigs, hot)
@@ -171,7 +177,7 @@ def shared_tokens(docs: DataFrame, total: int, heavy) -> DataFrame:
         order = np.argsort(at, kind="stable")
         t, s, at = t[order], s[order], at[order]
         keys, starts = np.unique(at, return_index=True)
-        ends = np.append(starts[1:], len(at))
+        ends = np.append(starts[1:], len(at))[: len(keys)]
         rows = [(int(k), t[a:z].tobytes(), s[a:z].tobytes(), False) for k, a, z in zip(keys, starts, ends, strict=True)]
         if hot:
             rows.append((int(hot[0][0] % buckets), np.array([c for _, c in hot], np.uint64).tobytes(), np.array([x for x, _ in hot], np.int64).tobytes(), True))
@@ -215,21 +221,104 @@ def full_sets(docs: DataFrame, left: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(run, "rep bigint, n bigint, tokens binary"))
 
 
-def stars(sets: DataFrame, heavy) -> DataFrame:
-    """Edges from the smallest document of each prefix token to the others."""
+def often_in(sets: DataFrame) -> DataFrame:
+    """(sig, n): tokens that a task has seen in OFTEN sets of about BUCKET tokens together."""
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            tokens, reps = [], []
-            for d, n, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for t in b.column(0):
+                held.append(np.frombuffer(t.as_buffer(), np.uint64))
+                size += len(held[-1])
+                if size >= BUCKET:
+                    yield counted(held)
+                    held, size = [], 0
+        yield counted(held)
+
+    def counted(held):
+        t, c = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([signed(t[c >= OFTEN]), pa.array(c[c >= OFTEN].astype(np.int64))], names=["sig", "n"])
+
+    return sets.select("tokens").mapInArrow(run, "sig bigint, n bigint")
+
+
+def shared_in(sets: DataFrame, total: int, heavy) -> DataFrame:
+    """(rep, t, f): packed tokens that a set shares with others, and in how many sets they are; heavy ones count as LAST."""
+    buckets = max(1, -(-total // BUCKET))
+
+    def deal(batches):
+        tokens, reps, rows, size = [], [], [], 0
+        for b in batches:
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(t, np.uint64)
-                rank = np.where((s & np.uint64(QUARTER - 1)) != 0, 1, np.where(np.isin(s, heavy.value, assume_unique=True), 2, 0))
-                tokens.append(s[np.argsort(rank, kind="stable")[: n - need(n) + 1]])
-                reps.append(np.full(n - need(n) + 1, d, np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(tokens)), pa.array(np.concatenate(reps))], names=["t", "rep"])
+                hot = np.isin(s, heavy.value, assume_unique=True)
+                if hot.any():
+                    rows.append((d % buckets, s[hot].tobytes(), np.array([d], np.int64).tobytes(), True))
+                tokens.append(s[~hot])
+                reps.append(np.full(len(tokens[-1]), d, np.int64))
+                size += len(tokens[-1])
+                if size >= BUCKET:
+                    yield packed(tokens, reps, rows)
+                    tokens, reps, rows, size = [], [], [], 0
+        yield packed(tokens, reps, rows)
+
+    def packed(tokens, reps, rows):
+        t, s = np.concatenate([*tokens, np.empty(0, np.uint64)]), np.concatenate([*reps, np.empty(0, np.int64)])
+        at = ((t >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        t, s, at = t[order], s[order], at[order]
+        keys, starts = np.unique(at, return_index=True)
+        ends = np.append(starts[1:], len(at))[: len(keys)]
+        rows += [(int(k), t[a:z].tobytes(), s[a:z].tobytes(), False) for k, a, z in zip(keys, starts, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.bool_()))], names=["bucket", "t", "s", "hot"])
+
+    def count(group: pa.Table) -> pa.Table:
+        rows = list(zip(*[group.column(c).to_pylist() for c in ("t", "s", "hot")], strict=True))
+        load = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows if not r[2]] + [np.empty(0, kind)])
+        t, s = load(0, np.uint64), load(1, np.int64)
+        order = np.lexsort((s, t))
+        t, s = t[order], s[order]
+        new = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))[: len(t)]
+        t, s = t[new], s[new]
+        first_ = np.append(True, t[1:] != t[:-1])[: len(t)]
+        f = np.diff(np.append(np.flatnonzero(first_), len(t)))[np.cumsum(first_) - 1].astype(np.uint32)
+        keep = f > 1
+        t, s, f = t[keep], s[keep], f[keep]
+        order = np.argsort(s, kind="stable")
+        t, s, f = t[order], s[order], f[order]
+        reps, starts = np.unique(s, return_index=True)
+        ends = np.append(starts[1:], len(s))[: len(reps)]
+        out = [(int(r), t[a:z].tobytes(), f[a:z].tobytes()) for r, a, z in zip(reps, starts, ends, strict=True)]
+        out += [(int(np.frombuffer(r[1], np.int64)[0]), r[0], np.full(len(r[0]) // 8, LAST, np.uint32).tobytes()) for r in rows if r[2]]
+        return pa.table({"rep": pa.array([r[0] for r in out], pa.int64()), "t": pa.array([r[1] for r in out], pa.binary()), "f": pa.array([r[2] for r in out], pa.binary())})
+
+    return sets.select("rep", "tokens").mapInArrow(deal, "bucket bigint, t binary, s binary, hot boolean").groupBy("bucket").applyInArrow(count, "rep bigint, t binary, f binary")
+
+
+def stars(sets: DataFrame) -> DataFrame:
+    """Edges from the smallest document of each prefix token to the others. The order is by frequency among these sets; a
+    set's own tokens lead to nobody, so only what it shares is looked at, after as many places as it has own tokens."""
+    sc = sets.sparkSession.sparkContext
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    heavy = sc.broadcast(heavy_tokens(often_in(sets)))  # at most HEAVIEST numbers
+    parts = shared_in(sets, total, heavy).groupBy("rep").agg(F.collect_list(F.struct("t", "f")).alias("p"))
+    rows = parts.join(sets.select("rep", "n").distinct(), "rep").select("rep", "n", "p")
 
-    e = sets.mapInArrow(run, "t bigint, rep bigint")
+    def run(batches):
+        for b in batches:
+            tokens, reps = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for d, n, p in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                t = np.concatenate([np.frombuffer(x["t"], np.uint64) for x in p])
+                f = np.concatenate([np.frombuffer(x["f"], np.uint32) for x in p])
+                t, at = np.unique(t, return_index=True)
+                f = f[at]
+                places = n - need(n) + 1 - (n - len(t))
+                if places > 0:
+                    tokens.append(t[np.argsort(f, kind="stable")[:places]])
+                    reps.append(np.full(len(tokens[-1]), d, np.int64))
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate(tokens)), pa.array(np.concatenate(reps))], names=["t", "rep"])
+
+    e = rows.mapInArrow(run, "t bigint, rep bigint")
     low = e.groupBy("t").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "a")
     return e.join(low, "t").select("a", F.col("rep").alias("b")).where("a <> b")
 
@@ -298,7 +387,7 @@ def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     sized = sets.select("rep", "n").join(groups, sets["rep"] == groups["node"]).groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).where("c > 1")
     sized = cut(sized)
     total = sized.agg(F.sum("total")).first()[0] or 0
-    cells = max(1, -(-4 * total // CELL))
+    cells = max(1, -(-8 * total // CELL))
     blocks = F.when(F.col("total") > CELL, F.ceil(2 * F.col("total") / CELL)).otherwise(F.lit(1)).cast("bigint")
     keyed = groups.join(sized.select("component", blocks.alias("k")), "component").select(F.col("node").alias("rep"), "component", "k", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"))
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))))
@@ -327,7 +416,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     sc = docs.sparkSession.sparkContext
     rows = survey(docs)
-    heavy = sc.broadcast(heavy_tokens(rows))  # at most HEAVIEST numbers
+    heavy = sc.broadcast(heavy_tokens(rows.where("kind = 1")))  # at most HEAVIEST numbers
     known = rows.where("kind = 0").select("doc_id", "n", "m", "sig")
     own = known.where("sig is not null and doc_id is not null")
     classes = own.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("m").alias("m"))
@@ -336,8 +425,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     prefix = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1
     left = cut(classes.join(shared, "sig", "left").where(F.col("m") - F.coalesce("shared", F.lit(0)) < prefix).select("rep", "sig"))
     sets = full_sets(docs, left)
-    groups = components(stars(sets, heavy))
-    found = links(sets, groups)
+    groups = components(stars(sets))
+    found = cut(links(sets, groups))  # else the next step's workers would run beside these
     # a document that has several texts joins their classes
     several = own.join(classes.select("sig", "rep"), "sig").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     many = own.join(several.select("doc_id"), "doc_id").join(classes.select("sig", "rep"), "sig").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
