@@ -716,11 +716,11 @@ def rest_endpoints(spark, d):
     return extract.rest_endpoints(source_files(spark, d))
 
 
-@query("SELECT 'requests' AS framework, 'POST' AS method, 'http://h/c/' || o_custkey AS target_ref, 's' || o_orderkey % 10 || '/f' || o_orderkey || '.py' AS file FROM orders WHERE o_orderkey % 3 = 1")
+@query("SELECT 'requests' AS framework, 'POST' AS method, 'h' AS target_ref, 'http://h/c/' || o_custkey AS path, 's' || o_orderkey % 10 || '/f' || o_orderkey || '.py' AS file FROM orders WHERE o_orderkey % 3 = 1")
 def http_clients(spark, d):
     from knowmill.operators import extract
 
-    return extract.http_clients(source_files(spark, d)).select("framework", "method", "target_ref", "file")
+    return extract.http_clients(source_files(spark, d)).select("framework", "method", "target_ref", "path", "file")
 
 
 @query("""WITH v(o, s) AS (VALUES (0, 'service a'), (1, 'x')) SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'postgres://h/' || p_partkey ELSE 'https://h/' END AS detail FROM part WHERE p_size % 2 = 0""")

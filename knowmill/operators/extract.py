@@ -16,7 +16,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knowmill.functions.paths import http_verb, looks_like_url_or_path, matches_any, resolve_path, url_host
+from knowmill.functions.paths import concat_prefix, http_verb, looks_like_url_or_path, matches_any, some, url_host
 from knowmill.functions.text import redact_credentials
 from knowmill.operators.registry import classify
 
@@ -65,10 +65,6 @@ def has_marker(p: dict) -> Column:
     return out
 
 
-def profile_lines(files: DataFrame, p: dict, *keep: str) -> DataFrame:
-    return lines(files.where(matches_any("path", p["file_patterns"]) & has_marker(p)), *keep)
-
-
 def group(regex: str, n: int) -> Column:
     return F.regexp_extract("text", regex, n)
 
@@ -80,45 +76,89 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def taken(q: dict, text: Column, n: int, default: str = "") -> Column:
+    """Group n of a match, or the default for group 0."""
+    return F.regexp_extract(text, ("(?s)" if q.get("multiline") else "") + q["regex"], n) if n else F.lit(default)
+
+
+def multiline_hits(files: DataFrame, q: dict, n: int) -> DataFrame:
+    """files and (line, text) of each match of a pattern over the whole content; the line is that of group n. Matches are set
+    apart by control characters, so their places follow from the parts before them."""
+    regex, open_, close = "(?s)" + q["regex"], "\u0001", "\u0002"
+    parts = F.split(F.regexp_replace("content", regex, f"{open_}$0{close}"), open_)
+    each = files.where(F.col("content").rlike(regex)).select("*", parts.alias("parts"), F.posexplode(parts).alias("k", "part")).where("k > 0")
+    each = each.withColumn("text", F.substring_index("part", close, 1))
+    inner = F.substring(F.col("text"), F.lit(1), F.greatest(F.instr("text", F.regexp_extract("text", regex, n)) - 1, F.lit(0)))
+    before = F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("k")), ""), inner)
+    return each.withColumn("line", F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).drop("parts", "k", "part")
+
+
+def profile_hits(files: DataFrame, profiles: list[dict], fields, group_: str) -> DataFrame:
+    """(file, line) and what ``fields``, a function of profile, pattern, file columns and match, gives for each match.
+
+    Files are read once: a file's flags say which profiles apply, its lines are exploded once, and every pattern that applies
+    yields its matches. Patterns over several lines look at whole files of their own profile."""
+    names = sorted({k for p in profiles for k in p.get("file_columns", {})})
+    flag = lambda p: matches_any("path", p["file_patterns"]) & has_marker(p)
+    pick = lambda k: F.array(*[p.get("file_columns", {}).get(k, F.lit("")) for p in profiles])
+    f = files.select("path", "content", F.array(*[flag(p) for p in profiles]).alias("_on"), *[pick(k).alias(k) for k in names]).where(F.exists("_on", lambda x: x))
+    wide = f.select("path", "_on", *names, F.posexplode(F.split("content", "\n")).alias("_n", "_text"))
+
+    def made(i: int, p: dict, q: dict):
+        return lambda m: F.struct(*[c.alias(n) for n, c in fields(p, q, {k: F.get(k, i) for k in names}, m).items()])
+
+    pairs = [(i, p, q) for i, p in enumerate(profiles) for q in p["patterns"]]
+    found = [F.when(F.get("_on", i) & F.col("_text").rlike(q["regex"]), F.transform(F.regexp_extract_all("_text", F.lit(q["regex"]), 0), made(i, p, q))) for i, p, q in pairs if not q.get("multiline")]
+    rows = wide.select("path", (F.col("_n") + 1).alias("line"), F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("_m"))
+    for i, p, q in pairs:
+        if q.get("multiline"):
+            m = multiline_hits(f.where(F.get("_on", i)), q, q[group_])
+            rows = rows.unionByName(m.select("path", "line", made(i, p, q)(F.col("text")).alias("_m")))
+    return rows.select(F.col("path").alias("file"), F.col("line").cast("int").alias("line"), "_m.*")
+
+
 def rest_endpoints(files: DataFrame, profiles: list[dict] | None = None) -> DataFrame:
     """(framework, method, path, file, line), each once."""
-    parts = []
+    ps = []
     for p in profiles or load_profiles("rest"):
-        f = files.withColumn("prefix", F.regexp_extract("content", p["prefix"], 1) if p.get("prefix") else F.lit(""))
-        rows = profile_lines(f, p, "prefix")
-        for q in p["patterns"]:
-            method = F.upper(group(q["regex"], q["method"])) if q["method"] else F.lit("GET")
-            parts.append(rows.where(F.col("text").rlike(q["regex"])).select(F.lit(p["name"]).alias("framework"), method.alias("method"), resolve_path(group(q["regex"], q["path"]), "prefix").alias("path"), F.col("path").alias("file"), "line"))
-    return union(parts).distinct()
+        prefix = F.regexp_extract("content", p["prefix"], 1) if p.get("prefix") else F.lit("")
+        if p.get("controller_token"):
+            name = F.lower(F.regexp_extract("content", r"\bpublic\s+(?:abstract\s+|sealed\s+|partial\s+|static\s+)*class\s+(\w+?)Controller\b", 1))
+            prefix = F.when(name != "", F.replace(prefix, F.lit("[controller]"), name)).otherwise(prefix)
+        ps.append(p | {"file_columns": {"prefix": prefix}})
+
+    def fields(p, q, at, m):
+        raw = taken(q, m, q["path"])
+        path = F.when(raw.startswith("/") | (at["prefix"] == ""), raw).when(raw == "", at["prefix"]).otherwise(concat_prefix(at["prefix"], raw))
+        return {"framework": F.lit(p["name"]), "method": F.upper(taken(q, m, q["method"], q.get("default", "GET"))), "path": path}
+
+    return profile_hits(files, ps, fields, "path").select("framework", "method", "path", "file", "line").distinct()
 
 
 def http_clients(files: DataFrame, profiles: list[dict] | None = None) -> DataFrame:
-    """(framework, method, target_ref, path, file, line) of calls that name an address or a path."""
-    parts = []
-    for p in profiles or load_profiles("client"):
-        rows = profile_lines(files, p)
-        for q in p["patterns"]:
-            raw = group(q["regex"], q["path"])
-            hit = rows.where(F.col("text").rlike(q["regex"])).withColumn("raw", raw).where(looks_like_url_or_path("raw"))
-            verb = F.when(http_verb(group(q["regex"], q["method"])) != "", http_verb(group(q["regex"], q["method"]))).otherwise("GET")
-            parts.append(hit.select(F.lit(p["name"]).alias("framework"), verb.alias("method"), F.when((url_host("raw") != "") | F.col("raw").startswith("${"), F.col("raw")).otherwise(F.lit("")).alias("target_ref"), F.col("raw").alias("path"), F.col("path").alias("file"), "line"))
-    return union(parts).distinct()
+    """(framework, method, target_ref, path, file, line) of calls that name an address or a path; what they reach is the
+    call's own host, or else the address or service that the file sets for all its calls."""
+    ps = [p | {"file_columns": {f"a_{k}": F.regexp_extract("content", p[k], 1) if p.get(k) else F.lit("") for k in ("url", "service", "prefix")}} for p in profiles or load_profiles("client")]
+
+    def fields(p, q, at, m):
+        raw = taken(q, m, q["path"])
+        path = F.when(at["a_prefix"] != "", concat_prefix(at["a_prefix"], raw)).otherwise(raw)
+        target = F.coalesce(some(url_host(raw)), some(at["a_url"]), some(at["a_service"]), F.lit(""))
+        return {"framework": F.lit(p["name"]), "method": http_verb(taken(q, m, q["method"], q.get("default", ""))), "target_ref": target, "path": path}
+
+    h = profile_hits(files, ps, fields, "path").where((F.col("method") != "") & (F.col("path") != "") & looks_like_url_or_path("path"))
+    return h.dropDuplicates(["framework", "file", "line", "method", "path"]).select("framework", "method", "target_ref", "path", "file", "line")
 
 
 def queue_endpoints(files: DataFrame, constants: DataFrame | None = None, profiles: list[dict] | None = None) -> DataFrame:
-    """(framework, role, queue_name, file, line); names that are constants (name, value) are resolved, others must be quoted."""
-    parts = []
-    for p in profiles or load_profiles("queue"):
-        rows = profile_lines(files, p)
-        for q in p["patterns"]:
-            hit = rows.where(F.col("text").rlike(q["regex"])).withColumn("raw", F.trim(group(q["regex"], q["name"])))
-            parts.append(hit.select(F.lit(p["name"]).alias("framework"), F.lit(q["role"]).alias("role"), "raw", F.col("path").alias("file"), "line"))
-    found = union(parts).withColumn("quoted", F.regexp_extract("raw", "^[\"'](.*)[\"']$", 1)).withColumn("name", F.substring_index("raw", ".", -1))
-    plain = F.when(F.col("quoted") != "", F.col("quoted")).when(F.col("raw").rlike(r"^[\w.-]+$") & ~F.col("raw").rlike(r"^[A-Z_][A-Z0-9_.]*$"), F.col("raw"))
+    """(framework, role, queue_name, file, line), each once; names of constants (name, value) are resolved, unknown ones stay."""
+    fields = lambda p, q, at, m: {"framework": F.lit(p["name"]), "role": F.lit(q["role"]), "raw": taken(q, m, q["name"]), "resolve": F.lit(bool(q.get("resolve")))}
+    found = profile_hits(files, profiles or load_profiles("queue"), fields, "name").where(F.col("raw") != "")
     if constants is None:
-        return found.select("framework", "role", plain.alias("queue_name"), "file", "line").where("queue_name is not null").distinct()
-    j = found.join(constants.select("name", "value"), "name", "left")
-    return j.select("framework", "role", F.coalesce(F.when(F.col("quoted") != "", F.col("quoted")), "value", plain).alias("queue_name"), "file", "line").where("queue_name is not null").distinct()
+        return found.select("framework", "role", F.col("raw").alias("queue_name"), "file", "line").distinct()
+    c = constants.select(F.col("name").alias("_name"), F.col("value").alias("_value"))
+    j = found.withColumn("_name", F.when(F.col("resolve"), F.substring_index("raw", ".", -1))).join(c, "_name", "left")
+    return j.select("framework", "role", F.coalesce("_value", "raw").alias("queue_name"), "file", "line").distinct()
 
 
 def constants(files: DataFrame) -> DataFrame:

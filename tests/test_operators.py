@@ -266,7 +266,7 @@ def test_registry(spark):
 REPO = {
     "orders/pom.xml": "<project><artifactId>orders</artifactId></project>",
     "orders/src/Api.java": 'import org.springframework;\n@RestController\n@GetMapping("/orders/{id}")\nclass A {}\n',
-    "orders/src/Bus.java": 'import org.springframework.amqp;\nstatic final String Q_NAME = "jobs";\nx.convertAndSend(Q_NAME, m);\n',
+    "orders/src/Bus.java": 'import org.springframework.amqp;\nstatic final String Q_NAME = "jobs";\nx.convertAndSend(Q_NAME, m);\n@RabbitListener(\n  queues = \"in\")\n',
     "orders/src/application.properties": "spring.datasource.url=jdbc:postgresql://u:p@h/db\n",
     "web/package.json": '{"dependencies": {"vue": "3"}}',
     "web/src/a.ts": "import axios from 'axios'\naxios.get('/api/orders/5')\n",
@@ -279,7 +279,10 @@ def test_extraction(spark):
     f = spark.createDataFrame(list(REPO.items()), "path string, content string")
     assert [(r.method, r.path, r.line) for r in extract.rest_endpoints(f).collect()] == [("GET", "/orders/{id}", 3)]
     assert [(r.method, r.path) for r in extract.http_clients(f).collect()] == [("GET", "/api/orders/5")]
-    assert [(r.role, r.queue_name) for r in extract.queue_endpoints(f, extract.constants(f)).collect()] == [("producer", "jobs")]
+    assert {(r.role, r.queue_name, r.line) for r in extract.queue_endpoints(f, extract.constants(f)).collect()} == {("producer", "jobs", 3), ("consumer", "in", 5)}
+    anchored = spark.createDataFrame([("a.java", 'import org.springframework.cloud.openfeign;\n@FeignClient(name = "pay", path = "/v1")\n@GetMapping("/x")\n'), ("b.java", 'WebClient w = b.baseUrl("http://h:1/").build();\nw.post()\n .uri("/y")\n'), ("c.cs", '[ApiController]\n[Route("api/[controller]")]\npublic class UserController : ControllerBase {\n[HttpGet]\n[HttpPost("{id}")]\n')], "path string, content string")
+    assert {(r.framework, r.method, r.target_ref, r.path, r.line) for r in extract.http_clients(anchored).collect()} == {("feign", "GET", "pay", "/v1/x", 3), ("webclient", "POST", "http://h:1/", "/y", 3)}
+    assert {(r.method, r.path, r.line) for r in extract.rest_endpoints(anchored).collect()} >= {("GET", "api/user", 4), ("POST", "api/user/{id}", 5)}
     x = extract.external_sources(f).collect()
     assert [(r.kind, r.connector_id, r.detail) for r in x] == [("database", "db", "jdbc:postgresql://h/db")]
     p = next(p for p in extract.load_profiles("orm") if p["name"] == "sqlalchemy")
