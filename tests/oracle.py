@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pandas as pd
@@ -31,5 +32,6 @@ def rows(df):
 def same(spark, con, d, query, sql):
     got, want = rows(query(spark, d).toPandas()), rows(con.sql(sql).df())
     assert got[0] == want[0]
-    fix = lambda rs: sorted(tuple(f"{float(x):.9g}" if x.replace(".", "", 1).replace("-", "", 1).isdigit() else x for x in r) for r in rs)
+    number = re.compile(r"-?\d{1,17}(\.\d+)?(e[+-]?\d+)?")
+    fix = lambda rs: sorted(tuple(f"{float(x):.9g}" if number.fullmatch(x) else x for x in r) for r in rs)
     assert fix(got[1]) == fix(want[1])
