@@ -38,8 +38,10 @@ PERCENT = 85
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: One in so many tokens (a power of two) comes first in the order of tokens.
 QUARTER = 4
-#: Tokens that a bucket holds about.
+#: Tokens that a task holds before it deals them out.
 BUCKET = 1 << 20
+#: Tokens of a bucket. Small buckets: a document then has a row for about each token that it shares, however large the input.
+DEALT = 1 << 18
 #: A task reports tokens that it has seen in so many classes; so many of the most frequent of them come last in the order.
 OFTEN, HEAVY, HEAVIEST = 8, 64, 100_000
 #: Tokens of a cell.
@@ -150,7 +152,7 @@ def heavy_tokens(counts: DataFrame) -> np.ndarray:
 
 def shared_tokens(docs: DataFrame, total: int, heavy) -> DataFrame:
     """(sig, shared): for each class how many of its first tokens other classes have too, or are among the heavy ones."""
-    buckets = max(1, -(-total // BUCKET))
+    buckets = max(1, -(-total // DEALT))
 
     def deal(batches):
         hashes, seen, tokens, sigs, hot, size = Hashes(), set(), [], [], [], 0
@@ -242,83 +244,106 @@ def often_in(sets: DataFrame) -> DataFrame:
     return sets.select("tokens").mapInArrow(run, "sig bigint, n bigint")
 
 
-def shared_in(sets: DataFrame, total: int, heavy) -> DataFrame:
-    """(rep, t, f): packed tokens that a set shares with others, and in how many sets they are; heavy ones count as LAST."""
-    buckets = max(1, -(-total // BUCKET))
+TOKENS, SIZES = 0, 1
+
+
+def packed_rows(at: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple]:
+    """A row (at, kind, bytes of each column) for each value of ``at``."""
+    order = np.argsort(at, kind="stable")
+    at, columns = at[order], [c[order] for c in columns]
+    keys, starts = np.unique(at, return_index=True)
+    ends = np.append(starts[1:], len(at))[: len(keys)]
+    return [(int(k), kind, *[c[a:z].tobytes() for c in columns]) for k, a, z in zip(keys, starts, ends, strict=True)]
+
+
+def loaded(rows: list[tuple], kind: int, column: int, dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(r[column], dtype) for r in rows if r[1] == kind] + [np.empty(0, dtype)])
+
+
+def batch_of(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * (len(names) - 2))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
+
+
+def prefix_tokens(sets: DataFrame, total: int, heavy) -> DataFrame:
+    """(t, rep): the prefix tokens that a set shares with others. The order is by frequency among these sets, heavy tokens
+    last; a set's own tokens come first and lead to nobody, so only what it shares is looked at, after as many places as it
+    has own tokens. Both steps deal tokens out in packed buckets, first by token to count them, then by set."""
+    buckets = max(1, -(-total // DEALT))
 
     def deal(batches):
-        tokens, reps, rows, size = [], [], [], 0
+        tokens, reps, hot_t, hot_r, ids, ns, size = [], [], [], [], [], [], 0
+
+        def flush():
+            t, s = np.concatenate([*tokens, np.empty(0, np.uint64)]), np.concatenate([*reps, np.empty(0, np.int64)])
+            ht, hr = np.concatenate([*hot_t, np.empty(0, np.uint64)]), np.concatenate([*hot_r, np.empty(0, np.int64)])
+            i, n = np.array(ids, np.int64), np.array(ns, np.int64)
+            rows = packed_rows(((t >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), TOKENS, t, s, np.zeros(len(t), np.uint32))
+            rows += packed_rows(i % buckets, SIZES, n.view(np.uint64), i, np.zeros(len(i), np.uint32))
+            # heavy tokens are not counted, so that no bucket has all their sets: they travel with their sets
+            rows += [(k, SIZES + 1, *rest) for k, _, *rest in packed_rows(hr % buckets, TOKENS, ht, hr, np.full(len(ht), LAST, np.uint32))]
+            return batch_of(rows, ("bucket", "kind", "t", "s", "f"))
+
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(t, np.uint64)
                 hot = np.isin(s, heavy.value, assume_unique=True)
-                if hot.any():
-                    rows.append((d % buckets, s[hot].tobytes(), np.array([d], np.int64).tobytes(), True))
                 tokens.append(s[~hot])
                 reps.append(np.full(len(tokens[-1]), d, np.int64))
-                size += len(tokens[-1])
+                hot_t.append(s[hot])
+                hot_r.append(np.full(len(hot_t[-1]), d, np.int64))
+                ids.append(d)
+                ns.append(len(s))
+                size += len(s)
                 if size >= BUCKET:
-                    yield packed(tokens, reps, rows)
-                    tokens, reps, rows, size = [], [], [], 0
-        yield packed(tokens, reps, rows)
-
-    def packed(tokens, reps, rows):
-        t, s = np.concatenate([*tokens, np.empty(0, np.uint64)]), np.concatenate([*reps, np.empty(0, np.int64)])
-        at = ((t >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        t, s, at = t[order], s[order], at[order]
-        keys, starts = np.unique(at, return_index=True)
-        ends = np.append(starts[1:], len(at))[: len(keys)]
-        rows += [(int(k), t[a:z].tobytes(), s[a:z].tobytes(), False) for k, a, z in zip(keys, starts, ends, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.bool_()))], names=["bucket", "t", "s", "hot"])
+                    yield flush()
+                    for x in (tokens, reps, hot_t, hot_r, ids, ns):
+                        x.clear()
+                    size = 0
+        yield flush()
 
     def count(group: pa.Table) -> pa.Table:
-        rows = list(zip(*[group.column(c).to_pylist() for c in ("t", "s", "hot")], strict=True))
-        load = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows if not r[2]] + [np.empty(0, kind)])
-        t, s = load(0, np.uint64), load(1, np.int64)
+        rows = list(zip(*[group.column(c).to_pylist() for c in ("bucket", "kind", "t", "s", "f")], strict=True))
+        t, s = loaded(rows, TOKENS, 2, np.uint64), loaded(rows, TOKENS, 3, np.int64)
         order = np.lexsort((s, t))
         t, s = t[order], s[order]
         new = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))[: len(t)]
         t, s = t[new], s[new]
-        first_ = np.append(True, t[1:] != t[:-1])[: len(t)]
-        f = np.diff(np.append(np.flatnonzero(first_), len(t)))[np.cumsum(first_) - 1].astype(np.uint32)
-        keep = f > 1
-        t, s, f = t[keep], s[keep], f[keep]
-        order = np.argsort(s, kind="stable")
-        t, s, f = t[order], s[order], f[order]
-        reps, starts = np.unique(s, return_index=True)
-        ends = np.append(starts[1:], len(s))[: len(reps)]
-        out = [(int(r), t[a:z].tobytes(), f[a:z].tobytes()) for r, a, z in zip(reps, starts, ends, strict=True)]
-        out += [(int(np.frombuffer(r[1], np.int64)[0]), r[0], np.full(len(r[0]) // 8, LAST, np.uint32).tobytes()) for r in rows if r[2]]
-        return pa.table({"rep": pa.array([r[0] for r in out], pa.int64()), "t": pa.array([r[1] for r in out], pa.binary()), "f": pa.array([r[2] for r in out], pa.binary())})
+        head = np.append(True, t[1:] != t[:-1])[: len(t)]
+        f = np.diff(np.append(np.flatnonzero(head), len(t)))[np.cumsum(head) - 1].astype(np.uint32)
+        t, s, f = t[f > 1], s[f > 1], f[f > 1]
+        hot = [loaded(rows, SIZES + 1, i, k) for i, k in ((2, np.uint64), (3, np.int64), (4, np.uint32))]
+        t, s, f = np.concatenate([t, hot[0]]), np.concatenate([s, hot[1]]), np.concatenate([f, hot[2]])
+        i, n = loaded(rows, SIZES, 3, np.int64), loaded(rows, SIZES, 2, np.uint64)
+        out = packed_rows(s % buckets, TOKENS, t, s, f) + packed_rows(i % buckets, SIZES, n, i, np.zeros(len(i), np.uint32))
+        return pa.Table.from_batches([batch_of(out, ("dest", "kind", "t", "s", "f"))])
+
+    def choose(group: pa.Table) -> pa.Table:
+        rows = list(zip(*[group.column(c).to_pylist() for c in ("dest", "kind", "t", "s", "f")], strict=True))
+        t, s, f = loaded(rows, TOKENS, 2, np.uint64), loaded(rows, TOKENS, 3, np.int64), loaded(rows, TOKENS, 4, np.uint32)
+        order = np.lexsort((t, f, s))
+        t, s = t[order], s[order]
+        new = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))[: len(t)]  # repeated rows of a set bring heavy tokens twice
+        t, s = t[new], s[new]
+        ids, at = np.unique(loaded(rows, SIZES, 3, np.int64), return_index=True)
+        n = loaded(rows, SIZES, 2, np.uint64).view(np.int64)[at]
+        reps, starts, shared = np.unique(s, return_index=True, return_counts=True)
+        size = n[np.searchsorted(ids, reps)]
+        places = np.maximum(size - need(size) + 1 - (size - shared), 0)
+        keep = np.arange(len(s)) - np.repeat(starts, shared) < np.repeat(places, shared)
+        return pa.table({"t": signed(t[keep]), "rep": pa.array(s[keep])})
 
-    return sets.select("rep", "tokens").mapInArrow(deal, "bucket bigint, t binary, s binary, hot boolean").groupBy("bucket").applyInArrow(count, "rep bigint, t binary, f binary")
+    packed = "kind int, t binary, s binary, f binary"
+    dealt = sets.select("rep", "tokens").mapInArrow(deal, f"bucket bigint, {packed}")
+    by_set = dealt.groupBy("bucket").applyInArrow(count, f"dest bigint, {packed}")
+    return by_set.groupBy("dest").applyInArrow(choose, "t bigint, rep bigint")
 
 
 def stars(sets: DataFrame) -> DataFrame:
-    """Edges from the smallest document of each prefix token to the others. The order is by frequency among these sets; a
-    set's own tokens lead to nobody, so only what it shares is looked at, after as many places as it has own tokens."""
-    sc = sets.sparkSession.sparkContext
+    """Edges from the smallest document of each prefix token to the others."""
     total = sets.agg(F.sum("n")).first()[0] or 0
-    heavy = sc.broadcast(heavy_tokens(often_in(sets)))  # at most HEAVIEST numbers
-    parts = shared_in(sets, total, heavy).groupBy("rep").agg(F.collect_list(F.struct("t", "f")).alias("p"))
-    rows = parts.join(sets.select("rep", "n").distinct(), "rep").select("rep", "n", "p")
-
-    def run(batches):
-        for b in batches:
-            tokens, reps = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for d, n, p in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                t = np.concatenate([np.frombuffer(x["t"], np.uint64) for x in p])
-                f = np.concatenate([np.frombuffer(x["f"], np.uint32) for x in p])
-                t, at = np.unique(t, return_index=True)
-                f = f[at]
-                places = n - need(n) + 1 - (n - len(t))
-                if places > 0:
-                    tokens.append(t[np.argsort(f, kind="stable")[:places]])
-                    reps.append(np.full(len(tokens[-1]), d, np.int64))
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate(tokens)), pa.array(np.concatenate(reps))], names=["t", "rep"])
-
-    e = rows.mapInArrow(run, "t bigint, rep bigint")
+    heavy = sets.sparkSession.sparkContext.broadcast(heavy_tokens(often_in(sets)))  # at most HEAVIEST numbers
+    e = prefix_tokens(sets, total, heavy)
     low = e.groupBy("t").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "a")
     return e.join(low, "t").select("a", F.col("rep").alias("b")).where("a <> b")
 
