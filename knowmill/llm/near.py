@@ -15,7 +15,10 @@
 
 Shingles are compared by 64-bit hashes; a set of a million differs in effect with a probability below 1e-7.
 
-Null text or no word: no shingle, linked with nothing. Fewer than four words: the whole sequence is one shingle. Rows
+The size of shingles in words and the percentage of their union that two documents must share are parameters; op5 takes
+4 words and 85 percent, the pipeline 5 words and 80 percent.
+
+Null text or no word: no shingle, linked with nothing. Fewer words than a shingle: the whole sequence is one shingle. Rows
 that repeat a doc_id are one node. Rows with a null doc_id are returned with a null component. Empty table: empty result.
 """
 
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from knowmill.llm.common import cut
 from knowmill.llm.graph import components
 
+#: Words of a shingle and least percentage of op5.
 SIZE = 4
 PERCENT = 85
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -110,23 +114,23 @@ def signed(x: np.ndarray) -> pa.Array:
 ROWS = "kind int, doc_id bigint, n bigint, m bigint, sig bigint"
 
 
-def survey(docs: DataFrame) -> DataFrame:
+def survey(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """kind 0: a document's id, set size, tokens that come first and signature; kind 1: a token and its classes in a task."""
 
     def run(batches):
-        hashes, seen, out, held, size = Hashes(), set(), [], [], 0
+        hashes, seen, out, held, total = Hashes(), set(), [], [], 0
         for d, t in texts(batches):
-            s = shingles(t, hashes)
+            s = shingles(t, hashes, size)
             sig = signature(s) if len(s) else None
             f = first(s)
             out.append((0, d, len(s), len(f), sig))
             if sig is not None and sig not in seen:
                 seen.add(sig)
                 held.append(f)
-                size += len(f)
-            if size >= BUCKET:
+                total += len(f)
+            if total >= BUCKET:
                 out += often(held)
-                held, size = [], 0
+                held, total = [], 0
             if len(out) >= 20_000:
                 yield table(out)
                 out = []
@@ -150,14 +154,14 @@ def heavy_tokens(counts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.sig for r in top], np.int64).view(np.uint64))
 
 
-def shared_tokens(docs: DataFrame, total: int, heavy) -> DataFrame:
+def shared_tokens(docs: DataFrame, total: int, heavy, size: int = SIZE) -> DataFrame:
     """(sig, shared): for each class how many of its first tokens other classes have too, or are among the heavy ones."""
     buckets = max(1, -(-total // DEALT))
 
     def deal(batches):
-        hashes, seen, tokens, sigs, hot, size = Hashes(), set(), [], [], [], 0
+        hashes, seen, tokens, sigs, hot, n = Hashes(), set(), [], [], [], 0
         for _, t in texts(batches):
-            s = shingles(t, hashes)
+            s = shingles(t, hashes, size)
             if not len(s) or (sig := signature(s)) in seen:
                 continue
             seen.add(sig)
@@ -167,10 +171,10 @@ def shared_tokens(docs: DataFrame, total: int, heavy) -> DataFrame:
                 hot.append((sig, len(f) - len(light)))
             tokens.append(light)
             sigs.append(np.full(len(light), sig, np.int64))
-            size += len(light)
-            if size >= BUCKET:
+            n += len(light)
+            if n >= BUCKET:
                 yield from packed(tokens, sigs, hot)
-                tokens, sigs, hot, size = [], [], [], 0
+                tokens, sigs, hot, n = [], [], [], 0
         yield from packed(tokens, sigs, hot)
 
     def packed(tokens, sigs, hot):
@@ -203,7 +207,7 @@ def shared_tokens(docs: DataFrame, total: int, heavy) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(count, "sig bigint, c bigint, h bigint").groupBy("sig").agg((F.sum("c") + F.max("h")).alias("shared"))
 
 
-def full_sets(docs: DataFrame, left: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, left: DataFrame, size: int = SIZE) -> DataFrame:
     """(rep, n, tokens) of the classes that may link, from the text of the representative."""
     side = F.broadcast(left) if left.count() <= SMALL_ROWS else left
     rows = docs.join(side.select(F.col("rep").alias("doc_id"), F.col("sig").alias("_sig")), "doc_id").select("doc_id", "text", "_sig")
@@ -213,7 +217,7 @@ def full_sets(docs: DataFrame, left: DataFrame) -> DataFrame:
         for b in batches:
             ids, ns, blobs = [], [], []
             for d, t, g in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
-                s = shingles(t, hashes)
+                s = shingles(t, hashes, size)
                 if len(s) and signature(s) == g:
                     ids.append(d)
                     ns.append(len(s))
@@ -265,7 +269,7 @@ def batch_of(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
 
 
-def prefix_tokens(sets: DataFrame, total: int, heavy) -> DataFrame:
+def prefix_tokens(sets: DataFrame, total: int, heavy, percent: int = PERCENT) -> DataFrame:
     """(t, rep): the prefix tokens that a set shares with others. The order is by frequency among these sets, heavy tokens
     last; a set's own tokens come first and lead to nobody, so only what it shares is looked at, after as many places as it
     has own tokens. Both steps deal tokens out in packed buckets, first by token to count them, then by set."""
@@ -329,7 +333,7 @@ def prefix_tokens(sets: DataFrame, total: int, heavy) -> DataFrame:
         n = loaded(rows, SIZES, 2, np.uint64).view(np.int64)[at]
         reps, starts, shared = np.unique(s, return_index=True, return_counts=True)
         size = n[np.searchsorted(ids, reps)]
-        places = np.maximum(size - need(size) + 1 - (size - shared), 0)
+        places = np.maximum(size - need(size, percent) + 1 - (size - shared), 0)
         keep = np.arange(len(s)) - np.repeat(starts, shared) < np.repeat(places, shared)
         return pa.table({"t": signed(t[keep]), "rep": pa.array(s[keep])})
 
@@ -339,25 +343,25 @@ def prefix_tokens(sets: DataFrame, total: int, heavy) -> DataFrame:
     return by_set.groupBy("dest").applyInArrow(choose, "t bigint, rep bigint")
 
 
-def stars(sets: DataFrame) -> DataFrame:
+def stars(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges from the smallest document of each prefix token to the others."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     heavy = sets.sparkSession.sparkContext.broadcast(heavy_tokens(often_in(sets)))  # at most HEAVIEST numbers
-    e = prefix_tokens(sets, total, heavy)
+    e = prefix_tokens(sets, total, heavy, percent)
     low = e.groupBy("t").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "a")
     return e.join(low, "t").select("a", F.col("rep").alias("b")).where("a <> b")
 
 
-def verified(a: np.ndarray, b: np.ndarray) -> bool:
+def verified(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     n = len(a) + len(b)
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     both = np.sort(np.concatenate([a, b]), kind="stable")
     i = int((both[1:] == both[:-1]).sum())
-    return 100 * i >= PERCENT * (n - i)
+    return 100 * i >= percent * (n - i)
 
 
-def join(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def join(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between the sets that connect whatever links connect; with ``side``, only links between its two values."""
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     sizes = np.array([len(sets[k]) for k in order])
@@ -370,7 +374,7 @@ def join(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[i
     by = np.lexsort((token, owner))
     token, at = token[by], np.concatenate([[0], np.cumsum(sizes)])
     place = np.arange(len(token)) - np.repeat(at[:-1], sizes)
-    level = np.maximum(1, place - np.repeat(sizes - need(sizes), sizes) + 1)  # of the shortest l-prefix that has the token
+    level = np.maximum(1, place - np.repeat(sizes - need(sizes, percent), sizes) + 1)  # of the shortest l-prefix that has the token
     use = np.flatnonzero((level <= MAX_LEVEL) & (df[np.argsort(df, kind="stable")][token] > 1))
     post = use[np.lexsort((owner[use], token[use]))]
     p_token, p_doc, p_level = token[post], owner[post], level[post]
@@ -380,7 +384,7 @@ def join(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[i
         own = slice(at[r], at[r + 1])
         t, lv = token[own][level[own] <= MAX_LEVEL], level[own][level[own] <= MAX_LEVEL]
         a, z = np.searchsorted(p_token, t), np.searchsorted(p_token, t, "right")
-        least = np.searchsorted(sizes, need(sizes[r]))  # shorter sets cannot overlap enough
+        least = np.searchsorted(sizes, need(sizes[r], percent))  # shorter sets cannot overlap enough
         count, length, cand = np.zeros(len(order), np.int32), 1, np.empty(0, int)
         docs, levels, mine_level = [], [], []
         while True:
@@ -401,13 +405,13 @@ def join(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[i
                 break
             length += 1
         for c in cand[np.argsort(-count[cand], kind="stable")]:
-            if label[c] != label[r] and verified(sets[order[c]], sets[order[r]]):
+            if label[c] != label[r] and verified(sets[order[c]], sets[order[r]], percent):
                 links.append((order[c], order[r]))
                 label[label == label[c]] = label[r]
     return links
 
 
-def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
+def links(sets: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Verified edges (a, b) between representatives that connect all that link."""
     sized = sets.select("rep", "n").join(groups, sets["rep"] == groups["node"]).groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).where("c > 1")
     sized = cut(sized)
@@ -428,7 +432,7 @@ def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
             part = part[np.append(True, np.diff(rep[part]) != 0)]  # repeated rows
             sets_ = [np.frombuffer(blobs[int(k)].as_py(), np.uint64) for k in part]
             side = block[part] if i[part[0]] != j[part[0]] else None
-            for x, y in join(sets_, side):
+            for x, y in join(sets_, side, percent):
                 a.append(int(rep[part[x]]))
                 b.append(int(rep[part[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -436,22 +440,22 @@ def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     return sets.join(keyed, "rep").select("cell", "component", "i", "j", "block", "rep", "tokens").groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs, by shingles of ``size`` words of which ``percent`` agree."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     sc = docs.sparkSession.sparkContext
-    rows = survey(docs)
+    rows = survey(docs, size)
     heavy = sc.broadcast(heavy_tokens(rows.where("kind = 1")))  # at most HEAVIEST numbers
     known = rows.where("kind = 0").select("doc_id", "n", "m", "sig")
     own = known.where("sig is not null and doc_id is not null")
     classes = own.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("m").alias("m"))
     total = known.agg(F.sum("m")).first()[0] or 0
-    shared = shared_tokens(docs.where("doc_id is not null"), total, heavy)
-    prefix = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1
+    shared = shared_tokens(docs.where("doc_id is not null"), total, heavy, size)
+    prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     left = cut(classes.join(shared, "sig", "left").where(F.col("m") - F.coalesce("shared", F.lit(0)) < prefix).select("rep", "sig"))
-    sets = full_sets(docs, left)
-    groups = components(stars(sets))
-    found = cut(links(sets, groups))  # else the next step's workers would run beside these
+    sets = full_sets(docs, left, size)
+    groups = components(stars(sets, percent))
+    found = cut(links(sets, groups, percent))  # else the next step's workers would run beside these
     # a document that has several texts joins their classes
     several = own.join(classes.select("sig", "rep"), "sig").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     many = own.join(several.select("doc_id"), "doc_id").join(classes.select("sig", "rep"), "sig").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
@@ -460,9 +464,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return known.join(of, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """docs without the rows whose component a smaller doc_id represents; of rows that repeat a doc_id one stays."""
-    groups = cut(near_duplicates(docs))
+    groups = cut(near_duplicates(docs, size=size, percent=percent))
     gone = cut(groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
     out = docs.join(F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
     again = cut(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))

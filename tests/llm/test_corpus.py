@@ -384,6 +384,25 @@ def test_near_repeated_and_null_ids(spark):
     assert near.keep_one(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_pipeline_links_at_five_words_and_80_percent(spark):
+    """Scattered edits and an appended block, both at 0.81 of 5-word shingles, below 0.85 of 4-word ones; and a pair at 0.79."""
+    w = [f"w{i}" for i in range(204)]  # 200 shingles of 5 words
+    edited = [f"x{i}" if i in (20, 60, 100, 140) else x for i, x in enumerate(w)] + ["y"]
+    block = [f"b{i}" for i in range(204)]
+    far = [f"c{i}" for i in range(204)]
+    rows = [(1, w), (2, edited), (3, block), (4, block + [f"e{i}" for i in range(46)]), (5, far), (6, far + [f"f{i}" for i in range(53)])]
+    rows = [(i, " ".join(x)) for i, x in rows]
+
+    def jaccard(a, b, k):
+        a, b = ({tuple(x[i : i + k]) for i in range(len(x) - k + 1)} for x in (rows[a][1].split(), rows[b][1].split()))
+        return len(a & b) / len(a | b)
+
+    assert 0.80 <= jaccard(0, 1, 5) < 0.82 and 0.80 <= jaccard(2, 3, 5) < 0.82 and jaccard(2, 3, 4) < 0.85 and 0.78 < jaccard(4, 5, 5) < 0.80
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert {r.doc_id for r in stage(spark, documents(spark, rows), "").collect()} == {1, 3, 5, 6}
+    assert {r.doc_id for r in near.keep_one(documents(spark, rows)).collect()} == {1, 2, 3, 4, 5, 6}  # op5's 4 words and 85 percent
+
+
 def test_components(spark):
     rng = random.Random(9)
     e = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)]
