@@ -2,12 +2,11 @@
 
 Markup is stripped to lines first: a block-level tag ends a line, and whatever is no content (scripts, styles, menus,
 site headers, footers, asides, forms, and elements whose class or id says advert, notice, sidebar, comments and the
-like) is left out. The edge of a container outside an article is WINDOW empty lines, so that unrelated containers never
-share a window. The text lengths of WINDOW lines are then summed at every line: a surge is where the sum rises above
-the threshold, a dive where it falls to 0, and the text between a surge and its dive is a candidate. The threshold is
-SURGE characters, or the largest sum of the page if that is less. Lines of an <article>, or else of <main>, stand alone
-if the page has one; otherwise candidates made mostly of links are dropped. Of the rest the longest stays, together with
-those that have at least SHARE of its length.
+like) is left out. If the page has an <article>, the lines of all its articles are the text, or else those of <main>.
+Otherwise what is left out leaves WINDOW empty lines, and so does a container made mostly of links, for the measure only.
+The text lengths of WINDOW lines are then summed at every line: a surge is where the sum rises above the threshold, a
+dive where it falls to 0. The threshold is SURGE characters, or the largest sum of the page if that is less. Everything
+between the first surge's stretch of text and the last dive stays, whatever containers, tables and lists it lies in.
 
 Character references are decoded once, white space inside a line becomes one space, lines are trimmed and empty ones
 dropped; nothing is capped. Null html: empty text. A page without text: empty. Empty table: empty result.
@@ -17,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 
 WINDOW = 3
 SURGE = 86
-SHARE = 0.3
 LINKS = 0.5
 
 # Element names of HTML.
@@ -70,12 +69,13 @@ def close_of(page: str, name: str, at: int) -> int:
     return -1
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, length of link text, 2 in an article, 1 in main) for each line; empty lines keep containers apart."""
-    out: list[tuple[str, int, int]] = []
+def lines(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, length of link text, 2 in an article, 1 in main, number of the container's stretch) for each line; empty lines
+    stand for what is left out."""
+    out: list[tuple[str, int, int, int]] = []
     held: list[str] = []
     link = links = 0
-    article = main = 0
+    article = main = part = 0
     at = 0
 
     def flush() -> None:
@@ -84,7 +84,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, min(links, len(text)), 2 if article else 1 if main else 0))
+                out.append((text, min(links, len(text)), 2 if article else 1 if main else 0, part))
         links = 0
 
     while True:
@@ -105,7 +105,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             end = close_of(page, name, at)
             if end >= 0 or name in RAW:
                 flush()
-                out.extend([("", 0, 0)] * (0 if article or main else WINDOW))
+                out.extend([("", 0, 0, part)] * (0 if article or main else WINDOW))
                 at = end if end >= 0 else len(page)
                 continue
         if name == "a":
@@ -116,8 +116,8 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 article = max(0, article + (-1 if closing else 1))
             elif name == "main":
                 main = max(0, main + (-1 if closing else 1))
-            if name in CONTAINER and not article and not main:
-                out.extend([("", 0, 0)] * WINDOW)
+            if name in CONTAINER:
+                part += 1
 
 
 def spans(lengths: list[int]) -> list[tuple[int, int]]:
@@ -146,16 +146,29 @@ def spans(lengths: list[int]) -> list[tuple[int, int]]:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    all_lines = lines(page)
-    level = max((x[2] for x in all_lines), default=0)
-    use = [x if x[2] >= level else ("", 0, 0) for x in all_lines]
-    found = []
-    for a, z in spans([len(x[0]) for x in use]):
-        size = sum(len(x[0]) for x in use[a:z])
-        if level or sum(x[1] for x in use[a:z]) <= LINKS * size:
-            found.append((size, a, z))
-    top = max((x[0] for x in found), default=0)
-    return "\n".join(use[i][0] for size, a, z in found if size >= SHARE * top for i in range(a, z) if use[i][0])
+    rows = lines(page)
+    level = max((x[2] for x in rows), default=0)
+    if level:
+        return "\n".join(x[0] for x in rows if x[2] == level and x[0])
+    sizes: Counter[int] = Counter()
+    links: Counter[int] = Counter()
+    for text, link, _, part in rows:
+        sizes[part] += len(text)
+        links[part] += link
+    lengths: list[int] = []
+    at: list[int] = []  # the row of each length
+    menu = None
+    for k, (text, _, _, part) in enumerate(rows):
+        if links[part] > LINKS * sizes[part]:
+            if part != menu:
+                lengths += [0] * WINDOW
+                at += [k] * WINDOW
+            menu = part
+        else:
+            lengths.append(len(text))
+            at.append(k)
+    found = [at[i] for a, z in spans(lengths) for i in range(a, z) if lengths[i]]
+    return "\n".join(x[0] for x in rows[found[0] : found[-1] + 1] if x[0]) if found else ""
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

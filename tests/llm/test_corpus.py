@@ -252,6 +252,27 @@ def test_html_edges(page, want):
     assert html_text.extract(page) == want
 
 
+SAY = "Enough words of the main text to surge above all else. "
+PLACES = [f"Place {i}" for i in range(8)]
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<div><p>{SAY * 11}</p></div><div><p>{SAY * 2}</p></div>", [SAY * 11, SAY * 2]),
+        (f"<div><p>{SAY * 9}</p></div><section><p>Short.</p></section><div><p>{SAY * 9}</p></div>", [SAY * 9, "Short.", SAY * 9]),
+        (f"<p>{SAY * 9}</p><table><tr>{''.join(f'<td>{x}</td>' for x in PLACES)}</tr></table>", [SAY * 9, *PLACES]),
+        (f"<p>{SAY * 9}</p><div><ul>{''.join(f'<li>{x}</li>' for x in PLACES)}</ul></div>", [SAY * 9, *PLACES]),
+        (f"<p>{SAY * 9}</p><ul>{''.join(f'<li><a href=x>{x}</a></li>' for x in PLACES)}</ul><p>{SAY * 3}</p>", [SAY * 9, *PLACES, SAY * 3]),
+        (f"<div><a href=x>Home</a> <a href=y>About us</a></div><div><p>{SAY * 9}</p></div><div><a href=z>Imprint</a></div>", [SAY * 9]),
+        (f"<div><p>{SAY * 9}</p></div><div class=ad>Buy</div><div><p>{SAY * 2}</p></div>", [SAY * 9, SAY * 2]),
+        (f"<article><p>{SAY * 20}</p></article><div>no</div><article><p>Brief.</p></article>", [SAY * 20, "Brief."]),
+    ],
+)
+def test_html_keeps_whole_container(body, want):
+    assert html_text.extract(f"<html><body>{body}</body></html>") == "\n".join(x.strip() for x in want)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article>x</article>", "old"), (1, "u", None, "old")], "page_id bigint, url string, html string, text string")
     assert [tuple(r) for r in html_text.extract_text(df).collect()] == [(1, "u", "x"), (1, "u", "")]
