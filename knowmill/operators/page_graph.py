@@ -159,7 +159,8 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 6,
 
 def cyclic_clusters(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, component) of strongly connected components of at least two nodes, and of self-loops, for edges (from, to).
-    Nodes without an edge in or out are trimmed until none is left; what remains is closed by joins."""
+    Nodes without an edge in or out are trimmed; what remains is closed by joins of the closure with itself, which doubles the
+    paths' length each round. Raises if it has not settled after ``rounds`` of them."""
     e = cut(edges.select("from", "to").distinct())
     loops = e.where(F.col("from") == F.col("to")).select(F.col("from").alias("node"), F.col("from").alias("component"))
     e = e.where(F.col("from") != F.col("to"))
@@ -173,12 +174,14 @@ def cyclic_clusters(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
         n = m
     reach = e
     for _ in range(rounds):
-        more = reach.unionByName(reach.join(e.select(F.col("from").alias("to"), F.col("to").alias("next")), "to").select("from", F.col("next").alias("to"))).distinct()
+        more = reach.unionByName(reach.join(reach.select(F.col("from").alias("to"), F.col("to").alias("next")), "to").select("from", F.col("next").alias("to"))).distinct()
         more = cut(more)
         m = more.count()
         reach, done, n = more, m == n, m
         if done:
             break
+    else:
+        raise RuntimeError(f"the closure has not settled in {rounds} rounds")
     mutual = reach.join(reach.select(F.col("to").alias("from"), F.col("from").alias("to")), ["from", "to"])
     scc = mutual.groupBy("from").agg(F.min("to").alias("component")).select(F.col("from").alias("node"), "component").where(F.col("component").isNotNull())
     scc = scc.withColumn("component", F.least("node", "component"))

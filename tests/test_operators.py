@@ -50,6 +50,15 @@ def test_cycles(spark):
     assert {(r.node, r.component) for r in page_graph.cyclic_clusters(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("e", "e")}
 
 
+def test_long_cycles(spark):
+    """Two rings, longer than MAX_ROUNDS hops and than twice as many; a bound that does not suffice is told."""
+    ring = lambda p, n: [(f"{p}{i:03}", f"{p}{(i + 1) % n:03}") for i in range(n)]
+    e = spark.createDataFrame(ring("a", 70) + ring("b", 130) + [("a000", "b000")], "from string, to string")
+    assert {(r.node, r.component) for r in page_graph.cyclic_clusters(e).collect()} == {(f"{p}{i:03}", f"{p}000") for p, n in (("a", 70), ("b", 130)) for i in range(n)}
+    with pytest.raises(RuntimeError, match="settled"):
+        page_graph.cyclic_clusters(e, rounds=3)
+
+
 def test_remove_first_edge(spark, six):
     twice = six.union(spark.createDataFrame([(9, "A", "B", "extends", "INFERRED")], six.schema))
     left = sinks_edges = page_graph.without_first(twice, "A", "B", "extends")
