@@ -17,7 +17,7 @@ Docs = DataFrame
 
 
 def quality_rules(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    return quality.filter_quality(docs)
+    return quality.filter_quality(docs, spreads=quality.FLOORS)
 
 
 def near_duplicates(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:

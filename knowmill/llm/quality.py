@@ -7,7 +7,9 @@ of fewer than ``min_rows`` documents takes the thresholds of its language, or el
 
 A document fails a measure if it lies beyond q75 + fence * max(q75 - q25, spread) of its group, or, for the mean word
 length, below q25 - fence * max(q75 - q25, spread) too. ``spread`` is the least width that a group is given, so that a
-group whose documents all agree does not reject a slight deviation.
+group whose documents all agree does not reject a slight deviation. SPREADS, which op2 and its SQL twin take, are wider
+than nearly all groups' quartiles lie apart, so that op2's limits hardly follow the group. FLOORS, which the pipeline
+takes, are about what a measure can resolve, so that the quartiles set the limits.
 
 Only built-in expressions are used. The text is read twice, first for the sketches, then for the verdict; nothing but
 counters is shuffled, and the join with the thresholds is left to adaptive execution, which broadcasts them only if
@@ -26,6 +28,9 @@ from knowmill.llm.common import cut
 
 #: Measure: least width of its fence. Per mille of word characters; word length in hundredths.
 SPREADS = {"symbols": 20, "marks": 60, "capitals": 120, "dup_lines": 150, "word_length": 60}
+#: The same where the groups' quartiles set the limits: a character in a document of MIN_WORDS words of about 5 characters
+#: is 4 per mille; a bucket is a 32nd of its value wide, of all lines or of words of about 5 characters.
+FLOORS = {"symbols": 4, "marks": 4, "capitals": 4, "dup_lines": 32, "word_length": 16}
 FENCE = 3
 MIN_ROWS = 40
 MIN_WORDS = 50
@@ -132,32 +137,32 @@ def merge(sketches: DataFrame, *keys: str) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def limits(sketches: DataFrame, *keys: str, min_rows: int = MIN_ROWS, fence: int = FENCE) -> DataFrame:
+def limits(sketches: DataFrame, *keys: str, min_rows: int = MIN_ROWS, fence: int = FENCE, spreads: dict[str, int] = SPREADS) -> DataFrame:
     """Keys, and a low and a high limit for each measure. A group has some hundred buckets, however many documents."""
     w = Window.partitionBy(*keys, "measure")
     run = sketches.withColumn("below", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("below") * 100 >= F.col("total") * q, F.col("bucket")))
     q = run.groupBy(*keys, "measure").agg(at(25).alias("b25"), at(75).alias("b75"), F.max("total").alias("total")).where(F.col("total") >= min_rows)
     q = q.select(*keys, "measure", bucket_low(F.col("b25")).alias("q25"), bucket_low(F.col("b75") + 1).alias("q75"))
-    width = F.element_at(F.create_map(*[F.lit(x) for kv in SPREADS.items() for x in kv]), F.col("measure"))
+    width = F.element_at(F.create_map(*[F.lit(x) for kv in spreads.items() for x in kv]), F.col("measure"))
     step = fence * F.greatest(F.col("q75") - F.col("q25"), width)
     q = q.select(*keys, "measure", F.struct((F.col("q25") - step).alias("lo"), (F.col("q75") + step).alias("hi")).alias("f"))
     return q.groupBy(*keys).agg(F.struct(*[F.max(F.when(F.col("measure") == k, F.col("f"))).alias(k) for k in SPREADS]).alias("limits"))
 
 
-def thresholds(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, fence: int = FENCE) -> DataFrame:
+def thresholds(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, fence: int = FENCE, spreads: dict[str, int] = SPREADS) -> DataFrame:
     """(lang, source, limits) for each language and source of docs; the wider sketches are merged from the narrow ones."""
     fine = cut(sketch(docs, text, lang, source))  # some hundred rows a group
     by_lang = merge(fine, "lang")
     whole = merge(by_lang)
     groups = fine.select("lang", "source").distinct()
-    out = groups.join(limits(fine, "lang", "source", min_rows=min_rows, fence=fence).withColumnRenamed("limits", "own"), ["lang", "source"], "left")
-    out = out.join(limits(by_lang, "lang", min_rows=min_rows, fence=fence).withColumnRenamed("limits", "wide"), "lang", "left")
-    out = out.join(F.broadcast(limits(whole, min_rows=1, fence=fence).withColumnRenamed("limits", "all")), how="left")  # one row
+    out = groups.join(limits(fine, "lang", "source", min_rows=min_rows, fence=fence, spreads=spreads).withColumnRenamed("limits", "own"), ["lang", "source"], "left")
+    out = out.join(limits(by_lang, "lang", min_rows=min_rows, fence=fence, spreads=spreads).withColumnRenamed("limits", "wide"), "lang", "left")
+    out = out.join(F.broadcast(limits(whole, min_rows=1, fence=fence, spreads=spreads).withColumnRenamed("limits", "all")), how="left")  # one row
     return out.select("lang", "source", F.coalesce("own", "wide", "all").alias("limits"))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, fence: int = FENCE) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, fence: int = FENCE, spreads: dict[str, int] = SPREADS) -> DataFrame:
     """docs and a struct ``_quality`` of counters, base_failed and kept."""
     c = counters(F.col(f"`{text}`"))
     named = docs.withColumn("_quality_c", F.struct(*[v.alias(k) for k, v in c.items()], repeat_words(words(F.col(f"`{text}`"))).alias("n_repeat_words")))
@@ -166,7 +171,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     failed = (at["n_words"] < MIN_WORDS) | (100 * at["n_repeat_words"] > 50 * at["n_words"])
     named = named.withColumn("_quality_m", m).withColumn("_quality_f", failed)
     keyed = named.withColumn("_quality_l", F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(""))).withColumn("_quality_s", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
-    t = thresholds(docs, text, lang, source, min_rows, fence).select(F.col("lang").alias("_quality_l"), F.col("source").alias("_quality_s"), F.col("limits").alias("_quality_t"))
+    t = thresholds(docs, text, lang, source, min_rows, fence, spreads).select(F.col("lang").alias("_quality_l"), F.col("source").alias("_quality_s"), F.col("limits").alias("_quality_t"))
     joined = keyed.join(t, ["_quality_l", "_quality_s"], "left")
     beyond = [F.col(f"_quality_m.{k}") > F.col(f"_quality_t.{k}.hi") for k in SPREADS] + [F.col("_quality_m.word_length") < F.col("_quality_t.word_length.lo")]
     bad = F.lit(False)

@@ -73,6 +73,28 @@ def test_quality_adapts_to_the_group(spark):
     assert quality.filter_quality(documents(spark, same_marks)).count() == 100
 
 
+def test_pipeline_limits_follow_the_group(spark):
+    """Two sources, the second with more of everything: each measure's limit differs, and follows its quartiles."""
+    rng = random.Random(4)
+
+    def text(rich):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8) + 2 * rich)) for _ in range(100)]
+        for k in range(rng.randint(8, 12) if rich else 0):
+            w[5 * k] = w[5 * k].upper() + "%%!"
+        lines = [" ".join(w[k : k + 5]) for k in range(0, 100, 5)]
+        return "\n".join(lines + lines[: rng.randint(3, 5)] if rich else lines)
+
+    rows = [(i, text(i % 2), "en", "rich" if i % 2 else "plain", 0, "x") for i in range(200)]
+    odd = rows[0][1].split("\n")
+    rows.append((900, "\n".join(odd + odd[:9]), "en", "plain", 0, "x"))  # 31 percent repeated lines where nobody has any
+    docs = spark.createDataFrame(rows, DOC)
+    limit = {r.source: r.limits for r in quality.thresholds(docs, spreads=quality.FLOORS).collect()}
+    for k in quality.FLOORS:
+        assert limit["plain"][k].hi < limit["rich"][k].hi, k
+    stage = dict(corpus_pipeline.STAGES)["quality_rules"]
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == set(range(200))
+
+
 def test_quality_empty_and_null_groups(spark):
     empty = documents(spark, []).limit(0)
     assert quality.filter_quality(empty).count() == 0 and quality.filter_quality(empty).columns == empty.columns
