@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from knowmill.llm import chat, decontaminate, html_text, near, pieces, pii, quality, sharding, urls, warc
+from knowmill.llm import chat, decontaminate, html_text, near, pieces, pii, pipeline, quality, sharding, urls, warc
 
 
 def queries() -> dict:
@@ -18,7 +17,7 @@ def queries() -> dict:
         "op8_sentencepiece": pieces.query,
         "op9_html_extraction": html_text.query,
         "op10_pii": pii.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -1,14 +1,18 @@
-"""What the corpus operators share: table access and lineage cuts in the shared folder."""
+"""What the corpus operators share: table access, lineage cuts in the shared folder, and small Python workers."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Separators of words in most contracts; the complement is a word character.
 SPACE = " \\t\\n\\x0B\\f\\r"
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,20 +20,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one serves a local
+    session; other sessions fail, since executors do not see the driver's folders."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="knowmill-"))
+        if sc.getConf().get(CLEAN, None) is None:
+            sc._jsc.sc().conf().set(CLEAN, "true")  # the checkpoints' own setting is read when one is made
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and reread from the shared folder; its files go when nothing refers to it any more."""
+    """df, computed once and reread from the shared folder; unless the session says otherwise, its files go when nothing
+    refers to it any more."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Folders that this process has made and not yet deleted.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder for tables or files that an operator writes."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """An unused path in the shared folder for tables or files that an operator writes; ``clear`` deletes it."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, so that later readers choose columns; it stays until ``clear``."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def clear(spark: SparkSession, *but: str) -> None:
+    """Deletes the folders of new_folder, when no result that reads them is needed any more."""
+    for folder in [f for f in _made if f not in but]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(folder)
+
+
+def release() -> None:
+    """Gives freed memory back to the system. Idle Python workers stay for a while beside those that run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run`` for mapInArrow, which leaves a small worker behind."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

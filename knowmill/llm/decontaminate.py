@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knowmill.llm.common import lean
+
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 #: In lower-cased UTF-8, the bytes of [^\x00-\x2F\x3A-\x60\x7B-\x7F]
@@ -116,7 +118,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "
                 rows.append({"n_words": len(w), "n_hit": sum(z - a for a, z in runs), "items": sorted(x for x in items if x is not None), "runs": runs})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, ARROW)], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, OUT)]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(out, OUT)]))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

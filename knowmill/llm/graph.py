@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowmill.llm.common import cut
+from knowmill.llm.common import cut, lean
 
 #: Edges that a task contracts at once.
 CONTRACT = 1 << 20
@@ -45,7 +45,7 @@ def contract(edges: DataFrame) -> DataFrame:
         keep = label != np.arange(len(nodes))
         return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[label[keep]])], names=["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+    return edges.select("a", "b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knowmill.llm.common import lean
+
 WINDOW = 3
 SURGE = 86
 LINKS = 0.5
@@ -182,7 +184,7 @@ def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> Dat
             made = [extract(p) for p in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.string())], names=[*keep, out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.StringType())]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.StringType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowmill.llm.common import cut
+from knowmill.llm.common import cut, lean
 from knowmill.llm.graph import components
 
 #: Words of a shingle and least percentage of op5.
@@ -144,7 +144,7 @@ def survey(docs: DataFrame, size: int = SIZE) -> DataFrame:
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.int64()) for i in range(5)], names=["kind", "doc_id", "n", "m", "sig"])
 
-    return cut(docs.mapInArrow(run, ROWS))
+    return cut(docs.mapInArrow(lean(run), ROWS))
 
 
 def heavy_tokens(counts: DataFrame) -> np.ndarray:
@@ -203,7 +203,7 @@ def shared_tokens(docs: DataFrame, total: int, heavy, size: int = SIZE) -> DataF
         hs, hc = load("s", np.int64, True), load("t", np.uint64, True)
         return pa.table({"sig": np.concatenate([sig, hs]), "c": np.concatenate([c, np.zeros(len(hs), np.int64)]).astype(np.int64), "h": np.concatenate([np.zeros(len(sig), np.int64), hc.astype(np.int64)])})
 
-    dealt = docs.mapInArrow(deal, "bucket bigint, t binary, s binary, hot boolean")
+    dealt = docs.mapInArrow(lean(deal), "bucket bigint, t binary, s binary, hot boolean")
     return dealt.groupBy("bucket").applyInArrow(count, "sig bigint, c bigint, h bigint").groupBy("sig").agg((F.sum("c") + F.max("h")).alias("shared"))
 
 
@@ -224,7 +224,7 @@ def full_sets(docs: DataFrame, left: DataFrame, size: int = SIZE) -> DataFrame:
                     blobs.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(blobs, pa.binary())], names=["rep", "n", "tokens"])
 
-    return cut(rows.mapInArrow(run, "rep bigint, n bigint, tokens binary"))
+    return cut(rows.mapInArrow(lean(run), "rep bigint, n bigint, tokens binary"))
 
 
 def often_in(sets: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def often_in(sets: DataFrame) -> DataFrame:
         t, c = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
         return pa.RecordBatch.from_arrays([signed(t[c >= OFTEN]), pa.array(c[c >= OFTEN].astype(np.int64))], names=["sig", "n"])
 
-    return sets.select("tokens").mapInArrow(run, "sig bigint, n bigint")
+    return sets.select("tokens").mapInArrow(lean(run), "sig bigint, n bigint")
 
 
 TOKENS, SIZES = 0, 1
@@ -338,7 +338,7 @@ def prefix_tokens(sets: DataFrame, total: int, heavy, percent: int = PERCENT) ->
         return pa.table({"t": signed(t[keep]), "rep": pa.array(s[keep])})
 
     packed = "kind int, t binary, s binary, f binary"
-    dealt = sets.select("rep", "tokens").mapInArrow(deal, f"bucket bigint, {packed}")
+    dealt = sets.select("rep", "tokens").mapInArrow(lean(deal), f"bucket bigint, {packed}")
     by_set = dealt.groupBy("bucket").applyInArrow(count, f"dest bigint, {packed}")
     return by_set.groupBy("dest").applyInArrow(choose, "t bigint, rep bigint")
 

@@ -12,8 +12,8 @@ such pairs, so exactly one path has a finite weight; it is found left to right,
 all new words of a length at once: the piece machine is a transition table, the pair acceptor a sorted table that grows.
 
 No piece of the supported models holds the mark after another character, so a text is cut before each run of marks, and
-at characters that no piece holds; a word's path is kept in a bounded table. Time is linear in the text. Null text: no ids, decoded as null. Empty text: no
-ids. Texts are never cut short.
+at characters that no piece holds; words' paths are kept in tables of bounded size while a task runs. Time is linear in the text. Null or empty text: no ids,
+decoded as the empty text (null ids are decoded as null). Texts are never cut short. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from knowmill.llm.common import lean
+
 MARK = "▁"
-KEPT = 500_000
+#: Bytes, about, of the paths in each of two generations of words, and pairs that are kept.
+KEPT_BYTES, ENTRY_BYTES = 12 << 20, 240
+KEPT_PAIRS = 1 << 20
 #: Words of a length that are composed together.
 TOGETHER = 20_000
 #: Pairs that are gathered before the table of pairs is sorted anew.
@@ -109,6 +113,8 @@ class Model:
             self.byte_of[i] = b
         self.longest = max(map(len, self.ids))
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         # no merge crosses a character that no piece holds, so those of ASCII bound words too
         alone = re.escape("".join(chr(c) for c in range(128) if chr(c) not in self.ids and c != 32))
         self.WORD = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -181,7 +187,7 @@ class Model:
                 found.append(v)
             ok[new] = np.array(found)[back]
             if len(fresh) >= FRESH:
-                kept = None if len(self.pair_keys) < 8 * KEPT else 1
+                kept = None if len(self.pair_keys) < KEPT_PAIRS else 1
                 keys = np.concatenate([self.pair_keys[:kept], np.fromiter(fresh.keys(), np.int64, len(fresh))])
                 oks = np.concatenate([self.pair_ok[:kept], np.fromiter(fresh.values(), bool, len(fresh))])
                 order = np.argsort(keys)
@@ -313,21 +319,34 @@ class Model:
         return MARK + t if self.prefix and t else t
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Paths of the words of a batch that are not in the table yet."""
-        words = self.words
-        if len(words) >= KEPT:
-            words.clear()
+        """Paths of the words of a batch that are not in the table yet. A full table becomes the old one, from which words
+        that still occur come back."""
+        if self.held > KEPT_BYTES:
+            self.old, self.words, self.held = self.words, {}, 0
+        words, old = self.words, self.old
         by: dict[int, set] = {}
         for t in texts:
             for w in t:
                 if w not in words and len(w) <= KEPT_CHARS:
-                    by.setdefault(len(w), set()).add(w)
+                    if (p := old.get(w)) is not None:
+                        words[w] = p
+                        self.held += ENTRY_BYTES
+                    else:
+                        by.setdefault(len(w), set()).add(w)
         for new in by.values():
             new = list(new)
+            self.held += ENTRY_BYTES * len(new)
             for i in range(0, len(new), TOGETHER):
                 part = new[i : i + TOGETHER]
                 words.update(zip(part, self.paths(part) if self.kind == BPE else map(self.path, part), strict=True))
 
+    def forget(self) -> None:
+        """Empties the tables that grow with the texts."""
+        self.words, self.old, self.held = {}, {}, 0
+        if self.kind == BPE:
+            self.pair_keys, self.pair_ok = np.array([-1], np.int64), np.array([False])
+            self.fresh = {}
+
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.WORD.findall(self.normalise(t)) if t else [] for t in texts]
         self.learn(cut)
@@ -357,30 +376,49 @@ _loaded: dict[str, Model] = {}
 
 
 def load(data: bytes) -> Model:
-    """One compiled model for each Python process and file."""
+    """The compiled model of each Python process; one file's at a time."""
     key = hashlib.sha256(data).hexdigest()
     if key not in _loaded:
+        _loaded.clear()
         _loaded[key] = Model(data)
     return _loaded[key]
 
 
+def compiled(sent, run):
+    """``run(model, batches)`` for mapInArrow. What the model has learnt of the texts goes with the task, since an idle
+    worker stays for a while and the next stage's run beside it."""
+
+    def task(batches):
+        m = load(sent.value)
+        try:
+            yield from run(m, batches)
+        finally:
+            m.forget()
+
+    return lean(task)
+
+
 def model_bytes(path: str = MODEL) -> bytes:
     with open(path, "rb") as f:  # read on the driver, sent to the tasks
         return f.read()
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, out: str = "token_ids") -> DataFrame:
-    """docs and the ids of ``text``; a column named ``out`` is replaced."""
-    docs = docs.drop(out) if out != text else docs
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, out: str = "token_ids", check: str | None = None) -> DataFrame:
+    """docs and the ids of ``text``, and in ``check``, if given, whether decoding them gives the text; columns of these
+    names are replaced."""
+    docs = docs.drop(*[c for c in (out, check) if c is not None and c != text])
     at, sent = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model_bytes(model))  # the size of a model file
 
-    def run(batches):
-        m = load(sent.value)
+    def run(m, batches):
         for b in batches:
             for s in slices(b, at):
-                yield pa.RecordBatch.from_arrays([*s.columns, lists(m.encode_all(s.column(at).to_pylist()))], names=[*s.schema.names, out])
+                texts = s.column(at).to_pylist()
+                ids = m.encode_all(texts)
+                more = [] if check is None else [pa.array([m.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*s.columns, lists(ids), *more], names=[*s.schema.names, out, *[check] * len(more)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    made = [T.StructField(out, T.ArrayType(T.IntegerType())), *([] if check is None else [T.StructField(check, T.BooleanType())])]
+    return docs.mapInArrow(compiled(sent, run), T.StructType([*docs.schema.fields, *made]))
 
 
 def lists(ids: list[np.ndarray]) -> pa.ListArray:
@@ -393,13 +431,12 @@ def decode(docs: DataFrame, ids: str = "token_ids", model: str = MODEL, out: str
     docs = docs.drop(out)
     at, sent = docs.columns.index(ids), docs.sparkSession.sparkContext.broadcast(model_bytes(model))
 
-    def run(batches):
-        m = load(sent.value)
+    def run(m, batches):
         for b in batches:
             texts = [m.decode(x.values.to_numpy()) if x.is_valid else None for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
+    return docs.mapInArrow(compiled(sent, run), T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def slices(b: pa.RecordBatch, at: int, size: int = 4 << 20):
@@ -422,8 +459,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint"), "text")
     sent = spark.sparkContext.broadcast(model_bytes())
 
-    def run(batches):
-        m = load(sent.value)
+    def run(m, batches):
         for b in (s for b in batches for s in slices(b, 1)):
             rows = []
             texts = b.column(1).to_pylist()
@@ -432,4 +468,4 @@ def query(spark, sf_dir: str) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    return docs.mapInArrow(run, DIGEST)
+    return docs.mapInArrow(compiled(sent, run), DIGEST)

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knowmill.llm.common import lean
+
 BASE = ("email", "ip", "card", "phone")
 LEARNED = ("phone", "secret", "ident")
 KINDS = ("email", "ip", "card", "phone", "secret", "ident")
@@ -351,7 +353,7 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
             both = [pa.array([[{"start": a, "end": z, "kind": k} for a, z, k in x[i]] for x in found], ARROW) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns, *both], names=[*b.schema.names, "_base", "_spans"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_base", SPAN), T.StructField("_spans", SPAN)]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("_base", SPAN), T.StructField("_spans", SPAN)]))
 
 
 def redacted(text: str, found: list) -> str:
@@ -380,7 +382,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
                 cols[count] = pa.array([n if t == u else len(u) for n, t, u in zip(cols[count].to_pylist(), col, new, strict=True)], b.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def joined(column: str):

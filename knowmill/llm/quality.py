@@ -5,18 +5,19 @@ logarithmic buckets with 32 steps an octave (a quantile is off by 1/32 of its va
 counts: tasks merge into groups, sources into languages and languages into the corpus, in one aggregation each. A group
 of fewer than ``min_rows`` documents takes the thresholds of its language, or else those of the corpus.
 
-A document fails a measure if it lies beyond q75 + fence * max(q75 - q25, spread) of its group, or, for the mean word
-length, below q25 - fence * max(q75 - q25, spread) too. ``spread`` is the least width that a group is given, so that a
-group whose documents all agree does not reject a slight deviation. SPREADS, which op2 and its SQL twin take, are wider
-than nearly all groups' quartiles lie apart, so that op2's limits hardly follow the group. FLOORS, which the pipeline
-takes, are about what a measure can resolve, so that the quartiles set the limits.
-
-Only built-in expressions are used. The text is read twice, first for the sketches, then for the verdict; nothing but
-counters is shuffled, and the join with the thresholds is left to adaptive execution, which broadcasts them only if
-they are small and splits a hot language and source otherwise.
-
-Null text: no words, base_failed. Null language or source: a group of its own. Empty table: empty result. Repeated rows
-each get the same verdict. Other columns, whatever their names, are returned as they are by ``filter_quality``.
+A document fails a measure if it lies beyond q75 + fence * max(q75 - q25, least) of its group, or, for the mean word
+length, below q25 - fence * max(q75 - q25, least) too. The group's own quantiles set both place and width; ``least`` is
+what the measure can resolve at all (RESOLUTION), so that a group whose documents agree to the last character does not
+reject the smallest possible deviation.
+
+Only built-in expressions are used. Each text is read and measured once; the counters are written to the shared folder
+beside the columns that the caller needs, and sketches and verdicts come from there. Only counters of sketches are
+shuffled. The thresholds, a row for each language and source, are broadcast if counted to be at most SMALL_GROUPS;
+otherwise they are copied SALTS times and joined by group and salt, so that no group is one task.
+
+Null text: no words, base_failed. Null language or source: a group of its own, apart from that of the empty string.
+Empty table: empty result. Repeated rows each get the same verdict. Other columns, whatever their names, are returned as
+they are by ``filter_quality``; names that begin with ``_quality`` are reserved.
 """
 
 from __future__ import annotations
@@ -24,16 +25,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowmill.llm.common import cut
+from knowmill.llm.common import cut, table, written
 
-#: Measure: least width of its fence. Per mille of word characters; word length in hundredths.
-SPREADS = {"symbols": 20, "marks": 60, "capitals": 120, "dup_lines": 150, "word_length": 60}
-#: The same where the groups' quartiles set the limits: a character in a document of MIN_WORDS words of about 5 characters
-#: is 4 per mille; a bucket is a 32nd of its value wide, of all lines or of words of about 5 characters.
-FLOORS = {"symbols": 4, "marks": 4, "capitals": 4, "dup_lines": 32, "word_length": 16}
+#: Measure: the least width of its fence, about its smallest step. A character in a document of MIN_WORDS words of about 5
+#: characters is 4 per mille; a 3-word window that is found twice, of these words, 100; a bucket is a 32nd of its value
+#: wide, of all lines or of words of about 5 characters.
+RESOLUTION = {"symbols": 4, "marks": 4, "capitals": 4, "dup_lines": 32, "repeats": 100, "word_length": 16}
 FENCE = 3
 MIN_ROWS = 40
 MIN_WORDS = 50
+#: Thresholds that may be broadcast, and copies of them beyond that.
+SMALL_GROUPS, SALTS = 50_000, 64
 GAP = r"[ \t\n\x0B\f\r]+"
 WORD = r"[^ \t\n\x0B\f\r]+"
 
@@ -100,13 +102,13 @@ def repeat_words(w: Column) -> Column:
 
 
 def counters(text: Column) -> dict[str, Column]:
-    """What the sketches need; cheap against repeat_words."""
     full = F.coalesce(text, F.lit(""))
     return {
         "n_words": F.regexp_count(full, F.lit(WORD)).cast("bigint"),
         "word_chars": word_chars(text),
         "n_symbols": F.regexp_count(full, F.lit("[#*$%&|<>]")).cast("bigint"),
         "n_dup_lines": dup_lines(text),
+        "n_repeat_words": repeat_words(words(text)),
         "n_marks": F.regexp_count(full, F.lit("[!-/:-@\\[-`{-~]")).cast("bigint"),
         "n_capitals": F.regexp_count(full, F.lit("\\p{Lu}")).cast("bigint"),
         "n_lines": F.regexp_count(full, F.lit("(?m)^[^\n]*[^ \t\n\x0B\f\r]")).cast("bigint"),
@@ -120,77 +122,86 @@ def measures(c: dict[str, Column]) -> dict[str, Column]:
         "marks": per(c["n_marks"], c["word_chars"], 1000),
         "capitals": per(c["n_capitals"], c["word_chars"], 1000),
         "dup_lines": per(c["n_dup_lines"], c["n_lines"], 1000),
+        "repeats": per(c["n_repeat_words"], c["n_words"], 1000),
         "word_length": per(c["word_chars"], c["n_words"], 100),
     }
 
 
-def sketch(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, measure, bucket, n) of all documents of at least MIN_WORDS words; no row of a document is kept."""
-    c = counters(F.col("t"))
-    base = docs.select(F.col(text).alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
-    base = base.select("lang", "source", *[v.alias(k) for k, v in c.items()]).where(F.col("n_words") >= MIN_WORDS)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in measures({k: F.col(k) for k in c}).items()]))
-    return base.select("lang", "source", each.alias("m")).select("lang", "source", "m.*").groupBy("lang", "source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
+def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of docs (all, unless given), the group as _quality_l and _quality_s, and the counters as
+    _quality_c; computed once and written to the shared folder."""
+    group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit(""))
+    c = F.struct(*[v.alias(k) for k, v in counters(F.col(f"`{text}`")).items()])
+    keep = [F.col(f"`{x}`") for x in (docs.columns if carry is None else carry)]
+    return written(docs.select(*keep, group(lang).alias("_quality_l"), group(source).alias("_quality_s"), c.alias("_quality_c")), "quality")
+
+
+def sketch(rows: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, n) of all rows of ``counted`` with at least MIN_WORDS words."""
+    c = {k: F.col(f"_quality_c.{k}") for k in rows.schema["_quality_c"].dataType.names}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in measures(c).items()]))
+    base = rows.where(c["n_words"] >= MIN_WORDS).select(F.col("_quality_l").alias("lang"), F.col("_quality_s").alias("source"), each.alias("m"))
+    return base.select("lang", "source", "m.*").groupBy("lang", "source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge(sketches: DataFrame, *keys: str) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def limits(sketches: DataFrame, *keys: str, min_rows: int = MIN_ROWS, fence: int = FENCE, spreads: dict[str, int] = SPREADS) -> DataFrame:
+def limits(sketches: DataFrame, *keys: str, min_rows: int = MIN_ROWS, fence: int = FENCE) -> DataFrame:
     """Keys, and a low and a high limit for each measure. A group has some hundred buckets, however many documents."""
     w = Window.partitionBy(*keys, "measure")
     run = sketches.withColumn("below", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("below") * 100 >= F.col("total") * q, F.col("bucket")))
     q = run.groupBy(*keys, "measure").agg(at(25).alias("b25"), at(75).alias("b75"), F.max("total").alias("total")).where(F.col("total") >= min_rows)
     q = q.select(*keys, "measure", bucket_low(F.col("b25")).alias("q25"), bucket_low(F.col("b75") + 1).alias("q75"))
-    width = F.element_at(F.create_map(*[F.lit(x) for kv in spreads.items() for x in kv]), F.col("measure"))
-    step = fence * F.greatest(F.col("q75") - F.col("q25"), width)
+    least = F.element_at(F.create_map(*[F.lit(x) for kv in RESOLUTION.items() for x in kv]), F.col("measure"))
+    step = fence * F.greatest(F.col("q75") - F.col("q25"), least)
     q = q.select(*keys, "measure", F.struct((F.col("q25") - step).alias("lo"), (F.col("q75") + step).alias("hi")).alias("f"))
-    return q.groupBy(*keys).agg(F.struct(*[F.max(F.when(F.col("measure") == k, F.col("f"))).alias(k) for k in SPREADS]).alias("limits"))
+    return q.groupBy(*keys).agg(F.struct(*[F.max(F.when(F.col("measure") == k, F.col("f"))).alias(k) for k in RESOLUTION]).alias("limits"))
 
 
-def thresholds(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, fence: int = FENCE, spreads: dict[str, int] = SPREADS) -> DataFrame:
-    """(lang, source, limits) for each language and source of docs; the wider sketches are merged from the narrow ones."""
-    fine = cut(sketch(docs, text, lang, source))  # some hundred rows a group
+def thresholds(rows: DataFrame, min_rows: int = MIN_ROWS, fence: int = FENCE) -> DataFrame:
+    """(lang, source, limits) for each group of the rows of ``counted``; the wider sketches are merged from the narrow ones."""
+    fine = cut(sketch(rows))  # some hundred rows a group
     by_lang = merge(fine, "lang")
     whole = merge(by_lang)
     groups = fine.select("lang", "source").distinct()
-    out = groups.join(limits(fine, "lang", "source", min_rows=min_rows, fence=fence, spreads=spreads).withColumnRenamed("limits", "own"), ["lang", "source"], "left")
-    out = out.join(limits(by_lang, "lang", min_rows=min_rows, fence=fence, spreads=spreads).withColumnRenamed("limits", "wide"), "lang", "left")
-    out = out.join(F.broadcast(limits(whole, min_rows=1, fence=fence, spreads=spreads).withColumnRenamed("limits", "all")), how="left")  # one row
+    out = groups.join(limits(fine, "lang", "source", min_rows=min_rows, fence=fence).withColumnRenamed("limits", "own"), ["lang", "source"], "left")
+    out = out.join(limits(by_lang, "lang", min_rows=min_rows, fence=fence).withColumnRenamed("limits", "wide"), "lang", "left")
+    out = out.join(F.broadcast(limits(whole, min_rows=1, fence=fence).withColumnRenamed("limits", "all")), how="left")  # one row
     return out.select("lang", "source", F.coalesce("own", "wide", "all").alias("limits"))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, fence: int = FENCE, spreads: dict[str, int] = SPREADS) -> DataFrame:
-    """docs and a struct ``_quality`` of counters, base_failed and kept."""
-    c = counters(F.col(f"`{text}`"))
-    named = docs.withColumn("_quality_c", F.struct(*[v.alias(k) for k, v in c.items()], repeat_words(words(F.col(f"`{text}`"))).alias("n_repeat_words")))
-    at = {k: F.col(f"_quality_c.{k}") for k in [*c, "n_repeat_words"]}
-    m = F.struct(*[v.alias(k) for k, v in measures(at).items()])
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, fence: int = FENCE, carry: list[str] | None = None, small_groups: int = SMALL_GROUPS) -> DataFrame:
+    """The columns ``carry`` of docs (all, unless given) and a struct ``_quality`` of counters, base_failed and kept."""
+    rows = counted(docs, text, lang, source, carry)
+    names = [x for x in rows.columns if not x.startswith("_quality")]
+    t = cut(thresholds(rows, min_rows, fence).select(F.col("lang").alias("_quality_l"), F.col("source").alias("_quality_s"), F.col("limits").alias("_quality_t")))
+    if t.count() <= small_groups:
+        joined = rows.join(F.broadcast(t), ["_quality_l", "_quality_s"], "left")
+    else:
+        salted = t.withColumn("_quality_x", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("_quality_c", *[F.col(f"`{x}`") for x in names if dict(rows.dtypes)[x] in ("bigint", "int", "string")]), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("_quality_x", salt).join(salted, ["_quality_l", "_quality_s", "_quality_x"], "left")
+    at = {k: F.col(f"_quality_c.{k}") for k in rows.schema["_quality_c"].dataType.names}
+    m = measures(at)
+    bad = F.coalesce(m["word_length"] < F.col("_quality_t.word_length.lo"), F.lit(False))
+    for k in RESOLUTION:
+        bad = bad | F.coalesce(m[k] > F.col(f"_quality_t.{k}.hi"), F.lit(False))
     failed = (at["n_words"] < MIN_WORDS) | (100 * at["n_repeat_words"] > 50 * at["n_words"])
-    named = named.withColumn("_quality_m", m).withColumn("_quality_f", failed)
-    keyed = named.withColumn("_quality_l", F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(""))).withColumn("_quality_s", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")))
-    t = thresholds(docs, text, lang, source, min_rows, fence, spreads).select(F.col("lang").alias("_quality_l"), F.col("source").alias("_quality_s"), F.col("limits").alias("_quality_t"))
-    joined = keyed.join(t, ["_quality_l", "_quality_s"], "left")
-    beyond = [F.col(f"_quality_m.{k}") > F.col(f"_quality_t.{k}.hi") for k in SPREADS] + [F.col("_quality_m.word_length") < F.col("_quality_t.word_length.lo")]
-    bad = F.lit(False)
-    for x in beyond:
-        bad = bad | F.coalesce(x, F.lit(False))
-    q = F.struct(*[v.alias(k) for k, v in at.items()], F.col("_quality_f").alias("base_failed"), (~F.col("_quality_f") & ~bad).alias("kept"))
-    return joined.select(*[F.col(f"`{x}`") for x in docs.columns], q.alias("_quality"))
+    q = F.struct(*[v.alias(k) for k, v in at.items()], failed.alias("base_failed"), (~failed & ~bad).alias("kept"))
+    return joined.select(*[F.col(f"`{x}`") for x in names], q.alias("_quality"))
 
 
 def filter_quality(docs: DataFrame, **kw) -> DataFrame:
-    """The documents that pass, with the columns that they came with."""
+    """The documents that pass, with the columns that they came with. They are read from the written table, which stays in
+    the shared folder until common.clear."""
     return judge(docs, **kw).where("_quality.kept").drop("_quality")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from knowmill.llm.common import table
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    q = judge(docs)
+    q = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry=["doc_id"])
     return q.select("doc_id", *[f"_quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
@@ -204,9 +215,10 @@ def oracle() -> str:
         "marks": "1000 * n_marks // greatest(word_chars, 1)",
         "capitals": "1000 * n_capitals // greatest(word_chars, 1)",
         "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)",
+        "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
         "word_length": "100 * word_chars // greatest(n_words, 1)",
     }
-    spread = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SPREADS.items()) + " END"
+    spread = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RESOLUTION.items()) + " END"
 
     def limit(src: str, keys: str, least: int) -> str:
         by = f"{keys}, " if keys else ""
@@ -216,7 +228,7 @@ def oracle() -> str:
                   FROM (SELECT *, sum(n) OVER ({part} ORDER BY bucket) AS below, sum(n) OVER ({part}) AS total FROM {src}) GROUP BY {by}measure) WHERE total >= {least}"""
 
     return f"""
-    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source FROM documents),
     w AS (SELECT rid, list_filter(regexp_split_to_array(t, '{ws}+'), lambda x: x <> '') AS w FROM d),
     tri AS (SELECT rid, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
     twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM tri) WHERE c > 1),

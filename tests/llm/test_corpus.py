@@ -88,8 +88,8 @@ def test_pipeline_limits_follow_the_group(spark):
     odd = rows[0][1].split("\n")
     rows.append((900, "\n".join(odd + odd[:9]), "en", "plain", 0, "x"))  # 31 percent repeated lines where nobody has any
     docs = spark.createDataFrame(rows, DOC)
-    limit = {r.source: r.limits for r in quality.thresholds(docs, spreads=quality.FLOORS).collect()}
-    for k in quality.FLOORS:
+    limit = {r.source[1:]: r.limits for r in quality.thresholds(quality.counted(docs)).collect()}
+    for k in quality.RESOLUTION:
         assert limit["plain"][k].hi < limit["rich"][k].hi, k
     stage = dict(corpus_pipeline.STAGES)["quality_rules"]
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == set(range(200))
@@ -100,6 +100,15 @@ def test_quality_empty_and_null_groups(spark):
     assert quality.filter_quality(empty).count() == 0 and quality.filter_quality(empty).columns == empty.columns
     d = documents(spark, [(1, LONG), (1, LONG)]).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
     assert quality.judge(d).count() == 2
+    named = spark.createDataFrame([(1, LONG, None, None, 0, "x"), (2, LONG, "", "", 0, "x")], DOC)  # null and empty are two groups
+    assert quality.thresholds(quality.counted(named)).count() == 2
+
+
+def test_quality_beyond_the_broadcast_bound(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(("a", "bb", "ccc##", "dddd")) for _ in range(rng.randint(10, 200)))) for i in range(80)]
+    few, many = (sorted((r.doc_id, tuple(r._quality)) for r in quality.judge(documents(spark, rows), small_groups=n).collect()) for n in (10, 0))
+    assert few == many and len(few) == 80
 
 
 def test_buckets_are_monotone_and_close(spark):
