@@ -2,9 +2,11 @@
 
     conversation = turn*          turn = "### " role ": " text "</turn>" LF
 
-The parser is deterministic: it reads a role up to the first ": ", a text up to the first "</turn>" LF, and takes one
-backslash out of each "<\\.../turn>" of the text, or one "%" escape out of the role. A turn is first rendered as it is;
-if the parser does not recover it, its conflicting parts are escaped, once more each time, until it does.
+The parser is deterministic and strict: it reads a role up to the first ": " and a text up to the first "</turn>", which a
+line feed must follow; a "### " anywhere else in a turn is an error. It then takes one backslash out of each "<\\.../turn>"
+and "\\...### " of the text, and the "%" escapes out of the role. A turn is first rendered as it is; if the parser does not
+recover it, its control strings are escaped, in the text and then in the role too, until it does. So no text of the output
+holds a bare "</turn>" or "### ".
 
 Rendering is done where the rows lie. Conversations are then gathered by id, sorted and streamed, so that even one with
 a third of all turns needs the memory of one part only: an output row holds whole turns up to PART_CHARS, and a longer
@@ -23,54 +25,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-END = "</turn>"
+MARK, END = "### ", "</turn>"
 PART_CHARS = 1 << 20
-STUFFED = re.compile(r"<(\\*)/turn>")
-UNSTUFF = re.compile(r"<\\(\\*)/turn>")
+#: Control strings with the backslashes before them; each start is tried once, so long runs of backslashes cost no more.
+STUFF = ((re.compile(r"<(\\*+)/turn>"), r"<\\\1/turn>"), (re.compile(r"(?<!\\)(\\*+)### "), r"\\\1### "))
+UNSTUFF = ((re.compile(r"<\\(\\*+)/turn>"), r"<\1/turn>"), (re.compile(r"(?<!\\)\\(\\*+)### "), r"\1### "))
+BARE = re.compile(r"(?<!\\)### ")
+ROLE = {"%": "%p", ":": "%c", "\n": "%n", "#": "%h", "<": "%l"}
+ROLE_BACK = {v[1]: k for k, v in ROLE.items()}
+
+
+def substituted(text: str, rules) -> str:
+    for pattern, by in rules:
+        text = pattern.sub(by, text)
+    return text
+
+
+def unescape(text: str) -> str:
+    return substituted(text, UNSTUFF)
 
 
 def parse(text: str) -> list[tuple[str, str, int, int]]:
     """(role, text, from, to) of each turn; from and to bound the text as it stands."""
     out, at = [], 0
     while at < len(text):
-        if not text.startswith("### ", at):
+        colon = text.index(": ", at + len(MARK))
+        end = text.index(END, colon + 2)
+        role, body = text[at + len(MARK) : colon], text[colon + 2 : end]
+        if not text.startswith(MARK, at) or not text.startswith(END + "\n", end) or MARK in role or END in role or BARE.search(body):
             raise ValueError(f"no turn at {at}")
-        colon = text.index(": ", at + 4)
-        end = text.index(END + "\n", colon + 2)
-        role = text[at + 4 : colon]
-        out.append((re.sub("%(%*[cn])", lambda m: ":" if m[1] == "c" else "\n" if m[1] == "n" else m[1], role), UNSTUFF.sub(r"<\1/turn>", text[colon + 2 : end]), colon + 2, end))
+        out.append((re.sub("%([pcnhl])", lambda m: ROLE_BACK[m[1]], role), unescape(body), colon + 2, end))
         at = end + len(END) + 1
     return out
 
 
-def recovered(piece: str, role: str, text: str) -> tuple[bool, bool]:
-    """Whether the parser recovers the role, and the text, from a turn that is followed by another."""
+def recovered(piece: str, role: str, text: str) -> bool:
     try:
-        got = parse(piece)
+        return [t[:2] for t in parse(piece)] == [(role, text)]
     except ValueError:
-        got = []
-    if len(got) != 1:
-        return ": " not in role and not role.endswith(":"), False
-    return got[0][0] == role, got[0][1] == text
-
-
-def escape_role(role: str) -> str:
-    return re.sub("%*[cn]", lambda m: "%" + m[0] if m[0][0] == "%" else m[0], role).replace(":", "%c").replace("\n", "%n")
+        return False
 
 
 def render(role: str, text: str) -> str:
-    a, b = role, text
-    while True:
-        piece = f"### {a}: {b}{END}\n"
-        role_ok, text_ok = recovered(piece, role, text)
-        if role_ok and text_ok:
+    stuffed = substituted(text, STUFF)
+    for a, b in ((role, text), (role, stuffed), ("".join(ROLE.get(c, c) for c in role), stuffed)):
+        piece = f"{MARK}{a}: {b}{END}\n"
+        if recovered(piece, role, text):
             return piece
-        if not role_ok and a == role:
-            a = escape_role(role)
-        elif not text_ok and b == text:
-            b = STUFFED.sub(r"<\\\1/turn>", text)
-        else:
-            raise AssertionError("the escapes are not reversible")
+    raise AssertionError("the escapes are not reversible")
 
 
 PIECES = "conv_id bigint, turn bigint, role string, text string, piece string"
@@ -145,7 +147,7 @@ def read_back(parts: DataFrame) -> DataFrame:
                     state[1] += 1
                     state[2].update(f"{role}\n{t}\n".encode())
                 for a, z in mask:
-                    t = UNSTUFF.sub(r"<\1/turn>", text[a:z])
+                    t = unescape(text[a:z])
                     state[3] += len(t)
                     state[4].update(t.encode())
                 state[5] += len(text)
@@ -179,7 +181,7 @@ def oracle() -> str:
     return rf"""
     WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}'),
-    r AS (SELECT *, CASE WHEN regexp_matches(text, '</turn>\n|<\\+/turn>') THEN regexp_replace(text, '<(\\*)/turn>', '<\\\1/turn>', 'g') ELSE text END AS e FROM c)
+    r AS (SELECT *, regexp_replace(regexp_replace(text, '<(\\*)/turn>', '<\\\1/turn>', 'g'), '(\\*)### ', '\\\1### ', 'g') AS e FROM c)
     SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
            sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
