@@ -4,9 +4,11 @@ A pattern is a window of consecutive words of a benchmark item. For each length
 of two words says how far the search may advance, m - 1 words where the block is in no window, so most words are never
 looked at; where the shift is 0, the bucket of the block (the window's suffix) holds the windows to compare directly.
 
-The benchmark comes to the driver in blocks of at most BLOCK_BYTES and is sent to the tasks block by block; the
-documents are read once, without a shuffle, and a document is never cut. A task holds a batch of documents and one
-block of the benchmark.
+A benchmark of at most BLOCK_BYTES, counted first, goes to the tasks as a broadcast, and the documents are read once, without
+a shuffle. A larger one stays in the cluster: it is written in blocks of about BLOCK_BYTES to the shared folder, every part
+of the documents is searched for every block by a task that builds the block's tables once, and what is found, keyed by
+the text's MD5, is merged and joined to the documents. A task holds a batch of documents and one block either way, and a
+document is never cut.
 
 Null or wordless texts: no word, nothing hit. Wordless items: no window. Items with a null id mark words but are not
 listed. Repeated items count once. Empty tables: empty result, or nothing hit.
@@ -16,16 +18,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knowmill.llm.common import lean
+from knowmill.llm.common import cut, lean, new_folder, place, uri_of
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+#: A window takes some 600 bytes of a task.
+BLOCK_BYTES = 2 << 20
+#: Texts with hits that may be broadcast.
+SMALL_ROWS = 100_000
 #: In lower-cased UTF-8, the bytes of [^\x00-\x2F\x3A-\x60\x7B-\x7F]
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -89,38 +97,73 @@ def joined(runs: list[tuple]) -> list[list[int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, size: int) -> list[list[tuple]]:
-    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("t"))
-    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = 1 + total // size
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[(r.i, None if r.t is None else bytes(r.t)) for r in (rows.where(part == k) if n > 1 else rows).toLocalIterator()] for k in range(n)]
+def search(each: list[list], tables: list[Search]) -> list[dict]:
+    """What tables find in lists of words."""
+    rows = []
+    for w in each:
+        runs: list[tuple] = []
+        items: set = set()
+        for s in tables:
+            s.find(w, runs, items)
+        merged = joined(runs)
+        rows.append({"n_words": len(w), "n_hit": sum(z - a for a, z in merged), "items": sorted(x for x in items if x is not None), "runs": merged})
+    return rows
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "_hits", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs and a struct ``out``: n_words, n_hit, items (ids sorted as strings) and runs of hit words [from, to)."""
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(b) for b in blocks(benchmark, item, item_text, block_bytes)]
+    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.encode(F.col(f"`{item_text}`"), "UTF-8").alias("t"))
+    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    if total > block_bytes:
+        return scan_blocks(docs, rows, 1 + total // block_bytes, text, out)
+    sent = docs.sparkSession.sparkContext.broadcast([(r.i, None if r.t is None else bytes(r.t)) for r in rows.collect()])  # at most block_bytes
     at = docs.columns.index(text)
 
     def run(batches):
-        once = build(sent[0].value) if len(sent) == 1 else None
+        tables = build(sent.value)
         for batch in batches:
-            each = [words(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            found = [([], set()) for _ in each]
-            for b in sent:
-                for s in once or build(b.value):
-                    for w, (runs, items) in zip(each, found, strict=True):
-                        s.find(w, runs, items)
-            rows = []
-            for w, (runs, items) in zip(each, found, strict=True):
-                runs = joined(runs)
-                rows.append({"n_words": len(w), "n_hit": sum(z - a for a, z in runs), "items": sorted(x for x in items if x is not None), "runs": runs})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, ARROW)], names=[*batch.schema.names, out])
+            found = search([words(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], tables)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, ARROW)], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(out, OUT)]))
 
 
+def scan_blocks(docs: DataFrame, rows: DataFrame, n: int, text: str, out: str) -> DataFrame:
+    """scan() with ``n`` blocks of the benchmark's rows (i, t); nothing of it comes to the driver."""
+    folder = uri_of(new_folder(docs.sparkSession, "benchmark"))
+    rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n))).repartition("block").write.partitionBy("block").parquet(folder)
+    texts = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
+
+    def block(k: int):
+        def run(batches):
+            store, local = place(f"{folder}/block={k}")
+            try:
+                names = [f.path for f in store.get_file_info(fs.FileSelector(local)) if f.path.endswith(".parquet")]
+            except FileNotFoundError:  # no row fell into the block
+                names = []
+            tables = build([r for name in names for r in zip(*pq.read_table(name, filesystem=store, columns=["i", "t"]).to_pydict().values(), strict=True)])
+            for batch in batches:
+                blobs = batch.column(0).cast(pa.binary()).to_pylist()
+                hits = [(hashlib.md5(t).hexdigest(), r["items"], r["runs"]) for t, r in zip(blobs, search([words(t) for t in blobs], tables), strict=True) if r["n_hit"]]
+                yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], kind) for c, kind in enumerate((pa.string(), ARROW.field("items").type, ARROW.field("runs").type))], names=["md5", "items", "runs"])
+
+        return texts.mapInArrow(lean(run), "md5 string, items array<string>, runs array<array<bigint>>")
+
+    found = reduce(DataFrame.unionByName, [block(k) for k in range(n)])
+    one = found.groupBy("md5").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.flatten(F.collect_set("runs")).alias("runs"))
+
+    def merge(batches):
+        for b in batches:
+            runs = [joined([tuple(r) for r in x]) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(runs, ARROW.field("runs").type), pa.array([sum(z - a for a, z in x) for x in runs], pa.int64())], names=["_md5", "_items", "_runs", "_n_hit"])
+
+    hits = cut(one.mapInArrow(merge, "_md5 string, _items array<string>, _runs array<array<bigint>>, _n_hit bigint"))
+    n_words = F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")).cast("bigint")
+    value = F.struct(n_words.alias("n_words"), F.coalesce("_n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"), F.coalesce("_runs", F.array().cast("array<array<bigint>>")).alias("runs"))
+    side = F.broadcast(hits) if hits.count() <= SMALL_ROWS else hits
+    return docs.withColumn("_md5", F.md5(F.col(f"`{text}`").cast("binary"))).join(side, "_md5", "left").select(*[F.col(f"`{c}`") for c in docs.columns], value.alias(out))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs."""
     return scan(docs, benchmark).where("_hits.n_hit = 0").drop("_hits")

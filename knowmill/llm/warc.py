@@ -21,12 +21,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knowmill.llm.common import cut, new_folder, table
+from knowmill.llm.common import cut, delete, new_folder, place, table, uri_of
 
 ROLL_BYTES = 64 << 20
 REVISIT_BYTES = 1000
@@ -100,10 +99,13 @@ def parse(member: Iterator[bytes]) -> dict:
     block = data[:size]
     if data[size:] != b"\r\n\r\n":
         raise ValueError("a record must end with two line ends")
-    if fields.get(b"warc-block-digest", b32(hashlib.sha1(block).digest())) != b32(hashlib.sha1(block).digest()):
+    def agrees(name: bytes, part: bytes) -> bool:
+        return name not in fields or fields[name] == b32(hashlib.sha1(part).digest())
+
+    if not agrees(b"warc-block-digest", block):
         raise ValueError("block digest differs")
     payload = block.partition(b"\r\n\r\n")[2] if b"application/http" in fields.get(b"content-type", b"") else block
-    if fields[b"warc-type"] != b"revisit" and fields.get(b"warc-payload-digest", b32(hashlib.sha1(payload).digest())) != b32(hashlib.sha1(payload).digest()):
+    if fields[b"warc-type"] != b"revisit" and not agrees(b"warc-payload-digest", payload):
         raise ValueError("payload digest differs")
     return {"fields": fields, "payload": payload}
 
@@ -135,14 +137,6 @@ def members(stream, name: str) -> Iterator[dict]:
         number += 1
 
 
-def place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
-def uri_of(folder: str) -> str:
-    return "file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder
-
-
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Archives in ``folder`` with a record for each row of pages; returns their manifest."""
     folder = uri_of(folder)
@@ -209,11 +203,6 @@ def read(manifest: DataFrame, payload: bool = True) -> DataFrame:
     return manifest.select("path").mapInArrow(run, RECORD)
 
 
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     manifest = write(table(spark, sf_dir, "pages"), folder)
