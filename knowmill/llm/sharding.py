@@ -3,11 +3,11 @@
 With one more shard a key either stays or moves into the new shard, and 1/(n+1) of the keys move. The generator is the
 64-bit linear congruential one of the published algorithm, here in decimals so that products do not overflow.
 
-``slot`` numbers the rows of a shard from 0 without gaps. A shard is cut into BINS by other bits of the key's first
-draw; rows are ordered within a bin, and the bins' counts, of which there are at most shards * BINS whatever the input,
-give each bin its offset. No task gets a whole shard.
+``slot`` numbers the rows of a shard from 0 without gaps. A shard is cut into BINS by a hash of key, checksum and size;
+rows are ordered within a bin, and the bins' counts, of which there are at most shards * BINS whatever the input, give
+each bin its offset. No task gets a whole shard, nor all rows of a key that differ.
 
-Null key: as key 0. Null text: no bytes (size 8, CRC 0). Equal keys share a shard and a bin. Empty table: empty result.
+Null key: as key 0. Null text: no bytes (size 8, CRC 0). Equal keys share a shard, and rows with equal texts too share a bin. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -59,19 +59,20 @@ def shard(df: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame
 
 
 def place(df: DataFrame, key: str, shards: int = SHARDS, order: tuple[str, ...] = ()) -> DataFrame:
-    """df with shard, grown_shard and slot, equal keys ordered by ``order``. Carry only narrow columns through it."""
-    bin_of = lambda d: d.withColumn("_bin", (F.call_function("div", draw(unsigned(integer_key(d, key))), F.lit("2097152").cast("decimal(20,0)")).cast("bigint") % BINS).cast("int"))
-    counts = bin_of(shard(df.select(key), key, shards)).groupBy("shard", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    """df with shard, grown_shard and slot. A bin is chosen by key and ``order``, in which rows of a bin are ordered, so that
+    rows of one key are in one bin only if they agree in all of it. Carry only narrow columns through it; df is read twice."""
+    rows = shard(df, key, shards).withColumn("_bin", F.pmod(F.xxhash64(key, *order), F.lit(BINS)).cast("int"))
+    counts = rows.groupBy("shard", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint").alias("_from"))
     w = Window.partitionBy("shard", "_bin").orderBy(key, *order)
-    rows = bin_of(shard(df, key, shards)).withColumn("_at", F.row_number().over(w))
+    rows = rows.withColumn("_at", F.row_number().over(w))
     return rows.join(F.broadcast(offsets), ["shard", "_bin"]).withColumn("slot", (F.col("_from") + F.col("_at") - 1).cast("bigint")).drop("_from", "_at", "_bin")  # at most shards * BINS rows
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from knowmill.llm.common import table
+    from knowmill.llm.common import cut, table
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))  # each text is read once
     return place(docs, "doc_id", SHARDS, ("text_crc32", "size")).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
