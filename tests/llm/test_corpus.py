@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -156,7 +157,11 @@ def test_sharding_query(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         t = (r.text or "").encode()
         g = got[r.doc_id]
-        assert (g["size"], g.text_crc32, g.shard, g.law) == (len(t) + 8, zlib.crc32(t), jump(r.doc_id, 24), "key")
+        assert (g["size"], g.text_crc32, g.shard, g.law, g.grown_shard) == (len(t) + 8, zlib.crc32(t), jump(r.doc_id, 24), "key", jump(r.doc_id, 25))
+    slots = defaultdict(list)
+    for g in got.values():
+        slots[g.shard].append(g.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
 # Decontamination
@@ -240,6 +245,23 @@ def test_render_is_reversible(role, text):
     assert [(r, t) for r, t, _, _ in both] == [(role, text), ("z", "t")]
 
 
+def test_no_bare_control_strings():
+    rng = random.Random(2)
+    bits = ["\\", "### ", "#", "</turn>", "<", "/turn>", "\n", " ", ":", "a", "%c"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
+        body = chat.render("user", text)[len("### user: ") : -len("</turn>\n")]
+        assert "</turn>" not in body and not re.search(r"(?<!\\)### ", body)
+    chat.render("user", "\\" * 1_000_000)
+
+
+def test_chat_long_text(spark):
+    long = "é</turn>\n### a: " * 100_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id bigint, turn bigint, role string, text string")
+    r = chat.read_back(chat.format_conversations(df)).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
 def test_chat_parts_and_digests(spark):
     rows = [(1, k, "assistant" if k % 2 else "user", f"t{k}</turn>\n" * k) for k in range(40)] + [(None, None, None, None), (2, 0, "assistant", "same"), (2, 0, "assistant", "same")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, piece string")
@@ -304,6 +326,40 @@ def test_html_keeps_whole_container(body, want):
     assert html_text.extract(f"<html><body>{body}</body></html>") == "\n".join(x.strip() for x in want)
 
 
+def test_html_malformed():
+    rng = random.Random(8)
+    bits = ["<", ">", "<div", "</div>", "<p>", "<x(", ' class="ad"', '"', "'", "<!--", "-->", "<script>", "</script", "<li>", "</ul>", "<ul>", "text ", "<article>", "</article>", "<aside>", "</aside>", "/", "=", "&amp;", "&#x", "<table><td>"]
+    for _ in range(3000):
+        html_text.extract("".join(rng.choice(bits) for _ in range(rng.randint(1, 40))))
+    assert html_text.extract('<x( class="ad">hi') == "hi"
+    began = time.monotonic()
+    for part in ('<a "', '<div class="ad">x', "<", '<a "> <a ' + "'> ", "<!--", "<ul><li class=ad>x", "<div>", "<p>some <b>words</b></p>"):
+        html_text.extract(part * ((1 << 20) // len(part)))
+    assert time.monotonic() - began < 60  # linear; any of them took an hour otherwise
+
+
+def stripped(page):
+    """Without semantic elements, classes and ids."""
+    return re.sub(r'\s(?:class|id|role)="[^"]*"', "", re.sub(r"<(/?)(?:article|main|nav|footer|aside|header)\b", r"<\1div", page))
+
+
+def test_html_distribution_decides(spark, sf):
+    """The given pages with all that names the article taken away."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    want = {r.page_id: html_text.extract(r.html) for r in rows}
+    both = made = full = 0
+    for r in rows:
+        a, b = Counter(want[r.page_id].split("\n")), Counter(html_text.extract(stripped(r.html or "")).split("\n"))
+        size = lambda c: sum(len(k) * n for k, n in c.items())
+        both, made, full = both + size(a & b), made + size(b), full + size(a)
+    assert both >= 0.98 * made and both >= 0.98 * full
+
+
+def test_html_hints_in_articles():
+    body = f"<article><p>{SAY}</p><div class='side effects'><p>a</p></div><div class=search>b</div><div class=related>c</div><aside>no</aside></article><article><p>d</p></article>"
+    assert html_text.extract(body) == f"{SAY.strip()}\na\nb\nc\nd"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article>x</article>", "old"), (1, "u", None, "old")], "page_id bigint, url string, html string, text string")
     assert [tuple(r) for r in html_text.extract_text(df).collect()] == [(1, "u", "x"), (1, "u", "")]
@@ -346,16 +402,42 @@ def test_url_mining(spark):
     labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows[:400]] + [(None, None, None)], "doc_id bigint, quality int, toxic int")
     got = {r.page_id: r._url.verdict for r in urls.judge(pages, labels).collect()}
     assert all(got[i] == ("block" if t else "allow") for i, _, t in rows)
-    rules = urls.mine(spark.createDataFrame([(u, bool(t)) for _, u, t in rows[:400]], "url string, bad boolean"))
+    rules = [tuple(r.rule) for r in urls.mine(spark.createDataFrame([(u, bool(t)) for _, u, t in rows[:400]], "url string, bad boolean")).collect()]
+    assert rules and not any(set(a) < set(b) for a in rules for b in rules)
+    joined = {r.page_id: r._url.verdict for r in urls.judge(pages, labels, small_rules=0).collect()}
+    assert joined == got
     items = {i: set(x.t) for i, x in enumerate(pages.select(urls.tokens(F.col("url")).alias("t")).collect())}
     for r in rules:  # by counting
         have = [i for i in range(400) if set(r) <= items[i]]
         bad = sum(rows[i][2] for i in have)
         assert bad / len(have) >= urls.MIN_CONFIDENCE and bad >= urls.MIN_ROWS
-    assert urls.mine(spark.createDataFrame([], "url string, bad boolean")) == []
+    assert urls.mine(spark.createDataFrame([], "url string, bad boolean")).count() == 0
     assert urls.judge(pages.limit(0), labels.limit(0)).count() == 0
 
 
+def test_url_query_on_whole_tables_with_planted_labels(spark, sf):
+    """The given pages; a label is bad where the path lies below /de/, and some others are."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    rows = pages.collect()
+    below = {r.page_id: "/de/" in urls_path(r.url) for r in rows}
+    if sum(below.values()) < 2 * urls.MIN_ROWS:
+        pytest.skip("too few pages")
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in below.items()], "doc_id bigint, quality int, toxic int")
+    for r in urls.judge(pages.union(pages), labels).collect():  # repeated pages
+        assert r._url.verdict == (dict(urls.RULES)[r._url.rule] if r._url.rule else "block" if below[r.page_id] else "allow")
+
+
+def urls_path(u):
+    return re.match("[^/?#]*([^?#]*)", u.split("://", 1)[1])[1] if u and "://" in u else ""
+
+
+def test_url_long_and_null(spark):
+    long = "http://a.net/" + "x/" * 200_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, None)], "page_id bigint, url string")
+    got = urls.judge(df, spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).collect()
+    assert [r._url.verdict for r in got] == ["block", "block", "allow"]
+
+
 # Near duplicates
 
 
@@ -491,12 +573,49 @@ def test_base_spans_equal_the_patterns():
     assert pii.base_spans("a" * 300_000 + "@") == [] and len(pii.base_spans("1" * 200_000)) == 0
 
 
-def test_field_on_held_out_lines():
-    made = ["ring me: (617) 555-2368 tonight", "and +1 (212) 555-7788 or", 'the token = "0f1e2d3c4b5a69788796a5b4c3d2e1f0" was', "iban NL91ABNA0417164300 here", "my ssn 123-45-6789 is"]
-    clean = ["In 2024 we sold 15 of them for 3.50 each", "version 2.0.1 on page 12", "he was 4th in 1987", "MIT License, version 3. See 4.0.", "at 10:30 on 2021-05-06", "un 12 de la 7"]
-    found = pii.learned_spans(made + clean)
-    assert sum(1 for x in found[: len(made)] if x) >= 4
-    assert all(not x for x in found[len(made) :])
+def held_out(kind, rng):
+    """A line with a span of a kind, in words that the labelled table does not use that way."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    up = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    mix = lambda n: "".join(rng.choice("ABCDEFGHabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    hexa = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((32, 40))))
+    body = {
+        "phone": [f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}"],
+        "secret": [f'token = "{hexa}"', f"AKIA{up(16)}", f"sk-{mix(28)}", f"password: gizmo{d(2)}", f'api_key = "{hexa}"'],
+        "ident": [f"ssn {d(3)}-{d(2)}-{d(4)}", f"iban DE{d(20)}", f"passport no. X{d(7)}", f"ssn: {d(3)} {d(2)} {d(4)}"],
+    }[kind]
+    before, after = rng.choice([("we heard that ", " came up"), ("Nachher ", " dann"), ("she wrote ", ". Then"), ("avant ", " après")])
+    return before + rng.choice(body) + after
+
+
+@pytest.mark.parametrize("kind", ["phone", "secret", "ident"])
+def test_field_recall_on_held_out_lines(kind):
+    rng = random.Random(21)
+    lines = [held_out(kind, rng) for _ in range(200)]
+    found = pii.learned_spans(lines)
+    assert sum(any(s[2] == kind for s in x) for x in found) >= 180
+
+
+def test_field_leaves_clean_lines_alone():
+    clean = ["In 2024 we sold 15 of them for 3.50 each", "version 2.0.1 on page 12", "he was 4th in 1987", "MIT License, version 3. See 4.0.", "at 10:30 on 2021-05-06", "un 12 de la 7", "the password was never known", "Größe 42 über 7 Straßen"]
+    assert all(not x for x in pii.learned_spans(clean))
+
+
+def test_field_equals_viterbi_over_whole_texts():
+    import numpy as np
+
+    field, rng = pii.Field(pii.model()), random.Random(3)
+    bits = ["call", "(", ")", "415", "-", "5551212", " ", " the ", "AKIA", "9", "key = ", '"', "é", "X1234567", "ssn ", "\n", ". "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    _, _, contexts, _ = pii.scan(texts)
+    shape = contexts >> 3 * pii.CUE_BITS + 2 * pii.SHAPE_BITS & (1 << pii.SHAPE_BITS) - 1
+    got, at = field.labels(contexts), np.flatnonzero(shape)
+    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+        emit = np.array([field.score(int(x))[0] for x in contexts[run]])
+        value = lambda y: sum(emit[i][k] for i, k in enumerate(y)) + field.start[y[0]] + sum(field.trans[a][b] for a, b in itertools.pairwise(y))  # noqa: B023, E731
+        first = emit.copy()
+        first[0] += field.start
+        assert value(got[run]) >= value(pii.viterbi([first], field.trans)[0]) - 1e-3
 
 
 def test_viterbi_equals_brute_force():
