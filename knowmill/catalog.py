@@ -668,10 +668,10 @@ def banlist(spark, d):
     return L.banlist(p.join(F.broadcast(low), F.col("p_brand") == F.col("b")).select(F.col("p_partkey").alias("path"), F.col("p_name").alias("title"), F.lit("claim").alias("type"), F.lit("deprecated").alias("status"), F.col("p_type").alias("failure_reason"), F.col("p_size").alias("updated")))
 
 
-@query("SELECT c_mktsegment AS facet, min('p' || lpad(c_custkey::VARCHAR, 9, '0')) AS path FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_mktsegment")
+@query("SELECT c_mktsegment AS facet, min('p' || lpad(c_custkey::VARCHAR, 9, '0')) AS path FROM customer GROUP BY c_mktsegment")
 def routing_table(spark, d):
-    p = table(spark, d, "customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')").select(F.concat(F.lit("p"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("path"), F.col("c_mktsegment").alias("facet"), F.lit("").alias("topic"))
-    return L.routing(p, ("BUILDING", "MACHINERY")).select("facet", "path")
+    p = table(spark, d, "customer").select(F.concat(F.lit("p"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("path"), F.col("c_mktsegment").alias("facet"), F.lit("").alias("topic"))
+    return L.routing(p, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")).select("facet", "path")
 
 
 @query("""WITH r AS (SELECT DISTINCT a.n_name AS source, b.n_name AS target, CASE WHEN l_quantity < 10 THEN 'many_to_many' WHEN l_quantity < 30 THEN 'one_to_many' ELSE 'foreign_key' END AS type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey),
@@ -716,11 +716,11 @@ def rest_endpoints(spark, d):
     return extract.rest_endpoints(source_files(spark, d))
 
 
-@query("SELECT 'requests' AS framework, 'POST' AS method, 'h' AS target_ref, 'http://h/c/' || o_custkey AS path, 's' || o_orderkey % 10 || '/f' || o_orderkey || '.py' AS file FROM orders WHERE o_orderkey % 3 = 1")
+@query("SELECT 'requests' AS framework, 'POST' AS method, 'h' AS target_ref, 'http://h/c/' || o_custkey AS path, 's' || o_orderkey % 10 || '/f' || o_orderkey || '.py' AS file, 2::INT AS line FROM orders WHERE o_orderkey % 3 = 1")
 def http_clients(spark, d):
     from knowmill.operators import extract
 
-    return extract.http_clients(source_files(spark, d)).select("framework", "method", "target_ref", "path", "file")
+    return extract.http_clients(source_files(spark, d))
 
 
 @query("""WITH v(o, s) AS (VALUES (0, 'service a'), (1, 'x')) SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'postgres://h/' || p_partkey ELSE 'https://h/' END AS detail FROM part WHERE p_size % 2 = 0""")
@@ -743,17 +743,138 @@ def iso_times(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.format_iso(t).alias("iso"), X.since(F.lit("2d"), t.cast("timestamp")).cast("timestamp_ntz").alias("since"))
 
 
-@query("SELECT CASE WHEN t.c_custkey % 2 = 0 THEN 'aws' ELSE 'github' END AS connector, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'AWS S3 Buckets' ELSE 'Dependency Graph' END AS title FROM customer t")
+@query("SELECT CASE WHEN t.c_custkey % 2 = 0 THEN 'aws' ELSE 'github' END AS connector, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'AWS S3 Buckets' ELSE 'Dependency Graph' END AS title, CASE WHEN c_custkey % 2 = 0 THEN 'graph TB' || chr(10) || '  account(\"AWS Account\")' || chr(10) || '  bucket_' || replace(c_name, '#', '_') || '[\"' || c_name || '\"]' || chr(10) || '  account --> bucket_' || replace(c_name, '#', '_') ELSE 'graph LR' || chr(10) || '  root(\"requirements.txt\")' || chr(10) || '  dep_0[\"a\"]' || chr(10) || '  root --> dep_0' END AS text FROM customer t")
 def connector_diagrams(spark, d):
     from knowmill.operators import decorate
 
     even = F.col("c_custkey") % 2 == 0
     env = F.when(even, F.concat(F.lit('{"status": "success", "action": "list_buckets", "data": {"buckets": [{"name": "'), "c_name", F.lit('"}]}}'))).otherwise(F.lit('{"status": "success", "action": "get_file", "data": {"path": "requirements.txt", "content": "a==1"}}'))
     t = table(spark, d, "customer").select("c_custkey", F.when(even, "aws").otherwise("github").alias("connector"), env.alias("envelope"), F.lit(None).cast("string").alias("error"))
-    return decorate.decorate(t).select("connector", "c_custkey", "diagram.title")
+    return decorate.decorate(t).select("connector", "c_custkey", "diagram.title", "diagram.text")
 
 
-@query("SELECT c_mktsegment AS service_id, count(*) AS n_entities FROM customer GROUP BY c_mktsegment")
+@query("SELECT c_mktsegment AS service_id, count(*) AS n_entities, string_agg(DISTINCT 's.' || c_name, ', ' ORDER BY 's.' || c_name) AS tables FROM customer GROUP BY c_mktsegment")
 def db_traces(spark, d):
     e = table(spark, d, "customer").select(F.col("c_mktsegment").alias("service_id"), F.lit("s").alias("schema_name"), F.col("c_name").alias("table_name"))
-    return V.db_traces(e).select("service_id", "n_entities")
+    return V.db_traces(e)
+
+
+# Extraction, discovery, joins and rules over whole tables -------------------------------------------------------------------
+
+
+def examples_sql() -> str:
+    from knowmill.profiles.examples import EXAMPLES
+
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({', '.join(map(text, (k, f, p, a, b)))})" for k, f, p, _, a, b in EXAMPLES)
+    return f"SELECT * FROM (VALUES {rows}) AS t(kind, framework, file, first, second)"
+
+
+@query(examples_sql())
+def framework_profiles(spark, d):
+    """Every built-in profile on a file of its framework: a parameter table, since no table of the driver holds source code."""
+    from knowmill.operators import extract
+    from knowmill.profiles.examples import EXAMPLES
+
+    f = spark.createDataFrame([(p, c) for _, _, p, c, _, _ in EXAMPLES], "path string, content string")
+    fact = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), "framework", "file", F.col(a).alias("first"), F.col(b).alias("second"))
+    found = [fact(extract.rest_endpoints(f), "rest", "method", "path"), fact(extract.http_clients(f), "client", "method", "path"), fact(extract.queue_endpoints(f), "queue", "role", "queue_name")]
+    for p in extract.load_profiles("orm"):
+        e = extract.orm_entities(f.where(extract.has_marker(p)), p).select(F.lit(p["name"]).alias("framework"), F.col("source_file").alias("file"), "class_name", "table_name")
+        found.append(fact(e, "orm", "class_name", "table_name"))
+    return extract.union(found)
+
+
+def tree(spark, d):
+    """A folder for each customer, with a manifest of one of five kinds."""
+    k, id_ = F.col("c_custkey") % 5, F.col("c_custkey").cast("string")
+    pom = F.concat(F.lit("<project><artifactId>art-"), id_, F.lit("</artifactId><dependency><artifactId>art-"), (F.col("c_custkey") + 1).cast("string"), F.lit("</artifactId></dependency></project>"))
+    path = F.when(k == 0, F.concat(F.lit("s"), id_, F.lit("-service/pom.xml"))).when(k == 1, F.concat(F.lit("libs/l"), id_, F.lit("/pom.xml"))).when(k == 2, F.concat(F.lit("w"), id_, F.lit("/package.json"))).when(k == 3, F.concat(F.lit("n"), id_, F.lit("/app/go.mod"))).otherwise(F.concat(F.lit("x"), id_, F.lit("/deep/er/go.mod")))
+    return table(spark, d, "customer").select(path.alias("path"), F.when(k < 2, pom).when(k == 2, '{"devDependencies": {"vue": "3"}}').otherwise("").alias("content"))
+
+
+@query("""SELECT CASE c_custkey % 5 WHEN 0 THEN 's' || c_custkey || '-service' WHEN 1 THEN 'l' || c_custkey WHEN 2 THEN 'w' || c_custkey ELSE 'n' || c_custkey END AS id,
+    CASE c_custkey % 5 WHEN 0 THEN 's' || c_custkey || '-service' WHEN 1 THEN 'libs/l' || c_custkey WHEN 2 THEN 'w' || c_custkey ELSE 'n' || c_custkey END AS root,
+    CASE c_custkey % 5 WHEN 1 THEN 'library' WHEN 2 THEN 'frontend' ELSE 'service' END AS kind, CASE c_custkey % 5 WHEN 2 THEN 'typescript' WHEN 3 THEN 'go' ELSE 'java' END AS language,
+    CASE c_custkey % 5 WHEN 0 THEN 's' || c_custkey || '-service.url,s' || c_custkey || '-service-service.url,s' || c_custkey || ',art-' || c_custkey WHEN 1 THEN 'l' || c_custkey || '-service.url,art-' || c_custkey WHEN 2 THEN 'w' || c_custkey || '-service.url' ELSE 'n' || c_custkey || '-service.url' END AS aliases
+    FROM customer WHERE c_custkey % 5 < 4""")
+def service_discovery(spark, d):
+    from knowmill.operators import discovery
+
+    return discovery.services(tree(spark, d)).select("id", "root", "kind", "language", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("SELECT 's' || c_custkey || '-service' AS service_id, 'l' || (c_custkey + 1) AS library_id FROM customer WHERE c_custkey % 5 = 0 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)")
+def library_dependencies(spark, d):
+    from knowmill.operators import discovery
+    from knowmill.operators.page_graph import cut
+
+    f = tree(spark, d)
+    return discovery.library_deps(f, cut(discovery.services(f))).select("service_id", "library_id")
+
+
+def calls(spark, d):
+    """services by nation, a route of each, and a client for each order: its customer's nation calls that of the next number,
+    or a host outside."""
+    n = table(spark, d, "nation").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey").cast("bigint").alias("ord"), F.array().cast("array<string>").alias("aliases"), F.lit("service").alias("kind"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey") % 3
+    target = F.when(k == 2, "https://api.far.example/x").otherwise(F.concat(F.lit("http://s"), ((F.col("c_nationkey") + 1) % 25).cast("string"), F.lit("/")))
+    c = o.select(F.col("o_orderkey").cast("bigint").alias("row"), F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("service_id"), target.alias("target_ref"), F.lit(None).cast("string").alias("resolved_target"), F.when(k == 0, "GET").otherwise("POST").alias("method"), F.lit("/orders/{id}").alias("path"), F.lit("f").alias("file"), F.lit(1).alias("line"))
+    return {"services": n, "http_clients": c, "rest_endpoints": n.select(F.col("id").alias("service_id"), F.lit("GET").alias("method"), F.lit("/orders/{key}").alias("path"))}
+
+
+@query("""SELECT o_orderkey AS row, 's' || c_nationkey AS from_service, CASE o_orderkey % 3 WHEN 2 THEN 'ext:http:api.far.example' ELSE 's' || (c_nationkey + 1) % 25 END AS to_service,
+    CASE o_orderkey % 3 WHEN 2 THEN 'external_source' ELSE 'calls' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'GET /orders/{}' WHEN 1 THEN 'POST /orders/{}' ELSE 'http POST api.far.example' END AS detail,
+    CASE o_orderkey % 3 WHEN 0 THEN 'high' ELSE 'medium' END AS confidence FROM orders JOIN customer ON o_custkey = c_custkey""")
+def client_edges(spark, d):
+    t = calls(spark, d)
+    return V.client_edges(t["http_clients"], t["services"], t["rest_endpoints"]).select("row", "from_service", "to_service", "kind", "detail", "confidence")
+
+
+@query("""SELECT DISTINCT 's' || c_nationkey AS from_service, CASE o_orderkey % 3 WHEN 2 THEN 'ext:http:api.far.example' ELSE 's' || (c_nationkey + 1) % 25 END AS to_service, CASE o_orderkey % 3 WHEN 2 THEN 'external_source' ELSE 'calls' END AS kind,
+    CASE o_orderkey % 3 WHEN 0 THEN 'GET /orders/{}' WHEN 1 THEN 'POST /orders/{}' ELSE 'http POST api.far.example' END AS detail FROM orders JOIN customer ON o_custkey = c_custkey""")
+def service_graph_edges(spark, d):
+    return V.service_graph(calls(spark, d)).select("from_service", "to_service", "kind", "detail")
+
+
+def pages_of(spark, d):
+    """documents as pages: frontmatter by number, a link to the page before."""
+    i = F.col("doc_id")
+    fm = F.to_json(F.struct(F.lit("t").alias("title"), F.when(i % 4 == 0, "claim").otherwise("concept").alias("type"), F.when(i % 8 == 0, "deprecated").alias("status"), F.when(i % 16 == 0, "why").alias("failure_reason"), F.when(i % 3 == 0, "2024-01-01").otherwise("2024-05-30").alias("updated"), F.concat(F.lit("h"), i.cast("string")).alias("summary_hash")))
+    return table(spark, d, "documents").select(i.alias("doc_id"), F.concat(F.lit("d/p"), i.cast("string"), F.lit(".md")).alias("path"), F.lit("").alias("content"), F.lit("").alias("body"), fm.alias("fm"))
+
+
+@query("""SELECT 'info' AS severity, 'stale_content' AS category, 'd/p' || doc_id || '.md' AS page, 'Page is 152 days old (threshold 90)' AS detail FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT 'error', 'deprecated_claims', 'd/p' || doc_id || '.md', 'Claim is deprecated but failure_reason is missing or empty.' FROM documents WHERE doc_id % 16 = 8""")
+def page_rules(spark, d):
+    p = pages_of(spark, d)
+    return N.stale(p, "2024-06-01").unionByName(N.deprecated_claims(p))
+
+
+@query("""SELECT CASE o_orderkey % 3 WHEN 0 THEN 'error' ELSE 'warning' END AS severity, 'code_ref_drift' AS category, 'p' || o_custkey AS page, CASE o_orderkey % 3 WHEN 0 THEN 'Referenced file f' || o_orderkey || ' not found' ELSE 'Content hash mismatch for f' || o_orderkey END AS detail FROM orders WHERE o_orderkey % 3 < 2
+    UNION ALL SELECT 'warning', 'references_inventory', 'p' || o_custkey, 'Reference f' || o_orderkey || ' is not in the inventory' FROM orders WHERE o_orderkey % 3 = 0""")
+def source_rules(spark, d):
+    o = table(spark, d, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file"), F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("page"), (F.col("o_orderkey") % 3).alias("k"), F.col("o_orderpriority").alias("content"))
+    refs = o.select("page", "file", F.when(F.col("k") == 1, "other").otherwise(F.sha2(F.col("content").cast("binary"), 256)).alias("content_hash"))
+    files = o.where("k > 0").select(F.col("file").alias("path"), "content")
+    return N.code_ref_drift(o, refs, files).unionByName(N.references_inventory(refs, files.select(F.col("path").alias("file"))))
+
+
+@query("""WITH m AS (SELECT c_custkey, c_custkey % 6 AS s, c_custkey % 4 AS k FROM customer)
+    SELECT c_custkey, CASE s WHEN 0 THEN NULL WHEN 1 THEN 'read' WHEN 2 THEN 'read' WHEN 3 THEN 'dml' WHEN 4 THEN 'ddl' ELSE 'privilege' END AS op,
+    CASE WHEN s IN (0, 4, 5) THEN 'deny' WHEN s = 3 THEN 'present_only' WHEN s = 2 THEN 'escalate' WHEN k = 0 THEN 'allow' WHEN k = 3 THEN 'deny' ELSE 'escalate' END AS decision FROM m""")
+def policy_by_mode(spark, d):
+    s, k = F.col("c_custkey") % 6, F.col("c_custkey") % 4
+    sql = F.when(s == 0, " -- nothing").when(s == 1, "SELECT a FROM t WHERE b = 1").when(s == 2, "select * from t").when(s == 3, "UPDATE t SET a = 1").when(s == 4, "DROP TABLE t").otherwise("GRANT x TO y")
+    mode = F.when(k == 0, "auto").when(k == 1, "confirm_once").when(k == 2, "confirm_each").otherwise("grant_required")
+    return table(spark, d, "customer").select("c_custkey", A.decision(sql, mode).alias("x")).select("c_custkey", "x.op", "x.decision")
+
+
+@query("SELECT 'flowchart TD' || chr(10) || (SELECT string_agg('    n' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '{\"' ELSE '[\"' END || n_name || CASE WHEN n_nationkey % 2 = 0 THEN '\"}' ELSE '\"]' END, chr(10) ORDER BY n_nationkey) FROM nation) || chr(10) || (SELECT string_agg('    n' || n_regionkey || ' -- ' || n_name || ' --> n' || n_nationkey, chr(10) ORDER BY n_nationkey) FROM nation) || chr(10) || (SELECT string_agg('    class ' || ids || ' c' || n_regionkey, chr(10) ORDER BY first) FROM (SELECT n_regionkey, string_agg('n' || n_nationkey, ',' ORDER BY n_nationkey) AS ids, min(n_nationkey) AS first FROM nation GROUP BY n_regionkey)) AS text")
+def phase_flow(spark, d):
+    n = table(spark, d, "nation")
+    id_ = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    nodes = n.select(F.col("n_nationkey").alias("ord"), id_("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.when(F.col("n_nationkey") % 2 == 0, "diamond").alias("shape"), F.concat(F.lit("c"), F.col("n_regionkey").cast("string")).alias("class_name"))
+    edges = n.select(F.col("n_nationkey").alias("ord"), id_("n_regionkey").alias("from"), id_("n_nationkey").alias("to"), F.col("n_name").alias("label"))
+    return D.phase_flow(nodes, edges, "Phases").select("text")

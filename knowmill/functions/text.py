@@ -142,17 +142,29 @@ def splice_block(existing: Column, block: Column, start: str, end: str) -> Colum
     return F.when((a > 0) & (z > a), swapped).otherwise(appended)
 
 
+# Characters that a quoted label of a phase cannot hold.
+PHASE_MARKS = (("&", "&amp;"), ('"', "&quot;"), ("|", "&#124;"), ("[", "&#91;"), ("]", "&#93;"), ("{", "&#123;"), ("}", "&#125;"))
+
+
+def phase_label(label) -> Column:
+    """A label for a quoted box: marks as references, line ends as breaks."""
+    c = col(label)
+    for mark, reference in PHASE_MARKS:
+        c = F.replace(c, F.lit(mark), F.lit(reference))
+    return F.regexp_replace(c, "\r\n|\n|\r", "<br/>")
+
+
 def maven_own(pom) -> Column:
-    return F.regexp_replace(col(pom), r"(?s)<parent>.*?</parent>", "")
+    return F.regexp_replace(col(pom), r"(?si)<parent>.*?</parent>", "")
 
 
 def maven_id(pom, tag: str = "artifactId") -> Column:
     """The first artifact or group id that does not belong to the parent or a dependency before it."""
-    return F.trim(F.regexp_extract(maven_own(pom), rf"<{tag}>\s*([^<]+?)\s*</{tag}>", 1))
+    return F.trim(F.regexp_extract(maven_own(pom), rf"(?i)<{tag}>\s*([^<\s]+)\s*</{tag}>", 1))
 
 
 def maven_aggregator(pom) -> Column:
-    return maven_own(pom).rlike(r"<packaging>\s*pom\s*</packaging>|<modules>")
+    return maven_own(pom).rlike(r"(?i)<packaging>\s*pom\s*</packaging>|<modules>")
 
 
 def maven_dependencies(pom) -> Column:

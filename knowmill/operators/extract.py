@@ -18,21 +18,25 @@ from pyspark.sql import functions as F
 
 from knowmill.functions.paths import concat_prefix, http_verb, looks_like_url_or_path, matches_any, some, url_host
 from knowmill.functions.text import redact_credentials
+from knowmill.operators.discovery import library_deps, services
+from knowmill.operators.page_graph import cut
 from knowmill.operators.registry import classify
+from knowmill.profiles.builtin import BUILTIN
 
-BUILTIN = os.path.join(os.path.dirname(os.path.dirname(__file__)), "profiles", "builtin.yaml")
 # Configuration and source files, addresses of databases, and marks of cloud clients.
 CONFIG_FILES = ["**/application*.yml", "**/application*.yaml", "**/application*.properties", "**/bootstrap*.yml", "**/bootstrap*.yaml", "**/*.env", ".env"]
 SOURCE_FILES = ["**/*.java", "**/*.kt", "**/*.ts", "**/*.js", "**/*.py", "**/*.go", "**/*.cs"]
 DB_URL = r"(?i)(jdbc:[^\s\"']+|(?:postgres|postgresql|mysql|mariadb|mongodb(?:\+srv)?|redis|rediss|sqlserver|oracle|r2dbc)://[^\s\"']*)"
 CLOUD = {"aws": r"software\.amazon\.awssdk|com\.amazonaws|@aws-sdk/|aws-sdk|boto3|aws-sdk-go|Amazon\.(?:S3|DynamoDB)", "gcp": r"com\.google\.cloud|@google-cloud/|google\.cloud|cloud\.google\.com/go|Google\.Cloud"}
-MANIFESTS = {"pom.xml": "java", "build.gradle": "java", "build.gradle.kts": "java", "package.json": "typescript", "pyproject.toml": "python", "requirements.txt": "python", "go.mod": "go", "Cargo.toml": "rust"}
+
+
+#: The name of a public class that ends with Controller, without that ending.
+CONTROLLER = r"(?m)^[^/*\n]*\bpublic\b[^{;\n]*\bclass\s+(\w+?)Controller\b"
 
 
 def load_profiles(kind: str, folder: str | None = None, only: list[str] | None = None) -> list[dict]:
     """Built-in profiles of a kind and those of a folder; a later one of the same name replaces the earlier."""
-    with open(BUILTIN) as f:
-        found = {p["name"]: p for p in yaml.safe_load(f)[kind]}
+    found = {p["name"]: p for p in BUILTIN[kind]}
     for path in sorted(globs.glob(os.path.join(folder, "*.yaml"))) if folder else []:
         with open(path) as f:
             p = yaml.safe_load(f)
@@ -123,7 +127,7 @@ def rest_endpoints(files: DataFrame, profiles: list[dict] | None = None) -> Data
     for p in profiles or load_profiles("rest"):
         prefix = F.regexp_extract("content", p["prefix"], 1) if p.get("prefix") else F.lit("")
         if p.get("controller_token"):
-            name = F.lower(F.regexp_extract("content", r"\bpublic\s+(?:abstract\s+|sealed\s+|partial\s+|static\s+)*class\s+(\w+?)Controller\b", 1))
+            name = F.lower(F.regexp_extract("content", CONTROLLER, 1))
             prefix = F.when(name != "", F.replace(prefix, F.lit("[controller]"), name)).otherwise(prefix)
         ps.append(p | {"file_columns": {"prefix": prefix}})
 
@@ -289,42 +293,78 @@ def class_windows(matches: DataFrame) -> DataFrame:
     return matches.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("length")))
 
 
-def services(files: DataFrame, gitmodules: DataFrame | None = None) -> DataFrame:
-    """(id, root, kind, language, manifests, aliases) of the top-level folders with a manifest, and of submodules."""
-    from knowmill.functions.paths import service_aliases
-
-    table = F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv])
-    name = F.substring_index("path", "/", -1)
-    m = files.where(F.col("path").rlike(r"^(?:shared/|libs/|packages/|services/|apps/)?[^/]+/[^/]+$") & name.isin(*MANIFESTS)).select(F.regexp_replace("path", "/[^/]+$", "").alias("root"), name.alias("manifest"), F.element_at(table, name).alias("language"), "content")
-    front = F.bool_or((F.col("manifest") == "package.json") & F.col("content").rlike(r"\"(?:vue|react|@angular/core|svelte|next|nuxt)\"\s*:"))
-    g = m.groupBy("root").agg(F.array_sort(F.collect_set("manifest")).alias("manifests"), F.min_by("language", "manifest").alias("language"), front.alias("front"))
-    g = g.select(F.substring_index("root", "/", -1).alias("id"), "root", F.when(F.col("root").rlike("^(shared|libs)/"), "library").when(F.col("front"), "frontend").otherwise("service").alias("kind"), "language", "manifests")
-    return g.withColumn("aliases", service_aliases("id"))
-
-
 def of_service(facts: DataFrame, services_: DataFrame, column: str = "file") -> DataFrame:
     """facts and service_id: the deepest root above the file."""
     from knowmill.functions.paths import ancestors
 
-    f = facts.withColumn("_row", F.monotonically_increasing_id())
-    from knowmill.operators.page_graph import cut
-
-    f = cut(f)
+    f = cut(facts.withColumn("_row", F.monotonically_increasing_id()))
     hit = f.select("_row", F.explode(ancestors(column)).alias("root")).join(services_.select("root", "id"), "root").groupBy("_row").agg(F.max_by("id", F.length("root")).alias("service_id"))
     return f.join(hit, "_row").drop("_row")
 
 
-def inventory(files: DataFrame) -> dict[str, DataFrame]:
-    """All tables of an inventory."""
-    s = services(files).withColumn("ord", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("id")))
+# Where a resource server names the issuer of its tokens.
+ISSUERS = ("spring.security.oauth2.resourceserver.jwt.issuer-uri", "spring.security.oauth2.resourceserver.jwt.issuer_uri")
+
+
+def yaml_properties(files: DataFrame) -> DataFrame:
+    """(path, name, value) of the scalars in YAML files, by dotted name; broken documents have none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def walk(x, at: str):
+            if isinstance(x, dict):
+                for k, v in x.items():
+                    yield from walk(v, f"{at}.{k}" if at else str(k))
+            elif x is not None and not isinstance(x, list):
+                yield at, str(x).lower() if isinstance(x, bool) else str(x)
+
+        for p in parts:
+            rows = []
+            for path, content in zip(p["path"], p["content"], strict=True):
+                try:
+                    rows += [(path, k, v) for d in yaml.safe_load_all(content or "") for k, v in walk(d, "")]
+                except yaml.YAMLError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "name", "value"])
+
+    return files.where(F.col("path").rlike(r"(^|/)(application|bootstrap)[^/]*\.ya?ml$")).select("path", "content").mapInPandas(run, "path string, name string, value string")
+
+
+def auth_issuers(files: DataFrame, services_: DataFrame) -> DataFrame:
+    """(service_id, issuer) of services that name the issuer of their tokens, in properties or YAML."""
+    r = r"^\s*([\w.-]+)\s*[=:]\s*(.*?)\s*$"
+    plain = lines(files.where(F.col("path").endswith(".properties"))).where(F.col("text").rlike(r)).select("path", group(r, 1).alias("name"), group(r, 2).alias("value"))
+    hit = plain.unionByName(yaml_properties(files)).where(F.col("name").isin(*ISSUERS) & (F.col("value") != ""))
+    rank = F.array_position(F.array(*[F.lit(x) for x in ISSUERS]), F.col("name"))
+    return of_service(hit.withColumnRenamed("path", "file"), services_).groupBy("service_id").agg(F.max_by("value", F.struct(-rank, F.col("file"))).alias("issuer"))
+
+
+def inventory(files: DataFrame, gitmodules: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of an inventory. ``ord`` is the place of a service among the ids, of which there are few."""
+    from pyspark.sql import Window
+
+    s = cut(services(files, gitmodules).withColumn("ord", F.row_number().over(Window.orderBy("id", "root"))))
     rest, clients, queues = rest_endpoints(files), http_clients(files), queue_endpoints(files, constants(files))
     orm = union([orm_entities(files.where(has_marker(p)), p) for p in load_profiles("orm")])
+    known = properties(files)
+    target = resolve_references(of_service(clients, s).withColumn("ref", F.when(F.col("target_ref").startswith("${"), F.col("target_ref"))), known).withColumnRenamed("value", "resolved_target").drop("ref")
     return {
         "services": s,
         "rest_endpoints": of_service(rest, s),
-        "http_clients": of_service(clients, s).withColumn("resolved_target", F.lit(None).cast("string")),
+        "http_clients": target,
         "queue_endpoints": of_service(queues, s).withColumn("message_type", F.lit("")),
         "queue_bindings": of_service(queue_bindings(files), s),
         "orm_entities": of_service(orm, s, "source_file"),
         "external_sources": of_service(external_sources(files), s),
+        "library_deps": library_deps(files, s),
+        "auth_issuers": auth_issuers(files, s),
     }
+
+
+def symbol_plan(spark, profiles: list[dict] | None = None) -> DataFrame:
+    """(profile, language, kind, pattern, file_pattern, relationship_type): what to look up, a row for each expression of a
+    profile and each of its file patterns."""
+    rows = []
+    for p in profiles or load_profiles("orm"):
+        asks = [("entity_class", p.get("class"), None), ("table_name", p.get("table"), None), ("column", p.get("column"), None), *[("relationship", q["regex"], q["type"]) for q in p.get("relationships", [])]]
+        rows += [(p["name"], p.get("language") or "", kind, pattern, file, relation) for kind, pattern, relation in asks if pattern for file in p["file_patterns"]]
+    return spark.createDataFrame(rows, "profile string, language string, kind string, pattern string, file_pattern string, relationship_type string")

@@ -152,18 +152,26 @@ def banlist(pages: DataFrame, n: int = 50) -> DataFrame:
 
 def routing(pages: DataFrame, singletons: tuple[str, ...] = ()) -> DataFrame:
     """Rows by facet; of a singleton facet the page of the smallest path."""
-    w = Window.partitionBy("facet").orderBy("path")
-    r = pages.where(F.col("facet").isNotNull()).withColumn("_n", F.row_number().over(w))
-    return r.where(~F.col("facet").isin(*singletons) | (F.col("_n") == 1)).drop("_n").orderBy("facet", F.coalesce("topic", F.lit("")), "path") if singletons else r.drop("_n").orderBy("facet", F.coalesce("topic", F.lit("")), "path")
+    r = pages.where(F.col("facet").isNotNull())
+    first = r.where(F.col("facet").isin(*singletons)).groupBy("facet").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in pages.columns]), "path").alias("_x")).select("_x.*")
+    out = r.where(~F.col("facet").isin(*singletons)).unionByName(first) if singletons else r
+    return out.orderBy("facet", F.coalesce("topic", F.lit("")), "path")
+
+
+# What a link names, and the words that name a fix.
+LINKED, DONE, BY = ("pull", "issues", "commit"), ("fixed", "closed", "resolved"), ("by", "in", "via")
+WORD, NUMBER = "[-.\\w]+", "([0-9]{1,7})\\b"
+LINK = "https?://github[.]com/[^\\s)]+/(?:" + "|".join(LINKED) + ")/[^\\s.,)]+"
+SLUG_REF, HASH_REF, GH_REF = f"\\b{WORD}/{WORD}#{NUMBER}", f"(?<![&\\w])#{NUMBER}", f"(?i)\\bGH-{NUMBER}"
+#: Seven to forty hexadecimal digits that are no number.
+SHA = "\\b(?![0-9]+\\b)[0-9a-fA-F]{7,40}\\b"
+FIX = "(?i)\\b(?:" + "|".join(DONE) + ")\\s+(?:" + "|".join(BY) + ")\\b"
 
 
 def sanitize_issue(text: Column, number: Column) -> Column:
     """struct(text, redactions): links, references from the issue's own number on, hashes and lines that name a fix.
 
     References are numeric, so the bound is tested piece by piece over the split text; nothing leaves the JVM."""
-    link, sha = r"https?://github\.com/[^\s)]+/(?:pull|issues|commit)/[^\s.,)]+", r"\b(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{7,40}\b"
-    fix = r"(?i)\b(?:fixed|closed|resolved)\s+(?:by|in|via)\b"
-
     def guarded(t: Column, pattern: str, keep: int, new: str) -> tuple[Column, Column]:
         """Matches are set apart by a control character, tested, and put together again."""
         parts = F.split(F.regexp_replace(t, pattern, "\u0001$0\u0001"), "\u0001")
@@ -172,13 +180,13 @@ def sanitize_issue(text: Column, number: Column) -> Column:
         return F.array_join(done, ""), F.filter(parts, lambda x: F.coalesce(hit(x), F.lit(False)))
 
     t = F.coalesce(text, F.lit(""))
-    logs = [F.regexp_extract_all(t, F.lit(f"({link})"), 1)]
-    t = F.regexp_replace(t, link, "[link-removed]")
-    for pattern, keep, new in ((r"\b[\w.-]+/[\w.-]+#(\d{1,7})\b", 1, "[ref-removed]"), (r"(?<![\w&])#(\d{1,7})\b", 1, "#[ref-removed]"), (r"(?i)\bGH-(\d{1,7})\b", 1, "GH-[ref-removed]")):
+    logs = [F.regexp_extract_all(t, F.lit(f"({LINK})"), 1)]
+    t = F.regexp_replace(t, LINK, "[link-removed]")
+    for pattern, keep, new in ((SLUG_REF, 1, "[ref-removed]"), (HASH_REF, 1, "#[ref-removed]"), (GH_REF, 1, "GH-[ref-removed]")):
         t, log = guarded(t, pattern, keep, new)
         logs.append(log)
-    logs.append(F.regexp_extract_all(t, F.lit(f"({sha})"), 1))
-    t = F.regexp_replace(t, sha, "[sha-removed]")
+    logs.append(F.regexp_extract_all(t, F.lit(f"({SHA})"), 1))
+    t = F.regexp_replace(t, SHA, "[sha-removed]")
     lines = F.split(t, "\n")
-    logs.append(F.transform(F.filter(lines, lambda x: x.rlike(fix)), lambda x: F.trim(x)))
-    return F.struct(F.array_join(F.transform(lines, lambda x: F.when(x.rlike(fix), F.lit("[line-removed]")).otherwise(x)), "\n").alias("text"), F.concat(*logs).alias("redactions"))
+    logs.append(F.transform(F.filter(lines, lambda x: x.rlike(FIX)), lambda x: F.trim(x)))
+    return F.struct(F.array_join(F.transform(lines, lambda x: F.when(x.rlike(FIX), F.lit("[line-removed]")).otherwise(x)), "\n").alias("text"), F.concat(*logs).alias("redactions"))

@@ -162,9 +162,19 @@ def mapping_freshness(pages: DataFrame, files: DataFrame, page: str = "database-
     return m.where(F.col("at").isNull() | (F.col("newest") > F.col("at"))).select(*issue("warning", "orm_mapping_freshness", "path", F.when(F.col("at").isNull(), "generated_at is missing or unparseable").otherwise("ORM sources are newer than the mapping")))
 
 
-def lint(pages: DataFrame, edges: DataFrame, now, category: str | None = None, page: str | None = None) -> DataFrame:
-    """All rules that need pages and edges only, in one table, perhaps of one category or page (path, suffix or pattern)."""
+def lint(pages: DataFrame, edges: DataFrame, now, category: str | None = None, page: str | None = None, refs: DataFrame | None = None, files: DataFrame | None = None, inventory: list[DataFrame] | None = None) -> DataFrame:
+    """All rules in one table, perhaps of one category or page (path, suffix or pattern). Rules about sources need ``refs``
+    (page, file, content_hash) with ``files`` (path, content, mtime) or the ``inventory``'s tables (file); provenance needs
+    edges with their record (raw)."""
     rules = [broken_links(pages), frontmatter(pages), orphans(pages), isolated_nodes(edges, pages), diagram_syntax(pages), index_coverage(pages), summaries_sync(pages), ambiguity_rate(edges), stale(pages, now), deprecated_claims(pages), thin(edges)]
+    if "raw" in edges.columns:
+        rules.append(provenance(edges))
+    if refs is not None and files is not None:
+        rules.append(code_ref_drift(pages, refs, files))
+    if refs is not None and inventory:
+        rules.append(references_inventory(refs, *inventory))
+    if files is not None and "mtime" in files.columns:
+        rules.append(mapping_freshness(pages, files))
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)
@@ -177,5 +187,10 @@ def lint(pages: DataFrame, edges: DataFrame, now, category: str | None = None, p
     return out
 
 
+def validate(pages: DataFrame, edges: DataFrame, now, page: str, **sources) -> DataFrame:
+    """(category, message) of what the rules find on one page; no row if it is clean."""
+    return lint(pages, edges, now, page=page, **sources).select("category", F.col("detail").alias("message"))
+
+
 def severities(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))

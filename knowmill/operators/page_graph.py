@@ -53,12 +53,18 @@ def path_graph(edges: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computed once, reread from the folder of spark.checkpoint.dir; a temporary folder where that is unset."""
+    """Computed once, reread from the folder of spark.checkpoint.dir. Where that is unset, a temporary folder serves a local
+    session; other sessions fail, since executors do not see the driver's folders."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="knowmill-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="knowmill-")
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowmill.functions.text import escape_label, node_id
+from knowmill.functions.text import escape_label, node_id, phase_label
 
 # Rank of relationship kinds when two entities are related more than once.
 RANKS = ("many_to_many", "one_to_many", "one_to_one", "relationship", "many_to_one", "foreign_key")
@@ -24,6 +24,26 @@ def graph(nodes: DataFrame, edges: DataFrame, title: str, direction: str = "TB")
     return top.join(F.broadcast(bottom), how="left").select(F.lit(title).alias("title"), F.concat_ws("\n", F.lit(f"graph {direction}"), F.when(F.col("n") != "", F.col("n")), F.when(F.col("e") != "", F.col("e"))).alias("text"))  # one row each
 
 
+def phase_flow(nodes: DataFrame, edges: DataFrame, title: str, classes: DataFrame | None = None) -> DataFrame:
+    """One text: a flow of phases from nodes (ord, id, label, shape, class_name), edges (ord, from, to, label) and classes (ord,
+    name, fill, stroke). Of nodes with one id the first is drawn; each class lists its nodes, classes in order of their first."""
+    label = lambda c: F.trim(phase_label(c))
+    n = nodes.withColumn("node", node_id("id")).groupBy("node").agg(F.min("ord").alias("ord"), F.min_by(F.struct("label", "shape"), "ord").alias("x"))
+    box = F.when(F.col("x.shape") == "diamond", F.concat(F.lit('{"'), label("x.label"), F.lit('"}'))).otherwise(F.concat(F.lit('["'), label("x.label"), F.lit('"]')))
+    drawn = n.agg(listed(F.concat(F.lit("    "), "node", box), F.col("ord")).alias("n"))
+    arrow = F.when(F.coalesce("label", F.lit("")) != "", F.concat(F.lit(" -- "), label("label"), F.lit(" --> "))).otherwise(" --> ")
+    lines = edges.agg(listed(F.concat(F.lit("    "), node_id("from"), arrow, node_id("to")), F.col("ord")).alias("e"))
+    members = nodes.where(F.coalesce("class_name", F.lit("")) != "").groupBy("class_name").agg(listed(node_id("id"), F.col("ord"), ",").alias("ids"), F.min("ord").alias("ord"))
+    groups = members.agg(listed(F.concat(F.lit("    class "), "ids", F.lit(" "), "class_name"), F.col("ord")).alias("g"))
+    one = drawn.join(F.broadcast(lines), how="left").join(F.broadcast(groups), how="left")  # one row each
+    styles = F.lit("")
+    if classes is not None:
+        style = F.concat(F.lit("    classDef "), "name", F.lit(" fill:"), "fill", F.lit(",stroke:"), "stroke")
+        one, styles = one.join(F.broadcast(classes.agg(listed(style, F.col("ord")).alias("c"))), how="left"), F.col("c")
+    some = lambda c: F.when(c != "", c)
+    return one.select(F.lit(title).alias("title"), F.concat_ws("\n", F.lit("flowchart TD"), some(F.col("n")), some(F.col("e")), some(styles), some(F.col("g"))).alias("text"))
+
+
 def pick_relations(rel: DataFrame) -> DataFrame:
     """Of relations (source, target, type) each once, and for each unordered pair the one of the lowest rank."""
     table = F.create_map(*[F.lit(x) for i, r in enumerate(RANKS) for x in (r, i)])

@@ -231,3 +231,15 @@ def media_kind(source: Column) -> Column:
     """How a multimodal source would be read, by its address or extension."""
     low = F.lower(source)
     return F.when(low.rlike(r"^https?://(www\.)?(youtube\.com|youtu\.be)/"), "youtube").when(low.rlike(r"\.(png|jpe?g|gif|webp|bmp|svg)$"), "vision").when(low.rlike(r"\.(mp3|wav|m4a|flac|ogg|mp4|mov|mkv|webm|avi)$"), "audio_video").otherwise("skipped")
+
+
+def repo_root(start: str) -> str | None:
+    """The nearest folder at or above ``start``, on the driver, that has a .git entry."""
+    import os
+
+    at = os.path.abspath(start)
+    while not os.path.exists(os.path.join(at, ".git")):
+        if os.path.dirname(at) == at:
+            return None
+        at = os.path.dirname(at)
+    return at

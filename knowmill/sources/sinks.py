@@ -58,3 +58,40 @@ def archive(pages: DataFrame, decided: DataFrame, run: str, ts: str) -> DataFram
 def write_texts(rows: DataFrame, path: str) -> None:
     """(slug, body) as one text file for each slug's folder."""
     rows.select("slug", F.col("body").alias("value")).write.mode("overwrite").partitionBy("slug").text(path)
+
+
+STATE = "op string, done array<string>"
+
+
+def write_state(state: DataFrame, path: str) -> int:
+    """The state of all operations (op, done), as a whole."""
+    return replace_table(state.select("op", "done"), path)
+
+
+def read_state(spark, path: str) -> DataFrame:
+    """The state that was written, or an empty one."""
+    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], STATE)
+
+
+def exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def cache_version(spark, root: str) -> str:
+    """The version that a cache states, or "0"."""
+    path = f"{root.rstrip('/')}/VERSION"
+    return spark.read.text(path, wholetext=True).first()[0].strip() if exists(spark, path) else "0"
+
+
+def set_cache_version(spark, root: str, version: str) -> None:
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/VERSION")
+
+
+def without_entries(cache: DataFrame, key: str | None = None, version: str | None = None) -> DataFrame:
+    """A cache (key, version, ...) without the entries of a key, of a version, or of both; without any if neither is given."""
+    gone = F.lit(True)
+    for name, value in (("key", key), ("version", version)):
+        if value is not None:
+            gone = gone & F.col(name).eqNullSafe(F.lit(value))
+    return cache.where(~gone)

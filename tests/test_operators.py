@@ -120,7 +120,7 @@ def test_event_statistics(spark, tmp_path):
 
 def test_p95_is_an_index(spark):
     df = spark.createDataFrame([(float(i),) for i in range(20)], "v double")
-    assert E.nearest_95(df, "v").first().p95 == 19.0
+    assert E.value_stats(df, "v").first().p95 == 19.0
     assert df.agg(E.percentile_95(F.collect_list("v")).alias("x")).first().x == 19.0
 
 
@@ -445,3 +445,83 @@ def test_service_pages(spark):
     new = {r.slug: r.body for r in service_pages.merged(old, service_pages.pages(s, e)).collect()}
     assert new["service-map"] == "mine" and "gone" not in new and service_pages.pruned(old).count() == 1
     assert service_pages.topology(s, e).first().text.count("-->") == 2
+
+
+DISCOVERED = {
+    "a/pom.xml": "<project><parent><artifactId>p</artifactId></parent><groupId>x.shared</groupId><artifactId>a-lib</artifactId></project>",
+    "web/package.json": '{"dependencies": {"react": "1"}}',
+    "feed/project/pom.xml": "<project><artifactId>feeder</artifactId><dependencies><dependency><artifactId>a-lib</artifactId></dependency></dependencies></project>",
+    "feed/src/main/resources/application.yml": "spring:\n  security:\n    oauth2:\n      resourceserver:\n        jwt:\n          issuer-uri: https://idp/x\n",
+    "libs/one/go.mod": "",
+    "core-shared/pom.xml": "<packaging>pom</packaging><modules><module>m</module></modules>",
+    "core-shared/m/pom.xml": "<artifactId>m</artifactId>",
+    "two/app/go.mod": "",
+    "two/server/go.mod": "",
+    "mod/x/Cargo.toml": "",
+    ".hidden/go.mod": "",
+}
+
+
+def test_service_discovery_and_inventory(spark):
+    f = spark.createDataFrame(list(DISCOVERED.items()), "path string, content string")
+    g = spark.createDataFrame([('[submodule "x"]\n\tpath = mod/x\n',)], "content string")
+    got = {r.root: (r.id, r.kind, r.identity_source, r.language) for r in extract.services(f, g).collect()}
+    assert got == {"a": ("a", "library", "dir-name", "java"), "web": ("web", "frontend", "dir-name", "typescript"), "feed": ("feed", "service", "dir-name", "java"), "libs/one": ("one", "service", "dir-name", "go"), "core-shared/m": ("m", "library", "dir-name", "java"), "mod/x": ("x", "service", "submodule", "rust")}
+    inv = extract.inventory(f, g)
+    edges = {(r.from_service, r.to_service, r.kind) for r in services.service_graph(inv).collect()}
+    assert edges == {("feed", "a", "depends_on"), ("feed", "auth:idp", "auth_via")}
+
+
+def test_value_stats_of_groups(spark):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    rows = [(k, None if rng.random() < 0.1 else float(rng.randint(0, 30))) for k in ("a", "b", None) for _ in range(200)] + [("none", None)]
+    got = {r.k: r for r in E.value_stats(spark.createDataFrame(rows, "k string, v double"), "v", "k").collect()}
+    for k in ("a", "b", None):
+        v = sorted(x for y, x in rows if y == k and x is not None)
+        assert (got[k].n, got[k].p50, got[k].p95) == (len(v), statistics.median(v), v[min(int(len(v) * 0.95), len(v) - 1)]) and abs(got[k]["mean"] - statistics.mean(v)) < 1e-9
+    assert got["none"].n == 0 and got["none"].p50 is None
+
+
+def test_cycles_of_long_rings(spark):
+    ring = [(i, f"n{i:03}", f"n{(i + 1) % 200:03}") for i in range(200)]
+    e = spark.createDataFrame(ring, "ord bigint, from string, to string")
+    rows = page_graph.cyclic_clusters(e).collect()
+    assert len({tuple(r) for r in rows}) >= 1 and "n199" in str(rows) and "n000" in str(rows)
+
+
+def test_state_versions_and_grants(spark, tmp_path):
+    state = sinks.record_unit(sinks.read_state(spark, str(tmp_path / "s")), "atlas", "u1")
+    assert sinks.write_state(state, str(tmp_path / "s")) == 1
+    assert [(r.op, list(r.done)) for r in sinks.read_state(spark, str(tmp_path / "s")).collect()] == [("atlas", ["u1"])]
+    assert sinks.cache_version(spark, str(tmp_path / "c")) == "0"
+    sinks.set_cache_version(spark, str(tmp_path / "c"), "7")
+    assert sinks.cache_version(spark, str(tmp_path / "c")) == "7"
+    cache = spark.createDataFrame([("k", "1"), ("k", "2"), ("j", "1")], "key string, version string")
+    assert sinks.without_entries(cache, "k", "1").count() == 2 and sinks.without_entries(cache, version="1").count() == 1 and sinks.without_entries(cache).count() == 0
+    p = gate.Policy("grant_required")
+    assert p.check("SELECT 1") == ("deny", "No active read grant")
+    p.grant_from({"grant_duration_hours": 1}, "read")
+    assert p.check("SELECT 1") == ("allow", "active read grant")
+    assert gate.DRIVERS["mssql"] == "jdbc:sqlserver" and len(gate.DRIVERS) == 9
+    columns = gate.key_schema({"KeySchema": [{"AttributeName": "id"}], "AttributeDefinitions": [{"AttributeName": "at", "AttributeType": "N"}, {"AttributeName": "id", "AttributeType": "S"}]})
+    assert [(c["name"], c["data_type"], c["is_primary_key"]) for c in columns] == [("id", "string", True), ("at", "number", False)]
+    late = gate.QueryGate(spark).execute("SELECT count(*) FROM range(3000000000000) WHERE id % 7 = 3 AND hash(id) = 1", timeout=2)
+    assert late["status"] == "timeout"
+    (tmp_path / "r" / ".git").mkdir(parents=True)
+    (tmp_path / "r" / "a").mkdir()
+    assert FS.repo_root(str(tmp_path / "r" / "a")) == str(tmp_path / "r")
+    plan = extract.symbol_plan(spark, extract.load_profiles("orm", only=["jpa"])).collect()
+    assert {r.kind for r in plan} == {"entity_class", "table_name", "column", "relationship"} and len(plan) == 7
+
+
+def test_lint_of_a_page(spark):
+    pages = spark.createDataFrame([("a.md", "[x](gone.md)", "", '{"title": "t"}'), ("b.md", "", "", None)], "path string, content string, body string, fm string")
+    edges = spark.createDataFrame([(0, "a.md", "b.md", "supports", "EXTRACTED", '{"from": "a.md"}')], "ord bigint, from string, to string, type string, provenance string, raw string")
+    refs = spark.createDataFrame([("a.md", "f", "0")], "page string, file string, content_hash string")
+    files = spark.createDataFrame([("g", "x")], "path string, content string")
+    found = {(r.category, r.message) for r in lint.validate(pages, edges, "2024-01-01", "a.md", refs=refs, files=files, inventory=[files.select(F.col("path").alias("file"))]).collect()}
+    assert ("broken_links", "Link to gone.md not found") in found and ("code_ref_drift", "Referenced file f not found") in found and ("references_inventory", "Reference f is not in the inventory") in found
+    assert {r.category for r in lint.lint(pages, edges, "2024-01-01").collect()} >= {"provenance", "missing_frontmatter"}
