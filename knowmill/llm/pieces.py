@@ -78,6 +78,43 @@ def fields(data: bytes):
         yield key >> 3, v
 
 
+class Normaliser:
+    """The normaliser as a machine over two classes of characters, compiled to what it does to whole runs of them.
+
+    It begins before any text, and is then within text, or in a gap that may turn out to be the text's end. ``step`` has
+    the next state and what is put out before the character that was read; a space itself is never put out.
+    """
+
+    BEFORE, TEXT, GAP = range(3)
+
+    def __init__(self, prefix: bool, squeeze: bool):
+        first = MARK if prefix else ""
+        if squeeze:
+            space = {self.BEFORE: (self.BEFORE, ""), self.TEXT: (self.GAP, ""), self.GAP: (self.GAP, "")}
+            other = {self.BEFORE: (self.TEXT, first), self.TEXT: (self.TEXT, ""), self.GAP: (self.TEXT, MARK)}
+        else:
+            space = {self.BEFORE: (self.TEXT, first + MARK), self.TEXT: (self.TEXT, MARK), self.GAP: (self.TEXT, MARK)}
+            other = {self.BEFORE: (self.TEXT, first), self.TEXT: (self.TEXT, ""), self.GAP: (self.TEXT, "")}
+        self.step = {True: space, False: other}
+        self.repeats = not squeeze
+
+    def run(self, state: int, text: str) -> tuple[int, str]:
+        """The state after a text, and the output, character by character."""
+        out = []
+        for c in text:
+            state, put = self.step[c == " "][state]
+            out.append(put if c == " " else put + c)
+        return state, "".join(out)
+
+    def apply(self, text: str) -> str:
+        if not text:
+            return ""
+        if self.repeats:  # every space puts out the mark
+            return self.run(self.BEFORE, text[0])[1] + text[1:].replace(" ", MARK)
+        parts = [p for p in text.split(" ") if p]  # a gap puts out one mark when text follows, nothing before or after all text
+        return self.step[False][self.BEFORE][1] + self.step[False][self.GAP][1].join(parts) if parts else ""
+
+
 class Model:
     """The compiled machines."""
 
@@ -99,9 +136,12 @@ class Model:
                 self.charsmap, self.prefix, self.squeeze = n.get(2, b""), bool(n.get(3, 1)), bool(n.get(4, 1))
         if self.charsmap:
             raise ValueError("only identity normalisation is compiled here")
+        if USER in self.types:
+            raise ValueError("user-defined pieces, which come before all others, are not compiled here")
+        self.normaliser = Normaliser(self.prefix, self.squeeze)
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and byte-pair models are compiled here")
-        self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t in (NORMAL, USER)}
+        self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == NORMAL}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece holds the mark after another character")
         self.unknown = self.types.index(UNKNOWN)
@@ -209,22 +249,30 @@ class Model:
                     break
                 piece[j, i + 1] = self.final[state]
             piece[j, j + 1] = single[:, j]
-        last = np.full((n + 1, count), -2, np.int32)  # -1: fallback, -2: no path
+        # min-plus: an arc weighs 0 if its piece may follow the one before, and infinity if not; one path is finite
+        cost = np.full((n + 1, count), np.inf, np.float32)
+        cost[0] = 0
+        last = np.full((n + 1, count), -1, np.int32)  # -1: fallback
         begin = np.zeros((n + 1, count), np.int32)
         for i in range(1, n + 1):
             none = single[:, i - 1] < 0
-            last[i, none], begin[i, none] = -1, i - 1
+            cost[i, none], begin[i, none] = 0, i - 1
             for j in range(max(0, i - self.longest), i):
                 t = piece[j, i]
-                at = np.flatnonzero((t >= 0) & (last[i] == -2) & (last[j] > -2) if j else (t >= 0) & (last[i] == -2))
-                if j and len(at):
+                at = np.flatnonzero((t >= 0) & (cost[j] < cost[i]))  # nothing is below 0
+                if not len(at):
+                    continue
+                arc = np.zeros(len(at), np.float32)
+                if j:
                     before = last[j, at]
-                    fine = before < 0
-                    fine[~fine] = self.all_stay(before[~fine], t[at[~fine]])
-                    at = at[fine]
-                last[i, at], begin[i, at] = t[at], j
-        if (last[n] == -2).any():
-            raise AssertionError(f"no path for {words[int(np.argmax(last[n] == -2))]!r}")
+                    pairs = np.flatnonzero(before >= 0)
+                    arc[pairs] = np.where(self.all_stay(before[pairs], t[at[pairs]]), 0, np.inf)
+                total = cost[j, at] + arc
+                less = total < cost[i, at]
+                at = at[less]
+                cost[i, at], last[i, at], begin[i, at] = total[less], t[at], j
+        if np.isinf(cost[n]).any():
+            raise AssertionError(f"no path for {words[int(np.argmax(np.isinf(cost[n])))]!r}")
         # back along the paths, from the right end of each row of ``got``
         got, at, rows, used = np.empty((count, n), np.int32), np.full(count, n), np.arange(count), np.zeros(count, np.int64)
         while len(rows):
@@ -312,11 +360,7 @@ class Model:
         return tuple(x for part in reversed(out) for x in part)
 
     def normalise(self, text: str) -> str:
-        t = text
-        if self.squeeze:
-            t = re.sub(" +", " ", t).strip(" ")
-        t = t.replace(" ", MARK)
-        return MARK + t if self.prefix and t else t
+        return self.normaliser.apply(text)
 
     def learn(self, texts: list[list[str]]) -> None:
         """Paths of the words of a batch that are not in the table yet. A full table becomes the old one, from which words

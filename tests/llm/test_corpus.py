@@ -675,6 +675,22 @@ def test_scalar_path_equals_the_batch():
     assert m.paths(words) == [m.path(w) for w in words]
 
 
+@pytest.mark.parametrize("prefix,squeeze", [(True, True), (True, False), (False, True), (False, False)])
+def test_normaliser_equals_its_machine(prefix, squeeze):
+    rng, m = random.Random(1), pieces.Normaliser(prefix, squeeze)
+    for _ in range(500):
+        t = "".join(rng.choice("  a\té") for _ in range(rng.randint(0, 9)))
+        assert m.apply(t) == m.run(m.BEFORE, t)[1]
+
+
+def test_sentencepiece_query(spark, sf, library):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in Q["op8_sentencepiece"](spark, sf).collect():
+        ids = library.encode(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest())
+        assert r.round_trip == (library.decode(ids) == docs[r.doc_id])
+
+
 def test_pieces_rows(spark):
     df = documents(spark, [(1, "hi there"), (2, None), (3, ""), (3, LONG)]).withColumn("token_ids", F.lit("clash"))
     ids = pieces.encode(df)
@@ -701,6 +717,23 @@ def test_unigram_model_takes_the_cheapest_path():
 # Pipeline
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null texts, ids, languages and repeated rows; an empty table."""
+    rng = random.Random(14)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    one, two = prose(80), prose(90)
+    rows = [(1, one, "en", "s", len(one)), (1, one, "en", "s", len(one)), (2, None, "en", "s", None), (3, "", None, None, 0), (None, two, None, "s", len(two)), (4, prose(70), "", "", 9), (5, one, "en", "s", len(one))]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    bench = spark.createDataFrame([(None, None)], "item_id bigint, text string")
+    for name, part in (("odd", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(part, schema).write.parquet(f"{d}/documents.parquet")
+        bench.write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d)
+        assert got.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids", "round_trip"]
+        assert sorted((r.doc_id or 0) for r in got.collect()) == ([0, 1, 4] if part else [])
+
+
 def test_pipeline_stages(spark):
     rng = random.Random(12)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
