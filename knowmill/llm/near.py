@@ -1,12 +1,12 @@
 """Near-duplicate documents: an exact set-similarity join on word shingles, and the groups that its links form.
 
-1. Documents with equal shingle sets form a class; its smallest id represents it, so copies are never paired.
+1. Documents with equal shingle sets form a class, named by the set's hash, so copies are never paired.
 2. A pair can only link if it shares a token of both documents' prefixes (the first n - ceil(t n) + 1 of n tokens in an
    order that all documents share). The order begins with a quarter of all tokens, chosen by hash, without the most
    frequent ones. All documents' quarter tokens are counted in packed buckets; a document whose prefix is made of tokens
    that no other class has cannot link, and takes no further part.
 3. The others' tokens are counted among themselves, and prefixes taken anew, rarest tokens first. Their tokens give stars
-   from each token's smallest document. What the stars connect is compared in one cell of bounded size, or, if it is
+   from each token's smallest class. What the stars connect is compared in one cell of bounded size, or, if it is
    larger, block by block.
 4. A cell is joined with adaptive multi-match prefixes: an l-prefix is l - 1 tokens longer, and two documents that link
    share l tokens of theirs. Each document lengthens its prefix while the verification that it would spare is worth more
@@ -18,8 +18,10 @@ Shingles are compared by 64-bit hashes; a set of a million differs in effect wit
 The size of shingles in words and the percentage of their union that two documents must share are parameters; op5 takes
 4 words and 85 percent, the pipeline 5 words and 80 percent.
 
-Null text or no word: no shingle, linked with nothing. Fewer words than a shingle: the whole sequence is one shingle. Rows
-that repeat a doc_id are one node. Rows with a null doc_id are returned with a null component. Empty table: empty result.
+Null text or no word: no shingle, linked with nothing. Fewer words than a shingle: the whole sequence is one shingle. For
+``near_duplicates``, rows that repeat a doc_id are one node, whatever their texts, and rows with a null doc_id are returned
+with a null component and connect nothing. ``keep_one`` decides on each row's text, rows without an id included. Empty table:
+empty result. Names that begin with ``_near`` are reserved.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -208,23 +211,32 @@ def shared_tokens(docs: DataFrame, total: int, heavy, size: int = SIZE) -> DataF
 
 
 def full_sets(docs: DataFrame, left: DataFrame, size: int = SIZE) -> DataFrame:
-    """(rep, n, tokens) of the classes that may link, from the text of the representative."""
-    side = F.broadcast(left) if left.count() <= SMALL_ROWS else left
-    rows = docs.join(side.select(F.col("rep").alias("doc_id"), F.col("sig").alias("_sig")), "doc_id").select("doc_id", "text", "_sig")
+    """(cls, n, tokens) of the classes that may link, from the text of the smallest id. Rows may repeat. Classes of which no
+    row has an id are found among the rows without one."""
+    small = left.count() <= SMALL_ROWS
+    side = F.broadcast(left) if small else left
+    rows = docs.join(side.select(F.col("rep").alias("doc_id"), F.col("sig").alias("_sig")), "doc_id").select("text", "_sig")
 
     def run(batches):
         hashes = Hashes()
         for b in batches:
             ids, ns, blobs = [], [], []
-            for d, t, g in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for t, g in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(t, hashes, size)
-                if len(s) and signature(s) == g:
-                    ids.append(d)
+                if len(s) and (g is None or signature(s) == g):
+                    ids.append(signature(s))
                     ns.append(len(s))
                     blobs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(blobs, pa.binary())], names=["rep", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(blobs, pa.binary())], names=["cls", "n", "tokens"])
 
-    return cut(rows.mapInArrow(lean(run), "rep bigint, n bigint, tokens binary"))
+    made = "cls bigint, n bigint, tokens binary"
+    sets = rows.mapInArrow(lean(run), made)
+    nameless = left.where("rep is null").select(F.col("sig").alias("cls"))
+    if nameless.count():
+        every = docs.where("doc_id is null").select("text", F.lit(None).cast("bigint").alias("_sig")).mapInArrow(lean(run), made)
+        once = every.groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+        sets = sets.unionByName(once.join(F.broadcast(nameless) if small else nameless, "cls", "left_semi"))
+    return cut(sets)
 
 
 def often_in(sets: DataFrame) -> DataFrame:
@@ -270,7 +282,7 @@ def batch_of(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
 
 
 def prefix_tokens(sets: DataFrame, total: int, heavy, percent: int = PERCENT) -> DataFrame:
-    """(t, rep): the prefix tokens that a set shares with others. The order is by frequency among these sets, heavy tokens
+    """(t, cls): the prefix tokens that a set shares with others. The order is by frequency among these sets, heavy tokens
     last; a set's own tokens come first and lead to nobody, so only what it shares is looked at, after as many places as it
     has own tokens. Both steps deal tokens out in packed buckets, first by token to count them, then by set."""
     buckets = max(1, -(-total // DEALT))
@@ -335,21 +347,21 @@ def prefix_tokens(sets: DataFrame, total: int, heavy, percent: int = PERCENT) ->
         size = n[np.searchsorted(ids, reps)]
         places = np.maximum(size - need(size, percent) + 1 - (size - shared), 0)
         keep = np.arange(len(s)) - np.repeat(starts, shared) < np.repeat(places, shared)
-        return pa.table({"t": signed(t[keep]), "rep": pa.array(s[keep])})
+        return pa.table({"t": signed(t[keep]), "cls": pa.array(s[keep])})
 
     packed = "kind int, t binary, s binary, f binary"
-    dealt = sets.select("rep", "tokens").mapInArrow(lean(deal), f"bucket bigint, {packed}")
+    dealt = sets.select("cls", "tokens").mapInArrow(lean(deal), f"bucket bigint, {packed}")
     by_set = dealt.groupBy("bucket").applyInArrow(count, f"dest bigint, {packed}")
-    return by_set.groupBy("dest").applyInArrow(choose, "t bigint, rep bigint")
+    return by_set.groupBy("dest").applyInArrow(choose, "t bigint, cls bigint")
 
 
 def stars(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges from the smallest document of each prefix token to the others."""
+    """Edges from the smallest class of each prefix token to the others."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     heavy = sets.sparkSession.sparkContext.broadcast(heavy_tokens(often_in(sets)))  # at most HEAVIEST numbers
     e = prefix_tokens(sets, total, heavy, percent)
-    low = e.groupBy("t").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "a")
-    return e.join(low, "t").select("a", F.col("rep").alias("b")).where("a <> b")
+    low = e.groupBy("t").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "a")
+    return e.join(low, "t").select("a", F.col("cls").alias("b")).where("a <> b")
 
 
 def verified(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -412,68 +424,108 @@ def join(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int =
 
 
 def links(sets: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Verified edges (a, b) between representatives that connect all that link."""
-    sized = sets.select("rep", "n").join(groups, sets["rep"] == groups["node"]).groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    """Verified edges (a, b) between classes that connect all that link."""
+    sized = sets.select("cls", "n").join(groups, sets["cls"] == groups["node"]).groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).where("c > 1")
     sized = cut(sized)
     total = sized.agg(F.sum("total")).first()[0] or 0
     cells = max(1, -(-8 * total // CELL))
     blocks = F.when(F.col("total") > CELL, F.ceil(2 * F.col("total") / CELL)).otherwise(F.lit(1)).cast("bigint")
-    keyed = groups.join(sized.select("component", blocks.alias("k")), "component").select(F.col("node").alias("rep"), "component", "k", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"))
+    keyed = groups.join(sized.select("component", blocks.alias("k")), "component").select(F.col("node").alias("cls"), "component", "k", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"))
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))))
-    keyed = keyed.select("rep", "component", "k", "block", pair.alias("x")).select("rep", "component", "block", "x.i", "x.j", F.when(F.col("k") == 1, F.pmod(F.xxhash64("component"), F.lit(cells))).otherwise(-1 - F.abs(F.xxhash64("component", "x.i", "x.j") / 2).cast("bigint")).alias("cell"))
+    keyed = keyed.select("cls", "component", "k", "block", pair.alias("x")).select("cls", "component", "block", "x.i", "x.j", F.when(F.col("k") == 1, F.pmod(F.xxhash64("component"), F.lit(cells))).otherwise(-1 - F.abs(F.xxhash64("component", "x.i", "x.j") / 2).cast("bigint")).alias("cell"))
 
     def run(group: pa.Table) -> pa.Table:
-        comp, i, j, block, rep = (group.column(c).to_numpy() for c in ("component", "i", "j", "block", "rep"))
+        comp, i, j, block, cls = (group.column(c).to_numpy() for c in ("component", "i", "j", "block", "cls"))
         blobs = group.column("tokens")
         a, b = [], []
-        order = np.lexsort((rep, j, i, comp))
+        order = np.lexsort((cls, j, i, comp))
         cuts = np.flatnonzero((np.diff(comp[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
         for part in np.split(order, cuts):
-            part = part[np.append(True, np.diff(rep[part]) != 0)]  # repeated rows
+            part = part[np.append(True, np.diff(cls[part]) != 0)]  # repeated rows
             sets_ = [np.frombuffer(blobs[int(k)].as_py(), np.uint64) for k in part]
             side = block[part] if i[part[0]] != j[part[0]] else None
             for x, y in join(sets_, side, percent):
-                a.append(int(rep[part[x]]))
-                b.append(int(rep[part[y]]))
+                a.append(int(cls[part[x]]))
+                b.append(int(cls[part[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return sets.join(keyed, "rep").select("cell", "component", "i", "j", "block", "rep", "tokens").groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+    return sets.join(keyed, "cls").select("cell", "component", "i", "j", "block", "cls", "tokens").groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs, by shingles of ``size`` words of which ``percent`` agree."""
-    docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+def grouped(docs: DataFrame, size: int, percent: int, by_text: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, m, sig) of each row, and (sig, id, cls): the smallest id of each class's group and the class that has it.
+    ``by_text``: rows are told apart by their texts alone, and rows without an id take part, with an id after all others;
+    otherwise rows of one id are one node, and those without an id are left out."""
     sc = docs.sparkSession.sparkContext
     rows = survey(docs, size)
     heavy = sc.broadcast(heavy_tokens(rows.where("kind = 1")))  # at most HEAVIEST numbers
     known = rows.where("kind = 0").select("doc_id", "n", "m", "sig")
-    own = known.where("sig is not null and doc_id is not null")
+    own = known.where("sig is not null")
+    if not by_text:
+        docs, own = docs.where("doc_id is not null"), own.where("doc_id is not null")
     classes = own.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("m").alias("m"))
     total = known.agg(F.sum("m")).first()[0] or 0
-    shared = shared_tokens(docs.where("doc_id is not null"), total, heavy, size)
+    shared = shared_tokens(docs, total, heavy, size)
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     left = cut(classes.join(shared, "sig", "left").where(F.col("m") - F.coalesce("shared", F.lit(0)) < prefix).select("rep", "sig"))
     sets = full_sets(docs, left, size)
-    groups = components(stars(sets, percent))
-    found = cut(links(sets, groups, percent))  # else the next step's workers would run beside these
-    # a document that has several texts joins their classes
-    several = own.join(classes.select("sig", "rep"), "sig").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    many = own.join(several.select("doc_id"), "doc_id").join(classes.select("sig", "rep"), "sig").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
-    together = components(found.unionByName(many)).withColumnRenamed("node", "rep")
-    of = classes.select("sig", "rep").join(together, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    return known.join(of, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    edges = cut(links(sets, components(stars(sets, percent)), percent))  # else the next step's workers would run beside these
+    if not by_text:
+        several = own.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a <> b").select("doc_id", "a")
+        edges = edges.unionByName(own.join(several, "doc_id").select("a", F.col("sig").alias("b")).where("a <> b"))
+    linked = classes.select("sig", "rep").join(components(edges).withColumnRenamed("node", "sig"), "sig")
+    least = linked.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("last"), F.col("rep").alias("id"), F.col("sig").alias("cls"))).alias("x"))
+    of = linked.select("sig", "component").join(least, "component").select("sig", "x.id", "x.cls")
+    of = classes.select("sig", "rep").join(of, "sig", "left")
+    return known, of.select("sig", F.when(F.col("cls").isNull(), F.col("rep")).otherwise(F.col("id")).alias("id"), F.coalesce("cls", "sig").alias("cls"))
+
+
+def prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs, by shingles of ``size`` words of which ``percent`` agree."""
+    known, of = grouped(prepared(docs, doc_id, text), size, percent, by_text=False)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id"))
+    return known.join(of, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows whose component a smaller doc_id represents; of rows that repeat a doc_id one stays."""
-    groups = cut(near_duplicates(docs, size=size, percent=percent))
-    gone = cut(groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
-    out = docs.join(F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
-    again = cut(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not again.count():
-        return out
-    once = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """docs with one row of each group: that of the smallest doc_id, rows without one last. Rows of one id with different
+    texts are judged apart; of rows with one id and the same shingles, that with the least text stays. Rows without words
+    are in no group; of those that repeat an id one stays, and all that have none."""
+    known, of = grouped(prepared(docs, "doc_id", "text"), size, percent, by_text=True)
+    judged = cut(known.join(of, "sig", "left").select("doc_id", "sig", (F.col("cls").isNull() | (F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("cls") == F.col("sig")))).alias("stays")))
+    gone = cut(judged.where("doc_id is not null and not stays").select("doc_id").distinct())
+    small = lambda t: F.broadcast(t) if t.count() <= SMALL_ROWS else t
+    again = cut(judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    nameless = judged.where("doc_id is null").limit(1).count()
+    if not nameless and not again.count():
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    once = docs.where("doc_id is not null").join(small(gone.union(again)), "doc_id", "left_anti").select(*docs.columns)
+    odd = docs.where("doc_id is null").unionByName(docs.join(small(again), "doc_id", "left_semi").select(*docs.columns))
+    signed_ = odd.select("*", signature_of(size)(F.col("text")).alias("_near_sig"))
+    empty = signed_.where("doc_id is null and _near_sig is null").select(*docs.columns)
+    stay = judged.where("stays and (doc_id is not null or sig is not null)").select(F.col("doc_id").alias("_near_id"), F.col("sig").alias("_near_of")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col("text"), F.to_json(row))
+    # equal rows meet map-side first, so that many copies are a row for each task
+    least = signed_.where("doc_id is not null or _near_sig is not null").groupBy(F.col("doc_id").alias("_near_id"), F.col("_near_sig")).agg(F.min_by(row, order).alias("_near_row"))
+    held = least.alias("l").join(stay.alias("s"), F.col("l._near_id").eqNullSafe(F.col("s._near_id")) & F.col("_near_sig").eqNullSafe(F.col("_near_of")), "left_semi")
+    return once.unionByName(held.select("_near_row.*")).unionByName(empty)
+
+
+def signature_of(size: int):
+    """The signature of a text's shingles as a column; null without words."""
+
+    @F.pandas_udf("bigint")
+    def of(texts: pd.Series) -> pd.Series:
+        hashes = Hashes()
+        sets = (shingles(t.encode() if t is not None else None, hashes, size) for t in texts)
+        return pd.Series([signature(s) if len(s) else None for s in sets], dtype="Int64")
+
+    return of
 
 
 def query(spark, sf_dir: str) -> DataFrame:
