@@ -34,8 +34,10 @@ BASE = ("email", "ip", "card", "phone")
 LEARNED = ("phone", "secret", "ident")
 KINDS = ("email", "ip", "card", "phone", "secret", "ident")
 LABELS = ("O", *(f"{p}-{k}" for k in LEARNED for p in "BI"))
-#: Copies of each labelled line, with other digits, letters and words, that the field is trained on.
+#: Copies of each labelled line, with other digits, letters and words, that the field is trained on; and of 10 words around
+#: a span, or in a line without one, those that are exchanged for drawn letters, so that no neighbour's shape decides.
 COPIES = 5
+EXCHANGED = 3
 NEVER = -20.0
 
 #: The labelled table: [kind|text] marks a span; in training, digits and random-looking letters are drawn anew.
@@ -305,6 +307,12 @@ def training_rows() -> list[tuple[list[list[str]], list[int]]]:
     rng, rows = random.Random(11), []
     letters = "abcdefghijklmnopqrstuvwxyz"
 
+    def exchanged(m: re.Match) -> str:
+        if m[0].lower() in CUES or rng.randrange(10) >= EXCHANGED:
+            return m[0]
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+        return rng.choice((word, word.capitalize(), word[:-1] + rng.choice("äéñøł")))
+
     for line in LABELLED.splitlines():
         for copy in range(COPIES):
             text, spans = "", []
@@ -318,6 +326,8 @@ def training_rows() -> list[tuple[list[list[str]], list[int]]]:
                         body = re.sub("(?<=....)[0-9A-Za-z]", lambda _: rng.choice("0123456789" + letters + letters.upper()) if "-" in body or "_" in body else rng.choice("0123456789" + letters.upper()), body)
                     else:
                         body = re.sub("[0-9]", lambda _: rng.choice("0123456789"), body)
+                    if not kind:
+                        body = re.sub(r"\b[^\W\d_]+\b", exchanged, body)
                 if kind:
                     spans.append((len(text), len(text) + len(body), kind))
                 text += body
