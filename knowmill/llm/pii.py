@@ -268,7 +268,8 @@ def scan(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     marks, cue_numbers, cue_ids = tables()
     first = codes[starts]
     word = np.where(n_lower == length, WORDS, np.where(n_upper == length, WORDS + 1, np.where(n_lower + n_upper == length, WORDS + 2, WORDS + 3)))
-    head = (cls[starts] == UPPER) & (cls[np.minimum(starts + 1, len(cls) - 1)] == UPPER)
+    then = lambda k: cls[np.minimum(starts + k, len(cls) - 1)]
+    head = (then(0) == UPPER) & (then(1) == UPPER) & (then(2) == DIGIT)  # a country and its check digits
     mixed = MIXED + (np.minimum(length // 8, 3) * 3 + np.clip(turns - 1, 0, 2)) * 2 + head
     shape = np.where(n_digit == length, DIGITS - 1 + np.minimum(length, 8), np.where(n_digit > 0, mixed, word))
     lone = cls[starts]
