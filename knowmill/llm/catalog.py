@@ -26,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": warc.oracle(),
         "op2_quality_rules": quality.oracle(),
         "op3_url_filters": urls.oracle(),
+        "op4_jump_sharding": sharding.oracle(),
         "op6_chat_formatting": chat.oracle(),
         "op7_benchmark_decontamination": decontaminate.oracle(),
         "op9_html_extraction": html_text.oracle(),

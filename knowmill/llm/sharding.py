@@ -61,7 +61,8 @@ def shard(df: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame
 def place(df: DataFrame, key: str, shards: int = SHARDS, order: tuple[str, ...] = ()) -> DataFrame:
     """df with shard, grown_shard and slot. A bin is chosen by key and ``order``, in which rows of a bin are ordered, so that
     rows of one key are in one bin only if they agree in all of it. Carry only narrow columns through it; df is read twice."""
-    rows = shard(df, key, shards).withColumn("_bin", F.pmod(F.xxhash64(key, *order), F.lit(BINS)).cast("int"))
+    digest = F.md5(F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in (key, *order)]))
+    rows = shard(df, key, shards).withColumn("_bin", (F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint") % BINS).cast("int"))
     counts = rows.groupBy("shard", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint").alias("_from"))
@@ -76,3 +77,21 @@ def query(spark, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = cut(table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))  # each text is read once
     return place(docs, "doc_id", SHARDS, ("text_crc32", "size")).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def oracle() -> str:
+    """The same in DuckDB: CRC-32 from its polynomial, and the jumps by recursion."""
+    return f"""
+    WITH RECURSIVE bits(i, c, n) AS (SELECT i::BIGINT, i::BIGINT, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM bits WHERE n < 8),
+    crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE n = 8),
+    d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+    m AS (SELECT rid, doc_id, (strlen(x) + 8)::BIGINT AS size,
+                 xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM d, crc),
+    jumps(rid, k, j) AS (
+        SELECT rid, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END, 0::BIGINT FROM d
+        UNION ALL
+        SELECT rid, k, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / ((k // 8589934592)::DOUBLE + 1)))::BIGINT
+        FROM (SELECT rid, j, (k * {FACTOR}::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k FROM jumps WHERE j <= {SHARDS})),
+    s AS (SELECT rid, (max(j) FILTER (j < {SHARDS}))::INT AS shard, (max(j) FILTER (j <= {SHARDS}))::INT AS grown_shard FROM jumps GROUP BY rid),
+    b AS (SELECT *, ('0x' || substr(md5(concat_ws(chr(9), doc_id, text_crc32, size)), 1, 7))::BIGINT % {BINS} AS bin FROM m JOIN s USING (rid))
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bin, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM b"""
