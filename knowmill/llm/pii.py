@@ -86,6 +86,8 @@ id [ident|DE89370400440532013000] of the bank
 iban [ident|GB29NWBK60161331926819] please
 iban: [ident|FR1420041010050500013M02606] pour la
 account [ident|GB29 NWBK 6016 1331 9268 19] please
+pay [ident|NL91ABNA0417164300] now
+auf [ident|AT611904300234573201] und
 passport [ident|C01X00T47] of the man
 passport no. [ident|X1234567] shown
 passport number: [ident|123456789] and more
