@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knowmill.llm import chat, decontaminate, html_text, near, pieces, pii, pipeline, quality, sharding, urls, warc
+from knowmill.llm import chat, decontaminate, html_text, near, pieces, pii, pipeline, quality, sharding, urls, vector_codes, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_sentencepiece": pieces.query,
         "op9_html_extraction": html_text.query,
         "op10_pii": pii.query,
+        "op11_vector_codes": vector_codes.query,
         "pipeline": pipeline.run,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_formatting": chat.oracle(),
         "op7_benchmark_decontamination": decontaminate.oracle(),
         "op9_html_extraction": html_text.oracle(),
+        "op11_vector_codes": vector_codes.oracle(),
     }
