@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knowmill.llm import chat, decontaminate, html_text, near, pieces, pii, pipeline, quality, sharding, urls, vector_codes, warc
+from knowmill.llm import chat, decontaminate, html_text, near, phrases, pieces, pii, pipeline, quality, sharding, urls, vector_codes, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_html_extraction": html_text.query,
         "op10_pii": pii.query,
         "op11_vector_codes": vector_codes.query,
+        "op12_phrases": phrases.query,
         "pipeline": pipeline.run,
     }
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_benchmark_decontamination": decontaminate.oracle(),
         "op9_html_extraction": html_text.oracle(),
         "op11_vector_codes": vector_codes.oracle(),
+        "op12_phrases": phrases.oracle(),
     }
