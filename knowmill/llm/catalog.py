@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knowmill.llm import chat, decontaminate, html_text, near, phrases, pieces, pii, pipeline, quality, sharding, urls, vector_codes, warc
+from knowmill.llm import chat, decontaminate, html_text, near, phrases, pieces, pii, pipeline, pivots, quality, sharding, urls, vector_codes, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_pii": pii.query,
         "op11_vector_codes": vector_codes.query,
         "op12_phrases": phrases.query,
+        "op13_permutation_index": pivots.query,
         "pipeline": pipeline.run,
     }
 
