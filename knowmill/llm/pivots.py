@@ -7,7 +7,7 @@ pivot inverted file is posted in a table: (pivot, block, least position of the p
 
 Search: two vectors' closeness is the sum over shared pivots of m - max(i, j), where m is ORDER and i, j are the pivot's
 positions; the footrule distance, with missing pivots at position m, is m(m + 1) less twice that. A query reads the posted
-lists of its pivots by a join, which bounds its closeness to all vectors of a block, and visits the blocks that can hold a
+lists of its pivots, which bound its closeness to all vectors of a block, and visits the blocks that can hold a
 vector within the radius. There it adds up the closeness along the postings of its pivots, and those within the radius,
 in order of footrule distance, are reranked by the measure itself. The radius is fitted: for SAMPLE queries, chosen by a
 hash, the true neighbours are found among all rows, and the radius is the footrule distance within which TARGET percent of
@@ -42,6 +42,8 @@ PIVOT_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 2, 128, 8192
 ORDER = 64
 #: Rows of a block, and queries that a block answers in one task.
 BLOCK, CHUNK = 4096, 4096
+#: Blocks whose posted lists a task reads side by side, and queries that it asks them for.
+TILE, ASKED = 256, 1 << 16
 #: Queries by which the radius is fitted, and percent of their neighbours that it must hold.
 SAMPLE, TARGET = 256, 95
 
@@ -219,10 +221,7 @@ class Index:
         every = queries.select("_q", F.explode(F.sequence(F.lit(0), F.lit(self._last()))).alias("_block"))
         if radius < 1:
             return named(cut(self._visit(queries, every, 0, k)), key, k)
-        marks = self._marks(queries)
-        bound = F.sum(F.lit(self.order) - F.greatest("at", "least"))
-        visits = marks.join(self.posted, "pivot").groupBy("_q", F.col("block").alias("_block")).agg(bound.alias("bound")).where(F.col("bound") >= radius).select("_q", "_block")
-        found = cut(self._visit(queries, visits, radius, k))
+        found = cut(self._visit(queries, self._routes(queries, radius), radius, k))
         counts = found.groupBy("_q").agg(F.sum("_n").alias("n"))
         short = cut(queries.join(counts, "_q", "left").where(F.coalesce("n", F.lit(0)) < k).select("_q"))
         if short.limit(1).count():
@@ -233,16 +232,31 @@ class Index:
     def _last(self) -> int:
         return self.rows.agg(F.max("_block")).first()[0] or 0
 
-    def _marks(self, queries: DataFrame) -> DataFrame:
-        """(_q, pivot, at) of each query's pivots."""
-
-        def run(batches):
-            for b in batches:
-                order = packed(b.column(1))
-                m = order.shape[1] if len(order) else 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), m)), pa.array(order.ravel().astype(np.int32)), pa.array(np.tile(np.arange(m, dtype=np.int32), len(order)))], names=["_q", "pivot", "at"])
+    def _routes(self, queries: DataFrame, radius: int) -> DataFrame:
+        """(_q, _block) of the blocks that can hold a vector within the radius of a query: the posted lists of TILE blocks,
+        side by side, are read at the pivots of up to ASKED queries at a time."""
+        m, size = self.order, len(self.pivots)
+        parts = -(-queries.count() // ASKED)
+        part = lambda: F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))).alias("part")
+        tile = F.floor(F.col("block") / TILE).cast("int")
+        lists = self.posted.select(tile.alias("tile"), part(), "pivot", "block", "least")
+        tiles = F.explode(F.sequence(F.lit(0), F.lit(self._last() // TILE).cast("int"))).alias("tile_of")
+        asked = queries.select(tiles, F.pmod(F.xxhash64("_q"), F.lit(max(parts, 1))).cast("int").alias("part_of"), "_q", "_order")
 
-        return queries.select("_q", "_order").mapInArrow(run, "_q bigint, pivot int, at int")
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            q, block = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            if left.num_rows and right.num_rows:
+                first = int(left.column("tile")[0].as_py()) * TILE
+                least = np.full((size, TILE), m, np.int16)
+                least[left.column("pivot").to_numpy(), left.column("block").to_numpy() - first] = left.column("least").to_numpy()
+                numbers, place = right.column("_q").to_numpy(), np.arange(m)[:, None]
+                for n, marks in zip(numbers, packed(right.column("_order")), strict=True):
+                    there = np.flatnonzero((m - np.maximum(least[marks], place)).sum(0) >= radius)
+                    q.append(np.full(len(there), n))
+                    block.append(there + first)
+            return pa.table({"_q": np.concatenate(q), "_block": np.concatenate(block)})
+
+        return lists.groupBy("tile", "part").cogroup(asked.groupBy("tile_of", "part_of")).applyInArrow(run, "_q bigint, _block bigint")
 
     def _visit(self, queries: DataFrame, visits: DataFrame, radius: int, k: int) -> DataFrame:
         """The nearest of each block for each query that visits it, and how many rows came into question there. A block that
