@@ -5,11 +5,12 @@ a k-gram: the pair of their ids, which gets an id of its own if it is frequent.
 phrase without its last and without its first word; so the counts of all beginnings and endings, which cuts need, come
 from the parents' own, and a phrase that lies in a longer one is a parent on the way down.
 
-Tasks turn texts into blocks of at most BLOCK positions: an array of local numbers, and the list of what they stand for
-with its count in the block. Counts are added by phrase over all blocks; frequent ones are named in a written table, and
-the names come back to the blocks by a join, a row for each block and distinct phrase in it, not for each occurrence. A
-block that ends within a text carries the next words as context, which are named but not counted. So no task holds more
-than a block, however long a text or frequent a phrase is.
+Tasks turn texts into blocks of at most BLOCK positions: an array of local numbers, and what they stand for with its count
+in the block, dealt into buckets by hash and packed. A bucket's task adds the counts of all blocks, names what is frequent
+and answers each block with the names of what it has; so a phrase travels once for each block that has it, not for each
+occurrence, and its name only if it is frequent. Buckets are as many as make BUCKET entries in each. A block that ends within
+a text carries the next words as context, which are named but not counted. So no task holds more than a block, or a bucket
+in which a phrase has one entry for each BLOCK positions of the corpus, however long a text or frequent a phrase is.
 
 Pieces of text between separators hold phrases; words of different pieces are not adjacent. A candidate is a phrase of 2
 to ``longest`` words found at least ``least`` times. Cut after k words, it scores floor(UNIT * a * a / (l * r)) for its own
@@ -24,7 +25,8 @@ empty result. Other columns are not read. Ties in the order cannot be, since phr
 
 from __future__ import annotations
 
-from functools import reduce
+import functools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,12 @@ LEAST = 10
 SHARE = 50
 TOP = 2000
 UNIT = 1_000_000
-#: Positions of a block, and bytes of a text that are split into words at once.
-BLOCK = 1 << 18
+#: Positions of a block, bytes of a text that are split into words at once, and bytes of rows that leave a task at once.
+BLOCK = 1 << 20
 SLICE = 1 << 20
+BATCH = 8 << 20
+#: Entries of a bucket, and buckets at least.
+BUCKET, LEAST_BUCKETS = 1 << 19, 48
 MARK = b"."
 #: Upper-case letters fold, separators of pieces become the mark, and a tab a space.
 FOLD = bytes(MARK[0] if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -82,91 +87,167 @@ class Names(dict):
         return own
 
 
-WORDS = "block bigint, own int, codes binary, entries array<struct<lang:string,word:binary,n:bigint>>, totals array<struct<lang:string,n:bigint>>"
-_WORDS = pa.schema([("block", pa.int64()), ("own", pa.int32()), ("codes", pa.binary()), ("entries", pa.list_(pa.struct([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]))), ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))])
-PAIRS = "block bigint, own int, codes binary, entries array<struct<left:bigint,right:bigint,n:bigint>>"
-_PAIRS = pa.schema([("block", pa.int64()), ("own", pa.int32()), ("codes", pa.binary()), ("entries", pa.list_(pa.struct([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])))])
+#: Blocks (own, codes) and their buckets' entries (at, n, a, b): local numbers, counts, and words or first ids, languages or
+#: second ids.
+PARTS = "block bigint, own int, codes binary, totals array<struct<lang:string,n:bigint>>, bucket bigint, at binary, n binary, a binary, b binary, langs array<string>"
+_PARTS = pa.schema([("block", pa.int64()), ("own", pa.int32()), ("codes", pa.binary()), ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))), ("bucket", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("langs", pa.list_(pa.string()))])
+#: Answers to blocks (at, ids), and the names that a bucket gives.
+NAMED = "block bigint, at binary, ids binary, names array<struct<id:bigint,left:bigint,right:bigint,lang:string,word:binary,f:bigint>>"
+_NAMES = pa.list_(pa.struct([("id", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("f", pa.int64())]))
+_NAMED = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("ids", pa.binary()), ("names", _NAMES)])
 
 
-def structs(kind: pa.DataType, *columns) -> pa.Array:
-    """One list of structs, from its fields."""
-    fields = [pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)]
-    return pa.ListArray.from_arrays(pa.array([0, len(fields[0])], pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind.value_type)))
+def rows_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
 
 
-def word_blocks(docs: DataFrame, text: str, lang: str, context: int) -> DataFrame:
-    """Blocks of words: local numbers by position (-1: a mark), how many of them are the block's own, and the words."""
+def dealt(block: int, bucket: np.ndarray, n: np.ndarray, pack) -> list[dict]:
+    """A block's entries by bucket; pack gives a, b and langs of some entries."""
+    order = np.argsort(bucket, kind="stable")
+    ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+    return [dict(block=block, bucket=int(bucket[at[0]]), at=at.astype(np.int32).tobytes(), n=n[at].astype(np.int32).tobytes(), **pack(at)) for at in np.split(order, ends[:-1]) if len(at)]
+
+
+def some_at_once(rows: list[dict]):
+    """Batches of a bounded size."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(v) for v in r.values() if isinstance(v, bytes))
+        if size >= BATCH:
+            yield rows_of(held, _PARTS)
+            held, size = [], 0
+    if held:
+        yield rows_of(held, _PARTS)
+
+
+def word_blocks(docs: DataFrame, text: str, lang: str, context: int, buckets: int) -> DataFrame:
+    """Blocks of words: local numbers by position (-1: a mark) and how many of them are the block's own; and the words."""
 
     def run(batches):
-        part, made = TaskContext.get().partitionId(), 0
+        part, made = TaskContext.get().partitionId() << 32, 0
         names, held, size = Names(), [], 0
 
-        def block(codes: np.ndarray, own: int) -> pa.RecordBatch:
+        def block(codes: np.ndarray, own: int):
             nonlocal made
             used, at = np.unique(codes, return_inverse=True)
             n = np.bincount(at[:own], minlength=len(used))
             if used[0] == 0:  # the mark has no entry
                 used, n, at = used[1:], n[1:], at - 1
-            entries = [names.words[i] for i in used]
-            totals: dict[str, int] = {}
-            for (code, _), k in zip(entries, n.tolist(), strict=True):
-                totals[code] = totals.get(code, 0) + k
+            words = [names.words[i] for i in used]
+            langs = {x: i for i, x in enumerate(dict.fromkeys(w[0] for w in words))}
+            which = np.array([langs[w[0]] for w in words], np.int16)
+            totals = np.bincount(which, n, len(langs))
+            bucket = np.fromiter((zlib.crc32(w[1], langs_crc(w[0])) for w in words), np.int64, len(words)) % buckets
+            pack = lambda some: {"a": b" ".join(words[i][1] for i in some.tolist()), "b": which[some].tobytes(), "langs": list(langs)}
+            head = {"block": part + made, "own": own, "codes": at.astype(np.int32).tobytes(), "totals": [{"lang": x, "n": int(totals[i])} for x, i in langs.items()]}
+            yield from some_at_once([head, *dealt(part + made, bucket, n, pack)])
             made += 1
-            lists = structs(_WORDS.field("entries").type, [e[0] for e in entries], [e[1] for e in entries], n), structs(_WORDS.field("totals").type, list(totals), list(totals.values()))
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made - 1]), pa.array([own], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), *lists], schema=_WORDS)
 
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 some = b.slice(i, 1000)
                 for t, code in zip(some.column(0).cast(pa.binary()).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    code = "und" if code is None else code
+                    own = names[code]
                     for words in tokens((t or b"").translate(FOLD)):
-                        own = names["und" if code is None else code]
-                        held.append(np.fromiter(map(own.__getitem__, words), np.int64, len(words)))
+                        held.append(np.fromiter(map(own.__getitem__, words), np.int32, len(words)))
                         size += len(words)
                         while size >= BLOCK + context:
                             codes = np.concatenate(held)
-                            yield block(codes[: BLOCK + context], BLOCK)
+                            yield from block(codes[: BLOCK + context], BLOCK)
                             old, names = names.words, Names()
-                            again = np.array([0] + [-1] * (len(old) - 1))
-                            for j in np.unique(codes[BLOCK:]):
+                            again = np.zeros(len(old), np.int32)
+                            for j in np.unique(codes[BLOCK:]).tolist():
                                 if j:
                                     again[j] = names[old[j][0]][old[j][1]]
                             held, size = [again[codes[BLOCK:]]], size - BLOCK
-                            own = names["und" if code is None else code]
-                    held.append(np.zeros(1, np.int64))
+                            own = names[code]
+                    held.append(np.zeros(1, np.int32))
                     size += 1
         if size:
             codes = np.concatenate(held)
-            yield block(codes, len(codes))
-
-    return docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).mapInArrow(lean(run), WORDS)
-
-
-def pair_blocks(blocks: DataFrame, names: DataFrame) -> DataFrame:
-    """Blocks one level up: adjacent named entries as pairs of their ids; names has (block, at, id)."""
+            yield from block(codes, len(codes))
+
+    return docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).mapInArrow(lean(run), PARTS)
+
+
+@functools.lru_cache(1 << 12)
+def langs_crc(lang: str) -> int:
+    return zlib.crc32(lang.encode())
+
+
+def named(parts: DataFrame, least: int, words: bool, answer: bool) -> DataFrame:
+    """Each bucket's names of what is found at least so often, and its answers to the blocks that have it."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        col = lambda name: rows.column(name).to_pylist()
+        ats = [np.frombuffer(x, np.int32) for x in col("at")]
+        n = np.concatenate([np.frombuffer(x, np.int32) for x in col("n")])
+        if words:
+            text = pa.array([w for x in col("a") for w in x.split(b" ")], pa.binary()).dictionary_encode()
+            langs = [x for some in col("langs") for x in some]
+            known = {x: i for i, x in enumerate(dict.fromkeys(langs))}
+            a = np.concatenate([np.array([known[x] for x in some])[np.frombuffer(b, np.int16)] for some, b in zip(col("langs"), col("b"), strict=True)])
+            b = text.indices.to_numpy()
+        else:
+            a, b = (np.concatenate([np.frombuffer(x, np.int64) for x in col(c)]) for c in "ab")
+        order = np.lexsort((b, a))
+        fresh = np.flatnonzero(np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))
+        total = np.add.reduceat(n[order].astype(np.int64), fresh)
+        often = np.flatnonzero(total >= least)
+        one = order[fresh[often]]
+        if words:  # ids follow the order of words, so that a lost task gives the same ones again
+            of, word = list(known), text.dictionary
+            keys = [(of[a[i]], word[int(b[i])].as_py()) for i in one.tolist()]
+            by = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+            often, one = often[by], one[by]
+        ids = (key[0].as_py() << 32) + np.arange(len(often))
+        names = [{"id": i, "f": f, **({"lang": of[a[j]], "word": word[int(b[j])].as_py()} if words else {"left": int(a[j]), "right": int(b[j])})} for i, j, f in zip(ids.tolist(), one.tolist(), total[often].tolist(), strict=True)]
+        out = [{"names": names}]
+        if answer:
+            of_group = np.full(len(fresh), -1, np.int64)
+            of_group[often] = ids
+            of_entry = np.empty(len(n), np.int64)
+            of_entry[order] = np.repeat(of_group, np.diff(fresh, append=len(n)))
+            start = 0
+            for block, at in zip(col("block"), ats, strict=True):
+                own = of_entry[start : start + len(at)]
+                start += len(at)
+                if (own >= 0).any():
+                    out.append({"block": block, "at": at[own >= 0].tobytes(), "ids": own[own >= 0].tobytes()})
+        return pa.Table.from_batches([rows_of(out, _NAMED)])
+
+    return parts.where("bucket is not null").select("bucket", "block", "at", "n", "a", "b", "langs").groupBy("bucket").applyInArrow(run, NAMED)
+
+
+def pair_blocks(parts: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    """Blocks one level up: adjacent named entries as pairs of their ids."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _PAIRS.empty_table()
-        codes, own = np.frombuffer(left.column("codes")[0].as_py(), np.int32), left.column("own")[0].as_py()
-        at, ids = right.column("at").to_numpy(), right.column("id").to_numpy()
-        local = np.full(int(max(codes.max(initial=-1), at.max())) + 1, -1, np.int64)
+            return _PARTS.empty_table()
+        codes, own, block = np.frombuffer(left.column("codes")[0].as_py(), np.int32), left.column("own")[0].as_py(), left.column("block")[0].as_py()
+        at, ids = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("at", np.int32), ("ids", np.int64)))
+        local = np.full(int(max(codes.max(initial=-1), at.max())) + 2, -1, np.int64)
         local[at] = np.arange(len(at))
-        codes = np.where(codes < 0, -1, local[codes])
-        a, b = codes[:-1], codes[1:]
-        there = np.flatnonzero((a >= 0) & (b >= 0))
-        pairs, which = np.unique(a[there] * len(at) + b[there], return_inverse=True)
+        codes = local[codes]  # the last element is the mark's
+        there = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+        pairs, which = np.unique(codes[there] * len(at) + codes[there + 1], return_inverse=True)
         n = np.bincount(which[there < own], minlength=len(pairs))
         up = np.full(len(codes), -1, np.int32)
         up[there] = which
-        entries = structs(_PAIRS.field("entries").type, ids[pairs // len(at)], ids[pairs % len(at)], n)
-        return pa.Table.from_arrays([left.column("block"), left.column("own"), pa.array([up.tobytes()]), entries], schema=_PAIRS)
+        a, b = ids[pairs // len(at)], ids[pairs % len(at)]
+        bucket = ((a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)) % np.uint64(buckets)
+        pack = lambda some: {"a": a[some].tobytes(), "b": b[some].tobytes()}
+        return pa.Table.from_batches(list(some_at_once([{"block": block, "own": own, "codes": up.tobytes()}, *dealt(block, bucket.astype(np.int64), n, pack)])))
 
-    return blocks.select("block", "own", "codes").groupBy("block").cogroup(names.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(run, PAIRS)
+    answers = answers.where("block is not null").select(F.col("block").alias("of"), "at", "ids")
+    return parts.where("codes is not null").select("block", "own", "codes").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(run, PARTS)
 
 
-def entries_of(blocks: DataFrame) -> DataFrame:
-    return blocks.select("block", F.posexplode("entries").alias("at", "e")).select("block", "at", "e.*")
+def buckets_for(entries: int) -> int:
+    return max(LEAST_BUCKETS, -(-entries // BUCKET))
 
 
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, share: int = SHARE, top: int = TOP) -> DataFrame:
@@ -178,26 +259,26 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
         df.write.parquet(folders[-1])
         return spark.read.parquet(folders[-1])
 
-    blocks = stored(word_blocks(docs, text, lang, longest - 1), "phrase-blocks")
-    totals = blocks.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n"))
-    found = entries_of(blocks)
-    counted = found.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    def names_of(answers: DataFrame) -> DataFrame:
+        return answers.where("names is not null").select(F.explode("names").alias("x")).select("x.*")
+
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    parts = stored(word_blocks(docs, text, lang, longest - 1, buckets_for(size // 6)), "phrase-blocks")
+    totals = parts.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n"))
+    places = parts.agg(F.sum("own")).first()[0] or 0
+    answers = stored(named(parts, least, True, longest > 1), "phrase-names")
     none = F.array().cast("array<bigint>")
-    names = stored(counted.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails")), "phrase-names")
-    links = found.join(names.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("block", "at", "id")
+    names = names_of(answers).select("id", "lang", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails"))
     levels = []
     for k in range(2, longest + 1):
-        blocks = stored(pair_blocks(blocks, links), "phrase-blocks")
-        found = entries_of(blocks)
-        counted = found.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        parts = stored(pair_blocks(parts, answers, buckets_for(places)), "phrase-blocks")
+        answers = stored(named(parts, least, False, k < longest), "phrase-names")
         one = names.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("first"), F.concat("heads", F.array("f")).alias("heads"))
         # a phrase's last word is what follows the last space of its second parent
         other = names.select(F.col("id").alias("right"), F.substring_index(F.col("phrase").cast("string"), " ", -1).cast("binary").alias("last"), F.concat("tails", F.array("f")).alias("tails"))
-        named = counted.join(one, "left").join(other, "right")
-        names = stored(named.select(F.monotonically_increasing_id().alias("id"), "left", "right", "lang", F.concat("first", F.lit(b" "), "last").alias("phrase"), "f", "heads", "tails"), "phrase-names")
+        pairs = names_of(answers).select("id", "left", "right", "f").join(one, "left").join(other, "right")
+        names = stored(pairs.select("id", "left", "right", "lang", F.concat("first", F.lit(b" "), "last").alias("phrase"), "f", "heads", "tails"), "phrase-levels")
         levels.append(names)
-        if k < longest:
-            links = found.join(names.select("left", "right", "id"), ["left", "right"]).select("block", "at", "id")
     kept = []
     for k, level in enumerate(levels, 2):
         number = lambda c: c.cast("decimal(38,0)")
@@ -212,7 +293,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
             above = levels[k - 1].select(F.explode(F.array("left", "right")).alias("id"), "f").groupBy("id").agg(F.max("f").alias("most"))
             level = level.join(above, "id", "left").where(F.coalesce(100 * F.col("most") < share * F.col("f"), F.lit(True)))
         kept.append(level.select("id", "lang", "phrase", F.col("f").alias("a"), best))
-    ranked = first_of(reduce(DataFrame.union, kept).select("id", "lang", "phrase", "a", "best.score", "best.l", "best.r"), top)
+    ranked = first_of(functools.reduce(DataFrame.union, kept).select("id", "lang", "phrase", "a", "best.score", "best.l", "best.r"), top)
     out = cut(ranked.join(totals, "lang").select("lang", "rank", F.col("phrase").cast("string").alias("phrase"), "a", "l", "r", "n", "score"))
     for folder in folders:
         delete(spark, folder)
