@@ -97,6 +97,17 @@ _NAMES = pa.list_(pa.struct([("id", pa.int64()), ("left", pa.int64()), ("right",
 _NAMED = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("ids", pa.binary()), ("names", _NAMES)])
 
 
+def flat(x: np.ndarray, kind: type) -> bytes:
+    """Numbers as bytes, all first bytes first; so shuffle and file compression find the equal ones together."""
+    x = np.ascontiguousarray(x, kind)
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def whole(x: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 def rows_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
 
@@ -105,7 +116,7 @@ def dealt(block: int, bucket: np.ndarray, n: np.ndarray, pack) -> list[dict]:
     """A block's entries by bucket; pack gives a, b and langs of some entries."""
     order = np.argsort(bucket, kind="stable")
     ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
-    return [dict(block=block, bucket=int(bucket[at[0]]), at=at.astype(np.int32).tobytes(), n=n[at].astype(np.int32).tobytes(), **pack(at)) for at in np.split(order, ends[:-1]) if len(at)]
+    return [dict(block=block, bucket=int(bucket[at[0]]), at=flat(at, np.int32), n=flat(n[at], np.int32), **pack(at)) for at in np.split(order, ends[:-1]) if len(at)]
 
 
 def some_at_once(rows: list[dict]):
@@ -139,8 +150,8 @@ def word_blocks(docs: DataFrame, text: str, lang: str, context: int, buckets: in
             which = np.array([langs[w[0]] for w in words], np.int16)
             totals = np.bincount(which, n, len(langs))
             bucket = np.fromiter((zlib.crc32(w[1], langs_crc(w[0])) for w in words), np.int64, len(words)) % buckets
-            pack = lambda some: {"a": b" ".join(words[i][1] for i in some.tolist()), "b": which[some].tobytes(), "langs": list(langs)}
-            head = {"block": part + made, "own": own, "codes": at.astype(np.int32).tobytes(), "totals": [{"lang": x, "n": int(totals[i])} for x, i in langs.items()]}
+            pack = lambda some: {"a": b" ".join(words[i][1] for i in some.tolist()), "b": flat(which[some], np.int16), "langs": list(langs)}
+            head = {"block": part + made, "own": own, "codes": flat(at, np.int32), "totals": [{"lang": x, "n": int(totals[i])} for x, i in langs.items()]}
             yield from some_at_once([head, *dealt(part + made, bucket, n, pack)])
             made += 1
 
@@ -182,16 +193,16 @@ def named(parts: DataFrame, least: int, words: bool, answer: bool) -> DataFrame:
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         col = lambda name: rows.column(name).to_pylist()
-        ats = [np.frombuffer(x, np.int32) for x in col("at")]
-        n = np.concatenate([np.frombuffer(x, np.int32) for x in col("n")])
+        ats = [whole(x, np.int32) for x in col("at")]
+        n = np.concatenate([whole(x, np.int32) for x in col("n")])
         if words:
             text = pa.array([w for x in col("a") for w in x.split(b" ")], pa.binary()).dictionary_encode()
             langs = [x for some in col("langs") for x in some]
             known = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-            a = np.concatenate([np.array([known[x] for x in some])[np.frombuffer(b, np.int16)] for some, b in zip(col("langs"), col("b"), strict=True)])
+            a = np.concatenate([np.array([known[x] for x in some])[whole(b, np.int16)] for some, b in zip(col("langs"), col("b"), strict=True)])
             b = text.indices.to_numpy()
         else:
-            a, b = (np.concatenate([np.frombuffer(x, np.int64) for x in col(c)]) for c in "ab")
+            a, b = (np.concatenate([whole(x, np.int64) for x in col(c)]) for c in "ab")
         order = np.lexsort((b, a))
         fresh = np.flatnonzero(np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))
         total = np.add.reduceat(n[order].astype(np.int64), fresh)
@@ -215,7 +226,7 @@ def named(parts: DataFrame, least: int, words: bool, answer: bool) -> DataFrame:
                 own = of_entry[start : start + len(at)]
                 start += len(at)
                 if (own >= 0).any():
-                    out.append({"block": block, "at": at[own >= 0].tobytes(), "ids": own[own >= 0].tobytes()})
+                    out.append({"block": block, "at": flat(at[own >= 0], np.int32), "ids": flat(own[own >= 0], np.int64)})
         return pa.Table.from_batches([rows_of(out, _NAMED)])
 
     return parts.where("bucket is not null").select("bucket", "block", "at", "n", "a", "b", "langs").groupBy("bucket").applyInArrow(run, NAMED)
@@ -227,8 +238,8 @@ def pair_blocks(parts: DataFrame, answers: DataFrame, buckets: int) -> DataFrame
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _PARTS.empty_table()
-        codes, own, block = np.frombuffer(left.column("codes")[0].as_py(), np.int32), left.column("own")[0].as_py(), left.column("block")[0].as_py()
-        at, ids = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("at", np.int32), ("ids", np.int64)))
+        codes, own, block = whole(left.column("codes")[0].as_py(), np.int32), left.column("own")[0].as_py(), left.column("block")[0].as_py()
+        at, ids = (np.concatenate([whole(x, t) for x in right.column(c).to_pylist()]) for c, t in (("at", np.int32), ("ids", np.int64)))
         local = np.full(int(max(codes.max(initial=-1), at.max())) + 2, -1, np.int64)
         local[at] = np.arange(len(at))
         codes = local[codes]  # the last element is the mark's
@@ -239,8 +250,8 @@ def pair_blocks(parts: DataFrame, answers: DataFrame, buckets: int) -> DataFrame
         up[there] = which
         a, b = ids[pairs // len(at)], ids[pairs % len(at)]
         bucket = ((a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)) % np.uint64(buckets)
-        pack = lambda some: {"a": a[some].tobytes(), "b": b[some].tobytes()}
-        return pa.Table.from_batches(list(some_at_once([{"block": block, "own": own, "codes": up.tobytes()}, *dealt(block, bucket.astype(np.int64), n, pack)])))
+        pack = lambda some: {"a": flat(a[some], np.int64), "b": flat(b[some], np.int64)}
+        return pa.Table.from_batches(list(some_at_once([{"block": block, "own": own, "codes": flat(up, np.int32)}, *dealt(block, bucket.astype(np.int64), n, pack)])))
 
     answers = answers.where("block is not null").select(F.col("block").alias("of"), "at", "ids")
     return parts.where("codes is not null").select("block", "own", "codes").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(run, PARTS)
@@ -256,15 +267,21 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         folders.append(new_folder(spark, name))
-        df.write.parquet(folders[-1])
+        df.write.option("compression", "zstd").parquet(folders[-1])
         return spark.read.parquet(folders[-1])
 
+    def done(name: str) -> None:
+        for folder in [f for f in folders if f"/{name}-" in f][:-1]:
+            folders.remove(folder)
+            delete(spark, folder)
+
     def names_of(answers: DataFrame) -> DataFrame:
         return answers.where("names is not null").select(F.explode("names").alias("x")).select("x.*")
 
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     parts = stored(word_blocks(docs, text, lang, longest - 1, buckets_for(size // 6)), "phrase-blocks")
     totals = parts.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n"))
+    totals = cut(totals)  # a row for each language
     places = parts.agg(F.sum("own")).first()[0] or 0
     answers = stored(named(parts, least, True, longest > 1), "phrase-names")
     none = F.array().cast("array<bigint>")
@@ -272,12 +289,14 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     levels = []
     for k in range(2, longest + 1):
         parts = stored(pair_blocks(parts, answers, buckets_for(places)), "phrase-blocks")
+        done("phrase-blocks")
         answers = stored(named(parts, least, False, k < longest), "phrase-names")
         one = names.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("first"), F.concat("heads", F.array("f")).alias("heads"))
         # a phrase's last word is what follows the last space of its second parent
         other = names.select(F.col("id").alias("right"), F.substring_index(F.col("phrase").cast("string"), " ", -1).cast("binary").alias("last"), F.concat("tails", F.array("f")).alias("tails"))
         pairs = names_of(answers).select("id", "left", "right", "f").join(one, "left").join(other, "right")
         names = stored(pairs.select("id", "left", "right", "lang", F.concat("first", F.lit(b" "), "last").alias("phrase"), "f", "heads", "tails"), "phrase-levels")
+        done("phrase-names")
         levels.append(names)
     kept = []
     for k, level in enumerate(levels, 2):
