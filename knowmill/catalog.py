@@ -229,10 +229,10 @@ def shortest_path(spark, d):
     return spark.createDataFrame([(" > ".join(p), len(p) - 1)], "path string, hops bigint")
 
 
-@query("WITH r AS (SELECT n_name, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS i FROM nation) SELECT string_agg(n_name, ' > ' ORDER BY i) AS path FROM r WHERE i BETWEEN 1 AND 5")
+@query("WITH r AS (SELECT n_name, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS i FROM nation) SELECT string_agg(n_name, ' > ' ORDER BY i) AS path, true AS complete FROM r WHERE i BETWEEN 1 AND 5")
 def all_paths(spark, d):
     rows = [r[0] for r in table(spark, d, "nation").orderBy("n_regionkey", "n_nationkey").select("n_name").limit(5).collect()]
-    return G.all_paths(ring(spark, d), rows[0], rows[4]).select(F.array_join("path", " > ").alias("path"))
+    return G.all_paths(ring(spark, d), rows[0], rows[4]).select(F.array_join("path", " > ").alias("path"), "complete")
 
 
 @query("SELECT event_type AS node, (SELECT min(event_type) FROM events) AS component FROM events GROUP BY event_type")
@@ -244,6 +244,49 @@ def cyclic_clusters(spark, d):
     return G.cyclic_clusters(e)
 
 
+@query(
+    """WITH RECURSIVE l AS (SELECT l_quantity AS q, l_returnflag AS r, 'c' || o_custkey AS c, 's' || l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    e AS (SELECT DISTINCT c AS f, s AS t FROM l WHERE q >= 49 AND r = 'R' UNION SELECT DISTINCT s, c FROM l WHERE q >= 49 AND r = 'A'),
+    w(f, t) AS (SELECT f, t FROM e UNION SELECT w.f, e.t FROM w JOIN e ON w.t = e.f)
+    SELECT a.f AS node, min(a.t) AS component FROM w a JOIN w b ON a.f = b.t AND a.t = b.f GROUP BY a.f"""
+)
+def trade_cycles(spark, d):
+    """Customers and suppliers that reach one another: large lines returned lead to the supplier, those accepted back."""
+    li, o = table(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey", "l_returnflag"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    ends = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("c"), F.concat(F.lit("s"), "l_suppkey").alias("s"), "l_returnflag")
+    there = ends.where("l_returnflag = 'R'").select(F.col("c").alias("from"), F.col("s").alias("to"))
+    back = ends.where("l_returnflag = 'A'").select(F.col("s").alias("from"), F.col("c").alias("to"))
+    return G.cyclic_clusters(there.unionByName(back))
+
+
+#: Statuses that types of events stand for.
+STATUS = {"view": "running", "click": "rate-limited", "error": "error", "signup": "passed", "purchase": "ran"}
+PATIENCE, KEEP = "6 hours", "2 days"
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT user_id::VARCHAR AS run, event_id AS pos, epoch_ms(ts) AS ms, {" ".join(["CASE event_type"] + [f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items()] + ["END"])} AS status FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ms, pos) AS i, ms + CASE WHEN status IN ('running', 'error', 'rate-limited') THEN 21600000 ELSE 172800000 END AS due FROM r WHERE run IS NOT NULL AND status IS NOT NULL AND ms IS NOT NULL),
+    m AS (SELECT run, i, pos, ms, status, 'accepted' AS outcome, status AS held, due, pos AS hpos, NULL::BIGINT AS gone, NULL::VARCHAR AS was, NULL::BIGINT AS gpos FROM n WHERE i = 1
+        UNION ALL SELECT n.run, n.i, n.pos, n.ms, CASE WHEN keep THEN m.held ELSE n.status END, CASE WHEN keep THEN 'refused' ELSE 'accepted' END,
+            CASE WHEN keep THEN m.held ELSE n.status END, CASE WHEN keep THEN m.due ELSE n.due END, CASE WHEN keep THEN m.hpos ELSE n.pos END, CASE WHEN m.due < n.ms THEN m.due END, CASE WHEN m.due < n.ms THEN m.held END, m.hpos
+        FROM (SELECT m.*, held IN ('passed', 'ran') AS over FROM m) m JOIN n ON n.run = m.run AND n.i = m.i + 1, LATERAL (SELECT m.over AND m.due >= n.ms AS keep) k),
+    e AS (SELECT run, gpos AS pos, gone AS ms, was FROM m WHERE gone IS NOT NULL
+        UNION ALL SELECT run, hpos, due, held FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY i DESC) AS z FROM m) WHERE z = 1 AND due < (SELECT max(ms) FROM r))
+    SELECT run, pos, ms AS "at", status, outcome FROM m
+    UNION ALL SELECT run, pos, ms, CASE WHEN was IN ('passed', 'ran') THEN NULL ELSE 'pending' END, CASE WHEN was IN ('passed', 'ran') THEN 'expired' ELSE 'reverted' END FROM e"""
+)
+def run_states(spark, d):
+    """Events as records of their users' runs, replayed as a stream."""
+    import uuid
+
+    from knowmill.streaming.runs import replay
+
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv]), F.col("event_type"))
+    roles = lambda e: e.select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("pos"), status.alias("status"), F.col("ts").alias("time"))
+    return replay(spark, f"{d.rstrip('/')}/events.parquet", roles, PATIENCE, KEEP, f"{G.shared_dir(spark)}/runs-{uuid.uuid4().hex}")
+
+
 # Services ----------------------------------------------------------------------------------------------------------------
 
 

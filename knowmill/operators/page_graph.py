@@ -52,10 +52,10 @@ def path_graph(edges: DataFrame) -> DataFrame:
     return live_edges(edges).groupBy("from", "to").agg(F.min("ord").alias("ord"), *[F.max_by(c, "ord").alias(c) for c in rest])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computed once, reread from the folder of spark.checkpoint.dir. Where that is unset, a temporary folder serves a local
-    session; other sessions fail, since executors do not see the driver's folders."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary folder serves a local session; other sessions
+    fail, since executors do not see the driver's folders."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if not named and sc.master.split("[")[0] != "local":
@@ -65,6 +65,12 @@ def cut(df: DataFrame) -> DataFrame:
 
             named = tempfile.mkdtemp(prefix="knowmill-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computed once, reread from the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -106,92 +112,30 @@ def thin_clusters(edges: DataFrame, least: int = 3) -> DataFrame:
     return clusters(edges).where(F.col("n_nodes") < least)
 
 
-def paths(edges: DataFrame, source: str, target: str, hops: int) -> DataFrame:
-    """Simple paths (path, ords) of at most ``hops`` edges, level by level. A level holds distinct prefixes; give a bound
-    that the graph can bear, as the number of simple paths can double with each hop."""
-    g = path_graph(edges).select(F.col("from").alias("f"), F.col("to").alias("t"), "ord")
-    front = g.where(F.col("f") == source).select(F.array("f", "t").alias("path"), F.array("ord").alias("ords")).where(F.element_at("path", 1) != F.element_at("path", 2))
-    found = None
-    for _ in range(hops):
-        front = cut(front)
-        done = front.where(F.element_at("path", -1) == target)
-        found = done if found is None else found.unionByName(done)
-        front = front.where(F.element_at("path", -1) != target)
-        if front.isEmpty():
-            break
-        step = front.join(g, F.element_at("path", -1) == F.col("f")).where(~F.array_contains("path", F.col("t")))
-        front = step.select(F.concat("path", F.array("t")).alias("path"), F.concat("ords", F.array("ord")).alias("ords"))
-    return found
-
-
 def all_paths(edges: DataFrame, source: str, target: str, n: int = 5, hops: int = 12) -> DataFrame:
-    """The first n simple paths, in the order of their edges' first appearance. Depth is bounded by ``hops``."""
-    return paths(edges, source, target, hops).orderBy("ords").limit(n).select("path")
-
-
-def reached(edges: DataFrame, source: str, hops: int) -> DataFrame:
-    """(node, depth, parent): breadth-first levels; the parent is that of the earliest edge."""
-    g = path_graph(edges).select(F.col("from").alias("f"), F.col("to").alias("t"), "ord")
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(source, 0, None, [])], "node string, depth int, parent string, rank array<bigint>")
-    front = seen
-    for depth in range(1, hops + 1):
-        w = Window.partitionBy("t").orderBy("rank", "ord")
-        step = front.join(g, F.col("node") == F.col("f")).select("t", "f", "rank", "ord").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-        step = step.join(seen.select(F.col("node").alias("t")), "t", "left_anti")
-        front = cut(step.select(F.col("t").alias("node"), F.lit(depth).alias("depth"), F.col("f").alias("parent"), F.concat("rank", F.array(F.col("ord").cast("bigint"))).alias("rank")))
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-    return seen.select("node", "depth", "parent")
+    """The first n simple paths (path, complete), in the order of their edges' first appearance; ``complete`` is false if the
+    bound ``hops`` may have left paths out."""
+    from knowmill.operators.reach import search_paths
+
+    return search_paths(edges, source, target, hops).orderBy("ords").limit(n).select("path", "complete")
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 6, via: str | None = None) -> list[str]:
-    """The nodes of a shortest directed path, ties by the earliest edge; empty if there is none."""
+    """The nodes of a shortest directed path, ties by the earliest edge; empty if there is none within the bound, which
+    ``reach.search_shortest`` tells from none at all."""
+    from knowmill.operators.reach import search_shortest
+
     if via is not None:
         a, b = shortest_path(edges, source, via, max_hops), shortest_path(edges, via, target, max_hops)
         return a + b[1:] if a and b else []
-    up = reached(edges, source, max_hops)
-    out, node = [], target
-    while True:  # as many lookups as the path has nodes
-        row = up.where(F.col("node") == node).select("parent").first()
-        if row is None:
-            return []
-        out.append(node)
-        if node == source:
-            return out[::-1]
-        node = row.parent
+    return search_shortest(edges, source, target, max_hops)[0]
 
 
 def cyclic_clusters(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(node, component) of strongly connected components of at least two nodes, and of self-loops, for edges (from, to).
-    Nodes without an edge in or out are trimmed; what remains is closed by joins of the closure with itself, which doubles the
-    paths' length each round. Raises if it has not settled after ``rounds`` of them."""
-    e = cut(edges.select("from", "to").distinct())
-    loops = e.where(F.col("from") == F.col("to")).select(F.col("from").alias("node"), F.col("from").alias("component"))
-    e = e.where(F.col("from") != F.col("to"))
-    n = e.count()
-    for _ in range(rounds):
-        both = e.select("from").intersect(e.select(F.col("to").alias("from")))
-        e = cut(e.join(both, "from", "left_semi").join(both.select(F.col("from").alias("to")), "to", "left_semi").select("from", "to"))
-        m = e.count()
-        if m == n:
-            break
-        n = m
-    reach = e
-    for _ in range(rounds):
-        more = reach.unionByName(reach.join(reach.select(F.col("from").alias("to"), F.col("to").alias("next")), "to").select("from", F.col("next").alias("to"))).distinct()
-        more = cut(more)
-        m = more.count()
-        reach, done, n = more, m == n, m
-        if done:
-            break
-    else:
-        raise RuntimeError(f"the closure has not settled in {rounds} rounds")
-    mutual = reach.join(reach.select(F.col("to").alias("from"), F.col("from").alias("to")), ["from", "to"])
-    scc = mutual.groupBy("from").agg(F.min("to").alias("component")).select(F.col("from").alias("node"), "component").where(F.col("component").isNotNull())
-    scc = scc.withColumn("component", F.least("node", "component"))
-    return scc.unionByName(loops.join(scc.select("node"), "node", "left_anti"))
+    """(node, component) of strongly connected components of at least two nodes, and of self-loops, for edges (from, to)."""
+    from knowmill.operators.reach import strongly_connected
+
+    return strongly_connected(edges, rounds)
 
 
 def ambiguity(edges: DataFrame, limit: float = 0.2) -> DataFrame:

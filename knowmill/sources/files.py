@@ -143,9 +143,18 @@ def pages(files: DataFrame, archived: bool = False) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, value) of the lines of one log, or of logs in order of name; pos follows files and offsets."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.monotonically_increasing_id().alias("pos"), "value")
+    """(pos, value) of the lines of one log, or of logs in order of name; pos counts all lines before, and so does not hang on
+    how files are split. A split is known by its file and first byte; its lines are counted first, and a line's place in it
+    follows from the rows' ids, which a task gives one after another. One row for each split comes back to be summed up."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_file", "_from").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).collect()
+    starts, at = [], 0
+    for r in sorted(splits, key=lambda r: (r._file, r._from)):
+        starts.append((r._file, r._from, at - r._first))
+        at += r._n
+    offsets = spark.createDataFrame(starts, "_file string, _from bigint, _shift bigint")
+    placed = lines.join(F.broadcast(offsets), ["_file", "_from"])  # a row for each split
+    return placed.where(F.trim("value") != "").select((F.col("_id") + F.col("_shift")).alias("pos"), "value")
 
 
 def edge_log(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import functools
 import json
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -7,11 +9,12 @@ from pyspark.sql import functions as F
 from knowmill.functions import paths as P
 from knowmill.functions import text as X
 from knowmill.operators import events as E
-from knowmill.operators import extract, lifecycle, lint, page_graph, page_quality, registry, render, schema_diff, services
+from knowmill.operators import extract, lifecycle, lint, page_graph, page_quality, reach, registry, render, schema_diff, services
 from knowmill.plans import gate
 from knowmill.sources import files as FS
 from knowmill.sources import sinks
 from knowmill.streaming import events as ST
+from knowmill.streaming import runs
 
 
 def one(spark, expr, **values):
@@ -33,7 +36,17 @@ def test_paths(six):
     assert page_graph.shortest_path(six, "A", "D") == ["A", "E", "D"]
     assert page_graph.shortest_path(six, "A", "D", via="B") == ["A", "B", "C", "D"]
     assert page_graph.shortest_path(six, "A", "nowhere") == []
-    assert [r.path for r in page_graph.all_paths(six, "A", "D").collect()] == [["A", "B", "C", "D"], ["A", "E", "D"]]
+    assert [tuple(r) for r in page_graph.all_paths(six, "A", "D").collect()] == [(["A", "B", "C", "D"], True), (["A", "E", "D"], True)]
+    assert [tuple(r) for r in page_graph.all_paths(six, "A", "D", hops=2).collect()] == [(["A", "E", "D"], False)]
+    assert reach.search_shortest(six, "A", "D") == (["A", "E", "D"], True)
+    assert reach.search_shortest(six, "A", "C", 1) == ([], False) and reach.search_shortest(six, "A", "nowhere") == ([], True)
+
+
+def test_path_prefixes_lead_to_the_target(spark):
+    """Of a wide tree below the source, only what leads to the target is followed."""
+    e = [("s", f"x{i}") for i in range(50)] + [(f"x{i}", f"y{i}_{j}") for i in range(50) for j in range(20)] + [("x7", "m"), ("m", "t")]
+    edges = spark.createDataFrame([(i, a, b, "supports", "EXTRACTED") for i, (a, b) in enumerate(e)], "ord bigint, from string, to string, type string, provenance string")
+    assert [tuple(r) for r in page_graph.all_paths(edges, "s", "t").collect()] == [(["s", "x7", "m", "t"], True)]
 
 
 def test_components_and_ambiguity(spark, six):
@@ -55,8 +68,57 @@ def test_long_cycles(spark):
     ring = lambda p, n: [(f"{p}{i:03}", f"{p}{(i + 1) % n:03}") for i in range(n)]
     e = spark.createDataFrame(ring("a", 70) + ring("b", 130) + [("a000", "b000")], "from string, to string")
     assert {(r.node, r.component) for r in page_graph.cyclic_clusters(e).collect()} == {(f"{p}{i:03}", f"{p}000") for p, n in (("a", 70), ("b", 130)) for i in range(n)}
+    dense = spark.range(3000).selectExpr("cast(id as string) as `from`", "explode(array(cast((id + 1) % 3000 as string), cast(id * 7 % 3000 as string))) as `to`")
     with pytest.raises(RuntimeError, match="settled"):
-        page_graph.cyclic_clusters(e, rounds=3)
+        page_graph.cyclic_clusters(dense, rounds=2)
+
+
+def test_ring_of_many_nodes(spark):
+    n = 100_000
+    e = spark.range(n).selectExpr("cast(id as string) as `from`", f"cast((id + 1) % {n} as string) as `to`")
+    assert [tuple(r) for r in reach.strongly_connected(e).groupBy("component").count().collect()] == [("0", n)]
+
+
+def test_components_equal_brute_force(spark):
+    rng = random.Random(5)
+    edges = {(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(60)}
+    to = {}
+    for a, b in edges:
+        to.setdefault(a, set()).add(b)
+    far = lambda a: functools.reduce(lambda seen, _: seen | {y for x in seen for y in to.get(x, ())}, range(40), to.get(a, set()))
+    reach_of = {x: far(x) for x in {n for e in edges for n in e}}
+    want = {(x, min(y for y in r if x in reach_of[y])) for x, r in reach_of.items() if x in r}
+    e = spark.createDataFrame([*edges, (None, "n01"), ("n01", None)], "from string, to string")
+    assert {tuple(r) for r in reach.strongly_connected(e).collect()} == want
+    assert reach.strongly_connected(e.limit(0)).count() == 0
+
+
+def test_run_states_do_not_hang_on_batches(spark, tmp_path):
+    """The same outcomes whether records come as one file or as many."""
+    rows = [("a", 0, "running", "01 00:00"), ("a", 1, "passed", "01 01:00"), ("a", 2, "running", "01 02:00"), ("a", 3, "running", "05 00:00"), ("b", 4, "error", "01 00:00"), ("b", 5, "ran", "02 00:00"), ("c", 6, "pending", "06 00:00"), (None, 7, "ran", "01 00:00")]
+    df = spark.createDataFrame([(r, p, s, f"2024-01-{t}:00") for r, p, s, t in rows], "run string, pos bigint, status string, t string").select("run", "pos", "status", F.to_timestamp("t").alias("time"))
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    for i in range(len(rows)):
+        df.where(f"pos = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "many"))
+    got = {}
+    for name in ("one", "many"):
+        out = runs.replay(spark, str(tmp_path / name), lambda x: x, "6 hours", "2 days", str(tmp_path / f"{name}-out"))
+        got[name] = {(r.run, r.pos, r.status, r.outcome) for r in out.collect()}
+    assert got["one"] == got["many"]
+    assert got["one"] == {("a", 0, "running", "accepted"), ("a", 1, "passed", "accepted"), ("a", 2, "passed", "refused"), ("a", 1, None, "expired"), ("a", 3, "running", "accepted"), ("a", 3, "pending", "reverted"), ("b", 4, "error", "accepted"), ("b", 4, "pending", "reverted"), ("b", 5, "ran", "accepted"), ("b", 5, None, "expired"), ("c", 6, "pending", "accepted")}
+
+
+def test_log_positions_do_not_hang_on_splits(spark, tmp_path):
+    for f, (low, high) in {"a.jsonl": (0, 500), "b.jsonl": (500, 1200)}.items():
+        (tmp_path / f).write_text("".join(f"line {i}\n" + ("\n" if i % 100 == 0 else "") for i in range(low, high)))
+    old, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    for size in ("128m", "200"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        lines = FS.numbered_lines(spark, str(tmp_path))
+        seen.append((lines.rdd.getNumPartitions(), [tuple(r) for r in lines.orderBy("pos").collect()]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert seen[0][1] == seen[1][1] and seen[1][0] > 30 > seen[0][0]
+    assert [v for _, v in seen[0][1]] == [f"line {i}" for i in range(1200)] and seen[0][1][-1][0] == 1211
 
 
 def test_remove_first_edge(spark, six):
