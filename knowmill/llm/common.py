@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,33 +43,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Folders that this process has made and not yet deleted.
-_made: list[str] = []
+#: The folders of the run that is under way, if one owns them.
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextlib.contextmanager
+def owned(spark: SparkSession):
+    """What new_folder makes inside goes when this ends; only a result that has been written elsewhere may leave it. Folders
+    of other runs, threads and callers are not touched."""
+    mine: list[str] = []
+    before = _owner.set(mine)
+    try:
+        yield
+    finally:
+        _owner.reset(before)
+        for folder in mine:
+            delete(spark, folder)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder for tables or files that an operator writes; ``clear`` deletes it."""
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    """An unused path in the shared folder for tables or files that an operator writes. It stays until ``delete`` or the end
+    of the run that owns it."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (mine := _owner.get()) is not None:
+        mine.append(folder)
+    return folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, so that later readers choose columns; it stays until ``clear``."""
+    """df as Parquet in the shared folder, so that later readers choose columns."""
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
 
-def clear(spark: SparkSession, *but: str) -> None:
-    """Deletes the folders of new_folder, when no result that reads them is needed any more."""
-    for folder in [f for f in _made if f not in but]:
-        delete(spark, folder)
-
-
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _made.remove(folder)
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:

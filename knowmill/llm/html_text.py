@@ -46,7 +46,7 @@ RAW = frozenset("script style noscript textarea title iframe".split())
 DROP = frozenset("nav footer aside form button menu dialog template svg math object canvas audio video select".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
 #: Classes and ids that no text of an article has, and parts of their names that only hint at something else.
-CERTAIN = re.compile(r"(?:^|[\s_-])(?:cookies?[_-](?:notice|banner|consent|bar|message|popup|wall|law|overlay|info)|consent|gdpr|sidebar|navbar|navigation|breadcrumbs?|pagination|site-?footer|page-?footer|comments?(?:-(?:list|section|area))?|disqus\w*|respond)$", re.I)
+CERTAIN = re.compile(r"(?:^|[\s_-])(?:cookies?[_-](?:notice|banner|consent|bar|message|popup|wall|law|overlay|info)|consent|gdpr|sidebar|navbar|navigation|breadcrumbs?|pagination|site-?footer|page-?footer|comments?-?(?:list|section|area|thread|wrap(?:per)?)?|(?:adverts?|advertisements?|ads|adsense|ad[_-](?:banner|box|block|slot|unit|container|wrapper)|sponsored(?:[_-](?:content|links?|posts?))?|newsletter(?:[_-](?:signup|sign-up|form|box|banner|subscribe|subscription))?|subscribe(?:[_-](?:box|form|banner))?|(?:social[_-])?shar(?:e|ing)(?:[_-](?:bar|box|buttons?|icons?|links?|tools?))?|social[_-](?:bar|buttons?|icons?|links?)|related[_-](?:posts?|articles?|stories|links?|content|reading))|disqus\w*|respond)$", re.I)
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|notices?|alert|popup|modal|overlay|newsletter|subscribe|side|widget|menu|nav|pager|header|masthead|footer|replies|discussion|share|sharing|social|related|recommend\w*|login|search|cookies?|consent|comments?)(?:$|[\s_-])", re.I)
 NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")

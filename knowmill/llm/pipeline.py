@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knowmill.llm import decontaminate, near, pieces, pii, quality
-from knowmill.llm.common import clear, new_folder, table
+from knowmill.llm.common import delete, new_folder, owned, table
 
 Docs = DataFrame
 
@@ -51,11 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what the earlier ones have written is deleted as soon as the next one has read it."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's own tables go when its result is written, and that when the next one has read it;
+    the last result stays for the caller."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         folder = new_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
-        clear(spark, folder)
+        with owned(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return docs

@@ -196,7 +196,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 def filter_quality(docs: DataFrame, **kw) -> DataFrame:
     """The documents that pass, with the columns that they came with. They are read from the written table, which stays in
-    the shared folder until common.clear."""
+    the shared folder until the run that owns it ends (common.owned)."""
     return judge(docs, **kw).where("_quality.kept").drop("_quality")
 
 

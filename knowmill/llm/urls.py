@@ -9,6 +9,11 @@ from each rule's rarest token, so a page looks only at rules that share such a t
 is a literal, beyond it a table that is joined with the tokens of the distinct URLs. Labels carry ids of ``documents``;
 the page of the same id takes the label.
 
+Tokens of one URL template occur in the same labelled pages, and all their subsets would be rules. So frequent tokens that
+occur in exactly the same pages are one item, named by the least of them; a page has an item if it has any of its tokens,
+which is what all those rules together say. What is left to FP-growth are items that differ somewhere; the number of
+frequent sets of these is the size of its result.
+
 Everything is built-in expressions and Spark's own FP-growth. Null URLs or URLs without "://": empty host and path, no tokens but of what is there, no
 fixed rule. Null or contradicting labels: bad if any row says so. Empty tables: no mined rules, or an empty result.
 """
@@ -64,17 +69,32 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(one, many), lambda x: x.isNotNull()))
 
 
+def alike(baskets: DataFrame, least: float) -> DataFrame:
+    """(token, item): frequent tokens that share the item of their baskets; of baskets (row, items)."""
+    one = baskets.select("row", F.explode("items").alias("token")).where(F.col("token") != BAD)
+    sign = F.sum(F.xxhash64("row").cast("decimal(38,0)"))
+    marks = one.groupBy("token").agg(F.count(F.lit(1)).alias("n"), sign.alias("sign"), F.min("row").alias("first")).where(F.col("n") >= least)
+    item = marks.groupBy("n", "sign", "first").agg(F.min("token").alias("item"))
+    return marks.join(item, ["n", "sign", "first"]).select("token", "item")
+
+
 def mine(labelled: DataFrame, min_rows: int = MIN_ROWS, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """(key, rule): the irredundant antecedents of rules that conclude BAD, sorted, and of each the token that the fewest
-    rules share; from rows of (url, bad)."""
+    """(key, rule, tokens): the irredundant antecedents of rules that conclude BAD, sorted, of each the item that the fewest
+    rules share, and the tokens of each item in the order of the rule; from rows of (url, bad)."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    baskets = cut(labelled.select(F.when(F.col("bad"), F.concat(tokens(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens(F.col("url"))).alias("items")))
-    count = baskets.count()
+    given = F.when(F.col("bad"), F.concat(tokens(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens(F.col("url")))
+    rows = cut(labelled.select(F.monotonically_increasing_id().alias("row"), given.alias("items")))
+    count = rows.count()
     support = max(min_support, min_rows / max(count, 1))
     if support > 1:  # fewer rows than a rule needs
-        return spark.createDataFrame([], "key string, rule array<string>")
+        return spark.createDataFrame([], "key string, rule array<string>, tokens array<array<string>>")
+    same = cut(alike(rows, support * count))
+    bad = rows.where(F.array_contains("items", BAD)).select("row", F.lit(BAD).alias("item"))
+    whole = rows.select("row", F.explode("items").alias("token")).join(same, "token").select("row", "item").unionByName(bad)
+    # rows without a frequent token count for the support and the lift too
+    baskets = cut(rows.select("row").join(whole.groupBy("row").agg(F.collect_set("item").alias("items")), "row", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items")))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift))
     rules = cut(found.select(F.array_sort("antecedent").alias("rule")))
@@ -82,25 +102,34 @@ def mine(labelled: DataFrame, min_rows: int = MIN_ROWS, min_support: float = MIN
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     keyed = every.join(shared, "key").groupBy("rule").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
     wider = every.join(keyed.withColumnRenamed("rule", "less"), "key").where((F.size("less") < F.size("rule")) & (F.size(F.array_except("less", "rule")) == 0))
-    return cut(keyed.join(wider.select("rule").distinct(), "rule", "left_anti").select("key", "rule"))
+    kept = keyed.join(wider.select("rule").distinct(), "rule", "left_anti")
+    members = same.groupBy("item").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    spelled = kept.select("key", "rule", F.explode("rule").alias("item")).join(members, "item").groupBy("key", "rule").agg(F.array_sort(F.collect_list(F.struct("item", "tokens"))).alias("x"))
+    return cut(spelled.select("key", "rule", F.transform("x", lambda x: x["tokens"]).alias("tokens")))
 
 
-def matches(items: Column, rules: list[tuple[str, list[str]]]) -> Column:
-    """Whether one of the rules (key, rule) holds for a basket, by inverted index from the rules' keys."""
+def matches(found: Column, rules: list[tuple[str, list[str], list[list[str]]]]) -> Column:
+    """Whether one of the rules (key, rule, tokens) holds for a URL's tokens, by inverted index from the rules' keys."""
     index: dict[str, list[list[str]]] = {}
-    for key, rule in sorted(rules):
+    item: dict[str, str] = {}
+    for key, rule, spelled in sorted(rules):
         index.setdefault(key, []).append(rule)
+        item.update({t: i for i, ts in zip(rule, spelled, strict=True) for t in ts})
     if not index:
         return F.lit(False)
     table = F.create_map(*[x for k, rs in index.items() for x in (F.lit(k), F.array(*[F.array(*[F.lit(t) for t in r]) for r in rs]))])
+    names = F.create_map(*[F.lit(x) for pair in item.items() for x in pair])
+    items = F.transform(found, lambda t: F.element_at(names, t))
     holds = lambda r: F.size(F.array_except(r, items)) == 0
     return F.exists(items, lambda t: F.coalesce(F.exists(F.element_at(table, t), holds), F.lit(False)))
 
 
 def matching(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct values of the column url for which one of the rules (key, rule) holds, by a join with the index."""
-    one = urls.select("url").distinct().withColumn("items", tokens(F.col("url")))
-    tried = one.select("url", "items", F.explode("items").alias("key")).join(rules, "key")
+    """The distinct values of the column url for which one of the rules (key, rule, tokens) holds, by joins with the index."""
+    named = rules.select(F.explode(F.arrays_zip("rule", "tokens")).alias("x")).select(F.col("x.rule").alias("item"), F.explode("x.tokens").alias("token")).distinct()
+    one = urls.select("url").distinct().select("url", F.explode(tokens(F.col("url"))).alias("token"))
+    items = one.join(named, "token").groupBy("url").agg(F.collect_set("item").alias("items"))
+    tried = items.select("url", "items", F.explode("items").alias("key")).join(rules.select("key", "rule"), "key")
     return tried.where(F.size(F.array_except("rule", "items")) == 0).select("url").distinct()
 
 
@@ -124,7 +153,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, page_id: str = "pag
         rows = pages.select(F.col(f"`{page_id}`").alias("id"), u.alias("url")).join(bad, "id").select("url", "bad")
         rules = mine(rows, **limits)
         if rules.count() <= small_rules:
-            bad_url = matches(tokens(u), [(r.key, list(r.rule)) for r in rules.collect()])
+            bad_url = matches(tokens(u), [(r.key, list(r.rule), [list(t) for t in r.tokens]) for r in rules.collect()])
         else:
             hit = cut(matching(pages.select(u.alias("url")), rules).select(F.col("url").alias("_url_u"), F.lit(True).alias("_url_bad")))
             side = F.broadcast(hit) if hit.count() <= SMALL_ROWS else hit

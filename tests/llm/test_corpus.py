@@ -371,6 +371,12 @@ def test_html_hints_in_articles():
     assert html_text.extract(body) == f"{SAY.strip()}\na\nb\nc\nd"
 
 
+@pytest.mark.parametrize("box", ["newsletter-signup", "related-posts", "ad-banner", "advert", "share", "share-buttons", "commentlist", "sponsored-content", "x social-share"])
+def test_html_boxes_in_articles(box):
+    for tag in ("div", "ol"):
+        assert html_text.extract(f"<article><p>main text</p><{tag} class='{box}'><p>Subscribe to our list</p></{tag}><p>and more</p></article>") == "main text\nand more"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article>x</article>", "old"), (1, "u", None, "old")], "page_id bigint, url string, html string, text string")
     assert [tuple(r) for r in html_text.extract_text(df).collect()] == [(1, "u", "x"), (1, "u", "")]
@@ -431,13 +437,29 @@ def test_url_query_on_whole_tables_with_planted_labels(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
     rows = pages.collect()
     below = {r.page_id: "/de/" in urls_path(r.url) for r in rows}
-    if sum(below.values()) < 2 * urls.MIN_ROWS:
-        pytest.skip("too few pages")
     labels = spark.createDataFrame([(i, 1, int(b)) for i, b in below.items()], "doc_id bigint, quality int, toxic int")
-    for r in urls.judge(pages.union(pages), labels).collect():  # repeated pages
+    least = min(urls.MIN_ROWS, sum(below.values()))  # however few pages a table has
+    assert least > 2
+    for r in urls.judge(pages.union(pages), labels, min_rows=least, min_support=0).collect():  # repeated pages
         assert r._url.verdict == (dict(urls.RULES)[r._url.rule] if r._url.rule else "block" if below[r.page_id] else "allow")
 
 
+def test_url_mining_of_long_templates(spark):
+    """Twenty parameters that always come together are one item, and one rule."""
+    query = "&".join(f"k{i}={i}" for i in range(20))
+    rows = [(f"http://shop.example/a/b/c/{i}.php?{query}" if i < 60 else f"http://news.example/{i % 7}/x", i < 60) for i in range(460)]
+    began = time.monotonic()
+    rules = urls.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert time.monotonic() - began < 30
+    assert len(rules) == 1 and {"pair:k3=3", "query:k19", "path:a"} <= set(rules[0].tokens[0])
+    pages = spark.createDataFrame([(0, "http://other.example/?k7=7"), (1, "http://other.example/?k7=8"), (2, "http://other.example/"), (3, None)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, (_, b) in enumerate(rows, 100)], "doc_id bigint, quality int, toxic int")
+    both = pages.union(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows, 100)], pages.schema))
+    for small in (1000, 0):
+        got = {r.page_id: r._url.verdict for r in urls.judge(both, labels, small_rules=small).collect()}
+        assert [got[i] for i in range(4)] == ["block", "block", "allow", "allow"] and got[100] == "block" and got[500] == "allow"
+
+
 def urls_path(u):
     return re.match("[^/?#]*([^?#]*)", u.split("://", 1)[1])[1] if u and "://" in u else ""
 
@@ -760,6 +782,14 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         assert sorted((r.doc_id or 0) for r in got.collect()) == ([0, 1, 4] if part else [])
 
 
+def test_runs_do_not_touch_each_other(spark, sf):
+    """Two pipelines and a query between them, all read at the end."""
+    a, first = Q["op2_quality_rules"](spark, sf), corpus_pipeline.run(spark, sf)
+    second, b = corpus_pipeline.run(spark, sf), Q["op2_quality_rules"](spark, sf)
+    assert a.count() == b.count() > 0
+    assert sorted(map(str, first.collect())) == sorted(map(str, second.collect())) != []
+
+
 def test_pipeline_stages(spark):
     rng = random.Random(12)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
