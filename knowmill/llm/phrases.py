@@ -52,11 +52,11 @@ MARK = b"."
 FOLD = bytes(MARK[0] if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def tokens(text: bytes):
+def tokens(text: bytes, size: int):
     """Lists of a text's words and marks between pieces; a list ends where a word ends."""
     at = 0
     while at < len(text):
-        end = at + SLICE
+        end = at + size
         if end < len(text):
             while end < len(text) and text[end : end + 1] not in (b" ", MARK):
                 gaps = [i for i in (text.find(b" ", end), text.find(MARK, end)) if i >= 0]
@@ -161,7 +161,7 @@ def word_blocks(docs: DataFrame, text: str, lang: str, context: int, buckets: in
                 for t, code in zip(some.column(0).cast(pa.binary()).to_pylist(), some.column(1).to_pylist(), strict=True):
                     code = "und" if code is None else code
                     own = names[code]
-                    for words in tokens((t or b"").translate(FOLD)):
+                    for words in tokens((t or b"").translate(FOLD), SLICE):
                         held.append(np.fromiter(map(own.__getitem__, words), np.int32, len(words)))
                         size += len(words)
                         while size >= BLOCK + context:

@@ -52,8 +52,8 @@ FOUND = "_q bigint, _qid bigint, _id bigint, _score double, _n bigint"
 NO_ID = np.iinfo(np.int64).max
 
 
-def orders(v: np.ndarray, pivots: np.ndarray, most: float) -> np.ndarray:
-    """The nearest pivots of each vector, nearest first, ties to the lower number. most: the greatest norm, 0 for queries."""
+def orders(v: np.ndarray, pivots: np.ndarray, most: float, m: int) -> np.ndarray:
+    """The m nearest pivots of each vector, nearest first, ties to the lower number. most: the greatest norm, 0 for queries."""
     scale = np.abs(pivots).max(initial=0) or 1.0
     p = pivots / scale
     with np.errstate(over="ignore", invalid="ignore"):
@@ -61,7 +61,6 @@ def orders(v: np.ndarray, pivots: np.ndarray, most: float) -> np.ndarray:
         if most:
             x = np.sqrt(np.maximum((most / scale) ** 2 - np.square(v / scale).sum(1), 0))
             near += x[:, None] * p[:, -1]
-    m = min(ORDER, len(pivots))
     return np.argsort(-np.nan_to_num(near), axis=1, kind="stable")[:, :m].astype(np.uint16)
 
 
@@ -117,7 +116,7 @@ class Index:
         self.n, self.most = got.n, got.most if got.most is not None and np.isfinite(got.most) else 0.0
         wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(PIVOT_ROOT * self.n**0.5)))
         drawn = rows.orderBy(F.xxhash64("_id"), "_id", "_v").limit(wanted).collect()  # at most MOST_PIVOTS vectors
-        self.pivots = lifted(np.array([r._v for r in drawn], float).reshape(len(drawn), -1), self.most)
+        self.pivots = lifted(np.array([r._v for r in drawn], float), self.most) if drawn else np.empty((0, 1))
         self.order = min(ORDER, len(self.pivots))
         placed = self._stored(self._placed(self._ordered(rows)), "pivot-index")
         self.rows = placed
@@ -133,13 +132,13 @@ class Index:
             delete(self.spark, self.folders.pop())
 
     def _ordered(self, rows: DataFrame, query: bool = False) -> DataFrame:
-        pivots, most = self.pivots, 0.0 if query else self.most
+        pivots, most, m = self.pivots, 0.0 if query else self.most, self.order
 
         def run(batches):
             for b in batches:
                 for i in range(0, b.num_rows, 1024):
                     some = b.slice(i, 1024)
-                    order = orders(matrix(some.column(1)), pivots, most)
+                    order = orders(matrix(some.column(1)), pivots, most, m)
                     blobs = pa.array([r.tobytes() for r in order], pa.binary())
                     yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), blobs, pa.array(order[:, 0].astype(np.int32))], names=["_id", "_v", "_order", "_home"])
 

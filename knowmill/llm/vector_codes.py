@@ -242,7 +242,8 @@ def compress(df: DataFrame, key: str = "vec_id", vector: str = "embedding", keep
     length = common_length(rows, vector)
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     rows = rows.where(F.size(F.col(f"`{vector}`")) == length).select(F.col(f"`{key}`").cast("bigint").alias("_id"), kept.alias("_keep"), F.col(f"`{vector}`").cast("array<double>").alias("_v"))
-    start = integers(np.array([r._v for r in rows.orderBy(F.col("_id").asc_nulls_last(), "_v").limit(entries).collect()], float).reshape(-1, length))
+    first = rows.orderBy(F.col("_id").asc_nulls_last(), "_v").limit(entries).collect()
+    start = integers(np.array([r._v for r in first], float).reshape(len(first), length))
     now, before, folder = [narrow(start[:, w].astype(object)) for w in cuts(length, parts)], None, None
     if len(start):
         for _ in range(rounds):
