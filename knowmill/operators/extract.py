@@ -1,7 +1,7 @@
 """Facts from source files by profiles: endpoints, clients, queues, entities, external sources, services.
 
-Profiles are plan parameters. Per-line facts are expressions over exploded lines, behind a test for the profile's markers
-on the whole file; entities need offsets over lines and use a vectorised function that holds one batch of files.
+Profiles are plan parameters. Built-in ones are rules on the calls that a file makes; a user's own ones may be expressions over
+lines. Both stand behind a test for the profile's markers on the whole file. Entities need offsets over lines and use a vectorised function that holds one batch of files.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import yaml
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knowmill.functions.code import calls_of
 from knowmill.functions.paths import concat_prefix, http_verb, looks_like_url_or_path, matches_any, some, url_host
 from knowmill.functions.text import redact_credentials
 from knowmill.operators.discovery import library_deps, services
@@ -97,71 +98,128 @@ def multiline_hits(files: DataFrame, q: dict, n: int) -> DataFrame:
     return each.withColumn("line", F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).drop("parts", "k", "part")
 
 
-def profile_hits(files: DataFrame, profiles: list[dict], fields, group_: str) -> DataFrame:
-    """(file, line) and what ``fields``, a function of profile, pattern, file columns and match, gives for each match.
+def on(profiles: list[dict]) -> Column:
+    """Which profiles apply to a file."""
+    return F.array(*[matches_any("path", p["file_patterns"]) & has_marker(p) for p in profiles])
+
+
+def argument(args: Column, keys: Column, pos: Column, accept) -> Column:
+    """The first argument that has one of the keys, or stands at a place without a key, and is acceptable."""
+    return F.get(F.filter(args, lambda a: (F.array_contains(keys, a["key"]) | ((a["key"] == "") & (a["pos"] == pos))) & accept(a)), 0)
+
+
+def file_setting(r: dict) -> Column:
+    """The value that the first call of a rule in the file has; "" if there is none."""
+    value = lambda c: argument(c["args"], F.array(*[F.lit(k) for k in r["keys"]]).cast("array<string>"), F.lit(r["pos"]), lambda a: a["kind"] == "text")["value"]
+    owned = lambda c: F.lit(True) if not r["owners"] else some_true([c["owner"].endswith(o) for o in r["owners"]])
+    called = lambda c: F.lit(True) if "" in r["names"] else c["name"].isin(*r["names"])
+    aimed = lambda c: c["target"].endswith(r.get("target", ""))
+    return F.coalesce(value(F.get(F.filter("_calls", lambda c: called(c) & owned(c) & aimed(c) & value(c).isNotNull()), 0)), F.lit(""))
+
+
+def some_true(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+RULE = "i int, framework string, name string, what string, owners array<string>, sep string, keys array<string>, pos int, verb_pos int, verb_key string, after string, without string, optional boolean, least int, most int, word boolean"
+HIT = ("file", "line", "framework", "what", "value", "is_name")
+
+
+def call_hits(files: DataFrame, profiles: list[dict], settings: tuple[str, ...]) -> DataFrame:
+    """HIT and the settings of calls that a rule of a profile names. The calls of a file are found once, where the file is read;
+    rules are rows, joined by the call's name. They are parameters of the plan, some hundreds, and so are broadcast."""
+    at = [F.array(*[file_setting(p["settings"][k]) if k in p.get("settings", {}) else F.lit("") for p in profiles]).alias(k) for k in settings]
+    f = files.select("path", "content", on(profiles).alias("_on")).where(F.exists("_on", lambda x: x))
+    f = f.select("path", "_on", calls_of(F.col("path"), F.coalesce("content", F.lit(""))).alias("_calls"))
+    each = f.select("path", "_on", *at, F.explode("_calls").alias("c"))
+    rows = [(i, p["name"], name, what, *[q[k] for k in RULE_KEYS]) for i, p in enumerate(profiles) for q in p["rules"] for name, what in q["names"].items()]
+    rules = F.broadcast(files.sparkSession.createDataFrame(rows, RULE))
+    j = each.withColumn("name", F.explode(F.array("c.name", F.lit("")))).join(rules, "name").where(F.get("_on", F.col("i")) & (F.col("sep") == F.col("c.sep")))
+    owner = (F.size("owners") == 0) | F.exists("owners", lambda o: F.when(o == "*", F.col("c.owner") != "").otherwise(F.col("c.owner").endswith(o)))
+    args = F.col("c.args")
+    n = F.coalesce(F.array_max(F.transform(args, lambda a: a["pos"])), F.lit(-1)) + 1
+    value = argument(args, F.col("keys"), F.col("pos"), lambda a: (a["kind"] == "text") | (F.col("word") & (a["kind"] == "word") & a["value"].rlike("^[A-Z]")))
+    verb = argument(args, F.when(F.col("verb_key") != "", F.array("verb_key")), F.col("verb_pos"), lambda a: a["key"].isNotNull())
+    tail = F.when((F.col("after") != "") & F.contains(verb["value"], F.col("after")), F.call_function("substring_index", verb["value"], F.col("after"), F.lit(-1))).when(verb["kind"] == "text", verb["value"])
+    told = F.upper(F.regexp_extract(F.coalesce(tail, F.lit("")), r"^\w+", 0))
+    asks = (F.col("verb_pos") >= 0) | (F.col("verb_key") != "")
+    hit = j.where(owner & (n >= F.col("least")) & (n <= F.col("most"))).select("*", value.alias("v"), F.when(asks & (told != ""), told).otherwise(F.col("what")).alias("_what"))
+    good = F.coalesce((F.col("v.value") != "") & ((F.col("without") == "") | ~F.contains(F.col("v.value"), F.col("without"))), F.col("optional"))
+    return hit.where(good & (F.col("_what") != "")).select(
+        F.col("path").alias("file"), F.coalesce("v.line", "c.line").alias("line"), "framework", F.col("_what").alias("what"), F.coalesce("v.value", F.lit("")).alias("value"), F.coalesce(F.col("v.kind") == "word", F.lit(False)).alias("is_name"), *[F.get(k, F.col("i")).alias(k) for k in settings]
+    )
+
+
+RULE_KEYS = [c.split(" ")[0] for c in RULE.split(", ")][4:]
+
+
+def pattern_hits(files: DataFrame, profiles: list[dict], settings: tuple[str, ...], group_: str) -> DataFrame:
+    """HIT and the settings of what the expressions of a user's own profiles match.
 
     Files are read once: a file's flags say which profiles apply, its lines are exploded once, and every pattern that applies
     yields its matches. Patterns over several lines look at whole files of their own profile."""
-    names = sorted({k for p in profiles for k in p.get("file_columns", {})})
-    flag = lambda p: matches_any("path", p["file_patterns"]) & has_marker(p)
-    pick = lambda k: F.array(*[p.get("file_columns", {}).get(k, F.lit("")) for p in profiles])
-    f = files.select("path", "content", F.array(*[flag(p) for p in profiles]).alias("_on"), *[pick(k).alias(k) for k in names]).where(F.exists("_on", lambda x: x))
-    wide = f.select("path", "_on", *names, F.posexplode(F.split("content", "\n")).alias("_n", "_text"))
+    pick = lambda k: F.array(*[F.regexp_extract("content", p[k], 1) if p.get(k) else F.lit("") for p in profiles])
+    f = files.select("path", "content", on(profiles).alias("_on"), *[pick(k).alias(k) for k in settings]).where(F.exists("_on", lambda x: x))
+    wide = f.select("path", "_on", *settings, F.posexplode(F.split("content", "\n")).alias("_n", "_text"))
 
     def made(i: int, p: dict, q: dict):
-        return lambda m: F.struct(*[c.alias(n) for n, c in fields(p, q, {k: F.get(k, i) for k in names}, m).items()])
+        what = lambda m: F.lit(q["role"]) if "role" in q else taken(q, m, q["method"], q.get("default", ""))
+        return lambda m: F.struct(F.lit(p["name"]).alias("framework"), what(m).alias("what"), taken(q, m, q[group_]).alias("value"), F.lit(bool(q.get("resolve"))).alias("is_name"), *[F.get(k, i).alias(k) for k in settings])
 
     pairs = [(i, p, q) for i, p in enumerate(profiles) for q in p["patterns"]]
     found = [F.when(F.get("_on", i) & F.col("_text").rlike(q["regex"]), F.transform(F.regexp_extract_all("_text", F.lit(q["regex"]), 0), made(i, p, q))) for i, p, q in pairs if not q.get("multiline")]
-    rows = wide.select("path", (F.col("_n") + 1).alias("line"), F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("_m"))
+    rows = [wide.select("path", (F.col("_n") + 1).alias("line"), F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("_m"))] if found else []
     for i, p, q in pairs:
         if q.get("multiline"):
-            m = multiline_hits(f.where(F.get("_on", i)), q, q[group_])
-            rows = rows.unionByName(m.select("path", "line", made(i, p, q)(F.col("text")).alias("_m")))
-    return rows.select(F.col("path").alias("file"), F.col("line").cast("int").alias("line"), "_m.*")
+            rows.append(multiline_hits(f.where(F.get("_on", i)), q, q[group_]).select("path", "line", made(i, p, q)(F.col("text")).alias("_m")))
+    return union(rows).select(F.col("path").alias("file"), F.col("line").cast("int").alias("line"), "_m.*")
 
 
-def rest_endpoints(files: DataFrame, profiles: list[dict] | None = None) -> DataFrame:
-    """(framework, method, path, file, line), each once."""
-    ps = []
-    for p in profiles or load_profiles("rest"):
-        prefix = F.regexp_extract("content", p["prefix"], 1) if p.get("prefix") else F.lit("")
-        if p.get("controller_token"):
-            name = F.lower(F.regexp_extract("content", CONTROLLER, 1))
-            prefix = F.when(name != "", F.replace(prefix, F.lit("[controller]"), name)).otherwise(prefix)
-        ps.append(p | {"file_columns": {"prefix": prefix}})
+def profile_hits(files: DataFrame, profiles: list[dict], group_: str, settings: tuple[str, ...] = ()) -> DataFrame:
+    """HIT and the settings: by rules on calls for profiles that have them, by expressions for the others."""
+    ruled, others = [p for p in profiles if "rules" in p], [p for p in profiles if p.get("patterns")]
+    out = ([call_hits(files, ruled, settings)] if ruled else []) + ([pattern_hits(files, others, settings, group_)] if others else [])
+    return union(out).select(*HIT, *settings)
 
-    def fields(p, q, at, m):
-        raw = taken(q, m, q["path"])
-        path = F.when(raw.startswith("/") | (at["prefix"] == ""), raw).when(raw == "", at["prefix"]).otherwise(concat_prefix(at["prefix"], raw))
-        return {"framework": F.lit(p["name"]), "method": F.upper(taken(q, m, q["method"], q.get("default", "GET"))), "path": path}
 
-    return profile_hits(files, ps, fields, "path").select("framework", "method", "path", "file", "line").distinct()
+def rest_endpoints(files: DataFrame, profiles: list[dict] | None = None) -> DataFrame:
+    """(framework, method, path, file, line), each once."""
+    ps = profiles or load_profiles("rest")
+    token = [p["name"] for p in ps if p.get("controller_token")]
+    named = F.lower(F.regexp_extract("content", CONTROLLER, 1)) if token else F.lit("")
+    h = profile_hits(files.select("path", "content"), ps, "path", ("prefix",))
+    if token:
+        whose = files.where(F.col("content").contains("[controller]")).select(F.col("path").alias("file"), named.alias("_name"))
+        at = h.where(F.col("framework").isin(*token) & F.col("prefix").contains("[controller]"))
+        rest = h.where(~(F.col("framework").isin(*token) & F.col("prefix").contains("[controller]")))
+        at = at.join(whose, "file", "left").withColumn("prefix", F.when(F.col("_name") != "", F.expr("replace(prefix, '[controller]', _name)")).otherwise(F.col("prefix"))).drop("_name")
+        h = rest.unionByName(at)
+    raw, prefix = F.col("value"), F.col("prefix")
+    path = F.when(raw.startswith("/") | (prefix == ""), raw).when(raw == "", prefix).otherwise(concat_prefix(prefix, raw))
+    return h.select("framework", F.upper("what").alias("method"), path.alias("path"), "file", "line").distinct()
 
 
 def http_clients(files: DataFrame, profiles: list[dict] | None = None) -> DataFrame:
     """(framework, method, target_ref, path, file, line) of calls that name an address or a path; what they reach is the
     call's own host, or else the address or service that the file sets for all its calls."""
-    ps = [p | {"file_columns": {f"a_{k}": F.regexp_extract("content", p[k], 1) if p.get(k) else F.lit("") for k in ("url", "service", "prefix")}} for p in profiles or load_profiles("client")]
-
-    def fields(p, q, at, m):
-        raw = taken(q, m, q["path"])
-        path = F.when(at["a_prefix"] != "", concat_prefix(at["a_prefix"], raw)).otherwise(raw)
-        target = F.coalesce(some(url_host(raw)), some(at["a_url"]), some(at["a_service"]), F.lit(""))
-        return {"framework": F.lit(p["name"]), "method": http_verb(taken(q, m, q["method"], q.get("default", ""))), "target_ref": target, "path": path}
-
-    h = profile_hits(files, ps, fields, "path").where((F.col("method") != "") & (F.col("path") != "") & looks_like_url_or_path("path"))
-    return h.dropDuplicates(["framework", "file", "line", "method", "path"]).select("framework", "method", "target_ref", "path", "file", "line")
+    h = profile_hits(files, profiles or load_profiles("client"), "path", ("url", "service", "prefix"))
+    path = F.when(F.col("prefix") != "", concat_prefix(F.col("prefix"), F.col("value"))).otherwise(F.col("value"))
+    target = F.coalesce(some(url_host(F.col("value"))), some(F.col("url")), some(F.col("service")), F.lit(""))
+    h = h.select("framework", http_verb("what").alias("method"), target.alias("target_ref"), path.alias("path"), "file", "line")
+    h = h.where((F.col("method") != "") & (F.col("path") != "") & looks_like_url_or_path("path"))
+    return h.dropDuplicates(["framework", "file", "line", "method", "path"])
 
 
 def queue_endpoints(files: DataFrame, constants: DataFrame | None = None, profiles: list[dict] | None = None) -> DataFrame:
     """(framework, role, queue_name, file, line), each once; names of constants (name, value) are resolved, unknown ones stay."""
-    fields = lambda p, q, at, m: {"framework": F.lit(p["name"]), "role": F.lit(q["role"]), "raw": taken(q, m, q["name"]), "resolve": F.lit(bool(q.get("resolve")))}
-    found = profile_hits(files, profiles or load_profiles("queue"), fields, "name").where(F.col("raw") != "")
+    found = profile_hits(files, profiles or load_profiles("queue"), "name").where(F.col("value") != "").withColumnsRenamed({"what": "role", "value": "raw"})
     if constants is None:
         return found.select("framework", "role", F.col("raw").alias("queue_name"), "file", "line").distinct()
     c = constants.select(F.col("name").alias("_name"), F.col("value").alias("_value"))
-    j = found.withColumn("_name", F.when(F.col("resolve"), F.substring_index("raw", ".", -1))).join(c, "_name", "left")
+    j = found.withColumn("_name", F.when(F.col("is_name"), F.substring_index("raw", ".", -1))).join(c, "_name", "left")
     return j.select("framework", "role", F.coalesce("_value", "raw").alias("queue_name"), "file", "line").distinct()
 
 
@@ -190,18 +248,58 @@ def resolve_references(refs: DataFrame, known: DataFrame, column: str = "ref") -
     return j.select(*refs.columns, F.when(F.col("_k").isNull(), F.col(column)).when(F.col(column).startswith("${"), F.concat("_v", tail)).otherwise(F.col("_v")).alias("value"))
 
 
-def queue_bindings(files: DataFrame) -> DataFrame:
-    """(queue_name, exchange, routing_key, file, line) of bind(...).to(...).with(...) chains in a line."""
-    r = r"bind\(\s*([\w\"'.]+)\(?\)?\s*\)\s*\.to\(\s*([\w\"'.]+)\(?\)?\s*\)(?:\s*\.with\(\s*([\w\"'.-]+)\s*\))?"
-    clean = lambda n: F.regexp_replace(group(r, n), "[\"']", "")
-    return lines(files).where(F.col("text").rlike(r)).select(clean(1).alias("queue_name"), clean(2).alias("exchange"), clean(3).alias("routing_key"), F.col("path").alias("file"), "line")
+def queue_bindings(files: DataFrame, constants: DataFrame | None = None) -> DataFrame:
+    """(queue_name, exchange, routing_key, file, line), each once, of bind(...).to(...).with(...) chains and of @QueueBinding
+    annotations, over any number of lines; the line is the first call's.
+
+    An argument is a text, ``new X(text)``, a name or a call without arguments. The last two stand for the bean of that name in
+    the file (``beans``), or else for a constant (name, value); what neither has is "". Bindings without a queue or an exchange
+    go. Calls are joined by their places in their file, so chains are followed without looking at the text again."""
+    c = files.where(F.col("content").contains("bind") | F.col("content").contains("@QueueBinding")).select(F.col("path").alias("file"), F.explode(calls_of(F.col("path"), F.col("content"))).alias("c"))
+    c = c.where(F.col("c.name").isin("bind", "to", "with", "@QueueBinding", "@Queue", "@Exchange") | F.col("c.owner").endswith("new"))
+    first = F.get(F.filter("c.args", lambda a: (a["pos"] == 0) & a["key"].isin("", "value")), 0)
+    c = c.select("file", "c.id", "c.receiver", "c.parent", "c.line", "c.owner", "c.name", "c.args", first["kind"].alias("kind"), first["value"].alias("value"))
+    inner = c.where(F.col("owner").endswith("new")).groupBy("file", F.col("parent").alias("id")).agg(F.min_by(F.struct("kind", "value"), "id").alias("_new"))
+    c = c.where(~F.col("owner").endswith("new")).join(inner, ["file", "id"], "left")
+    c = c.select("file", "id", "receiver", "parent", "line", "name", "args", *[F.when(F.col("value").startswith("new "), F.col("_new")[k]).otherwise(F.col(k)).alias(k) for k in ("kind", "value")])
+    bind, to, with_ = (c.where(F.col("name") == n) for n in ("bind", "to", "with"))
+    at = bind.select("file", F.col("id").alias("_at"), F.col("line").alias("_line"), F.col("id").alias("receiver"))
+    second = to.join(at, ["file", "receiver"]).select("file", "_at", "_line", "id", "kind", "value")
+    third = with_.join(second.select("file", "_at", "_line", F.col("id").alias("receiver")), ["file", "receiver"])
+    noted = c.where(F.col("name") == "@QueueBinding").select("file", F.col("id").alias("_at"), F.col("line").alias("_line"), "args")
+    marked = c.where(F.col("name").isin("@Queue", "@Exchange")).select("file", F.col("parent").alias("_at"), "name", "kind", "value").join(noted.drop("args"), ["file", "_at"])
+    key = noted.select("file", "_at", "_line", F.get(F.filter("args", lambda a: a["key"] == "key"), 0).alias("a"))
+    part = lambda df, role: df.select("file", "_at", "_line", F.lit(role).alias("role"), "kind", "value")
+    all_ = union([part(bind.withColumns({"_at": F.col("id"), "_line": F.col("line")}), "queue"), part(second, "exchange"), part(third, "key"), part(marked.where("name = '@Queue'"), "queue"), part(marked.where("name = '@Exchange'"), "exchange"), part(key.select("*", "a.kind", "a.value"), "key")])
+    named = all_.where("kind IS NOT NULL").withColumn("_name", F.when(F.col("kind") != "text", F.regexp_replace("value", r"\(\)$", "")))
+    j = named.join(beans(files).select(F.col("path").alias("file"), F.col("bean").alias("_name"), F.col("name").alias("_bean")), ["file", "_name"], "left")
+    value = F.coalesce(F.when(F.col("kind") == "text", F.col("value")), F.col("_bean"))
+    if constants is not None:
+        j = j.withColumn("_last", F.substring_index("_name", ".", -1)).join(constants.select(F.col("name").alias("_last"), F.col("value").alias("_constant")), "_last", "left")
+        value = F.coalesce(value, F.col("_constant"))
+    of = lambda role: F.coalesce(F.max(F.when(F.col("role") == role, value)), F.lit(""))
+    b = j.groupBy("file", "_at", F.col("_line").alias("line")).agg(of("queue").alias("queue_name"), of("exchange").alias("exchange"), of("key").alias("routing_key"))
+    return b.where("queue_name <> '' AND exchange <> ''").select("queue_name", "exchange", "routing_key", "file", "line").distinct()
+
+
+# The classes of queues and exchanges.
+BROKER_CLASSES = ("Queue", "TopicExchange", "DirectExchange", "FanoutExchange")
+
+
+def beans(files: DataFrame) -> DataFrame:
+    """(path, bean, name): a method of a queue's or exchange's class and the first text that its body makes one of; a head is a
+    call whose name follows the class, a body runs to the next head."""
+    c = files.where(F.col("content").contains("@Bean")).select("path", F.explode(calls_of(F.col("path"), F.col("content"))).alias("c"))
+    head = F.col("c.type").isin(*BROKER_CLASSES)
+    made = F.col("c.name").isin(*BROKER_CLASSES) & F.col("c.owner").endswith("new") & (F.get("c.args", 0)["kind"] == "text")
+    rows = c.where(head | made).select("path", "c.id", F.when(made, F.get("c.args", 0)["value"]).alias("name"), F.when(~made, F.col("c.name")).alias("bean"))
+    each = rows.withColumn("bean", F.last("bean", True).over(Window.partitionBy("path").orderBy("id"))).where("bean IS NOT NULL AND name IS NOT NULL")
+    return each.groupBy("path", "bean").agg(F.min_by("name", "id").alias("name"))
 
 
 def bean_names(files: DataFrame) -> DataFrame:
-    """(bean, name): a bean method and the queue or exchange that it makes."""
-    r = r"(?s)@Bean\b[^{;]*?\b(?:Queue|TopicExchange|DirectExchange|FanoutExchange)\s+(\w+)\s*\([^)]*\)\s*\{.*?new\s+\w+\(\s*[\"']([^\"']+)[\"']"
-    each = files.select(F.explode(F.regexp_extract_all("content", F.lit(f"({r.replace('(?s)', '')})".replace("(@", "(?s)(@", 1)), 1)).alias("t"))
-    return each.select(F.regexp_extract("t", r, 1).alias("bean"), F.regexp_extract("t", r, 2).alias("name"))
+    """(bean, name) of ``beans``."""
+    return beans(files).select("bean", "name")
 
 
 def code_clients(files: DataFrame, patterns: tuple[tuple[str, str], ...] = (("gather", r"\bgather\s*\("), ("fetchWithCaps", r"\bfetchWithCaps\s*\("))) -> DataFrame:
@@ -287,8 +385,6 @@ def orm_entities(files: DataFrame, profile: dict) -> DataFrame:
 
 def class_windows(matches: DataFrame) -> DataFrame:
     """matches (file, start, name, length) and where each one's text ends: at the next match or the end of the file."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("file").orderBy("start")
     return matches.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("length")))
 
@@ -340,10 +436,9 @@ def auth_issuers(files: DataFrame, services_: DataFrame) -> DataFrame:
 
 def inventory(files: DataFrame, gitmodules: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of an inventory. ``ord`` is the place of a service among the ids, of which there are few."""
-    from pyspark.sql import Window
-
     s = cut(services(files, gitmodules).withColumn("ord", F.row_number().over(Window.orderBy("id", "root"))))
-    rest, clients, queues = rest_endpoints(files), http_clients(files), queue_endpoints(files, constants(files))
+    known_constants = constants(files)
+    rest, clients, queues = rest_endpoints(files), http_clients(files), queue_endpoints(files, known_constants)
     orm = union([orm_entities(files.where(has_marker(p)), p) for p in load_profiles("orm")])
     known = properties(files)
     target = resolve_references(of_service(clients, s).withColumn("ref", F.when(F.col("target_ref").startswith("${"), F.col("target_ref"))), known).withColumnRenamed("value", "resolved_target").drop("ref")
@@ -352,7 +447,7 @@ def inventory(files: DataFrame, gitmodules: DataFrame | None = None) -> dict[str
         "rest_endpoints": of_service(rest, s),
         "http_clients": target,
         "queue_endpoints": of_service(queues, s).withColumn("message_type", F.lit("")),
-        "queue_bindings": of_service(queue_bindings(files), s),
+        "queue_bindings": of_service(queue_bindings(files, known_constants), s),
         "orm_entities": of_service(orm, s, "source_file"),
         "external_sources": of_service(external_sources(files), s),
         "library_deps": library_deps(files, s),

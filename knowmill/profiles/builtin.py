@@ -1,17 +1,13 @@
-"""The built-in profiles. Names, file patterns, markers and the frameworks' own words are fixed values; the expressions come
-from the shapes in which each framework's documentation writes its routes, calls, queues and models."""
+"""The built-in profiles. Names, file patterns, markers and the frameworks' own words are fixed values. Routes, calls and queues
+are rules on the calls that ``functions/code.py`` finds; models are found by expressions over a class's text."""
 
 from __future__ import annotations
 
-from knowmill.profiles.shapes import GAP, VERBS, any_of, argument, literal, method, near, plain, queue, setting, statement, text_then_verb, verb_then_text, verbs, within
+from knowmill.profiles.shapes import GAP, STRING, DOUBLE, any_of, argument, setting, verbs
 
-STRING, BACKTICK, DOUBLE, GO = "\"'", "\"'`", '"', '"`'
-TEXT, SCRIPT, C_TEXT, GO_TEXT = (literal(q) for q in (STRING, BACKTICK, DOUBLE, GO))
-PLAIN_SCRIPT, PLAIN_STRING = literal(BACKTICK, "$"), literal(STRING, "$")
-PY, SHARP, RUBY = literal(STRING, "{", "frbu"), literal(STRING, "{", "$@"), literal(STRING, "#")
-PY_ADDRESS = literal(STRING, "", "frbu")
-BASIC, COMMON = VERBS[:5], ("get", "post", "put", "delete", "patch", "head")
-CLIENT = (*COMMON, "options")
+VERBS = ("get", "post", "put", "delete", "patch", "options", "head")
+CLIENT = ("get", "post", "put", "delete", "patch", "head", "options")
+COMMON, BASIC = CLIENT[:6], CLIENT[:5]
 
 # File patterns by language.
 JS = ["**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx", "**/*.mjs"]
@@ -20,8 +16,8 @@ BROWSER = ["**/*.ts", "**/*.tsx", "**/*.js", "**/*.mjs"]
 FILES = {"python": ["**/*.py"], "go": ["**/*.go"], "rust": ["**/*.rs"], "csharp": ["**/*.cs"], "php": ["**/*.php"], "ruby": ["**/*.rb"], "java": ["**/*.java", "**/*.kt"], "swift": ["**/*.swift"], "elixir": ["**/*.ex", "**/*.exs"], "typescript": BROWSER}
 
 
-def profile(name: str, language: str, markers: list[str], patterns: list, files: list[str] | None = None, **more) -> dict:
-    return {"name": name, "language": language, "file_patterns": files or FILES[language], "markers": markers, "patterns": patterns, **more}
+def profile(name: str, language: str, markers: list[str], rules: list[dict], files: list[str] | None = None, **more) -> dict:
+    return {"name": name, "language": language, "file_patterns": files or FILES[language], "markers": markers, "rules": rules, **more}
 
 
 def imports(*modules: str, also: tuple[str, ...] = ()) -> list[str]:
@@ -29,103 +25,103 @@ def imports(*modules: str, also: tuple[str, ...] = ()) -> list[str]:
     return [x for m in modules for x in (f'from "{m}"', f"from '{m}'", f"require('{m}')", f'require("{m}")')] + list(also)
 
 
-def mapping(text: str) -> dict:
-    """@GetMapping("text"), @GetMapping(path = "text")."""
-    return {"regex": argument("@" + verbs(case="title") + "Mapping", f"(?:(?:value|path){GAP}={GAP})?" + text), "method": 1, "path": 2}
+def rule(names: dict[str, str] | list[str], owners: tuple[str, ...] = (), sep: str = "(", pos: int = 0, keys: tuple[str, ...] = (), **more) -> dict:
+    """Calls of these names whose owner ends with one of ``owners`` ("*": has any); the value is the first argument that has one
+    of ``keys`` or is at ``pos`` without a key. ``names`` may map each name to a verb or role; the name "" is any.
 
+    More: ``verb_pos``, ``verb_key``, ``after`` (the verb is that argument, or the word behind ``after`` in it), ``without`` (a
+    mark that the value must not have), ``optional`` (the value may lack), ``least`` and ``most`` (arguments), ``word`` (a name
+    of a constant will do as well)."""
+    return {"names": names if isinstance(names, dict) else dict.fromkeys(names, ""), "owners": list(owners), "sep": sep, "pos": pos, "keys": list(keys)} | {"verb_pos": -1, "verb_key": "", "after": "", "without": "", "optional": False, "least": 0, "most": 1 << 30, "word": False} | more
+
+
+def named(words, before: str = "", after: str = "", case=str) -> dict[str, str]:
+    """Methods or annotations that bear the name of a verb."""
+    return {before + case(w) + after: w.upper() for w in words}
+
+
+def verb_calls(owners, words=VERBS, case=str, after: str = "", **more) -> dict:
+    """owner.verb("text")."""
+    return rule(named(words, after=after, case=case), owners, **more)
+
+
+def queue(role: str, names: list[str], owners: tuple[str, ...] = (), word: bool = True, **more) -> dict:
+    return rule(dict.fromkeys(names, role), owners, word=word, **more)
+
+
+MAPPING = rule(named(VERBS, "@", "Mapping", str.title), keys=("value", "path"))
+FLASK = ("@app", "@bp", "@blueprint")
 
 REST = [
-    profile("actix", "rust", ["use actix_web", "extern crate actix_web", "actix_web::"], [text_then_verb(argument(r"\.route", ""), C_TEXT, rf"{GAP},{GAP}web::", verbs())]),
-    profile("aspnet", "csharp", ["using Microsoft.AspNetCore", "[ApiController]", ": ControllerBase", ": Controller"], [{"regex": rf"\[Http{verbs(case='title')}(?:{argument('', TEXT)}{GAP}\))?{GAP}\]", "method": 1, "path": 2}], prefix=argument(r"\[Route", TEXT) + rf"{GAP}\){GAP}\]", controller_token=True),
-    profile("django", "python", ["from django.urls import", "from django.conf.urls import", "urlpatterns ="], [{"regex": argument("(path)", TEXT), "method": 1, "path": 2}, {"regex": argument("(re_path)", "r?" + TEXT), "method": 1, "path": 2}]),
-    profile("echo", "go", ["github.com/labstack/echo", "echo.New("], [method(["e", "router", "g", "api", "server"], C_TEXT, case="upper")]),
-    profile("express", "typescript", imports("express"), [method(["app", "router", "api"], SCRIPT), method([r"Router\(\)"], SCRIPT)], NODE),
-    profile("fastapi", "python", ["from fastapi import", "import fastapi", "from fastapi.routing import", "FastAPI(", "APIRouter("], [method(["@app", "@router", "@api"], "[fr]?" + TEXT)]),
-    profile("fastify", "typescript", imports("fastify", also=("Fastify(",)), [method(["fastify", "app", "server"], SCRIPT)], NODE),
-    profile(
-        "flask",
-        "python",
-        ["from flask import", "import flask", "Flask(__name__)"],
-        [
-            text_then_verb(argument(any_of(["@app", "@bp", "@blueprint"]) + r"\.route", ""), TEXT, rf"{GAP},{GAP}methods{GAP}={GAP}\[{GAP}", f"[{STRING}]{verbs(case='upper')}[{STRING}]"),
-            method(["@app", "@bp", "@blueprint"], TEXT),
-            plain(any_of(["@app", "@bp", "@blueprint"]) + r"\.route", TEXT, end=rf"{GAP}\)"),
-        ],
-    ),
-    profile("gin", "go", ["github.com/gin-gonic/gin", "gin.Default()", "gin.New()"], [method(["r", "router", "group", "api", "e", "engine"], C_TEXT, case="upper")]),
-    profile("hono", "typescript", ['from "hono"', "from 'hono'", 'from "hono/', "from 'hono/", "new Hono("], [method(["app", "router", "api", "hono"], SCRIPT, (*VERBS, "all"))], JS),
-    profile("koa", "typescript", [*imports("@koa/router")[:2], *imports("koa-router")[:2], "require('@koa/router')", 'require("koa-router")', "new Router("], [method(["router", "api", "app"], SCRIPT)], NODE),
-    profile("laravel", "php", ["use Illuminate\\Support\\Facades\\Route", "Route::", "Illuminate\\Routing"], [method(["Route"], TEXT, (*VERBS, "any"), dot="::"), method([r"\$router"], TEXT, (*VERBS, "any"), dot="->")]),
-    profile("phoenix", "elixir", ["use Phoenix.Router", "Phoenix.Router", ":router"], [statement(C_TEXT, end=rf"{GAP},")]),
-    profile("rails", "ruby", ["Rails.application.routes.draw", "ActionController::Base", "ApplicationController", "ActionController::API"], [statement(TEXT)]),
-    profile("rocket", "rust", ["use rocket", "extern crate rocket", "#[macro_use] extern crate rocket"], [{"regex": argument(r"#\[" + verbs(), C_TEXT), "method": 1, "path": 2}]),
-    profile("slim", "php", ["use Slim\\App", "Slim\\Factory\\AppFactory", "\\Slim\\App", "Slim\\App"], [method([r"\$app"], TEXT, (*VERBS, "any"), dot="->")]),
-    profile("spring", "java", ["import org.springframework", "@RestController", "@Controller"], [mapping(TEXT)]),
-    profile("vapor", "swift", ["import Vapor", "app.routes", "app.group("], [method(["app", "routes", "grouped"], C_TEXT)]),
+    profile("actix", "rust", ["use actix_web", "extern crate actix_web", "actix_web::"], [rule(["route"], ("*",), verb_pos=1, after="web::")]),
+    profile("aspnet", "csharp", ["using Microsoft.AspNetCore", "[ApiController]", ": ControllerBase", ": Controller"], [rule(named(VERBS, "Http", case=str.title), ("[",), sep=sep, optional=True) for sep in "(["], settings={"prefix": rule(["Route"], ("[",))}, controller_token=True),
+    profile("django", "python", ["from django.urls import", "from django.conf.urls import", "urlpatterns ="], [rule({"path": "PATH", "re_path": "RE_PATH"})]),
+    profile("echo", "go", ["github.com/labstack/echo", "echo.New("], [verb_calls(("e", "router", "g", "api", "server"), case=str.upper)]),
+    profile("express", "typescript", imports("express"), [verb_calls(("app", "router", "api", "Router()"))], NODE),
+    profile("fastapi", "python", ["from fastapi import", "import fastapi", "from fastapi.routing import", "FastAPI(", "APIRouter("], [verb_calls(("@app", "@router", "@api"))]),
+    profile("fastify", "typescript", imports("fastify", also=("Fastify(",)), [verb_calls(("fastify", "app", "server"))], NODE),
+    profile("flask", "python", ["from flask import", "import flask", "Flask(__name__)"], [verb_calls(FLASK), rule({"route": "GET"}, FLASK, verb_key="methods")]),
+    profile("gin", "go", ["github.com/gin-gonic/gin", "gin.Default()", "gin.New()"], [verb_calls(("r", "router", "group", "api", "e", "engine"), case=str.upper)]),
+    profile("hono", "typescript", ['from "hono"', "from 'hono'", 'from "hono/', "from 'hono/", "new Hono("], [verb_calls(("app", "router", "api", "hono"), (*VERBS, "all"))], JS),
+    profile("koa", "typescript", [*imports("@koa/router")[:2], *imports("koa-router")[:2], "require('@koa/router')", 'require("koa-router")', "new Router("], [verb_calls(("router", "api", "app"))], NODE),
+    profile("laravel", "php", ["use Illuminate\\Support\\Facades\\Route", "Route::", "Illuminate\\Routing"], [verb_calls(("Route", "$router"), (*VERBS, "any"))]),
+    profile("phoenix", "elixir", ["use Phoenix.Router", "Phoenix.Router", ":router"], [verb_calls((), sep=" ", least=2)]),
+    profile("rails", "ruby", ["Rails.application.routes.draw", "ActionController::Base", "ApplicationController", "ActionController::API"], [verb_calls((), sep=" ")]),
+    profile("rocket", "rust", ["use rocket", "extern crate rocket", "#[macro_use] extern crate rocket"], [verb_calls(("#[",))]),
+    profile("slim", "php", ["use Slim\\App", "Slim\\Factory\\AppFactory", "\\Slim\\App", "Slim\\App"], [verb_calls(("$app",), (*VERBS, "any"))]),
+    profile("spring", "java", ["import org.springframework", "@RestController", "@Controller"], [MAPPING]),
+    profile("vapor", "swift", ["import Vapor", "app.routes", "app.group("], [verb_calls(("app", "routes", "grouped"))]),
 ]
 
+# RestTemplate's methods, and the verbs that they send.
+REST_TEMPLATE = {"getForObject": "GET", "getForEntity": "GET", "postForObject": "POST", "postForEntity": "POST", "put": "PUT", "delete": "DELETE", "patchForObject": "PATCH", "headForHeaders": "HEAD", "optionsForAllow": "OPTIONS"}
+
 CLIENTS = [
-    profile("aiohttp", "python", ["import aiohttp", "from aiohttp"], [method(["session", r"self\._?session"], PY, COMMON)], url=within("ClientSession", setting("base_url", PY_ADDRESS))),
-    profile("angular_httpclient", "typescript", ["@angular/common/http", "HttpClient"], [method([r"this\.http", r"\b\w*[Hh]ttpClient"], PLAIN_STRING, CLIENT, tail=rf"{GAP}(?:<[^>]*>)?")], ["**/*.ts", "**/*.tsx"]),
-    profile("axios", "typescript", imports("axios"), [method([r"\b\w+"], PLAIN_SCRIPT, CLIENT), verb_then_text(setting("method", "", ":"), f"[{BACKTICK}]{verbs(BASIC)}[{BACKTICK}]", setting("url", SCRIPT, ":"), "[^}]*")], url=argument(r"axios\.create", r"\{[^}]*" + setting("baseURL", SCRIPT, ":"))),
-    profile("dotnet_httpclient", "csharp", ["using System.Net.Http", "HttpClient"], [method([], SHARP, BASIC, "title", tail="Async")], url=setting("BaseAddress", argument(r"new Uri", TEXT))),
-    profile("faraday", "ruby", ["require 'faraday'", 'require "faraday"'], [method(["Faraday", "conn", "client", "@conn"], RUBY, COMMON)], url=within(r"Faraday\.new", setting("url", TEXT, ":"))),
+    profile("aiohttp", "python", ["import aiohttp", "from aiohttp"], [verb_calls(("session",), COMMON, without="{")], settings={"url": rule(["ClientSession"], pos=-1, keys=("base_url",))}),
+    profile("angular_httpclient", "typescript", ["@angular/common/http", "HttpClient"], [verb_calls(("this.http", "httpClient", "HttpClient"), CLIENT, without="$")], ["**/*.ts", "**/*.tsx"]),
+    profile("axios", "typescript", imports("axios"), [verb_calls(("*",), CLIENT, without="$"), rule([""], pos=-1, keys=("url",), verb_key="method")], settings={"url": rule(["create"], ("axios",), pos=-1, keys=("baseURL",))}),
+    profile("dotnet_httpclient", "csharp", ["using System.Net.Http", "HttpClient"], [verb_calls(("*",), BASIC, str.title, "Async", without="{")], settings={"url": rule(["Uri"], ("new",), target="BaseAddress")}),
+    profile("faraday", "ruby", ["require 'faraday'", 'require "faraday"'], [verb_calls(("Faraday", "conn", "client"), COMMON, without="#")], settings={"url": rule(["new"], ("Faraday",), pos=-1, keys=("url",))}),
     profile(
         "feign",
         "java",
         ["org.springframework.cloud.openfeign", "@FeignClient"],
-        [mapping(TEXT), verb_then_text(within("@RequestMapping", setting("method", r"RequestMethod\.")), verbs(case="upper"), setting("(?:value|path)", TEXT), "[^)]*?")],
-        service=argument("@FeignClient", f"(?:(?:name|value){GAP}={GAP})?" + TEXT),
-        url=setting("url", TEXT),
-        prefix=setting("path", TEXT),
-    ),
-    profile("fetch", "typescript", ["fetch(", 'from "undici"', "require('undici')", "from 'node-fetch'"], [text_then_verb(r"fetch\(" + GAP, PLAIN_SCRIPT, rf"{GAP},{GAP}\{{[^}}]*" + setting("method", "", ":"), f"[{BACKTICK}]{verbs(COMMON, 'upper')}[{BACKTICK}]"), plain("fetch", PLAIN_SCRIPT, end=rf"{GAP}[,)]")]),
-    profile("go_nethttp", "go", ["net/http"], [method(["http"], GO_TEXT, ("Get", "Post", "Head", "PostForm"), ""), verb_then_text(argument(r"http\.NewRequest(?:WithContext)?", rf"(?:[^,]+,{GAP})?"), f"[{BACKTICK}]{verbs(case='upper')}[{BACKTICK}]", SCRIPT)]),
-    profile("got", "typescript", [*imports("got")[:1], "require('got')", 'from "superagent"', "require('superagent')"], [method(["got"], PLAIN_SCRIPT, COMMON), plain(r"\bgot", PLAIN_SCRIPT), method(["superagent", "request"], PLAIN_SCRIPT, COMMON)], url=setting("prefixUrl", SCRIPT, ":")),
-    profile("guzzle", "php", ["use GuzzleHttp\\Client", "GuzzleHttp"], [verb_then_text(argument("->request", ""), f"[{STRING}]{verbs(COMMON, 'upper')}[{STRING}]", TEXT), method([], TEXT, COMMON, dot="->")], url=setting(f"base_uri[{STRING}]?", TEXT, "=>")),
-    profile("httparty", "ruby", ["require 'httparty'", "include HTTParty"], [method(["HTTParty"], RUBY, COMMON)]),
-    profile("httpx", "python", ["import httpx", "from httpx"], [method(["httpx", "client", r"self\._?client"], PY, CLIENT)], url=within("(?:Async)?Client", setting("base_url", PY_ADDRESS))),
-    profile("jquery", "typescript", ['"jquery"', "'jquery'", "$.ajax", "$.get", "$.post"], [method([r"\$"], PLAIN_STRING, ("get", "post")), plain(r"\$\.getJSON", PLAIN_STRING), plain(r"\$\.ajax", r"\{[^}]*" + setting("url", PLAIN_STRING, ":"))]),
-    profile("ky", "typescript", imports("ky"), [method([r"\bky"], PLAIN_SCRIPT, COMMON), plain(r"\bky", PLAIN_SCRIPT)], url=setting("prefixUrl", SCRIPT, ":")),
-    profile("requests", "python", ["import requests", "from requests"], [method(["requests", "session", r"self\._?session", "s"], PY, CLIENT), verb_then_text(argument(r"requests\.request", ""), f"[{STRING}]{verbs(COMMON, 'upper')}[{STRING}]", PY)]),
-    profile("reqwest", "rust", ["use reqwest", "reqwest::"], [method(["reqwest"], TEXT, ("get",), dot="::"), method(["client", r"self\.client", r"\w+client"], TEXT, COMMON), verb_then_text(argument(r"\.request", "Method::"), verbs(COMMON, "upper"), TEXT)]),
-    profile("restsharp", "csharp", ["using RestSharp"], [text_then_verb(argument("new RestRequest", ""), SHARP, rf"{GAP},{GAP}Method\.", verbs(BASIC, "title")), plain("new RestRequest", SHARP, end=rf"{GAP}\)")], url=argument("new RestClient", TEXT)),
-    profile(
-        "resttemplate",
-        "java",
-        ["org.springframework.web.client.RestTemplate", "RestTemplate"],
-        [
-            method(["restTemplate"], TEXT, ("getForObject", "getForEntity", "postForObject", "postForEntity", "put", "delete", "patchForObject", "headForHeaders", "optionsForAllow"), ""),
-            text_then_verb(argument(r"restTemplate\.exchange", ""), TEXT, r"[^)]*HttpMethod\.", verbs(case="upper")),
-        ],
+        [MAPPING, rule(["@RequestMapping"], pos=-1, keys=("value", "path"), verb_key="method", after="RequestMethod.")],
+        settings={"service": rule(["@FeignClient"], keys=("name", "value")), "url": rule(["@FeignClient"], pos=-1, keys=("url",)), "prefix": rule(["@FeignClient"], pos=-1, keys=("path",))},
     ),
-    profile("resty", "go", ["go-resty/resty"], [method([], SCRIPT, CLIENT, "title", end=rf"{GAP}\)")], url=argument("SetBaseURL", SCRIPT)),
-    profile("vue_resource", "typescript", ["vue-resource", "$http"], [method([r"this\.\$http", r"Vue\.http", r"\$http"], PLAIN_STRING, BASIC)], ["**/*.ts", "**/*.tsx", "**/*.js", "**/*.vue"]),
-    profile("webclient", "java", ["org.springframework.web.reactive.function.client.WebClient", "WebClient"], [verb_then_text(r"\.", verbs() + r"\(\)", argument(r"\.uri", TEXT), r"[\s\S]{0,80}?") | {"multiline": True}], url=argument(r"\.baseUrl", TEXT)),
-    profile("xhr", "typescript", ["XMLHttpRequest", ".open("], [verb_then_text(argument(r"\.open", ""), f"[{STRING}]([A-Z]+)[{STRING}]", PLAIN_STRING)]),
+    profile("fetch", "typescript", ["fetch(", 'from "undici"', "require('undici')", "from 'node-fetch'"], [rule({"fetch": "GET"}, verb_key="method", without="$")]),
+    profile("go_nethttp", "go", ["net/http"], [rule({"Get": "GET", "Post": "POST", "Head": "HEAD", "PostForm": "POST"}, ("http",)), rule(["NewRequest"], ("http",), pos=1, verb_pos=0, after="http.Method"), rule(["NewRequestWithContext"], ("http",), pos=2, verb_pos=1, after="http.Method")]),
+    profile("got", "typescript", [*imports("got")[:1], "require('got')", 'from "superagent"', "require('superagent')"], [verb_calls(("got", "superagent", "request"), COMMON, without="$"), rule({"got": "GET"}, without="$")], settings={"url": rule([""], pos=-1, keys=("prefixUrl",))}),
+    profile("guzzle", "php", ["use GuzzleHttp\\Client", "GuzzleHttp"], [rule(["request"], ("*",), pos=1, verb_pos=0), verb_calls(("*",), COMMON)], settings={"url": rule([""], pos=-1, keys=("base_uri",))}),
+    profile("httparty", "ruby", ["require 'httparty'", "include HTTParty"], [verb_calls(("HTTParty",), COMMON, without="#")]),
+    profile("httpx", "python", ["import httpx", "from httpx"], [verb_calls(("httpx", "client"), CLIENT, without="{")], settings={"url": rule(["Client", "AsyncClient"], pos=-1, keys=("base_url",))}),
+    profile("jquery", "typescript", ['"jquery"', "'jquery'", "$.ajax", "$.get", "$.post"], [rule({"get": "GET", "post": "POST", "getJSON": "GET"}, ("$",), without="$"), rule({"ajax": "GET"}, ("$",), pos=-1, keys=("url",), without="$")]),
+    profile("ky", "typescript", imports("ky"), [verb_calls(("ky",), COMMON, without="$"), rule({"ky": "GET"}, without="$")], settings={"url": rule([""], pos=-1, keys=("prefixUrl",))}),
+    profile("requests", "python", ["import requests", "from requests"], [verb_calls(("requests", "session", "s"), CLIENT, without="{"), rule(["request"], ("requests",), pos=1, verb_pos=0, without="{")]),
+    profile("reqwest", "rust", ["use reqwest", "reqwest::"], [rule({"get": "GET"}, ("reqwest",)), verb_calls(("client",), COMMON), rule(["request"], ("*",), pos=1, verb_pos=0, after="Method::")]),
+    profile("restsharp", "csharp", ["using RestSharp"], [rule({"RestRequest": "GET"}, ("new",), verb_pos=1, after="Method.", without="{")], settings={"url": rule(["RestClient"], ("new",))}),
+    profile("resttemplate", "java", ["org.springframework.web.client.RestTemplate", "RestTemplate"], [rule(REST_TEMPLATE, ("restTemplate",)), rule(["exchange"], ("restTemplate",), verb_pos=1, after="HttpMethod.")]),
+    profile("resty", "go", ["go-resty/resty"], [verb_calls(("*",), CLIENT, str.title, most=1)], settings={"url": rule(["SetBaseURL"])}),
+    profile("vue_resource", "typescript", ["vue-resource", "$http"], [verb_calls(("$http", "Vue.http"), BASIC, without="$")], ["**/*.ts", "**/*.tsx", "**/*.js", "**/*.vue"]),
+    profile("webclient", "java", ["org.springframework.web.reactive.function.client.WebClient", "WebClient"], [rule({"uri": v.upper()}, (f"{v}()",)) for v in VERBS], settings={"url": rule(["baseUrl"])}),
+    profile("xhr", "typescript", ["XMLHttpRequest", ".open("], [rule(["open"], ("*",), pos=1, verb_pos=0, without="$")]),
 ]
 
-SECOND = rf"[^,]+,{GAP}"
+CONVERT = ["convertAndSend", "convertSendAndReceive"]
 QUEUES = [
-    profile("amqplib", "typescript", imports("amqplib"), [*queue("consumer", argument(r"\.consume", ""), BACKTICK), *queue("producer", argument(r"\.sendToQueue", ""), BACKTICK), {"regex": argument(r"\.publish", literal(BACKTICK, empty=True)) + rf"{GAP},{GAP}" + SCRIPT, "role": "producer", "name": 2}]),
-    profile("bullmq", "typescript", imports("bullmq"), [*queue("producer", argument("new Queue", ""), BACKTICK), *queue("consumer", argument("new Worker", ""), BACKTICK)]),
-    profile("confluent_kafka", "python", ["from confluent_kafka", "import confluent_kafka"], [*queue("consumer", argument(r"\.subscribe", rf"\[{GAP}"), STRING), *queue("producer", argument(r"\.produce", ""), STRING)]),
-    profile("kafkajs", "typescript", imports("kafkajs"), [*queue("consumer", near(argument(r"\.subscribe", r"\{"), setting("topic", "", ":"), 120), BACKTICK, wide=True), *queue("producer", near(argument(r"\.send", r"\{"), setting("topic", "", ":"), 120), BACKTICK, wide=True)]),
-    profile("pika", "python", ["import pika"], [*queue("consumer", within("basic_consume", setting("queue", "")), STRING), *queue("producer", within("basic_publish", setting("routing_key", "")), STRING)]),
-    profile("segmentio_kafka", "go", ["segmentio/kafka-go", "kafka.NewReader", "kafka.NewWriter"], [*queue("consumer", within("NewReader", setting("Topic", "", ":")), GO), *queue("producer", within("NewWriter", setting("Topic", "", ":")), GO), *queue("producer", setting(r"\.Topic", ""), GO)]),
+    profile("amqplib", "typescript", imports("amqplib"), [queue("consumer", ["consume"]), queue("producer", ["sendToQueue"]), queue("producer", ["publish"], word=False, pos=1)]),
+    profile("bullmq", "typescript", imports("bullmq"), [queue("producer", ["Queue"], ("new",)), queue("consumer", ["Worker"], ("new",))]),
+    profile("confluent_kafka", "python", ["from confluent_kafka", "import confluent_kafka"], [queue("consumer", ["subscribe"]), queue("producer", ["produce"])]),
+    profile("kafkajs", "typescript", imports("kafkajs"), [queue("consumer", ["subscribe"], pos=-1, keys=("topic",)), queue("producer", ["send"], pos=-1, keys=("topic",))]),
+    profile("pika", "python", ["import pika"], [queue("consumer", ["basic_consume"], pos=-1, keys=("queue",)), queue("producer", ["basic_publish"], pos=-1, keys=("routing_key",))]),
+    profile("segmentio_kafka", "go", ["segmentio/kafka-go", "kafka.NewReader", "kafka.NewWriter"], [queue("consumer", ["NewReader"], pos=-1, keys=("Topic",)), queue("producer", ["NewWriter"], pos=-1, keys=("Topic",)), queue("producer", ["Topic"], ("*",), sep="=")]),
     profile(
         "spring_amqp",
         "java",
         ["org.springframework.amqp", "@RabbitListener", "convertAndSend", "sendAndReceive"],
-        [
-            *queue("consumer", near(argument("@RabbitListener", ""), setting("queues", ""), 200), STRING, wide=True),
-            *queue("producer", argument("convert(?:AndSend|SendAndReceive)", SECOND), STRING, end=rf"{GAP},"),
-            *queue("producer", argument("convert(?:AndSend|SendAndReceive)", ""), STRING, constant=False),
-            *queue("producer", argument("convert(?:AndSend|SendAndReceive)", ""), STRING, end=rf"{GAP},")[1:],
-            *queue("producer", argument(r"\.sendAndReceive", rf"[^,()]+?{GAP},{GAP}"), STRING, wide=True, end=rf"{GAP}[,)]"),
-        ],
+        [queue("consumer", ["@RabbitListener"], pos=-1, keys=("queues",)), queue("producer", CONVERT, pos=1, least=3), queue("producer", CONVERT, word=False), queue("producer", CONVERT, least=2), queue("producer", ["sendAndReceive"], ("*",), pos=1)],
     ),
-    profile("spring_kafka", "java", ["org.springframework.kafka", "@KafkaListener", "kafkaTemplate"], [*queue("consumer", within("@KafkaListener", setting("topics", "")), STRING), *queue("producer", argument(r"kafkaTemplate\.send", ""), STRING, constant=False), *queue("producer", argument(r"kafkaTemplate\.send", ""), STRING, end=rf"{GAP},")[1:]]),
+    profile("spring_kafka", "java", ["org.springframework.kafka", "@KafkaListener", "kafkaTemplate"], [queue("consumer", ["@KafkaListener"], pos=-1, keys=("topics",)), queue("producer", ["send"], ("kafkaTemplate",), word=False), queue("producer", ["send"], ("kafkaTemplate",), least=2)]),
 ]
 
 NAME, DOTTED = r"(\w+)", r"([\w.]+)"

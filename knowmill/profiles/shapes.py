@@ -1,29 +1,13 @@
-"""Expressions of profiles, made from the shape that a fact has in source code.
-
-A framework states an endpoint, a client call or a queue in one of a few shapes: a method named after an HTTP verb and a
-text, an annotation named after a verb, a verb and a text side by side, a setting with a text. Each function here builds
-the expression of a shape from its parameters. Groups: the verb (or 0 and a default) and the text.
-"""
+"""Parts of the expressions by which models are found in a class's text."""
 
 from __future__ import annotations
 
-import re
-
-VERBS = ("get", "post", "put", "delete", "patch", "options", "head")
-CASES = {"lower": str.lower, "upper": str.upper, "title": str.title}
-#: A name that stands for a constant.
-CONSTANT = "([A-Z][A-Za-z0-9_.]*)"
+STRING, DOUBLE = "\"'", '"'
 GAP = r"\s*"
 
 
-def verbs(words=VERBS, case: str = "lower") -> str:
-    return "(" + "|".join(CASES[case](w) if case else w for w in words) + ")"
-
-
-def literal(quotes: str, stops: str = "", marks: str = "", empty: bool = False) -> str:
-    """A string and its text. ``marks`` may stand before it; one that holds a character of ``stops`` is interpolated, and none."""
-    q = "".join(re.escape(c) if c in "]^\\" else c for c in quotes)
-    return (f"[{marks}]*" if marks else "") + f"[{q}]([^{q}{stops}]{'*' if empty else '+'})[{q}]"
+def verbs(words) -> str:
+    return "(" + "|".join(words) + ")"
 
 
 def any_of(names) -> str:
@@ -34,45 +18,6 @@ def argument(head: str, value: str) -> str:
     return f"{head}{GAP}\\({GAP}{value}"
 
 
-def method(owners, text: str, words=VERBS, case: str = "lower", dot: str = r"\.", tail: str = "", end: str = "") -> dict:
-    """owner.verb("text"): an owner, a dot, a verb, and a text as the first argument."""
-    return {"regex": argument((any_of(owners) if owners else "") + dot + verbs(words, case) + tail, text) + end, "method": 1, "path": 2}
-
-
-def plain(head: str, text: str, default: str = "GET", end: str = "") -> dict:
-    """head("text"): what has a verb by default."""
-    return {"regex": argument(head, text) + end, "method": 0, "path": 1, "default": default}
-
-
-def statement(text: str, words=VERBS, end: str = "") -> dict:
-    """verb "text" without brackets."""
-    return {"regex": rf"(?:^|\s){verbs(words)}\s+{text}{end}", "method": 1, "path": 2}
-
-
-def verb_then_text(head: str, verb: str, text: str, between: str = rf"{GAP},{GAP}") -> dict:
-    return {"regex": head + verb + between + text, "method": 1, "path": 2}
-
-
-def text_then_verb(head: str, text: str, between: str, verb: str) -> dict:
-    return {"regex": head + text + between + verb, "method": 2, "path": 1}
-
-
 def setting(name: str, text: str, sign: str = "=") -> str:
     """name = "text"."""
     return f"{name}{GAP}{sign}{GAP}{text}"
-
-
-def within(head: str, inner: str) -> str:
-    """What stands somewhere between the brackets that ``head`` opens, in one line."""
-    return rf"{head}{GAP}\([^)]*{inner}"
-
-
-def near(head: str, inner: str, width: int) -> str:
-    """What stands within so many characters, over lines, after the bracket that ``head`` opens."""
-    return rf"{head}[\s\S]{{0,{width}}}?{inner}"
-
-
-def queue(role: str, head: str, quotes: str, constant: bool = True, wide: bool = False, empty: bool = False, end: str = "") -> list[dict]:
-    """A queue's name after ``head``, as a text and, unless it cannot be one, as a constant that is looked up."""
-    found = [{"regex": head + literal(quotes, empty=empty) + end}] + [{"regex": head + CONSTANT + end, "resolve": True}] * constant
-    return [q | {"role": role, "name": 1} | ({"multiline": True} if wide else {}) for q in found]

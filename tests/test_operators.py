@@ -369,6 +369,71 @@ def test_extraction(spark):
         extract.check_profile({"name": "x", "file_patterns": ["*"], "markers": ["m"], "patterns": [{"regex": "("}]})
 
 
+def test_calls_over_lines(spark):
+    from knowmill.functions.code import calls
+
+    text = """// app.get('/no', f)
+app
+  .post(
+    "/a/:id", // first
+    async (req, res) => { other('x', { topic: 'no' }) })
+const q = new Queue<Job>('mail')
+w.Topic = "t"
+"""
+    found = [(f[6], f[7], f[8], f[4], f[3], f[9][0][3] if f[9] else "") for f in calls("a.ts", text)]
+    assert found[0] == ("app", "(", "post", "", 3, "/a/:id") and ("new", "(", "Queue", "q", 6, "mail") in found and ("w", "=", "Topic", "", 7, "t") in found
+    assert all(f[2] != "get" for f in found)
+    odd = ["", "f(", "))]}", "'", '"', "`", "/*", "a.b.", "f(g(h(", "x = ", "[", "f(,,)", "f<a>(", ">(" * 50, "\u0000\u0001("]
+    for suffix in (".ts", ".py", ".rb", ".go", ".java", ".unknown"):
+        for x in odd:
+            assert isinstance(calls("a" + suffix, x), list)
+    deep = calls("a.js", "f(" * 3000 + "'x'" + ")" * 3000)
+    assert len(deep) == 3000 and deep[-1][9][0][3] == "x"
+
+
+def test_calls_of_odd_files_and_rules(spark):
+    files = [
+        ("a.js", "const x = require('express')\napp.get(\n  '/multi',\n  f)\n/* app.put('/gone', f) */\n"),
+        ("b.py", "from flask import Flask\n@app.route('/p',\n  methods=['PUT'])\n@app.route('/q')\n"),
+        ("c.ts", "fetch('/w', {\n  headers: { a: 'b' },\n  method: 'POST' })\nfetch(`/i/${x}`)\n"),
+        ("d.go", 'import "net/http"\nhttp.NewRequestWithContext(ctx, http.MethodPut, "/ctx", nil)\n'),
+        ("e.java", None),
+        ("f.java", ""),
+    ]
+    f = spark.createDataFrame(files, "path string, content string")
+    assert {(r.method, r.path, r.file, r.line) for r in extract.rest_endpoints(f).collect()} == {("GET", "/multi", "a.js", 3), ("PUT", "/p", "b.py", 2), ("GET", "/q", "b.py", 4)}
+    assert {(r.framework, r.method, r.path) for r in extract.http_clients(f).collect()} == {("fetch", "POST", "/w"), ("go_nethttp", "PUT", "/ctx")}
+    own = {"name": "own", "file_patterns": ["**/*.js"], "markers": ["express"], "patterns": [{"regex": r"app\.(get)", "method": 1, "path": 1}]}
+    assert {(r.framework, r.path) for r in extract.rest_endpoints(f, [own]).collect()} == {("own", "get")}
+    assert extract.rest_endpoints(f.limit(0)).count() == 0
+
+
+def test_queue_bindings(spark):
+    text = """class B {
+  static final String KEY = "k.one";
+  @Bean
+  public Queue jobs() { return new Queue("jobs.q"); }
+  @Bean TopicExchange ex() {
+    return new TopicExchange("ex.t", true, false);
+  }
+  Binding b() { return BindingBuilder
+      .bind(jobs())
+      .to(ex())
+      .with(Names.KEY); }
+  Binding c() { return BindingBuilder.bind(new Queue("nq")).to(new FanoutExchange("fan")); }
+  Binding d() { return BindingBuilder.bind(unknown).to(ex()).with("x"); }
+  @RabbitListener(bindings = @QueueBinding(
+     value = @Queue(value = "aq", durable = "true"), // (
+     exchange = @Exchange("ae"),
+     key = "rk"))
+}"""
+    f = spark.createDataFrame([("B.java", text), ("C.java", None), ("D.java", "bind(")], "path string, content string")
+    got = {(r.queue_name, r.exchange, r.routing_key, r.line) for r in extract.queue_bindings(f, extract.constants(f)).collect()}
+    assert got == {("jobs.q", "ex.t", "k.one", 9), ("nq", "fan", "", 12), ("aq", "ae", "rk", 14)}
+    assert {(r.bean, r.name) for r in extract.bean_names(f).collect()} == {("jobs", "jobs.q"), ("ex", "ex.t")}
+    assert {r.routing_key for r in extract.queue_bindings(f).collect()} == {"", "rk"}
+
+
 def test_scan_ignore_and_pages(spark, tmp_path):
     for path, text in {"a/x.py": "1", "a/.gitignore": "*.log\n!keep.log\n", "a/b.log": "", "a/keep.log": "", ".gitignore": "out2/\n", "out2/z.py": "", "node_modules/q.py": "", "wiki/p.md": "---\ntitle: T\nd: 2024-01-01\n---\nbody", "wiki/_archive/o.md": "old", "wiki/bad.md": "---\r\ntitle: x\r\n---\r\n"}.items():
         p = tmp_path / path
