@@ -805,12 +805,12 @@ def db_traces(spark, d):
 # Extraction, discovery, joins and rules over whole tables -------------------------------------------------------------------
 
 
-@query("SELECT p_brand AS queue_name, 'x.' || p_mfgr AS exchange, 'k.' || p_size AS routing_key, 'b/' || p_partkey || '.java' AS file, 7::INT AS line FROM part")
+@query("SELECT p_brand AS queue_name, 'x.' || p_type AS exchange, 'k.' || p_size AS routing_key, 'b/' || p_partkey || '.java' AS file, 7::INT AS line FROM part")
 def queue_bindings(spark, d):
     """A file for each part: a bean, a constant, and a binding written over lines."""
     from knowmill.operators import extract
 
-    text = F.format_string('import org.springframework.amqp;\n// bind(x).to(y).with(z)\nstatic final String K%d = "k.%d";\n@Bean\nQueue q() { return new Queue("%s"); }\nBinding b() { return BindingBuilder\n  .bind(q())\n  .to(new TopicExchange("x.%s"))\n  .with(K%d); }\n', "p_size", "p_size", "p_brand", "p_mfgr", "p_size")
+    text = F.format_string('import org.springframework.amqp;\n// bind(x).to(y).with(z)\nstatic final String K%d = "k.%d";\n@Bean\nQueue q() { return new Queue("%s"); }\nBinding b() { return BindingBuilder\n  .bind(q())\n  .to(new TopicExchange("x.%s"))\n  .with(K%d); }\n', "p_size", "p_size", "p_brand", "p_type", "p_size")
     f = table(spark, d, "part").select(F.format_string("b/%d.java", "p_partkey").alias("path"), text.alias("content"))
     return extract.queue_bindings(f, extract.constants(f))
 
