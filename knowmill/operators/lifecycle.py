@@ -158,35 +158,118 @@ def routing(pages: DataFrame, singletons: tuple[str, ...] = ()) -> DataFrame:
     return out.orderBy("facet", F.coalesce("topic", F.lit("")), "path")
 
 
-# What a link names, and the words that name a fix.
+# Hosts of links, what a link names, and the words that name a fix.
+HOSTS = ("https://github.com/", "http://github.com/")
 LINKED, DONE, BY = ("pull", "issues", "commit"), ("fixed", "closed", "resolved"), ("by", "in", "via")
-WORD, NUMBER = "[-.\\w]+", "([0-9]{1,7})\\b"
-LINK = "https?://github[.]com/[^\\s)]+/(?:" + "|".join(LINKED) + ")/[^\\s.,)]+"
-SLUG_REF, HASH_REF, GH_REF = f"\\b{WORD}/{WORD}#{NUMBER}", f"(?<![&\\w])#{NUMBER}", f"(?i)\\bGH-{NUMBER}"
-#: Seven to forty hexadecimal digits that are no number.
-SHA = "\\b(?![0-9]+\\b)[0-9a-fA-F]{7,40}\\b"
-FIX = "(?i)\\b(?:" + "|".join(DONE) + ")\\s+(?:" + "|".join(BY) + ")\\b"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def runs(text: Column, kind: str) -> Column:
+    """The text as runs of characters of a kind and runs of others."""
+    other = kind[1:] if kind[0] == "^" else f"^{kind}"
+    return F.regexp_extract_all(text, F.lit(f"([{kind}]+|[{other}]+)"), 1)
+
+
+def at(tokens: Column, i: Column) -> Column:
+    return F.coalesce(F.get(tokens, i), F.lit(""))
+
+
+def small_number(token: Column) -> Column:
+    """The number of at most seven digits that the token's first word is."""
+    word = F.regexp_extract(token, r"^\w*", 0)
+    return F.when((F.length(word) <= 7) & (F.translate(word, "0123456789", "") == ""), word.try_cast("bigint"))
+
+
+def repository(token: Column) -> Column:
+    """owner/name at the end of a token; "" if it does not end with one."""
+    parts = F.split(token, "/")
+    owner, name = F.ltrim(F.try_element_at(parts, F.lit(-2)), F.lit(".-")), F.element_at(parts, -1)
+    return F.when((owner != "") & (name != ""), F.concat_ws("/", owner, name)).otherwise("")
+
+
+def cut_link(token: Column) -> Column:
+    """struct(text, found): a link to a change, up to a dot or comma behind what it names, within a token without spaces."""
+    first = F.array_min(F.filter(F.array(*[F.instr(token, h) for h in HOSTS]), lambda x: x > 0))
+    path = F.regexp_replace(F.substring(token, first, F.length(token)), "^https?://[^/]*/", "")
+
+    def named(parts: Column) -> Column:
+        """What follows the last of LINKED that has something before and something after it."""
+        good = lambda x, i: x.isin(*LINKED) & (i > 0) & ((i > 1) | (F.get(parts, F.lit(0)) != "")) & ~F.coalesce(F.get(parts, i + 1).rlike("^[.,]"), F.lit(True)) & (F.length(F.array_join(F.slice(parts, i + 2, F.size(parts)), "/")) > 0)
+        last = F.array_max(F.filter(F.transform(parts, lambda x, i: F.when(good(x, i), i)), lambda x: x.isNotNull()))
+        return F.array_join(F.slice(parts, last + 2, F.size(parts)), "/")
+
+    def made(rest: Column) -> Column:
+        stop = F.regexp_instr(rest, F.lit("[.,]"))
+        after = F.when(stop > 0, F.substring(rest, stop, F.length(rest))).otherwise("")
+        found = F.substring(token, first, F.length(token) - first + 1 - F.length(after))
+        return F.when(rest.isNull(), F.struct(token.alias("text"), F.lit(None).cast("string").alias("found"))).otherwise(F.struct(F.concat(F.substring(token, F.lit(1), first - 1), F.lit("[link-removed]"), after).alias("text"), found.alias("found")))
+
+    return let(let(F.split(path, "/"), named), made)
+
+
+def cut_references(tokens: Column, number: Column) -> Column:
+    """Tokens of word characters, dots, slashes and hyphens, and others between them: struct(text, slug, plain) for each. A
+    number behind "#" goes if it is not below the bound; so does a repository in front, with the "#"."""
+    late = lambda token: F.coalesce(small_number(token) >= number, F.lit(False))
+
+    def stem(k: Column) -> Column:
+        """A token without the number that goes with a repository in front."""
+        x = at(tokens, k)
+        return F.when((at(tokens, k - 1) == "#") & late(x) & (repository(at(tokens, k - 2)) != ""), F.regexp_replace(x, "^[0-9]+", "")).otherwise(x)
+
+    def made(x: Column, i: Column) -> Column:
+        mark, before = at(tokens, i - 1), stem(i - 2)
+        slug = (mark == "#") & (repository(before) != "")
+        plain = F.when(mark == "#", ~F.substring(before, -1, 1).rlike(r"\w")).otherwise(mark.endswith("#") & (F.substring(mark, -2, 1) != "&"))
+        leads = (at(tokens, i + 1) == "#") & late(at(tokens, i + 2)) & (repository(stem(i)) != "")
+        hit = late(x) & (slug | plain) & ~(leads & (repository(stem(i)) == x))
+        digits = F.regexp_extract(x, "^[0-9]*", 0)
+        kept = F.when(hit, F.concat(F.lit("[ref-removed]"), F.substring(x, F.length(digits) + 1, F.length(x)))).otherwise(x)
+        kept = F.when(leads, F.substring(kept, F.lit(1), F.length(kept) - F.length(repository(stem(i))))).when((x == "#") & late(at(tokens, i + 1)) & (repository(stem(i - 1)) != ""), "").otherwise(kept)
+        return F.struct(kept.alias("text"), F.when(hit & slug, F.concat(repository(before), F.lit("#"), digits)).alias("slug"), F.when(hit & ~slug, F.concat(F.lit("#"), digits)).alias("plain"))
+
+    return F.transform(tokens, made)
+
+
+def cut_words(tokens: Column, number: Column) -> Column:
+    """Words and what stands between them: struct(text, ticket, hash) for each. GH-number goes from the bound on, and so do
+    hexadecimal words of 7 to 40 characters with a letter."""
+
+    def made(x: Column, i: Column) -> Column:
+        ticket = lambda k: (F.lower(at(tokens, k)) == "gh") & (at(tokens, k + 1) == "-") & F.coalesce(small_number(at(tokens, k + 2)) >= number, F.lit(False)) & (at(tokens, k + 2) != "")
+        digest = F.length(x).between(7, 40) & (F.translate(F.lower(x), "0123456789abcdef", "") == "") & (F.translate(x, "0123456789", "") != "")
+        text = F.when(ticket(i), "GH").when(ticket(i - 2), "[ref-removed]").when(digest, "[sha-removed]").otherwise(x)
+        return F.struct(text.alias("text"), F.when(ticket(i - 2), F.concat(at(tokens, i - 2), F.lit("-"), x)).alias("ticket"), F.when(digest & ~ticket(i - 2), x).alias("hash"))
+
+    return F.transform(tokens, made)
+
+
+def names_fix(line: Column) -> Column:
+    """Whether a word for an end stands before one for its cause."""
+    pair = lambda w: F.exists(F.transform(w, lambda x, i: x.isin(*DONE) & (F.trim(F.translate(at(w, i + 1), "\t\r\f", "   ")) == "") & at(w, i + 2).isin(*BY)), lambda x: x)
+    return let(runs(F.lower(line), r"\w"), pair)
 
 
 def sanitize_issue(text: Column, number: Column) -> Column:
-    """struct(text, redactions): links, references from the issue's own number on, hashes and lines that name a fix.
-
-    References are numeric, so the bound is tested piece by piece over the split text; nothing leaves the JVM."""
-    def guarded(t: Column, pattern: str, keep: int, new: str) -> tuple[Column, Column]:
-        """Matches are set apart by a control character, tested, and put together again."""
-        parts = F.split(F.regexp_replace(t, pattern, "\u0001$0\u0001"), "\u0001")
-        hit = lambda x: (F.regexp_extract(x, f"^(?:{pattern})$", keep).try_cast("bigint") >= number) & x.rlike(f"^(?:{pattern})$")
-        done = F.transform(parts, lambda x: F.when(hit(x), F.lit(new)).otherwise(x))
-        return F.array_join(done, ""), F.filter(parts, lambda x: F.coalesce(hit(x), F.lit(False)))
-
-    t = F.coalesce(text, F.lit(""))
-    logs = [F.regexp_extract_all(t, F.lit(f"({LINK})"), 1)]
-    t = F.regexp_replace(t, LINK, "[link-removed]")
-    for pattern, keep, new in ((SLUG_REF, 1, "[ref-removed]"), (HASH_REF, 1, "#[ref-removed]"), (GH_REF, 1, "GH-[ref-removed]")):
-        t, log = guarded(t, pattern, keep, new)
-        logs.append(log)
-    logs.append(F.regexp_extract_all(t, F.lit(f"({SHA})"), 1))
-    t = F.regexp_replace(t, SHA, "[sha-removed]")
-    lines = F.split(t, "\n")
-    logs.append(F.transform(F.filter(lines, lambda x: x.rlike(FIX)), lambda x: F.trim(x)))
-    return F.struct(F.array_join(F.transform(lines, lambda x: F.when(x.rlike(FIX), F.lit("[line-removed]")).otherwise(x)), "\n").alias("text"), F.concat(*logs).alias("redactions"))
+    """struct(text, redactions): links, references from the issue's own number on, hashes and lines that name a fix. Null counts
+    as empty.
+
+    The text is cut into tokens three times, by what each rule looks at, and every rule sees a token and its neighbours only, so
+    the work is linear in the text and nothing leaves the JVM. References that follow each
+    other without a space are told by the two before."""
+    def joined(tokens: Column, columns: tuple[str, ...], log: list[Column]) -> Column:
+        return F.struct(F.array_join(tokens["text"], "").alias("text"), F.concat(*log, *[F.filter(tokens[c], lambda x: x.isNotNull()) for c in columns]).alias("log"))
+
+    linked = let(F.transform(runs(F.coalesce(text, F.lit("")), r"^\s)"), cut_link), lambda t: joined(t, ("found",), []))
+    referred = let(linked, lambda r: let(let(runs(r["text"], r"\w./-"), lambda w: cut_references(w, number)), lambda t: joined(t, ("slug", "plain"), [r["log"]])))
+    worded = let(referred, lambda r: let(let(runs(r["text"], r"\w"), lambda w: cut_words(w, number)), lambda t: joined(t, ("ticket", "hash"), [r["log"]])))
+
+    def lined(r: Column) -> Column:
+        done = lambda t: F.struct(F.array_join(F.transform(t, lambda x: F.when(x["fix"], F.lit("[line-removed]")).otherwise(x["line"])), "\n").alias("text"), F.concat(r["log"], F.transform(F.filter(t, lambda x: x["fix"]), lambda x: F.trim(x["line"]))).alias("redactions"))
+        return let(F.transform(F.split(r["text"], "\n"), lambda x: F.struct(x.alias("line"), names_fix(x).alias("fix"))), done)
+
+    return let(worded, lined)

@@ -289,6 +289,32 @@ def test_sanitize(spark):
     assert len(r.redactions) == 6
 
 
+def test_sanitize_neighbours(spark):
+    texts = {
+        "a#50 x&#50 (#50) #39 #12345678 #50x": "a#50 x&#50 (#[ref-removed]) #39 #12345678 #50x",
+        "x/o/r#60, -a/b#41. o/#50": "x/[ref-removed], -[ref-removed]. o/#[ref-removed]",
+        "o/r#60#99 #60#99": "[ref-removed]#[ref-removed] #[ref-removed]#99",
+        "gh-41 foo-GH-60x GH-39 GH-40": "GH-[ref-removed] foo-GH-60x GH-39 GH-[ref-removed]",
+        "(http://github.com/a/b/commit/abc.) https://github.com/pull/1": "([link-removed].) https://github.com/pull/1",
+        "deadbeef cafe 12345678 DEADBEEF1": "[sha-removed] cafe 12345678 [sha-removed]",
+        "Resolved\tvia it\nresolved, by it": "[line-removed]\nresolved, by it",
+        "": "",
+        None: "",
+    }
+    d = spark.createDataFrame([(k,) for k in texts], "t string").select("t", lifecycle.sanitize_issue(F.col("t"), F.lit(40)).alias("r"))
+    assert {r.t: r.r.text for r in d.collect()} == texts
+    long = one(spark, lifecycle.sanitize_issue(F.repeat(F.lit("#41 a/b#39 "), 20000), F.lit(40)))
+    assert len(long.redactions) == 20000
+
+
+def test_unbounded_statements(spark):
+    from knowmill.plans import gate
+
+    cases = {"select * from t": True, "SELECT a FROM t WHERE a": False, "select a from t join u on x": False, "select a from t join u using (x)": True, "select a\nfrom t group  by a": False, "select from_x from(t)": False, "select*from t": False, "with x as (select 1) select * from x": False, "": False, "select a from t limit1": True}
+    d = spark.createDataFrame([(k,) for k in cases], "q string").select("q", gate.unbounded(F.col("q")).alias("u"))
+    assert {r.q: r.u for r in d.collect()} == cases == {q: gate.is_unbounded(q) for q in cases}
+
+
 def test_schema_diff(spark):
     e = spark.createDataFrame([("U", "public", "users"), ("L", "", "lines"), ("G", "x", "lines")], "class_name string, schema_name string, table_name string")
     c = spark.createDataFrame([("U", "id"), ("U", "extra")], "class_name string, name string")
