@@ -255,10 +255,10 @@ def queue_bindings(files: DataFrame, constants: DataFrame | None = None) -> Data
     An argument is a text, ``new X(text)``, a name or a call without arguments. The last two stand for the bean of that name in
     the file (``beans``), or else for a constant (name, value); what neither has is "". Bindings without a queue or an exchange
     go. Calls are joined by their places in their file, so chains are followed without looking at the text again."""
-    c = files.where(F.col("content").contains("bind") | F.col("content").contains("@QueueBinding")).select(F.col("path").alias("file"), F.explode(calls_of(F.col("path"), F.col("content"))).alias("c"))
-    c = c.where(F.col("c.name").isin("bind", "to", "with", "@QueueBinding", "@Queue", "@Exchange") | F.col("c.owner").endswith("new"))
-    first = F.get(F.filter("c.args", lambda a: (a["pos"] == 0) & a["key"].isin("", "value")), 0)
-    c = c.select("file", "c.id", "c.receiver", "c.parent", "c.line", "c.owner", "c.name", "c.args", first["kind"].alias("kind"), first["value"].alias("value"))
+    calls = cut(broker_calls(files))
+    first = F.get(F.filter("args", lambda a: (a["pos"] == 0) & a["key"].isin("", "value")), 0)
+    c = calls.where(F.col("name").isin("bind", "to", "with", "@QueueBinding", "@Queue", "@Exchange") | F.col("owner").endswith("new"))
+    c = c.select(F.col("path").alias("file"), "id", "receiver", "parent", "line", "owner", "name", "args", first["kind"].alias("kind"), first["value"].alias("value"))
     inner = c.where(F.col("owner").endswith("new")).groupBy("file", F.col("parent").alias("id")).agg(F.min_by(F.struct("kind", "value"), "id").alias("_new"))
     c = c.where(~F.col("owner").endswith("new")).join(inner, ["file", "id"], "left")
     c = c.select("file", "id", "receiver", "parent", "line", "name", "args", *[F.when(F.col("value").startswith("new "), F.col("_new")[k]).otherwise(F.col(k)).alias(k) for k in ("kind", "value")])
@@ -272,7 +272,7 @@ def queue_bindings(files: DataFrame, constants: DataFrame | None = None) -> Data
     part = lambda df, role: df.select("file", "_at", "_line", F.lit(role).alias("role"), "kind", "value")
     all_ = union([part(bind.withColumns({"_at": F.col("id"), "_line": F.col("line")}), "queue"), part(second, "exchange"), part(third, "key"), part(marked.where("name = '@Queue'"), "queue"), part(marked.where("name = '@Exchange'"), "exchange"), part(key.select("*", "a.kind", "a.value"), "key")])
     named = all_.where("kind IS NOT NULL").withColumn("_name", F.when(F.col("kind") != "text", F.regexp_replace("value", r"\(\)$", "")))
-    j = named.join(beans(files).select(F.col("path").alias("file"), F.col("bean").alias("_name"), F.col("name").alias("_bean")), ["file", "_name"], "left")
+    j = named.join(beans(calls).select(F.col("path").alias("file"), F.col("bean").alias("_name"), F.col("name").alias("_bean")), ["file", "_name"], "left")
     value = F.coalesce(F.when(F.col("kind") == "text", F.col("value")), F.col("_bean"))
     if constants is not None:
         j = j.withColumn("_last", F.substring_index("_name", ".", -1)).join(constants.select(F.col("name").alias("_last"), F.col("value").alias("_constant")), "_last", "left")
@@ -286,20 +286,25 @@ def queue_bindings(files: DataFrame, constants: DataFrame | None = None) -> Data
 BROKER_CLASSES = ("Queue", "TopicExchange", "DirectExchange", "FanoutExchange")
 
 
-def beans(files: DataFrame) -> DataFrame:
-    """(path, bean, name): a method of a queue's or exchange's class and the first text that its body makes one of; a head is a
-    call whose name follows the class, a body runs to the next head."""
-    c = files.where(F.col("content").contains("@Bean")).select("path", F.explode(calls_of(F.col("path"), F.col("content"))).alias("c"))
-    head = F.col("c.type").isin(*BROKER_CLASSES)
-    made = F.col("c.name").isin(*BROKER_CLASSES) & F.col("c.owner").endswith("new") & (F.get("c.args", 0)["kind"] == "text")
-    rows = c.where(head | made).select("path", "c.id", F.when(made, F.get("c.args", 0)["value"]).alias("name"), F.when(~made, F.col("c.name")).alias("bean"))
+def broker_calls(files: DataFrame) -> DataFrame:
+    """(path, and the columns of FACT) of the calls that bindings and beans are told by; each file is read through once."""
+    c = files.where(F.col("content").rlike("bind|@QueueBinding|@Bean")).select("path", F.explode(calls_of(F.col("path"), F.col("content"))).alias("c")).select("path", "c.*")
+    return c.where(F.col("name").isin("bind", "to", "with", "@QueueBinding", "@Queue", "@Exchange") | F.col("owner").endswith("new") | F.col("type").isin(*BROKER_CLASSES))
+
+
+def beans(calls: DataFrame) -> DataFrame:
+    """(path, bean, name) from ``broker_calls``: a method of a queue's or exchange's class and the first text that its body makes
+    one of; a head is a call whose name follows the class, a body runs to the next head."""
+    made = F.col("name").isin(*BROKER_CLASSES) & F.col("owner").endswith("new") & (F.get("args", 0)["kind"] == "text")
+    head = F.col("type").isin(*BROKER_CLASSES)
+    rows = calls.where(head | made).select("path", "id", F.when(made, F.get("args", 0)["value"]).alias("name"), F.when(~made, F.col("name")).alias("bean"))
     each = rows.withColumn("bean", F.last("bean", True).over(Window.partitionBy("path").orderBy("id"))).where("bean IS NOT NULL AND name IS NOT NULL")
     return each.groupBy("path", "bean").agg(F.min_by("name", "id").alias("name"))
 
 
 def bean_names(files: DataFrame) -> DataFrame:
     """(bean, name) of ``beans``."""
-    return beans(files).select("bean", "name")
+    return beans(broker_calls(files)).select("bean", "name")
 
 
 def code_clients(files: DataFrame, patterns: tuple[tuple[str, str], ...] = (("gather", r"\bgather\s*\("), ("fetchWithCaps", r"\bfetchWithCaps\s*\("))) -> DataFrame:
