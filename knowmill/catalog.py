@@ -819,17 +819,19 @@ def examples_sql() -> str:
     from knowmill.profiles.examples import EXAMPLES
 
     text = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({', '.join(map(text, (k, f, p, a, b)))})" for k, f, p, _, a, b in EXAMPLES)
-    return f"SELECT * FROM (VALUES {rows}) AS t(kind, framework, file, first, second)"
+    rows = ", ".join(f"({i}, {', '.join(map(text, (k, f, p, a, b)))})" for i, (k, f, p, _, a, b) in enumerate(EXAMPLES))
+    return f"SELECT kind, framework, c_custkey || '/' || file AS file, first, second FROM customer JOIN (VALUES {rows}) AS t(i, kind, framework, file, first, second) ON c_custkey % {len(EXAMPLES)} = i"
 
 
 @query(examples_sql())
 def framework_profiles(spark, d):
-    """Every built-in profile on a file of its framework: a parameter table, since no table of the driver holds source code."""
+    """Every built-in profile on files of its framework: each customer has a file, whose text is that of one of the examples, a
+    parameter table, since no table of the driver holds source code."""
     from knowmill.operators import extract
     from knowmill.profiles.examples import EXAMPLES
 
-    f = spark.createDataFrame([(p, c) for _, _, p, c, _, _ in EXAMPLES], "path string, content string")
+    e = spark.createDataFrame([(i, p, c) for i, (_, _, p, c, _, _) in enumerate(EXAMPLES)], "i int, file string, content string")
+    f = table(spark, d, "customer").withColumn("i", (F.col("c_custkey") % len(EXAMPLES)).cast("int")).join(F.broadcast(e), "i").select(F.concat_ws("/", F.col("c_custkey").cast("string"), "file").alias("path"), "content")
     fact = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), "framework", "file", F.col(a).alias("first"), F.col(b).alias("second"))
     found = [fact(extract.rest_endpoints(f), "rest", "method", "path"), fact(extract.http_clients(f), "client", "method", "path"), fact(extract.queue_endpoints(f), "queue", "role", "queue_name")]
     for p in extract.load_profiles("orm"):
