@@ -6,7 +6,7 @@ A run is pending until a record gives it another status. A transient status reve
 into batches: records of a run that come together are taken in order of time and place, and an expiry that lies before a
 record is applied first. Timers only tell the expiry of runs that no record follows; they fire when the watermark passes.
 
-A record is late if the watermark has passed it, and is dropped by Spark as in any watermarked stream; ``delay`` must cover
+A record is late if the watermark has passed it, and is dropped by Spark as in any watermarked stream (whose first watermark is 1970); ``delay`` must cover
 the disorder of the source. State holds four values for each run. Records without a run, a time or a status are left out.
 """
 
@@ -74,10 +74,13 @@ class Runs(StatefulProcessor):
 
 
 def run_states(records: DataFrame, patience: str, keep: str, delay: str = "0 seconds", time: str = "time") -> DataFrame:
-    """The outcomes of a stream of records (run, pos, status, time). The session's state store must be RocksDB."""
+    """The outcomes of a stream of records (run, pos, status, time). The session's state store must be RocksDB. Times are rounded
+    to the nearest millisecond, halves away from zero; the watermark too, so that timers and records agree. Records that are left out
+    for want of a run or a status still tell how far the time has come."""
     ms = lambda s: int(pd.Timedelta(s).total_seconds() * 1000)
-    whole = F.col("run").isNotNull() & F.col("status").isNotNull() & F.col(time).isNotNull()
-    rows = records.where(whole).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).select("run", "pos", "status", F.col(time), F.unix_millis(time).alias("at"))
+    timed = records.withColumn(time, F.col(time).cast("timestamp")).select("run", "pos", "status", F.expr(f"round(unix_micros(`{time}`), -3) div 1000").alias("at"))
+    marked = timed.withColumn(time, F.timestamp_millis("at")).withWatermark(time, delay)
+    rows = marked.where(F.when(F.col("run").isNotNull() & F.col("status").isNotNull(), F.col(time)).isNotNull())  # names the time, so it is not moved before the watermark
     return rows.groupBy("run").transformWithStateInPandas(Runs(ms(patience), ms(keep)), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
@@ -85,6 +88,7 @@ def replay(spark, path: str, roles, patience: str, keep: str, folder: str) -> Da
     """The outcomes of a finished table, read as a stream to its end and written to ``folder``; roles turns its rows into
     records. A second call with the same folder goes on where the first one ended."""
     own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")  # times without a zone are not shifted by the caller's
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = own.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, since a stream's path must be a folder
     out = run_states(roles(stream), patience, keep)

@@ -108,6 +108,16 @@ def test_run_states_do_not_hang_on_batches(spark, tmp_path):
     assert got["one"] == {("a", 0, "running", "accepted"), ("a", 1, "passed", "accepted"), ("a", 2, "passed", "refused"), ("a", 1, None, "expired"), ("a", 3, "running", "accepted"), ("a", 3, "pending", "reverted"), ("b", 4, "error", "accepted"), ("b", 4, "pending", "reverted"), ("b", 5, "ran", "accepted"), ("b", 5, None, "expired"), ("c", 6, "pending", "accepted")}
 
 
+def test_run_states_round_times_and_hear_all_records(spark, tmp_path):
+    """Halves of a millisecond go away from zero; a record without a run or a status moves the time on."""
+    rows = [("a", 0, "running", 1500), ("b", 1, "ran", 2500), ("c", 2, "ran", 2499), (None, 3, "ran", 100 * 3_600_000_000), ("d", 4, None, 5)]
+    df = spark.createDataFrame(rows, "run string, pos bigint, status string, us bigint").select("run", "pos", "status", F.timestamp_micros("us").alias("time"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = runs.replay(spark, str(tmp_path / "in"), lambda x: x, "6 hours", "2 days", str(tmp_path / "out"))
+    hour = 3_600_000
+    assert {(r.run, r.at, r.outcome) for r in out.collect()} == {("a", 2, "accepted"), ("a", 6 * hour + 2, "reverted"), ("b", 3, "accepted"), ("b", 48 * hour + 3, "expired"), ("c", 2, "accepted"), ("c", 48 * hour + 2, "expired")}
+
+
 def test_log_positions_do_not_hang_on_splits(spark, tmp_path):
     for f, (low, high) in {"a.jsonl": (0, 500), "b.jsonl": (500, 1200)}.items():
         (tmp_path / f).write_text("".join(f"line {i}\n" + ("\n" if i % 100 == 0 else "") for i in range(low, high)))
