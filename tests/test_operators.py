@@ -118,6 +118,24 @@ def test_run_states_round_times_and_hear_all_records(spark, tmp_path):
     assert {(r.run, r.at, r.outcome) for r in out.collect()} == {("a", 2, "accepted"), ("a", 6 * hour + 2, "reverted"), ("b", 3, "accepted"), ("b", 48 * hour + 3, "expired"), ("c", 2, "accepted"), ("c", 48 * hour + 2, "expired")}
 
 
+def test_duplicate_diagrams_equal_brute_force(spark):
+    """Any size of the blocks gives the same pairs; repeated pages, nulls and several shared keys count once. Pairs are not shuffled."""
+    rng = random.Random(3)
+    rows = [(f"p{rng.randrange(60):02}", [rng.choice("abc") for _ in range(rng.randrange(4))], [rng.choice("xy") for _ in range(rng.randrange(3))]) for _ in range(90)]
+    pages = spark.createDataFrame([*rows, (None, ["a"], ["x"]), ("q", [None, "a"], ["x", None]), ("r", None, ["x"])], "page string, sources array<string>, titles array<string>")
+    keys = {}
+    for p, ss, ts in [*rows, ("q", ["a"], ["x"])]:
+        keys.setdefault(p, set()).update((s, t) for s in ss for t in ts)
+    both = {(a, b): keys[a] & keys[b] for a in keys for b in keys if a < b and keys[a] & keys[b]}
+    want = sorted((a, b, sorted({s for s, _ in v}), sorted({t for _, t in v})) for (a, b), v in both.items())
+    for cell in (1, 7, 1000):
+        assert sorted(tuple(r) for r in lifecycle.duplicate_diagrams(pages, cell).collect()) == want
+    many = spark.range(200).selectExpr("id as page", "array('s') as sources", "array('t') as titles")
+    plan = lifecycle.duplicate_diagrams(many)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" not in plan and "collect_set(source" not in plan
+    assert lifecycle.duplicate_diagrams(many, 16).count() == 200 * 199 // 2
+
+
 def test_log_positions_do_not_hang_on_splits(spark, tmp_path):
     for f, (low, high) in {"a.jsonl": (0, 500), "b.jsonl": (500, 1200)}.items():
         (tmp_path / f).write_text("".join(f"line {i}\n" + ("\n" if i % 100 == 0 else "") for i in range(low, high)))
