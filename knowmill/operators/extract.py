@@ -16,7 +16,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowmill.functions.code import calls_of
+from knowmill.functions.code import with_calls
 from knowmill.functions.paths import concat_prefix, http_verb, looks_like_url_or_path, matches_any, some, url_host
 from knowmill.functions.text import redact_credentials
 from knowmill.operators.discovery import library_deps, services
@@ -133,7 +133,7 @@ def call_hits(files: DataFrame, profiles: list[dict], settings: tuple[str, ...])
     rules are rows, joined by the call's name. They are parameters of the plan, some hundreds, and so are broadcast."""
     at = [F.array(*[file_setting(p["settings"][k]) if k in p.get("settings", {}) else F.lit("") for p in profiles]).alias(k) for k in settings]
     f = files.select("path", "content", on(profiles).alias("_on")).where(F.exists("_on", lambda x: x))
-    f = f.select("path", "_on", calls_of(F.col("path"), F.coalesce("content", F.lit(""))).alias("_calls"))
+    f = with_calls(f)
     each = f.select("path", "_on", *at, F.explode("_calls").alias("c"))
     rows = [(i, p["name"], name, what, *[q[k] for k in RULE_KEYS]) for i, p in enumerate(profiles) for q in p["rules"] for name, what in q["names"].items()]
     rules = F.broadcast(files.sparkSession.createDataFrame(rows, RULE))
@@ -254,31 +254,17 @@ def queue_bindings(files: DataFrame, constants: DataFrame | None = None) -> Data
 
     An argument is a text, ``new X(text)``, a name or a call without arguments. The last two stand for the bean of that name in
     the file (``beans``), or else for a constant (name, value); what neither has is "". Bindings without a queue or an exchange
-    go. Calls are joined by their places in their file, so chains are followed without looking at the text again."""
-    calls = cut(broker_calls(files))
-    first = F.get(F.filter("args", lambda a: (a["pos"] == 0) & a["key"].isin("", "value")), 0)
-    c = calls.where(F.col("name").isin("bind", "to", "with", "@QueueBinding", "@Queue", "@Exchange") | F.col("owner").endswith("new"))
-    c = c.select(F.col("path").alias("file"), "id", "receiver", "parent", "line", "owner", "name", "args", first["kind"].alias("kind"), first["value"].alias("value"))
-    inner = c.where(F.col("owner").endswith("new")).groupBy("file", F.col("parent").alias("id")).agg(F.min_by(F.struct("kind", "value"), "id").alias("_new"))
-    c = c.where(~F.col("owner").endswith("new")).join(inner, ["file", "id"], "left")
-    c = c.select("file", "id", "receiver", "parent", "line", "name", "args", *[F.when(F.col("value").startswith("new "), F.col("_new")[k]).otherwise(F.col(k)).alias(k) for k in ("kind", "value")])
-    bind, to, with_ = (c.where(F.col("name") == n) for n in ("bind", "to", "with"))
-    at = bind.select("file", F.col("id").alias("_at"), F.col("line").alias("_line"), F.col("id").alias("receiver"))
-    second = to.join(at, ["file", "receiver"]).select("file", "_at", "_line", "id", "kind", "value")
-    third = with_.join(second.select("file", "_at", "_line", F.col("id").alias("receiver")), ["file", "receiver"])
-    noted = c.where(F.col("name") == "@QueueBinding").select("file", F.col("id").alias("_at"), F.col("line").alias("_line"), "args")
-    marked = c.where(F.col("name").isin("@Queue", "@Exchange")).select("file", F.col("parent").alias("_at"), "name", "kind", "value").join(noted.drop("args"), ["file", "_at"])
-    key = noted.select("file", "_at", "_line", F.get(F.filter("args", lambda a: a["key"] == "key"), 0).alias("a"))
-    part = lambda df, role: df.select("file", "_at", "_line", F.lit(role).alias("role"), "kind", "value")
-    all_ = union([part(bind.withColumns({"_at": F.col("id"), "_line": F.col("line")}), "queue"), part(second, "exchange"), part(third, "key"), part(marked.where("name = '@Queue'"), "queue"), part(marked.where("name = '@Exchange'"), "exchange"), part(key.select("*", "a.kind", "a.value"), "key")])
-    named = all_.where("kind IS NOT NULL").withColumn("_name", F.when(F.col("kind") != "text", F.regexp_replace("value", r"\(\)$", "")))
-    j = named.join(beans(calls).select(F.col("path").alias("file"), F.col("bean").alias("_name"), F.col("name").alias("_bean")), ["file", "_name"], "left")
-    value = F.coalesce(F.when(F.col("kind") == "text", F.col("value")), F.col("_bean"))
+    go. A call names its places in the file's array, so chains are followed where the file is read; only the arguments that make a
+    binding are shuffled, and those that are names are joined."""
+    facts = cut(broker_facts(files))
+    told = facts.where(F.col("role").isin("queue", "exchange", "key")).withColumn("_name", F.when(F.col("kind") != "text", F.regexp_replace("value", r"\(\)$", "")))
+    of_text = told.where("_name is null").withColumn("value", F.when(F.col("kind") == "text", F.col("value")))
+    j = told.where("_name is not null").drop("value").join(beans(facts).select("path", F.col("bean").alias("_name"), F.col("name").alias("value")), ["path", "_name"], "left")
     if constants is not None:
-        j = j.withColumn("_last", F.substring_index("_name", ".", -1)).join(constants.select(F.col("name").alias("_last"), F.col("value").alias("_constant")), "_last", "left")
-        value = F.coalesce(value, F.col("_constant"))
-    of = lambda role: F.coalesce(F.max(F.when(F.col("role") == role, value)), F.lit(""))
-    b = j.groupBy("file", "_at", F.col("_line").alias("line")).agg(of("queue").alias("queue_name"), of("exchange").alias("exchange"), of("key").alias("routing_key"))
+        j = j.withColumn("_last", F.substring_index("_name", ".", -1)).join(constants.select(F.col("name").alias("_last"), F.col("value").alias("_constant")), "_last", "left").withColumn("value", F.coalesce("value", "_constant"))
+    j = j.select("path", "at", "line", "role", "value").unionByName(of_text.select("path", "at", "line", "role", "value"))
+    of = lambda role: F.coalesce(F.max(F.when(F.col("role") == role, F.col("value"))), F.lit(""))
+    b = j.groupBy(F.col("path").alias("file"), "at", "line").agg(of("queue").alias("queue_name"), of("exchange").alias("exchange"), of("key").alias("routing_key"))
     return b.where("queue_name <> '' AND exchange <> ''").select("queue_name", "exchange", "routing_key", "file", "line").distinct()
 
 
@@ -286,25 +272,43 @@ def queue_bindings(files: DataFrame, constants: DataFrame | None = None) -> Data
 BROKER_CLASSES = ("Queue", "TopicExchange", "DirectExchange", "FanoutExchange")
 
 
-def broker_calls(files: DataFrame) -> DataFrame:
-    """(path, and the columns of FACT) of the calls that bindings and beans are told by; each file is read through once."""
-    c = files.where(F.col("content").rlike("bind|@QueueBinding|@Bean")).select("path", F.explode(calls_of(F.col("path"), F.col("content"))).alias("c")).select("path", "c.*")
-    return c.where(F.col("name").isin("bind", "to", "with", "@QueueBinding", "@Queue", "@Exchange") | F.col("owner").endswith("new") | F.col("type").isin(*BROKER_CLASSES))
+def broker_facts(files: DataFrame) -> DataFrame:
+    """(path, role, id, at, line, kind, value), each file being read through once: the queue, exchange or key that an argument names
+    for the binding whose first call is ``at``; and for beans, heads (role head) and texts (role made) of queues and exchanges."""
+    call = lambda k: F.get("_calls", k)
+    is_ = lambda c, name: (c["name"] == name) & ~c["owner"].endswith("new")
+    first = lambda c: F.get(F.filter(c["args"], lambda a: (a["pos"] == 0) & a["key"].isin("", "value")), 0)
+    said = lambda c, k: F.when(first(c)["value"].startswith("new "), first(call(c["inner"]))[k]).otherwise(first(c)[k])
+    fact = lambda role, x, at, kind, value: F.struct(F.lit(role).alias("role"), x["id"].alias("id"), at["id"].alias("at"), at["line"].alias("line"), kind.alias("kind"), value.alias("value"))
 
+    def binding(x: Column) -> Column:
+        up, over, key = call(x["receiver"]), call(x["parent"]), F.get(F.filter(x["args"], lambda a: a["key"] == "key"), 0)
+        part = lambda role, at: fact(role, x, at, said(x, "kind"), said(x, "value"))
+        chained = F.when(is_(x, "bind"), part("queue", x)).when(is_(x, "to") & is_(up, "bind"), part("exchange", up)).when(is_(x, "with") & is_(up, "to") & is_(call(up["receiver"]), "bind"), part("key", call(up["receiver"])))
+        noted = chained.when(is_(x, "@Queue") & is_(over, "@QueueBinding"), part("queue", over)).when(is_(x, "@Exchange") & is_(over, "@QueueBinding"), part("exchange", over))
+        return noted.when(is_(x, "@QueueBinding"), fact("key", x, x, key["kind"], key["value"]))
 
-def beans(calls: DataFrame) -> DataFrame:
-    """(path, bean, name) from ``broker_calls``: a method of a queue's or exchange's class and the first text that its body makes
+    def bean(x: Column) -> Column:
+        text = F.get(x["args"], 0)
+        made = x["name"].isin(*BROKER_CLASSES) & x["owner"].endswith("new") & (text["kind"] == "text")
+        return F.when(made, fact("made", x, x, text["kind"], text["value"])).when(~made & x["type"].isin(*BROKER_CLASSES), fact("head", x, x, F.lit("word"), x["name"]))
+
+    c = with_calls(files.select("path", "content").where(F.col("content").rlike("bind|@QueueBinding|@Bean")))
+    facts = F.concat(F.transform("_calls", binding), F.transform("_calls", bean))
+    return c.select("path", F.explode(F.filter(facts, lambda x: x["kind"].isNotNull())).alias("f")).select("path", "f.*")
+
+
+def beans(facts: DataFrame) -> DataFrame:
+    """(path, bean, name) from ``broker_facts``: a method of a queue's or exchange's class and the first text that its body makes
     one of; a head is a call whose name follows the class, a body runs to the next head."""
-    made = F.col("name").isin(*BROKER_CLASSES) & F.col("owner").endswith("new") & (F.get("args", 0)["kind"] == "text")
-    head = F.col("type").isin(*BROKER_CLASSES)
-    rows = calls.where(head | made).select("path", "id", F.when(made, F.get("args", 0)["value"]).alias("name"), F.when(~made, F.col("name")).alias("bean"))
+    rows = facts.where(F.col("role").isin("head", "made")).select("path", "id", F.when(F.col("role") == "made", F.col("value")).alias("name"), F.when(F.col("role") == "head", F.col("value")).alias("bean"))
     each = rows.withColumn("bean", F.last("bean", True).over(Window.partitionBy("path").orderBy("id"))).where("bean IS NOT NULL AND name IS NOT NULL")
     return each.groupBy("path", "bean").agg(F.min_by("name", "id").alias("name"))
 
 
 def bean_names(files: DataFrame) -> DataFrame:
     """(bean, name) of ``beans``."""
-    return beans(broker_calls(files)).select("bean", "name")
+    return beans(broker_facts(files)).select("bean", "name")
 
 
 def code_clients(files: DataFrame, patterns: tuple[tuple[str, str], ...] = (("gather", r"\bgather\s*\("), ("fetchWithCaps", r"\bfetchWithCaps\s*\("))) -> DataFrame:

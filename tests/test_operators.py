@@ -462,6 +462,24 @@ def test_calls_of_odd_files_and_rules(spark):
     assert extract.rest_endpoints(f.limit(0)).count() == 0
 
 
+def test_calls_are_held_by_parts(spark):
+    """Calls go to Spark by parts of the text, not by batches of files; the parts tell the same as the whole."""
+    from knowmill.functions import code
+
+    assert list(code.parts(["abc", None, "x" * 50, "", "y"], 8)) == [(0, 3), (3, 5)]
+    f = spark.range(40, numPartitions=2).selectExpr("concat(id, '.py') as path", "repeat(concat('g(', id, ')\n'), int(id)) as content", "id")
+    for size in (1, 64, code.PART):
+        assert [(r.id, len(r._calls)) for r in code.with_calls(f, size).orderBy("id").collect()] == [(i, i) for i in range(40)]
+
+
+def test_queue_bindings_shuffle_no_calls(spark):
+    """Chains are followed in their file; what is written, joined and shuffled holds no arguments or arrays."""
+    f = spark.createDataFrame([("B.java", 'class B { Binding c() { return BindingBuilder.bind(new Queue("a")).to(new FanoutExchange("b")).with("k"); } }')], "path string, content string")
+    assert extract.broker_facts(f).columns == ["path", "role", "id", "at", "line", "kind", "value"]
+    assert [tuple(r) for r in extract.queue_bindings(f).collect()] == [("a", "b", "k", "B.java", 1)]
+    assert "receiver" not in extract.queue_bindings(f)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_queue_bindings(spark):
     text = """class B {
   static final String KEY = "k.one";
