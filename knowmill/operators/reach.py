@@ -6,7 +6,8 @@ a factor each round. Before, nodes with a single edge out are followed to the ne
 take rounds by the logarithm of their length. Nodes that found the same one form a colour, whose first node they all
 reach. The same search against the edges of a colour gives what that node reaches; where both agree, they are its
 component, which is peeled off, and the edges left within a colour go on. A round is linear in nodes and edges; there is no
-closure, and no node or colour is gathered in one task.
+closure, and no node or colour is gathered in one task. Joins of components are merged, since a broadcast in each of many rounds
+would send most tables through the driver.
 
 Edges with a null end are left out. A search that has not settled within its rounds raises.
 """
@@ -56,16 +57,16 @@ def first_reached(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     lone = written.put(edges.groupBy("from").agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("to")).where("n = 1").select("from", "to", label("from").alias("first")))
     for _ in range(lone.count().bit_length()):  # after i rounds, the first of 2**i nodes on the way, and where it leads
         on = lone.select(F.col("from").alias("to"), F.col("to").alias("then"), F.col("first").alias("other"))
-        lone = written.put(lone.join(on, "to", "left").select("from", F.coalesce("then", "to").alias("to"), F.least("first", "other").alias("first")))
+        lone = written.put(lone.join(on.hint("merge"), "to", "left").select("from", F.coalesce("then", "to").alias("to"), F.least("first", "other").alias("first")))
         written.drop(lone)
-    edges = edges.join(lone.select("from"), "from", "left_anti").unionByName(lone.select("from", "to"))
+    edges = edges.join(lone.select("from").hint("merge"), "from", "left_anti").unionByName(lone.select("from", "to"))
     edges = written.put(edges.select("from", "to"))
-    found = written.put(nodes.join(lone.select(F.col("from").alias("node"), "first"), "node", "left").select("node", F.coalesce("first", label("node")).alias("first")))
+    found = written.put(nodes.join(lone.select(F.col("from").alias("node"), "first").hint("merge"), "node", "left").select("node", F.coalesce("first", label("node")).alias("first")))
     written.drop(edges, found)
     for _ in range(rounds):
-        ahead = edges.join(found.withColumnRenamed("node", "to"), "to").select(F.col("from").alias("node"), "first")
-        seen = found.select(F.col("first.node").alias("node")).distinct().join(found, "node").select(F.col("node").alias("seen"), F.col("first").alias("further"))
-        further = found.join(seen, F.col("first.node") == F.col("seen")).select("node", F.col("further").alias("first"))
+        ahead = edges.join(found.withColumnRenamed("node", "to").hint("merge"), "to").select(F.col("from").alias("node"), "first")
+        seen = found.select(F.col("first.node").alias("node")).distinct().join(found.hint("merge"), "node").select(F.col("node").alias("seen"), F.col("first").alias("further"))
+        further = found.join(seen.hint("merge"), F.col("first.node") == F.col("seen")).select("node", F.col("further").alias("first"))
         new = written.put(found.unionByName(ahead).unionByName(further).groupBy("node").agg(F.min("first").alias("first")))
         written.drop(new, edges)
         found = new
@@ -81,8 +82,8 @@ def first_reached(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
 
 def trimmed(edges: DataFrame) -> DataFrame:
     """Edges both ends of which have an edge in and an edge out."""
-    both = edges.select("from").intersect(edges.select(F.col("to").alias("from")))
-    return edges.join(both, "from", "left_semi").join(both.withColumnRenamed("from", "to"), "to", "left_semi").select("from", "to")
+    both = edges.select("from").distinct().join(edges.select(F.col("to").alias("from")).hint("merge"), "from", "left_semi")
+    return edges.join(both.hint("merge"), "from", "left_semi").join(both.withColumnRenamed("from", "to").hint("merge"), "to", "left_semi").select("from", "to")
 
 
 def strongly_connected(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -92,7 +93,7 @@ def strongly_connected(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     e = written.put(edges.select("from", "to").where("`from` is not null and `to` is not null").distinct())
     loops = cut(e.where(F.col("from") == F.col("to")).select(F.col("from").alias("node"), F.col("from").alias("component")))
     e, peeled = e.where(F.col("from") != F.col("to")), []
-    end = lambda t, side, name: t.select(F.col("node").alias(side), F.col("first").alias(name))
+    end = lambda t, side, name: t.select(F.col("node").alias(side), F.col("first").alias(name)).hint("merge")
     for _ in range(rounds):
         e = written.put(trimmed(e))
         written.drop(e)
@@ -101,7 +102,7 @@ def strongly_connected(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
         ahead = first_reached(e, rounds)
         inside = written.put(e.join(end(ahead, "from", "a"), "from").join(end(ahead, "to", "b"), "to").where("a = b").select("from", "to"))
         behind = first_reached(inside.select(F.col("to").alias("from"), F.col("from").alias("to")), rounds)
-        both = cut(behind.withColumnRenamed("first", "back").join(ahead, "node"))
+        both = cut(behind.withColumnRenamed("first", "back").join(ahead.hint("merge"), "node"))
         peeled.append(both.where("back = first").select("node", F.col("first.node").alias("root")))
         left = both.where("back <> first").select("node", F.col("back").alias("first"))
         e = inside.join(end(left, "from", "a"), "from").join(end(left, "to", "b"), "to").where("a = b").select("from", "to")
@@ -113,8 +114,8 @@ def strongly_connected(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
         return loops
     members = cut(functools.reduce(DataFrame.unionByName, peeled))
     named = members.groupBy("root").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    out = members.join(named, "root").select("node", "component")
-    return out.unionByName(loops.join(out.select("node"), "node", "left_anti"))
+    out = members.join(named.hint("merge"), "root").select("node", "component")
+    return out.unionByName(loops.join(out.select("node").hint("merge"), "node", "left_anti"))
 
 
 def distances(graph: DataFrame, target: str, hops: int) -> tuple[DataFrame, bool]:

@@ -93,6 +93,13 @@ def test_components_equal_brute_force(spark):
     assert reach.strongly_connected(e.limit(0)).count() == 0
 
 
+def test_components_do_not_broadcast(spark):
+    """No table of a round goes through the driver, however small."""
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "from string, to string")
+    plans = [reach.trimmed(e), reach.strongly_connected(e)]
+    assert not any("Broadcast" in d._jdf.queryExecution().executedPlan().toString() for d in plans)
+
+
 def test_run_states_do_not_hang_on_batches(spark, tmp_path):
     """The same outcomes whether records come as one file or as many."""
     rows = [("a", 0, "running", "01 00:00"), ("a", 1, "passed", "01 01:00"), ("a", 2, "running", "01 02:00"), ("a", 3, "running", "05 00:00"), ("b", 4, "error", "01 00:00"), ("b", 5, "ran", "02 00:00"), ("c", 6, "pending", "06 00:00"), (None, 7, "ran", "01 00:00")]
