@@ -30,7 +30,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -519,11 +518,11 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
 def signature_of(size: int):
     """The signature of a text's shingles as a column; null without words."""
 
-    @F.pandas_udf("bigint")
-    def of(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("bigint")
+    def of(texts: pa.Array) -> pa.Array:
         hashes = Hashes()
-        sets = (shingles(t.encode() if t is not None else None, hashes, size) for t in texts)
-        return pd.Series([signature(s) if len(s) else None for s in sets], dtype="Int64")
+        sets = (shingles(t, hashes, size) for t in texts.cast(pa.binary()).to_pylist())
+        return pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
 
     return of
 

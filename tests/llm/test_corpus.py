@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
@@ -820,3 +821,12 @@ def test_pipeline_stages(spark):
     assert next(r.text for r in seen["personal_data"] if r.doc_id == 64).endswith("call [IP] now")
     assert all(r.round_trip for r in seen["sentencepiece"])
     assert {Row(i=r.doc_id) for r in corpus_pipeline.run(spark, d).select("doc_id").collect()} == {Row(i=x) for x in ids["sentencepiece"]}
+
+
+def test_workers_do_not_load_pandas():
+    """The modules that Python workers of the pipeline load; each of them would hold pandas beside the others."""
+    import subprocess
+    import sys
+
+    code = "import sys; import knowmill.llm.near, knowmill.llm.decontaminate, knowmill.llm.pii, knowmill.llm.pieces; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).returncode == 0
