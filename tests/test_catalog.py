@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from oracle import connect, same
 
@@ -26,3 +27,11 @@ def test_entry_has_rows(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pairs_of_parts_do_not_hang_on_sizes(spark, tmp_path):
+    """Parts of one brand and type are paired whatever their sizes, and without one."""
+    rows = "(1, 'a', 'x', 1), (2, 'a', 'x', 2), (3, 'a', 'x', null), (4, 'a', 'y', 1), (5, 'b', 'x', 1), (6, null, 'x', 1), (7, null, 'x', 1), (8, 'a', null, 1), (9, 'a', null, 1), (null, 'a', 'x', 1)"
+    duckdb.sql(f"copy (select p_partkey::bigint as p_partkey, p_brand, p_type, p_size from (values {rows}) t(p_partkey, p_brand, p_type, p_size)) to '{tmp_path}/part.parquet'")
+    assert sorted(tuple(r) for r in Q["duplicate_diagram_pairs"](spark, str(tmp_path)).collect()) == [(1, 2), (1, 3), (2, 3)]
+    same(spark, connect(str(tmp_path)), str(tmp_path), Q["duplicate_diagram_pairs"], S["duplicate_diagram_pairs"])
